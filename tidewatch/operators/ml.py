@@ -262,10 +262,11 @@ def drift(expected: DataFrame, actual: DataFrame, features: list[str], bins: int
 
     def counted(df: DataFrame, side: str) -> DataFrame:
         row = edges.select(F.struct(*features)).scalar()
+        below = lambda name: lambda edge: edge < F.col(name)
         with_edges = df.withColumn("_e", row)
         cells = F.explode(F.array(*[
             F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"),
-                     F.size(F.filter(F.col(f"_e.{c}"), lambda e, c=c: e < F.col(c))).alias("bin"))
+                     F.size(F.filter(F.col(f"_e.{c}"), below(c))).alias("bin"))
             for c in features
         ])).alias("_c")
         return with_edges.select(cells).where("_c.x IS NOT NULL").groupBy("_c.feature", "_c.bin").agg(

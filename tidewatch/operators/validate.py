@@ -100,11 +100,14 @@ def validate_events(decoded: DataFrame) -> DataFrame:
     parse_error = F.array(_error("raw_data", "Parse error: not a JSON event", "critical"))
     errors = F.when(unreadable, parse_error).otherwise(rules).cast(f"array<{ERROR}>")
     blocking = F.exists(F.col("errors"), lambda e: e.severity.isin("critical", "error"))
-    return (
-        df.withColumn("errors", errors)
-        .withColumn("is_valid", ~blocking)
-        .drop(*[c for c in df.columns if c.startswith("_")])
-    )
+    kept = [c for c in df.columns if not c.startswith("_")]
+    checked = df.withColumn("errors", errors).withColumn("is_valid", ~blocking)
+    return _computed_once(checked.select(*kept, "errors", "is_valid"))
+
+
+def _computed_once(df: DataFrame) -> DataFrame:
+    """Keeps later filters above the parse: pushed below it, each would parse the record again."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_r")).select("_r.*")
 
 
 def malformed_summary(validated: DataFrame) -> DataFrame:
@@ -216,36 +219,49 @@ def normalise_payload(valid: DataFrame) -> DataFrame:
 
 
 def event_items(events: DataFrame, as_of: Column) -> DataFrame:
-    """Entity rows of normalised events: the event itself, a tutor delta, a tutor profile.
+    """Entity rows of normalised events, expanded in place: the event itself, a tutor delta, a tutor profile.
 
     The event row is keyed by a content hash, so two events in one millisecond stay two rows.
     """
-    ttl = lambda days: ttl_stamp(as_of, days)
-    has_tutor = F.coalesce(F.col("tutor_id"), F.lit("")) != ""
-    event_row = events.select(
-        F.coalesce(F.try_variant_get("v", "$.entity_id", "string"), F.sha2(F.col("raw").cast("binary"), 256)).alias("entity_id"),
-        F.coalesce(F.try_variant_get("v", "$.entity_type", "string"), F.lit("event")).alias("entity_type"),
-        "ts", "event_id", "event_type", ttl(30).alias("ttl"),
+    c = F.col
+    has_tutor = F.coalesce(c("tutor_id"), F.lit("")) != ""
+    rated = truthy_or(c("rating"), 0.0)
+    fields = {
+        "sessions_completed_count": "long", "session_duration_total_min": "double", "session_rating_sum": "double",
+        "session_rating_count": "long", "cancellation_count": "long", "no_show_count": "long", "primary_subject": "string",
+        "available_slots_this_week": "long", "avg_rating": "double", "total_sessions_completed": "long",
+        "subjects": "array<string>", "instant_book_enabled": "boolean",
+    }
+
+    def item(entity_id: Column, entity_type: Column, days: int, **values: Column) -> Column:
+        return F.struct(
+            entity_id.alias("entity_id"), entity_type.alias("entity_type"), ttl_stamp(as_of, days).alias("ttl"),
+            *[values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields.items()],
+        )
+
+    content = F.sha2(c("raw").cast("binary"), 256)
+    event = item(
+        F.coalesce(F.try_variant_get("v", "$.entity_id", "string"), content),
+        F.coalesce(F.try_variant_get("v", "$.entity_type", "string"), F.lit("event")), 30,
+    )
+    delta = item(
+        c("tutor_id"), F.lit("tutor"), 90,
+        sessions_completed_count=F.lit(1), session_duration_total_min=F.coalesce("duration_min", F.lit(0.0)),
+        session_rating_sum=rated, session_rating_count=(rated != 0).cast("long"),
+        cancellation_count=F.coalesce("was_cancelled", F.lit(False)).cast("long"),
+        no_show_count=F.coalesce("no_show", F.lit(False)).cast("long"), primary_subject=c("subject"),
     )
-    rated = truthy_or(F.col("rating"), 0.0)
-    delta = events.where((F.col("event_type") == "session_completed") & has_tutor).select(
-        F.col("tutor_id").alias("entity_id"), F.lit("tutor").alias("entity_type"), "ts", "event_id", "event_type",
-        ttl(90).alias("ttl"),
-        F.lit(1).cast("long").alias("sessions_completed_count"),
-        F.coalesce("duration_min", F.lit(0.0)).alias("session_duration_total_min"),
-        rated.alias("session_rating_sum"),
-        (rated != 0).cast("long").alias("session_rating_count"),
-        F.coalesce("was_cancelled", F.lit(False)).cast("long").alias("cancellation_count"),
-        F.coalesce("no_show", F.lit(False)).cast("long").alias("no_show_count"),
-        F.col("subject").alias("primary_subject"),
+    profile = item(
+        c("tutor_id"), F.lit("tutor"), 90,
+        available_slots_this_week=F.coalesce("available_slots_this_week", F.lit(0)),
+        avg_rating=F.coalesce("profile_rating", F.lit(0.0)),
+        total_sessions_completed=F.coalesce("total_sessions_completed", F.lit(0)),
+        subjects=F.coalesce("subjects", F.array().cast("array<string>")),
+        instant_book_enabled=F.coalesce("instant_book_enabled", F.lit(False)),
     )
-    profile = events.where((F.col("event_type") == "tutor_availability_updated") & has_tutor).select(
-        F.col("tutor_id").alias("entity_id"), F.lit("tutor").alias("entity_type"), "ts", "event_id", "event_type",
-        ttl(90).alias("ttl"),
-        F.coalesce("available_slots_this_week", F.lit(0)).alias("available_slots_this_week"),
-        F.coalesce("profile_rating", F.lit(0.0)).alias("avg_rating"),
-        F.coalesce("total_sessions_completed", F.lit(0)).alias("total_sessions_completed"),
-        F.coalesce("subjects", F.array().cast("array<string>")).alias("subjects"),
-        F.coalesce("instant_book_enabled", F.lit(False)).alias("instant_book_enabled"),
+    items = keep(
+        event,
+        F.when((c("event_type") == "session_completed") & has_tutor, delta),
+        F.when((c("event_type") == "tutor_availability_updated") & has_tutor, profile),
     )
-    return event_row.unionByName(delta, allowMissingColumns=True).unionByName(profile, allowMissingColumns=True)
+    return events.select("ts", "event_id", "event_type", F.explode(items).alias("_i")).select("ts", "event_id", "event_type", "_i.*")
