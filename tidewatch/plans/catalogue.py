@@ -20,7 +20,11 @@ from tidewatch.operators import scoring as S
 from tidewatch.operators import telemetry as L
 from tidewatch.operators import validate as V
 from tidewatch.plans import views as W
-from tidewatch.session import prepare
+from tidewatch.session import prepare, scratch_dir
+from tidewatch.sources.writers import read_state
+from tidewatch.streaming import ingest as SI
+from tidewatch.streaming import state as SS
+from tidewatch.streaming import windows as SW
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NOW = W.as_of
@@ -39,10 +43,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles to a fixed number of decimals: sums of doubles depend on their order in the last bits."""
+def rounded(df: DataFrame, places: int = 6, means: int = 9) -> DataFrame:
+    """Doubles to a fixed number of decimals: sums of doubles depend on their order in the last bits.
+
+    Rolling means keep more decimals, where a mean of few short decimals cannot fall on a rounding tie.
+    """
+    digits = lambda name: means if name.endswith(("m_avg", "h_avg")) else places
     return df.withColumns({
-        f.name: F.round(f.name, places) for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)
+        f.name: F.round(f.name, digits(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)
     })
 
 
@@ -383,7 +391,7 @@ def device_anomaly(spark, sf):
 
 @query
 def telemetry25(spark, sf):
-    return rounded(L.telemetry_features(W.telemetry(spark, sf)), 4)
+    return rounded(L.telemetry_features(W.telemetry(spark, sf)))
 
 
 @query
@@ -402,7 +410,7 @@ def feature_csv(spark, sf):
 @query
 def rolling_means(spark, sf):
     r = L.rolling_means(W.stream_metrics(spark, sf))
-    return rounded(r.select("metric_id", *[c for c in r.columns if c.endswith(("_avg", "_std"))]), 4)
+    return rounded(r.select("metric_id", *[c for c in r.columns if c.endswith(("_avg", "_std"))]))
 
 
 @query
@@ -421,25 +429,25 @@ def stream_baseline_delta(spark, sf):
     m = W.stream_metrics(spark, sf)
     d = L.interactions(L.baseline_deltas(L.with_baselines(m, L.stream_baselines(m))))
     return rounded(d.select("metric_id", "latency_p99_delta_pct", "utilization_delta_pct", "bandwidth_delta_pct", "latency_p99_delta_abs",
-                            "latency_x_utilization", "error_x_bandwidth", "health_score"), 4)
+                            "latency_x_utilization", "error_x_bandwidth", "health_score"))
 
 
 @query
 def stream_features(spark, sf):
-    return rounded(L.stream_features(W.stream_metrics(spark, sf)).select("metric_id", *L.STREAM_FEATURES), 4)
+    return rounded(L.stream_features(W.stream_metrics(spark, sf)).select("metric_id", *L.STREAM_FEATURES))
 
 
 @query
 def trailing_baseline_15m(spark, sf):
     b = L.trailing_baseline(W.stream_metrics(spark, sf), "latency_p99")
     b = b.withColumn("is_anomaly", L.above_baseline(F.col("latency_p99"), F.col("baseline")))
-    return rounded(b.select("metric_id", "history", "baseline", "is_anomaly"), 4)
+    return rounded(b.select("metric_id", "history", "baseline", "is_anomaly"), 8)
 
 
 @query
 def trailing_baseline_3d(spark, sf):
     b = L.trailing_baseline(W.stream_metrics(spark, sf), "latency_p99", minutes=3 * 24 * 60)
-    return rounded(b.select("metric_id", "history", "baseline"), 4)
+    return rounded(b.select("metric_id", "history", "baseline"), 8)
 
 
 @query
@@ -729,9 +737,9 @@ def alert_render(spark, sf):
     return r.select("alert_type", "entity_id", "timestamp", "subject", F.regexp_extract("body", "Summary:\n(.*)", 1).alias("summary"))
 
 
-def _event_alerts(spark, sf):
+def _event_alerts(spark, sf, events=None):
     """One alert per error, click or signup event, by user and severity of its value."""
-    ev = W.table(spark, sf, "events").where(F.col("event_type").isin("error", "click", "signup"))
+    ev = (events if events is not None else W.table(spark, sf, "events")).where(F.col("event_type").isin("error", "click", "signup"))
     v = F.col("value")
     return ev.select(
         F.col("event_id").alias("alert_no"), F.col("event_type").alias("alert_type"), (F.col("user_id") % 25).alias("entity_id"),
@@ -986,7 +994,7 @@ def encode_codes(spark, sf):
 @query
 def subject_regressions(spark, sf):
     ev = W.mkt_events(spark, sf).where("event_type = 'supply_demand_update'")
-    return rounded(M.subject_regressions(ev, "subject", "demand_score", "supply_score"), 4)
+    return rounded(M.subject_regressions(ev, "subject", "supply_score", "demand_score"), 4)
 
 
 @query
@@ -1044,3 +1052,93 @@ def five_target_scoring(spark, sf):
     })
     scored = S.with_segment(M.score_five_targets(data, names, models))
     return rounded(scored.select("entity_id", *S.PREDICTION_DEFAULTS, "segment"), 4)
+
+
+# --- streams --------------------------------------------------------------------------------------------------
+
+
+def _stream(spark, sf):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return W.events_stream(spark, sf)
+
+
+def _appended(spark, stream: DataFrame, name: str) -> DataFrame:
+    """Runs an append stream to its end into a table of the shared folder and reads that."""
+    base = scratch_dir(spark, name)
+    writer = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    SW.run_once(writer)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def _upserted(spark, stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    base = scratch_dir(spark, name)
+    SW.run_once(SW.keep_newest(stream, f"{base}/out", f"{base}/checkpoint", keys))
+    return read_state(spark, f"{base}/out", keys, keys).drop("_batch", "b")
+
+
+@query
+def stream_entity_fold(spark, sf):
+    """The stateful fold: final state of every entity, and how often each alert fired on the way."""
+    folded = _appended(spark, SS.fold_entities(W.mkt_of(_stream(spark, sf))), "entity-fold")
+    fired = lambda kind: F.coalesce(F.size(F.filter("alerts", lambda a: a.startswith(kind))), F.lit(0))
+    counts = folded.groupBy("entity_id", "entity_type").agg(
+        F.count(F.lit(1)).alias("events"), F.sum(fired("high_ib")).alias("call_alerts"), F.sum(fired("low_health")).alias("health_alerts"),
+        F.max_by(F.struct("sessions_7d", "sessions_14d", "sessions_30d", "ib_calls_7d", "ib_calls_14d", "avg_rating", "health_score"),
+                 F.struct("ts", "event_id")).alias("s"),
+    )
+    return rounded(counts.select("entity_id", "entity_type", "events", "call_alerts", "health_alerts", "s.*"))
+
+
+@query
+def stream_recent_windows(spark, sf):
+    """Window counts per student from daily state that is pruned after 30 days."""
+    base = scratch_dir(spark, "recent")
+    stream = SS.recent_windows(W.mkt_of(_stream(spark, sf)))
+    SW.run_once(SW.keep_newest(stream, f"{base}/out", f"{base}/checkpoint", ["entity_id"]))
+    return read_state(spark, f"{base}/out", ["day"], ["entity_id"]).drop("_batch")
+
+
+@query
+def stream_ingest(spark, sf):
+    """Raw records through the micro-batch ingest; the state it leaves behind."""
+    base = scratch_dir(spark, "ingest")
+    records = W.raw_of(W.mkt_of(_stream(spark, sf)))
+    SI.start_ingest(records, base, f"{base}/checkpoint", received_at=NOW(), once=True).awaitTermination()
+    state = read_state(spark, f"{base}/state", ["ts", "event_id"])
+    return state.select(
+        "entity_id", "entity_type", "ts", "event_id", "event_type", "ttl", "session_duration_total_min", "session_rating_sum",
+        "session_rating_count", "cancellation_count", "no_show_count", "primary_subject", "available_slots_this_week",
+    )
+
+
+@query
+def stream_quarantine(spark, sf):
+    """What the ingest put aside, by its worst severity."""
+    base = scratch_dir(spark, "quarantine")
+    records = W.raw_of(W.mkt_of(_stream(spark, sf)))
+    SI.start_ingest(records, base, f"{base}/checkpoint", received_at=NOW(), once=True).awaitTermination()
+    rejected = spark.read.parquet(f"{base}/quarantine").withColumn("is_valid", F.lit(False))
+    return V.malformed_summary(rejected).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stream_malformed_rate(spark, sf):
+    checked = V.validate_events(V.decode_records(W.raw_of(W.mkt_of(_stream(spark, sf)))))
+    return rounded(_upserted(spark, SW.malformed_windows(checked), "malformed", ["period"]))
+
+
+@query
+def stream_alarm_windows(spark, sf):
+    points = _stream(spark, sf).select(F.col("event_type").alias("metric"), F.col("ts").alias("timestamp"), "value")
+    return rounded(_upserted(spark, SW.alarm_windows(points), "alarms", ["metric", "period"]))
+
+
+@query
+def stream_daily_counts(spark, sf):
+    return _upserted(spark, SW.daily_counts(W.mkt_of(_stream(spark, sf))), "daily", ["student_id", "day"])
+
+
+@query
+def stream_alerts_cooldown(spark, sf):
+    return _appended(spark, SS.cooldown_alerts(_event_alerts(spark, sf, _stream(spark, sf))), "cooldown")

@@ -499,14 +499,14 @@ oracle("rolling_std10", _ROLL, "SELECT insight_id, round(iv, 4) AS iops_variance
 oracle("error_trend", _ROLL, f"SELECT insight_id, round(tr, 4) AS trend_score, {_ET} AS error_trend FROM roll")
 oracle("device_anomaly", _ROLL, """SELECT insight_id, round(dm, 4) AS device_mean, round(ds, 4) AS device_std, round(abs(value - dm) / (ds + 1), 4) AS anomaly_score FROM roll""")
 oracle("telemetry25", _ROLL, f"""
-SELECT round(read_iops, 4) AS read_iops, round(write_iops, 4) AS write_iops, round(iops, 4) AS total_iops, round(iv, 4) AS iops_variance, round(latency, 4) AS avg_latency,
-  round(p95_latency, 4) AS p95_latency, round(p99_latency, 4) AS p99_latency, (p99_latency > 2 * latency)::INT AS latency_spike_count,
-  round(throughput, 4) AS bandwidth_mbps, round(tv, 4) AS throughput_variance, round(error_rate, 4) AS error_rate, {_ET} AS error_trend,
+SELECT round(read_iops, 6) AS read_iops, round(write_iops, 6) AS write_iops, round(iops, 6) AS total_iops, round(iv, 6) AS iops_variance, round(latency, 6) AS avg_latency,
+  round(p95_latency, 6) AS p95_latency, round(p99_latency, 6) AS p99_latency, (p99_latency > 2 * latency)::INT AS latency_spike_count,
+  round(throughput, 6) AS bandwidth_mbps, round(tv, 6) AS throughput_variance, round(error_rate, 6) AS error_rate, {_ET} AS error_trend,
   CAST(hour(ts) AS INTEGER) AS hour_of_day, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week, 24.0::DOUBLE AS time_since_last_alert,
   CASE WHEN sequential THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sequential_access_ratio, CASE WHEN sequential THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS random_access_ratio,
-  queue_depth, round(io_size_kb, 4) AS io_size_avg, round(ov, 4) AS io_size_variance, round(iops / (latency + 1), 4) AS iops_per_latency,
-  round(abs(value - dm) / (ds + 1), 4) AS anomaly_score, round(tr, 4) AS trend_score, round(iops / 15000.0::DOUBLE, 4) AS load_factor,
-  round(throughput / (iops + 1), 4) AS efficiency_ratio, coalesce(risk_level, 'unknown') AS risk_level, round(coalesce(performance_score, -1.0), 4) AS performance_score,
+  queue_depth, round(io_size_kb, 6) AS io_size_avg, round(ov, 6) AS io_size_variance, round(iops / (latency + 1), 6) AS iops_per_latency,
+  round(abs(value - dm) / (ds + 1), 6) AS anomaly_score, round(tr, 6) AS trend_score, round(iops / 15000.0::DOUBLE, 6) AS load_factor,
+  round(throughput / (iops + 1), 6) AS efficiency_ratio, coalesce(risk_level, 'unknown') AS risk_level, round(coalesce(performance_score, -1.0), 6) AS performance_score,
   insight_id, device_id, ts FROM roll""")
 oracle("serving_features", TEL, """
 SELECT insight_id, CAST(floor(iops * 0.6::DOUBLE) AS BIGINT) AS read_iops, CAST(floor(iops * 0.4::DOUBLE) AS BIGINT) AS write_iops, round(iops, 4) AS total_iops,
@@ -527,19 +527,19 @@ sr AS (SELECT *, avg(latency_p99) OVER w5 AS l5, avg(utilization) OVER w5 AS u5,
     w5 AS (PARTITION BY stream_id ORDER BY ts, metric_id ROWS 4 PRECEDING), w15 AS (PARTITION BY stream_id ORDER BY ts, metric_id ROWS 14 PRECEDING),
     w60 AS (PARTITION BY stream_id ORDER BY ts, metric_id ROWS 59 PRECEDING)),
 feat AS (SELECT *, 100 - greatest(0.0, least(100.0, utilization * 0.4::DOUBLE + greatest(0.0, least(100.0, lat_pct)) * 0.3::DOUBLE + error_rate * 1000 * 0.3::DOUBLE)) AS health FROM sr)"""
-oracle("rolling_means", _SROLL, """SELECT metric_id, round(l5, 4) AS latency_p99_5m_avg, round(u5, 4) AS utilization_5m_avg, round(s5, 4) AS latency_p99_5m_std,
-  round(l15, 4) AS latency_p99_15m_avg, round(l60, 4) AS latency_p99_1h_avg FROM sr""")
+oracle("rolling_means", _SROLL, """SELECT metric_id, round(l5, 9) AS latency_p99_5m_avg, round(u5, 9) AS utilization_5m_avg, round(s5, 6) AS latency_p99_5m_std,
+  round(l15, 9) AS latency_p99_15m_avg, round(l60, 9) AS latency_p99_1h_avg FROM sr""")
 oracle("rate_accel", _SROLL, "SELECT metric_id, round(rate, 4) AS latency_p99_rate, round(urate, 4) AS utilization_rate, round(rate - prate, 4) AS latency_p99_accel FROM sr")
 oracle("stream_baselines", STR, """SELECT stream_id, round(lat_b, 6) AS latency_p99_baseline, round(util_b, 6) AS utilization_baseline, round(err_b, 6) AS error_rate_baseline,
   round(bw_b, 6) AS bandwidth_gbps_baseline FROM base""")
-_DELTA_COLS = """round(lat_pct, 4) AS latency_p99_delta_pct, round(util_d, 4) AS utilization_delta_pct, round(bw_pct, 4) AS bandwidth_delta_pct,
-  round(lat_abs, 4) AS latency_p99_delta_abs, round(latency_p99 * utilization / 100, 4) AS latency_x_utilization,
-  round(error_rate * bandwidth_gbps, 4) AS error_x_bandwidth, round(health, 4) AS health_score"""
+_DELTA_COLS = """round(lat_pct, 6) AS latency_p99_delta_pct, round(util_d, 6) AS utilization_delta_pct, round(bw_pct, 6) AS bandwidth_delta_pct,
+  round(lat_abs, 6) AS latency_p99_delta_abs, round(latency_p99 * utilization / 100, 6) AS latency_x_utilization,
+  round(error_rate * bandwidth_gbps, 6) AS error_x_bandwidth, round(health, 6) AS health_score"""
 oracle("stream_baseline_delta", _SROLL, f"SELECT metric_id, {_DELTA_COLS} FROM feat")
 oracle("stream_features", _SROLL, f"""
-SELECT metric_id, round(latency_p99, 4) AS latency_p99, round(utilization, 4) AS utilization, round(error_rate, 4) AS error_rate, round(bandwidth_gbps, 4) AS bandwidth_gbps,
-  qp_errors, round(l5, 4) AS latency_p99_5m_avg, round(s5, 4) AS latency_p99_5m_std, round(l15, 4) AS latency_p99_15m_avg, round(l60, 4) AS latency_p99_1h_avg,
-  round(u5, 4) AS utilization_5m_avg, {_DELTA_COLS}, round(rate, 4) AS latency_p99_rate, round(rate - prate, 4) AS latency_p99_accel, round(urate, 4) AS utilization_rate,
+SELECT metric_id, round(latency_p99, 6) AS latency_p99, round(utilization, 6) AS utilization, round(error_rate, 6) AS error_rate, round(bandwidth_gbps, 6) AS bandwidth_gbps,
+  qp_errors, round(l5, 9) AS latency_p99_5m_avg, round(s5, 6) AS latency_p99_5m_std, round(l15, 9) AS latency_p99_15m_avg, round(l60, 9) AS latency_p99_1h_avg,
+  round(u5, 9) AS utilization_5m_avg, {_DELTA_COLS}, round(rate, 6) AS latency_p99_rate, round(rate - prate, 6) AS latency_p99_accel, round(urate, 6) AS utilization_rate,
   CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week, (isodow(ts) >= 6)::INT AS is_weekend, (hour(ts) BETWEEN 8 AND 18)::INT AS is_business_hours
 FROM feat WHERE rate - prate IS NOT NULL AND lat_pct IS NOT NULL""")
 
@@ -550,9 +550,9 @@ tb AS (SELECT *, count(*) OVER w AS n, avg(latency_p99) OVER w AS m FROM str
   WINDOW w AS (PARTITION BY stream_id ORDER BY ts RANGE BETWEEN INTERVAL {interval} PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING))"""
 
 
-oracle("trailing_baseline_15m", _trailing("15 MINUTE"), """SELECT metric_id, n AS history, round(coalesce(m, 0.0), 4) AS baseline,
+oracle("trailing_baseline_15m", _trailing("15 MINUTE"), """SELECT metric_id, n AS history, round(coalesce(m, 0.0), 8) AS baseline,
   latency_p99 > coalesce(m, 0.0) * 1.5::DOUBLE AS is_anomaly FROM tb""")
-oracle("trailing_baseline_3d", _trailing("3 DAY"), "SELECT metric_id, n AS history, round(coalesce(m, 0.0), 4) AS baseline FROM tb")
+oracle("trailing_baseline_3d", _trailing("3 DAY"), "SELECT metric_id, n AS history, round(coalesce(m, 0.0), 8) AS baseline FROM tb")
 
 
 def _asof(name: str, interval: str) -> None:
@@ -751,7 +751,7 @@ oracle("alarm_eval", BASE + """,
 rules(alarm, metric, statistic, secs, op, threshold, periods) AS (VALUES ('errors-high', 'error', 'Sum', 3600, '>', 100.0, 2), ('errors-max', 'error', 'Maximum', 300, '>=', 90.0, 1),
   ('views-low', 'view', 'Average', 900, '<', 20.0, 2), ('clicks-high', 'click', 'Sum', 3600, '>', 60.0, 3)),
 spine AS (SELECT *, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31' - secs * INTERVAL 1 SECOND, secs * INTERVAL 1 SECOND)) AS p FROM rules),
-stat AS (SELECT alarm, TIMESTAMP '1970-01-01' + (epoch_us(ts) // (secs * 1000000)) * secs * INTERVAL 1 SECOND AS p, sum(value) AS s, avg(value) AS a, max(value) AS m
+stat AS (SELECT alarm, TIMESTAMP '1970-01-01' + (epoch_us(ts) // (secs::BIGINT * 1000000)) * secs * INTERVAL 1 SECOND AS p, sum(value) AS s, avg(value) AS a, max(value) AS m
   FROM ev JOIN rules ON event_type = metric GROUP BY ALL),
 br AS (SELECT spine.*, CASE statistic WHEN 'Sum' THEN s WHEN 'Average' THEN a ELSE m END AS v FROM spine LEFT JOIN stat ON spine.alarm = stat.alarm AND spine.p = stat.p),
 bb AS (SELECT *, coalesce(CASE op WHEN '>' THEN v > threshold WHEN '>=' THEN v >= threshold ELSE v < threshold END, false) AS breach FROM br)""", """
@@ -843,3 +843,37 @@ e AS (SELECT student_id, count(*) FILTER (event_type = 'ib_call_logged' AND (epo
   WHERE ts < TIMESTAMP '2024-01-16' AND event_type IN ('session_completed', 'ib_call_logged', 'customer_health_update') GROUP BY 1),
 s AS (SELECT student_id, count(*) AS outcome FROM mkt WHERE ts >= TIMESTAMP '2024-01-16' AND event_type = 'ib_call_logged' GROUP BY 1)""", """
 SELECT student_id AS entity_id, round(least(1.0, c / 10.0::DOUBLE), 6) AS churn_risk_14d, outcome, outcome IS NOT NULL AS observed FROM e LEFT JOIN s USING (student_id)""")
+
+# --- streams: the batch result ---------------------------------------------------------------------------------
+
+oracle("stream_entity_fold", MKT + """,
+se AS (SELECT *, event_type IN ('session_started', 'session_completed') AS is_s, event_type = 'ib_call_logged' AS is_c FROM mkt
+  WHERE event_type IN ('session_started', 'session_completed', 'ib_call_logged', 'customer_health_update')),
+cu AS (SELECT *, count(*) FILTER (is_s) OVER w AS cs, count(*) FILTER (is_c) OVER w AS cc,
+    last_value(health_score IGNORE NULLS) OVER w AS h FROM se WINDOW w AS (PARTITION BY student_id ORDER BY ts, event_id)),
+sn AS (SELECT *, last_value(sessions_last_7_days - cs IGNORE NULLS) OVER w AS d7, last_value(sessions_last_30_days - cs IGNORE NULLS) OVER w AS d30,
+    last_value(ib_calls_last_14_days - cc IGNORE NULLS) OVER w AS dc FROM cu WINDOW w AS (PARTITION BY student_id ORDER BY ts, event_id)),
+af AS (SELECT *, cs + coalesce(d7, 0) AS s7, cs + coalesce(d30, 0) AS s30, cc + coalesce(dc, 0) AS c14, coalesce(h, 100.0) AS hs FROM sn),
+st AS (SELECT tutor_id, row_number() OVER (PARTITION BY tutor_id ORDER BY ts, event_id) AS n,
+    CASE WHEN event_type = 'session_completed' THEN rating END AS r FROM mkt WHERE event_type IN ('session_started', 'session_completed')),
+f(tutor_id, n, a) AS (
+  SELECT DISTINCT tutor_id, CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM st
+  UNION ALL SELECT f.tutor_id, st.n, CASE WHEN st.r IS NULL THEN f.a ELSE (f.a * (st.n - 1) + st.r) / st.n END
+  FROM f JOIN st ON st.tutor_id = f.tutor_id AND st.n = f.n + 1)""", """
+SELECT CAST(student_id AS VARCHAR) AS entity_id, 'student' AS entity_type, count(*) AS events, count(*) FILTER (c14 >= 3) AS call_alerts, count(*) FILTER (hs < 70) AS health_alerts,
+  arg_max(s7, ts) AS sessions_7d, arg_max(cs, ts) AS sessions_14d, arg_max(s30, ts) AS sessions_30d, arg_max(cc, ts) AS ib_calls_7d, arg_max(c14, ts) AS ib_calls_14d,
+  0.0::DOUBLE AS avg_rating, round(arg_max(hs, ts), 6) AS health_score FROM af GROUP BY student_id
+UNION ALL SELECT CAST(tutor_id AS VARCHAR), 'tutor', max(n), 0, 0, max(n), max(n), max(n), 0, 0, round(arg_max(a, n), 6), 100.0 FROM f GROUP BY tutor_id""", recursive=True)
+oracle("stream_recent_windows", MKT + """,
+dy AS (SELECT *, CAST(epoch_us(ts) // 86400000000 AS INTEGER) AS dn, max(CAST(epoch_us(ts) // 86400000000 AS INTEGER)) OVER (PARTITION BY student_id) AS newest FROM mkt)""",
+       "SELECT CAST(student_id AS VARCHAR) AS entity_id, max(newest) AS day, " + ", ".join(
+           f"count(*) FILTER (event_type = '{t}' AND dn > newest - {n}) AS {c}_{n}d" for c, t in (("sessions", "session_completed"), ("calls", "ib_call_logged")) for n in (7, 14, 30)
+       ) + " FROM dy GROUP BY student_id")
+ORACLES["stream_ingest"] = ORACLES["event_items"]
+ORACLES["stream_quarantine"] = ORACLES["quarantine_by_severity"]
+ORACLES["stream_malformed_rate"] = ORACLES["malformed_rate_5m"]
+ORACLES["stream_alerts_cooldown"] = ORACLES["alerts_dedup_cooldown"]
+oracle("stream_alarm_windows", BASE, """SELECT event_type AS metric, time_bucket(INTERVAL 5 MINUTE, ts) AS period, round(sum(value), 6) AS "Sum", round(avg(value), 6) AS "Average",
+  max(value) AS "Maximum" FROM ev GROUP BY ALL""")
+oracle("stream_daily_counts", MKT, """SELECT student_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'session_completed') AS sessions,
+  count(*) FILTER (event_type = 'ib_call_logged') AS calls FROM mkt GROUP BY ALL""")

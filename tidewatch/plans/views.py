@@ -23,9 +23,21 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
+def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 100) -> DataFrame:
+    """The events table as a stream; the pattern is there because a file source wants a glob or a folder."""
+    return (
+        spark.readStream.schema(TABLES["events"]).option("maxFilesPerTrigger", max_files)
+        .parquet(f"{sf_dir}/events.parque[t]")
+    )
+
+
 def mkt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marketplace events, one typed row per event."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    return mkt_of(table(spark, sf_dir, "events"))
+
+
+def mkt_of(events: DataFrame) -> DataFrame:
+    e = events.withColumn("k", _k())
     k, eid = F.col("k"), F.col("event_id")
     kind = (
         F.when(F.col("event_type") == "view", "session_started")
@@ -176,7 +188,10 @@ def _text(value: Column) -> Column:
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base64 transport records with defects injected by ``event_id % 37``."""
-    e = mkt_events(spark, sf_dir)
+    return raw_of(mkt_events(spark, sf_dir))
+
+
+def raw_of(e: DataFrame) -> DataFrame:
     eid, kind, k = F.col("event_id"), F.col("event_type"), F.col("k")
     d = eid % 37
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -118,6 +118,31 @@ class RecentEvents(StatefulProcessor):
         pass
 
 
+class Cooldown(StatefulProcessor):
+    """Passes an alert on when the last one sent of its type and entity is at least ``window_us`` old."""
+
+    def __init__(self, window_us: int):
+        self.window_us = window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "us BIGINT")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        alerts = pd.concat(rows).sort_values(["us", "alert_no"])
+        last = self.last.get()[0] if self.last.exists() else None
+        sent = []
+        for i, us in enumerate(alerts["us"]):
+            if last is None or us - last >= self.window_us:
+                last = int(us)
+                sent.append(i)
+        if sent:
+            self.last.update((last,))
+        yield alerts.iloc[sent].assign(alert_type=key[0], entity_id=key[1])[["alert_no", "alert_type", "entity_id", "timestamp"]]
+
+    def close(self) -> None:
+        pass
+
+
 RECENT_OUTPUT = (
     "entity_id STRING, day INT, sessions_7d BIGINT, sessions_14d BIGINT, sessions_30d BIGINT, calls_7d BIGINT, "
     "calls_14d BIGINT, calls_30d BIGINT"
@@ -138,3 +163,13 @@ def recent_windows(events: DataFrame) -> DataFrame:
         events.select(F.col("student_id").cast("string").alias("entity_id"), "ts", "event_type").groupBy("entity_id")
         .transformWithStateInPandas(RecentEvents(), outputStructType=RECENT_OUTPUT, outputMode="Update", timeMode="None")
     )
+
+
+def cooldown_alerts(alerts: DataFrame, window_us: int = 3_600_000_000) -> DataFrame:
+    """De-duplicated alerts (alert_no, alert_type, entity_id, timestamp) on a stream."""
+    kind = {f.name: f.dataType.simpleString() for f in alerts.schema.fields}
+    out = f"alert_no {kind['alert_no']}, alert_type STRING, entity_id {kind['entity_id']}, timestamp TIMESTAMP"
+    rows = alerts.select("alert_type", "entity_id", "alert_no", "timestamp", F.unix_micros("timestamp").alias("us"))
+    return rows.groupBy("alert_type", "entity_id").transformWithStateInPandas(
+        Cooldown(window_us), outputStructType=out, outputMode="Append", timeMode="None"
+    )

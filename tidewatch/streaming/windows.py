@@ -7,10 +7,24 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.expr import ratio
 from tidewatch.operators.changes import change_feed
+from tidewatch.sources.writers import append_state
 
 LATE = "1 hour"
 
 
+def keep_newest(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):
+    """Writes an updating aggregate as a log of batches; ``writers.read_state`` gives the newest row per key."""
+    return (
+        stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda df, i: append_state(df, path, i, keys, keys))
+    )
+
+
+def run_once(writer) -> None:
+    """Works off what has arrived and stops."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def malformed_windows(validated: DataFrame, ts: str = "ts", width: str = "5 minutes") -> DataFrame:
     """Rejected share per tumbling window; rows later than the watermark leave the window but stay in the archive."""
     counts = validated.withWatermark(ts, LATE).groupBy(F.window(ts, width)).agg(
