@@ -30,8 +30,12 @@ def truthy_or(c: Column, default) -> Column:
 
 
 def keep(*items: Column) -> Column:
-    """An array of the items that are not null, in order."""
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    """An array of the items that are not null, in order.
+
+    Joined from arrays of one or none, not filtered with a lambda: a lambda would take its whole input, all the
+    conditions, out of the generated code.
+    """
+    return F.concat(*[F.when(i.isNotNull(), F.array(i)).otherwise(F.array()) for i in items])
 
 
 def fixed(c: Column, places: int) -> Column:

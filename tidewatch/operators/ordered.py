@@ -188,21 +188,31 @@ def rank_pick(df: DataFrame, group: list[str], value: str, ranks: dict[str, Colu
     return ranked.groupBy(*group).agg(F.max("n").alias("n"), *picks)
 
 
-def group_median(df: DataFrame, group: list[str], values: list[str]) -> DataFrame:
+def group_median(df: DataFrame, group: list[str], values: list[str], min_rows: int = 200_000) -> DataFrame:
     """Exact medians of several columns per group, one row per group.
 
-    The columns are stacked so that all medians share the same two shuffles.
+    ``median`` keeps a group's distinct values in memory, so only groups of bounded size take it; a group with more
+    than ``min_rows`` rows (and more than 1 / SHARE of all) is ranked value by value instead.
     """
-    stacked = df.select(
-        *group, F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values])).alias("_s")
-    ).select(*group, "_s.name", "_s.v")
-    n = F.col("n")
-    picked = rank_pick(stacked, [*group, "name"], "v", {
-        "_lo": F.floor((n + 1) / 2), "_hi": F.floor(n / 2) + 1,
-    }).withColumn("_m", (F.col("_lo") + F.col("_hi")) / 2)
-    return picked.groupBy(*group).agg(
-        *[F.max(F.when(F.col("name") == v, F.col("_m"))).alias(v) for v in values]
+    total = df.agg(F.count(F.lit(1))).scalar()
+    large = F.broadcast(
+        df.groupBy(*[F.col(g).alias(f"_hot_{g}") for g in group]).agg(F.count(F.lit(1)).alias("_rows"))
+        .where((F.col("_rows") > min_rows) & (F.col("_rows") * F.lit(SHARE) > total)).drop("_rows")
     )
+    on = [df[g].eqNullSafe(large[f"_hot_{g}"]) for g in group]
+    narrow = df.select(*group, *values)
+    small = narrow.join(large, on, "left_anti").groupBy(*group).agg(*[F.median(v).alias(v) for v in values])
+    return small.unionByName(_ranked_median(narrow.join(large, on, "left_semi"), group, values))
+
+
+def _ranked_median(df: DataFrame, group: list[str], values: list[str]) -> DataFrame:
+    """Medians by rank; the columns are stacked so that they share the same two shuffles."""
+    named = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values]))
+    stacked = df.select(*group, named.alias("_s")).select(*group, "_s.name", "_s.v")
+    n = F.col("n")
+    picked = rank_pick(stacked, [*group, "name"], "v", {"_lo": F.floor((n + 1) / 2), "_hi": F.floor(n / 2) + 1})
+    picked = picked.withColumn("_m", (F.col("_lo") + F.col("_hi")) / 2)
+    return picked.groupBy(*group).agg(*[F.max(F.when(F.col("name") == v, F.col("_m"))).alias(v) for v in values])
 
 
 def exact_rank(df: DataFrame, group: list[str], key: Column, tie: list[str], bits: int = 32,

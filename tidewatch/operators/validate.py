@@ -32,11 +32,11 @@ def _text(path: str) -> Column:
 
 
 def _is_number(kind: Column) -> Column:
-    return kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
 def _is_object(kind: Column) -> Column:
-    return kind.rlike("^(OBJECT|ARRAY)")
+    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
 
 
 def _present(kind: Column, text: Column) -> Column:
@@ -57,52 +57,62 @@ def _bad_number(kind: Column, value: Column, low: float, high: float | None) ->
 
 
 def _facts(decoded: DataFrame) -> DataFrame:
-    """The few typed facts the rules need, each path read once."""
+    """The few typed facts the rules need, each path read once; records without metrics skip the metric paths."""
+    m = lambda name, kind: F.try_variant_get("_metrics", f"$.{name}", kind)
     return decoded.withColumns({
-        "event_type": _text("event_type"), "_type_kind": _kind("event_type"),
-        "_payload_kind": _kind("payload"), "_root_kind": F.schema_of_variant("v"),
-        "_metrics_kind": _kind("metrics"), "_metrics_text": _text("metrics"),
-        "_iops_kind": _kind("metrics.iops"), "_iops": F.try_variant_get("v", "$.metrics.iops", "double"),
-        "_lat_kind": _kind("metrics.latency"), "_lat": F.try_variant_get("v", "$.metrics.latency", "double"),
-        "_err_kind": _kind("metrics.errorRate"), "_err": F.try_variant_get("v", "$.metrics.errorRate", "double"),
-        "event_time": _text("timestamp"), "_time_kind": _kind("timestamp"),
+        "event_type": _text("event_type"), "_type_kind": _kind("event_type"), "_payload_kind": _kind("payload"),
+        "_metrics": _at("metrics"), "event_time": _text("timestamp"), "_time_kind": _kind("timestamp"),
+    }).withColumns({
+        "_metrics_kind": F.schema_of_variant("_metrics"), "_metrics_text": F.try_variant_get("_metrics", "$", "string"),
+        "_iops_kind": F.schema_of_variant(m("iops", "variant")), "_iops": m("iops", "double"),
+        "_lat_kind": F.schema_of_variant(m("latency", "variant")), "_lat": m("latency", "double"),
+        "_err_kind": F.schema_of_variant(m("errorRate", "variant")), "_err": m("errorRate", "double"),
     })
 
 
 def validate_events(decoded: DataFrame) -> DataFrame:
-    """Adds ``errors`` (field, message, severity), ``is_valid`` and the typed envelope columns."""
-    df = _facts(decoded)
+    """Adds ``errors`` (field, message, severity), ``is_valid`` and the typed envelope columns.
+
+    Facts, rules and messages are separate projections on purpose: Spark compiles one method per operator, and one
+    method with all of it would be too large for the JVM to optimise.
+    """
     col = F.col
-    typed = _present(col("_type_kind"), col("event_type"))
-    has_metrics = _present(col("_metrics_kind"), col("_metrics_text"))
-    metrics_object = has_metrics & F.coalesce(_is_object(col("_metrics_kind")), F.lit(False))
-    time_text = _present(col("_time_kind"), col("event_time"))
-    unreadable = col("v").isNull() | (col("_root_kind") == "VOID")
-    rules = keep(
-        F.when(~typed, _error("event_type", "Missing required field: event_type", "critical")),
-        F.when(
-            typed & ~col("event_type").isin(EVENT_TYPES),
-            _error("event_type", F.concat(F.lit("Invalid event_type: "), col("event_type"),
-                                          F.lit(f". Must be one of: {TYPE_LIST}")), "error"),
-        ),
-        F.when(~F.coalesce(_is_object(col("_payload_kind")), F.lit(False)),
-               _error("payload", "Missing or invalid payload field", "critical")),
-        F.when(has_metrics & ~metrics_object, _error("metrics", "Metrics must be an object", "error")),
-        F.when(metrics_object & _bad_number(col("_iops_kind"), col("_iops"), 0, None),
-               _error("metrics.iops", "IOPS must be a non-negative number", "error")),
-        F.when(metrics_object & _bad_number(col("_lat_kind"), col("_lat"), 0, None),
-               _error("metrics.latency", "Latency must be a non-negative number", "error")),
-        F.when(metrics_object & _bad_number(col("_err_kind"), col("_err"), 0, 100),
-               _error("metrics.errorRate", "Error rate must be between 0 and 100", "error")),
-        F.when(time_text & ~_is_number(col("_time_kind")) & F.try_to_timestamp("event_time").isNull(),
-               _error("timestamp", "Invalid timestamp format", "warning")),
-    )
-    parse_error = F.array(_error("raw_data", "Parse error: not a JSON event", "critical"))
-    errors = F.when(unreadable, parse_error).otherwise(rules).cast(f"array<{ERROR}>")
-    blocking = F.exists(F.col("errors"), lambda e: e.severity.isin("critical", "error"))
+    df = _facts(decoded).withColumns({
+        "_typed": _present(col("_type_kind"), col("event_type")),
+        "_has_metrics": _present(col("_metrics_kind"), col("_metrics_text")),
+        "_metrics_object": F.coalesce(_is_object(col("_metrics_kind")), F.lit(False)),
+        "_timed": _present(col("_time_kind"), col("event_time")) & ~_is_number(col("_time_kind")),
+        "_readable": col("v").isNotNull() & ~F.is_variant_null("v"),
+    })
+    typed, has_metrics, metrics_object, readable = col("_typed"), col("_has_metrics"), col("_metrics_object"), col("_readable")
+    unknown = F.concat(F.lit("Invalid event_type: "), col("event_type"), F.lit(f". Must be one of: {TYPE_LIST}"))
+    rules = [
+        # fixed texts, in the order errors are reported
+        (~typed, "event_type", "Missing required field: event_type", "critical"),
+        (typed & ~col("event_type").isin(EVENT_TYPES), "event_type", unknown, "error"),
+        (~F.coalesce(_is_object(col("_payload_kind")), F.lit(False)), "payload", "Missing or invalid payload field", "critical"),
+        (has_metrics & ~metrics_object, "metrics", "Metrics must be an object", "error"),
+        (metrics_object & _bad_number(col("_iops_kind"), col("_iops"), 0, None),
+         "metrics.iops", "IOPS must be a non-negative number", "error"),
+        (metrics_object & _bad_number(col("_lat_kind"), col("_lat"), 0, None),
+         "metrics.latency", "Latency must be a non-negative number", "error"),
+        (metrics_object & _bad_number(col("_err_kind"), col("_err"), 0, 100),
+         "metrics.errorRate", "Error rate must be between 0 and 100", "error"),
+        (col("_timed") & F.try_to_timestamp("event_time").isNull(),
+         "timestamp", "Invalid timestamp format", "warning"),
+    ]
     kept = [c for c in df.columns if not c.startswith("_")]
-    checked = df.withColumn("errors", errors).withColumn("is_valid", ~blocking)
-    return _computed_once(checked.select(*kept, "errors", "is_valid"))
+    flags = df.withColumn("_unreadable", ~readable)
+    for first in range(0, len(rules), 3):
+        part = {f"_rule{i}": readable & F.coalesce(rules[i][0], F.lit(False)) for i in range(first, min(first + 3, len(rules)))}
+        flags = flags.withColumns(part)
+    found = [F.when(col("_unreadable"), _error("raw_data", "Parse error: not a JSON event", "critical"))]
+    found += [F.when(col(f"_rule{i}"), _error(*rule[1:])) for i, rule in enumerate(rules)]
+    blocking = col("_unreadable")
+    for i, rule in enumerate(rules):
+        blocking = blocking | col(f"_rule{i}") if rule[3] != "warning" else blocking
+    errors = F.array_compact(F.array(*found)).cast(f"array<{ERROR}>")
+    return _computed_once(flags.select(*kept, errors.alias("errors"), (~blocking).alias("is_valid")))
 
 
 def _computed_once(df: DataFrame) -> DataFrame:
@@ -185,37 +195,45 @@ def enrich(valid: DataFrame, received_at: Column, source_ip: Column, request_id:
     })
 
 
+# Payload fields by the event types that carry them: column -> (type, names the producers use).
+COMMON_FIELDS = {
+    "student_id": ("string", "student_id", "customer_id"), "tutor_id": ("string", "tutor_id"),
+    "subject": ("string", "subject"), "region": ("string", "region"),
+}
+TYPE_FIELDS = {
+    "session_completed": {
+        "rating": ("double", "tutor_rating", "rating", "student_rating"),
+        "duration_min": ("double", "duration_minutes", "actual_duration_minutes"),
+        "was_cancelled": ("boolean", "was_cancelled"), "no_show": ("boolean", "no_show"),
+    },
+    "ib_call_logged": {"sentiment": ("double", "sentiment_score"), "call_seconds": ("double", "duration_seconds")},
+    "customer_health_update": {
+        "health_score": ("double", "health_score"), "sessions_last_7_days": ("long", "sessions_last_7_days"),
+        "sessions_last_30_days": ("long", "sessions_last_30_days"), "ib_calls_last_14_days": ("long", "ib_calls_last_14_days"),
+    },
+    "supply_demand_update": {
+        "demand_score": ("double", "demand_score"), "supply_score": ("double", "supply_score"),
+        "balance_status": ("string", "balance_status"), "available_tutors": ("long", "available_tutors"),
+        "active_students": ("long", "active_students"), "pending_requests": ("long", "pending_requests"),
+    },
+    "tutor_availability_updated": {
+        "available_slots_this_week": ("long", "available_slots_this_week", "available_hours_this_week"),
+        "instant_book_enabled": ("boolean", "instant_book_enabled", "accepts_instant_book"),
+        "profile_rating": ("double", "avg_rating"), "total_sessions_completed": ("long", "total_sessions_completed"),
+        "subjects": ("array<string>", "subjects"),
+    },
+}
+
+
 def normalise_payload(valid: DataFrame) -> DataFrame:
-    """One typed row per event whatever field names its producer used."""
+    """One typed row per event whatever field names its producer used; a field is read only from its event type."""
     def pick(kind: str, *names: str) -> Column:
-        return F.coalesce(*[F.try_variant_get("v", f"$.payload.{n}", kind) for n in names])
+        return F.coalesce(*[F.try_variant_get("_payload", f"$.{n}", kind) for n in names])
 
-    return valid.withColumns({
-        "student_id": pick("string", "student_id", "customer_id"),
-        "tutor_id": pick("string", "tutor_id"),
-        "subject": pick("string", "subject"),
-        "region": pick("string", "region"),
-        "rating": pick("double", "tutor_rating", "rating", "student_rating"),
-        "duration_min": pick("double", "duration_minutes", "actual_duration_minutes"),
-        "was_cancelled": pick("boolean", "was_cancelled"),
-        "no_show": pick("boolean", "no_show"),
-        "sentiment": pick("double", "sentiment_score"),
-        "health_score": pick("double", "health_score"),
-        "sessions_last_7_days": pick("long", "sessions_last_7_days"),
-        "sessions_last_30_days": pick("long", "sessions_last_30_days"),
-        "ib_calls_last_14_days": pick("long", "ib_calls_last_14_days"),
-        "demand_score": pick("double", "demand_score"),
-        "supply_score": pick("double", "supply_score"),
-        "balance_status": pick("string", "balance_status"),
-        "available_tutors": pick("long", "available_tutors"),
-        "active_students": pick("long", "active_students"),
-        "pending_requests": pick("long", "pending_requests"),
-        "available_slots_this_week": pick("long", "available_slots_this_week", "available_hours_this_week"),
-        "instant_book_enabled": pick("boolean", "instant_book_enabled", "accepts_instant_book"),
-        "profile_rating": pick("double", "avg_rating"),
-        "total_sessions_completed": pick("long", "total_sessions_completed"),
-        "subjects": F.try_variant_get("v", "$.payload.subjects", "array<string>"),
-    })
+    columns = {name: pick(*spec) for name, spec in COMMON_FIELDS.items()}
+    for event_type, fields in TYPE_FIELDS.items():
+        columns |= {name: F.when(F.col("event_type") == event_type, pick(*spec)) for name, spec in fields.items()}
+    return valid.withColumn("_payload", _at("payload")).withColumns(columns).drop("_payload")
 
 
 def event_items(events: DataFrame, as_of: Column) -> DataFrame:

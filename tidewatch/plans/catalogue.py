@@ -386,7 +386,8 @@ def error_trend(spark, sf):
 
 @query
 def device_anomaly(spark, sf):
-    return rounded(L.device_anomaly(W.telemetry(spark, sf)).select("insight_id", "device_mean", "device_std", "anomaly_score"), 4)
+    d = L.device_anomaly(W.telemetry(spark, sf)).select("insight_id", "device_mean", "device_std", "anomaly_score")
+    return d.withColumns({"device_mean": F.round("device_mean", 9), "device_std": F.round("device_std", 6), "anomaly_score": F.round("anomaly_score", 6)})
 
 
 @query
@@ -791,7 +792,7 @@ ALARM_RULES = [
 @query
 def alarm_eval(spark, sf):
     points = W.table(spark, sf, "events").select(F.col("event_type").alias("metric"), F.col("ts").alias("timestamp"), "value")
-    return rounded(A.evaluate_alarms(points, ALARM_RULES, X.instant("2024-01-01 00:00:00"), NOW()), 4)
+    return rounded(A.evaluate_alarms(points, ALARM_RULES, X.instant("2024-01-01 00:00:00"), NOW()), 9)
 
 
 def _requests(spark, sf):

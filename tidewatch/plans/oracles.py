@@ -497,7 +497,7 @@ roll AS (SELECT *, stddev_samp(value) OVER w AS iv, stddev_samp(throughput) OVER
 _ET = "CASE WHEN step > 0.001::DOUBLE THEN 1 WHEN step < -0.001::DOUBLE THEN -1 ELSE 0 END"
 oracle("rolling_std10", _ROLL, "SELECT insight_id, round(iv, 4) AS iops_variance, round(tv, 4) AS throughput_variance, round(ov, 4) AS io_size_variance FROM roll")
 oracle("error_trend", _ROLL, f"SELECT insight_id, round(tr, 4) AS trend_score, {_ET} AS error_trend FROM roll")
-oracle("device_anomaly", _ROLL, """SELECT insight_id, round(dm, 4) AS device_mean, round(ds, 4) AS device_std, round(abs(value - dm) / (ds + 1), 4) AS anomaly_score FROM roll""")
+oracle("device_anomaly", _ROLL, """SELECT insight_id, round(dm, 9) AS device_mean, round(ds, 6) AS device_std, round(abs(value - dm) / (ds + 1), 6) AS anomaly_score FROM roll""")
 oracle("telemetry25", _ROLL, f"""
 SELECT round(read_iops, 6) AS read_iops, round(write_iops, 6) AS write_iops, round(iops, 6) AS total_iops, round(iv, 6) AS iops_variance, round(latency, 6) AS avg_latency,
   round(p95_latency, 6) AS p95_latency, round(p99_latency, 6) AS p99_latency, (p99_latency > 2 * latency)::INT AS latency_spike_count,
@@ -755,7 +755,7 @@ stat AS (SELECT alarm, TIMESTAMP '1970-01-01' + (epoch_us(ts) // (secs::BIGINT *
   FROM ev JOIN rules ON event_type = metric GROUP BY ALL),
 br AS (SELECT spine.*, CASE statistic WHEN 'Sum' THEN s WHEN 'Average' THEN a ELSE m END AS v FROM spine LEFT JOIN stat ON spine.alarm = stat.alarm AND spine.p = stat.p),
 bb AS (SELECT *, coalesce(CASE op WHEN '>' THEN v > threshold WHEN '>=' THEN v >= threshold ELSE v < threshold END, false) AS breach FROM br)""", """
-SELECT alarm, p AS period_start, round(v, 4) AS value, breach, CASE periods
+SELECT alarm, p AS period_start, round(v, 9) AS value, breach, CASE periods
   WHEN 1 THEN breach WHEN 2 THEN sum(breach::INT) OVER (PARTITION BY alarm ORDER BY p ROWS 1 PRECEDING) = 2
   ELSE sum(breach::INT) OVER (PARTITION BY alarm ORDER BY p ROWS 2 PRECEDING) = 3 END AS in_alarm FROM bb""")
 
