@@ -56,10 +56,11 @@ def test_hot_null_key_is_sliced(spark):
     assert cut.count() == df.count() and cut.where("key IS NULL").select("_slice").distinct().count() > 3
 
 
-@pytest.mark.parametrize("tolerance_s", [30, 300, 5000])
-def test_asof_forward_matches_merge_asof(spark, tolerance_s):
+@pytest.mark.parametrize("limits", [{}, HOT])
+@pytest.mark.parametrize("tolerance_s", [30, 5000])
+def test_asof_forward_matches_merge_asof(spark, tolerance_s, limits):
     left, right = series(5, 400), series(6, 200).rename(columns={"id": "rid", "v": "rv"})
-    got = O.asof_forward(spark.createDataFrame(left), spark.createDataFrame(right), ["key"], "ts", tolerance_s * 1_000_000, ["rid", "rv"], ["rid"]).toPandas()
+    got = O.asof_forward(spark.createDataFrame(left), spark.createDataFrame(right), ["key"], "ts", tolerance_s * 1_000_000, ["rid", "rv"], ["rid"], **limits).toPandas()
     want = pd.merge_asof(left.sort_values(["ts", "id"]), right.sort_values(["ts", "rid"]), on="ts", by="key", direction="forward", tolerance=pd.Timedelta(seconds=tolerance_s))
     a = got.sort_values("id")["rid"].fillna(-1).astype(int).tolist()
     assert a == want.sort_values("id")["rid"].fillna(-1).astype(int).tolist()
@@ -71,11 +72,12 @@ def test_asof_takes_an_equal_time(spark):
     assert O.asof_forward(left, right, ["key"], "ts", 60_000_000, ["rid"], ["rid"]).first().rid == 7
 
 
+@pytest.mark.parametrize("limits", [{}, HOT])
 @pytest.mark.parametrize("minutes", [1, 15, 400])
-def test_trailing_baseline_matches_brute_force(spark, minutes):
+def test_trailing_baseline_matches_brute_force(spark, minutes, limits):
     pdf = series(7, 500)
     df = spark.createDataFrame(pdf).withColumnsRenamed({"key": "stream_id", "v": "latency_p99"})
-    got = {r.id: (r.history, r.baseline) for r in L.trailing_baseline(df, "latency_p99", minutes).collect()}
+    got = {r.id: (r.history, r.baseline) for r in L.trailing_baseline(df, "latency_p99", minutes, **limits).collect()}
     assert len(got) == len(pdf)
     for r in pdf.itertuples():
         past = pdf[(pdf.key == r.key) & (pdf.ts < r.ts) & (pdf.ts >= r.ts - pd.Timedelta(minutes=minutes))]
@@ -163,13 +165,14 @@ def test_gap_and_cooldown_differ(spark):
     assert {r.no for r in A.dedup_cooldown(a, "no").collect()} == {1, 3}
 
 
-@pytest.mark.parametrize("window_s", [60, 3600, 200_000])
-def test_gap_matches_brute_force(spark, window_s):
+@pytest.mark.parametrize("limits", [{}, HOT])
+@pytest.mark.parametrize("window_s", [60, 3600])
+def test_gap_matches_brute_force(spark, window_s, limits):
     pdf = series(15, span_s=400_000)
     ordered = pdf.sort_values(["ts", "id"])
     gap = ordered.groupby("key")["ts"].diff().dt.total_seconds()
     want = set(ordered[gap.isna() | (gap >= window_s)]["id"])
-    rows = A.dedup_gap(_alerts(spark, pdf), ["no"], window_s * 1_000_000).collect()
+    rows = A.dedup_gap(_alerts(spark, pdf), ["no"], window_s * 1_000_000, **limits).collect()
     assert len(rows) == len(pdf) and {r.no for r in rows if r.is_new} == want
 
 
@@ -229,11 +232,14 @@ def test_keep_last_limits_before_the_shuffle(spark):
     assert {r.key: r.id for r in newest.collect()} == want
 
 
-def test_batches_hold_every_alert_once(spark):
+@pytest.mark.parametrize("limits", [{}, HOT])
+def test_batches_hold_every_alert_once(spark, limits):
     pdf = series(19, span_s=200_000)
-    b = A.batch_alerts(_alerts(spark, pdf).withColumn("severity", F.lit("info")), ["no"], "1 day", 7).collect()
+    b = A.batch_alerts(_alerts(spark, pdf).withColumn("severity", F.lit("info")), ["no"], "1 day", 7, **limits).collect()
     assert max(r.alert_count for r in b) <= 7
     assert sorted(a.no for r in b for a in r.alerts) == pdf.id.tolist()
+    full = {(r.entity_id, r.period): r.part for r in sorted(b, key=lambda r: r.part)}
+    assert all(r.alert_count == 7 for r in b if r.part < full[r.entity_id, r.period])
 
 
 def test_alarm_needs_consecutive_periods(spark):

@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.expr import keep, ratio
-from tidewatch.operators.ordered import SLICE_ROWS, hot_keys, rank_pick, rounds_for, with_time_halo
+from tidewatch.operators.ordered import (
+    SLICE_ROWS,
+    carried_sums,
+    hot_keys,
+    rank_pick,
+    rounds_for,
+    slice_window,
+    sliced,
+    with_row_halo,
+    without_halo,
+)
 from tidewatch.session import scratch_dir
 
 HOUR_US = 3_600_000_000
-DAY_US = 24 * HOUR_US
 
 
 def _details(**values: Column) -> Column:
@@ -152,15 +161,13 @@ def render_alerts(alerts: DataFrame) -> DataFrame:
 DEDUP_KEYS = ["alert_type", "entity_id"]
 
 
-def dedup_gap(alerts: DataFrame, order: list[str], window_us: int = HOUR_US) -> DataFrame:
-    """Marks ``is_new``: the alert before it, of the same type and entity, is at least the window away.
-
-    Only alerts less than a window apart matter, so keys are cut into days with one window of halo.
-    """
-    rows = with_time_halo(alerts, "timestamp", max(DAY_US, window_us), back_us=window_us)
-    w = Window.partitionBy(*DEDUP_KEYS, "_slice").orderBy("timestamp", *order)
+def dedup_gap(alerts: DataFrame, order: list[str], window_us: int = HOUR_US, min_rows: int | None = None,
+              slice_rows: int | None = None) -> DataFrame:
+    """Marks ``is_new``: the alert before it, of the same type and entity, is at least the window away."""
+    rows = with_row_halo(alerts, DEDUP_KEYS, "timestamp", order, 1, min_rows, slice_rows)
+    w = slice_window(DEDUP_KEYS, "timestamp", order)
     gap = F.unix_micros("timestamp") - F.unix_micros(F.lag("timestamp").over(w))
-    return rows.withColumn("is_new", F.coalesce(gap >= window_us, F.lit(True))).where(~F.col("_halo")).drop("_halo", "_slice")
+    return without_halo(rows.withColumn("is_new", F.coalesce(gap >= window_us, F.lit(True))))
 
 
 def dedup_cooldown(alerts: DataFrame, order: str, window_us: int = HOUR_US, min_rows: int = 100_000,
@@ -292,13 +299,24 @@ def delivery_rate(log: DataFrame, ok: Column) -> DataFrame:
     )
 
 
-def batch_alerts(alerts: DataFrame, order: list[str], per: str = "1 day", max_alerts: int = 100) -> DataFrame:
-    """Alerts of one entity and period in messages of at most ``max_alerts``; all alerts are listed."""
-    rows = alerts.withColumn("period", F.window("timestamp", per).start)
-    w = Window.partitionBy("entity_id", "period").orderBy("timestamp", *order)
-    numbered = rows.withColumn("part", F.floor((F.row_number().over(w) - 1) / F.lit(max_alerts)).cast("int"))
+def batch_alerts(alerts: DataFrame, order: list[str], per: str = "1 day", max_alerts: int = 100,
+                 min_rows: int | None = None, slice_rows: int | None = None) -> DataFrame:
+    """Alerts of one entity and period in messages of at most ``max_alerts``; all alerts are listed.
+
+    Numbers run on over the time slices of a hot entity, so no task lists more than a slice and a message.
+    """
+    keys = ["entity_id", "period"]
+    rows = sliced(alerts.withColumn("period", F.window("timestamp", per).start), ["entity_id"], "timestamp", min_rows, slice_rows)
+    rows = rows.withColumn("_one", F.lit(1))
+    w = Window.partitionBy(*keys, "_slice").orderBy("timestamp", *order)
+    number = F.col("_rn") + F.coalesce("_rn0", F.lit(0))
+    numbered = (
+        rows.withColumn("_rn", F.row_number().over(w))
+        .join(carried_sums(rows, keys, {"_rn0": "_one"}), [*keys, "_slice"], "left")
+        .withColumn("part", F.floor((number - 1) / F.lit(max_alerts)).cast("int"))
+    )
     item = F.struct("timestamp", *order, "alert_type", "severity")
-    return numbered.groupBy("entity_id", "period", "part").agg(
+    return numbered.groupBy(*keys, "part").agg(
         F.count(F.lit(1)).alias("alert_count"), F.array_sort(F.collect_list(item)).alias("alerts")
     )
 

@@ -93,54 +93,48 @@ def without_halo(df: DataFrame) -> DataFrame:
     return df.where(~F.col("_halo")).drop("_halo", "_slice")
 
 
-def with_time_halo(df: DataFrame, ts: str, width_us: int, back_us: int = 0, ahead_us: int = 0) -> DataFrame:
-    """Fixed time slices ``_slice``; a row is repeated (``_halo``) in the slices whose rows may reach it.
+def carried_sums(rows: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """For each slice of a hot key the sums over its earlier slices: ``sums`` maps an output name to a column.
 
-    ``back_us``: later rows look back that far. ``ahead_us``: earlier rows look ahead that far.
+    Joined to running sums inside the slices (rows of other keys find nothing), this continues them over the key.
     """
-    us = F.unix_micros(ts)
-    width = F.lit(width_us)
-    home = F.floor(us / width)
-    first, last = F.floor((us - F.lit(ahead_us)) / width), F.floor((us + F.lit(back_us)) / width)
-    return (
-        df.withColumn("_slice", F.explode(F.sequence(first, last)))
-        .withColumn("_halo", F.col("_slice") != home)
-    )
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.where("_hot").groupBy(*keys, "_slice").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return totals.withColumns({n: F.sum(n).over(before) for n in sums})
 
 
-def asof_forward(left: DataFrame, right: DataFrame, by: list[str], ts: str, tolerance_us: int,
-                 right_cols: list[str], right_tie: list[str], width_us: int | None = None) -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, by: list[str], ts: str, tolerance_us: int, right_cols: list[str],
+                 right_tie: list[str], min_rows: int | None = None, slice_rows: int | None = None) -> DataFrame:
     """Each left row with the first right row of the same key at or after it, at most ``tolerance_us`` later.
 
-    Rows meet in slices of (key, time); only right rows close to a slice border are repeated. Newest first, the
-    last right row seen so far is the next one in time, so one running frame answers every left row.
+    Newest first, the last right row seen so far is the next one in time, so one running frame answers every left
+    row. A slice of a hot key needs a single row from outside: the first right row of the slices after it.
     """
-    width_us = max(width_us or 12 * tolerance_us, tolerance_us)
     l_cols = left.columns
-    match = F.struct(F.col(ts).alias(f"_{ts}"), *right_cols)
-    lhs = (
-        left.withColumn("_slice", F.floor(F.unix_micros(ts) / F.lit(width_us)))
-        .withColumn("_side", F.lit(0)).withColumn("_row", F.struct(*l_cols))
-        .select(*by, ts, "_slice", "_side", "_row")
+    lhs = left.select(*by, ts, F.lit(0).alias("_side"), F.struct(*l_cols).alias("_row"))
+    rhs = right.dropna(subset=by).select(
+        *by, ts, F.lit(1).alias("_side"), F.struct(F.col(ts).alias("_at"), *right_cols).alias("_match"),
+        F.struct(*right_tie).alias("_tie"),
     )
-    rhs = (
-        with_time_halo(right, ts, width_us, ahead_us=tolerance_us)
-        .withColumn("_side", F.lit(1)).withColumn("_match", match)
-        .withColumn("_tie", F.struct(*right_tie))
-        .select(*by, ts, "_slice", "_side", "_match", "_tie")
+    rows = sliced(lhs.unionByName(rhs, allowMissingColumns=True), by, ts, min_rows, slice_rows)
+    one = F.when(F.col("_side") == 1, F.struct(ts, "_match", "_tie"))
+    order = F.when(F.col("_side") == 1, F.struct(ts, "_tie"))
+    later = Window.partitionBy(*by).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = (
+        rows.where("_hot").groupBy(*by, "_slice").agg(F.min_by(one, order).alias("_f"))
+        .withColumn("_f", F.last("_f", ignorenulls=True).over(later)).where("_f IS NOT NULL")
+        .select(*by, f"_f.{ts}", F.lit(1).alias("_side"), "_f._match", "_f._tie", "_slice")
     )
     newest = Window.partitionBy(*by, "_slice").orderBy(
         F.col(ts).desc(), F.col("_side").desc(), F.col("_tie").desc()
     ).rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.last("_match", ignorenulls=True).over(newest)
-    near = F.unix_micros(F.col(f"_hit._{ts}")) - F.unix_micros(F.col(ts)) <= tolerance_us
+    near = F.unix_micros("_hit._at") - F.unix_micros(F.col(ts)) <= tolerance_us
     return (
-        lhs.unionByName(rhs, allowMissingColumns=True)
-        .withColumn("_hit", hit)
+        rows.drop("_hot").unionByName(ahead, allowMissingColumns=True)
+        .withColumn("_hit", F.last("_match", ignorenulls=True).over(newest))
         .where(F.col("_side") == 0)
         .select(
-            "_row.*",
-            F.when(near, F.col(f"_hit._{ts}")).alias(f"matched_{ts}"),
+            "_row.*", F.when(near, F.col("_hit._at")).alias(f"matched_{ts}"),
             *[F.when(near, F.col(f"_hit.{c}")).alias(c) for c in right_cols],
         )
     )

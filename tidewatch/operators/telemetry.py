@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.expr import clamp, fixed, keep
 from tidewatch.operators.ordered import (
+    carried_sums,
     group_median,
     keep_first,
     slice_window,
+    sliced,
     with_row_halo,
-    with_time_halo,
     without_halo,
 )
 
@@ -209,30 +210,34 @@ def stream_features(df: DataFrame) -> DataFrame:
     return full.dropna(subset=STREAM_FEATURES)
 
 
-def trailing_baseline(df: DataFrame, value: str, minutes: int = 15) -> DataFrame:
+def trailing_baseline(df: DataFrame, value: str, minutes: int = 15, min_rows: int | None = None,
+                      slice_rows: int | None = None) -> DataFrame:
     """Mean of the stream's values in the ``minutes`` before each row, without the row itself; 0 without history.
 
     A value enters the running sum just after its time and leaves it when it is too old, so the cost per row does
-    not depend on how many rows the interval holds. Streams are cut into time slices with the interval as halo.
+    not depend on how many rows the interval holds. Slices of a hot stream go on from the sums carried into them.
     """
     reach = minutes * MINUTE_US
     cols = df.columns
-    rows = with_time_halo(df, "ts", 24 * 4 * reach, back_us=reach)
     us = F.unix_micros("ts")
     v = F.coalesce(F.col(value), F.lit(0)).cast("double")
     changes = F.array(
-        F.struct(us.alias("_us"), v.alias("_dv"), F.lit(1).alias("_dn"), F.lit(True).alias("_own")),
-        F.struct((us + reach).alias("_us"), (-v).alias("_dv"), F.lit(-1).alias("_dn"), F.lit(False).alias("_own")),
+        F.struct(us.alias("_us"), v.alias("_dv"), F.lit(1).alias("_dn"), F.struct(*cols).alias("_row")),
+        F.struct((us + reach).alias("_us"), (-v).alias("_dv"), F.lit(-1).alias("_dn"), F.lit(None).alias("_row")),
     )
-    moved = rows.withColumn("_ch", F.explode(changes)).select(*cols, "_slice", "_halo", "_ch.*")
+    moved = df.select("stream_id", F.explode(changes).alias("_ch")).select("stream_id", "_ch.*")
+    moved = moved.withColumn("_at", F.timestamp_micros("_us"))
+    rows = sliced(moved, ["stream_id"], "_at", min_rows, slice_rows)
+    carried = carried_sums(rows, ["stream_id"], {"_n0": "_dn", "_sum0": "_dv"})
     past = Window.partitionBy("stream_id", "_slice").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
-    n, total = F.sum("_dn").over(past), F.sum("_dv").over(past)
+    known = lambda c: F.coalesce(F.col(c), F.lit(0))
     return (
-        moved.withColumn("_n", n).withColumn("_sum", total)
-        .where(F.col("_own") & ~F.col("_halo"))
+        rows.withColumn("_n", F.sum("_dn").over(past)).withColumn("_sum", F.sum("_dv").over(past))
+        .where("_row IS NOT NULL")
+        .join(carried, ["stream_id", "_slice"], "left")
+        .withColumn("_n", known("_n") + known("_n0")).withColumn("_sum", known("_sum") + known("_sum0"))
         .select(
-            *cols,
-            F.coalesce(F.col("_n"), F.lit(0)).alias("history"),
+            "_row.*", F.col("_n").alias("history"),
             F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")).otherwise(0.0).alias("baseline"),
         )
     )

@@ -33,6 +33,8 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf: obj
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin what results depend on; leaves sizing (shuffle partitions, memory) to the cluster."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # lookups join a table of one row per key: a hot key's partition is split even if that costs one more shuffle
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 
