@@ -162,9 +162,9 @@ DEDUP_KEYS = ["alert_type", "entity_id"]
 
 
 def dedup_gap(alerts: DataFrame, order: list[str], window_us: int = HOUR_US, min_rows: int | None = None,
-              slice_rows: int | None = None) -> DataFrame:
+              slice_rows: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Marks ``is_new``: the alert before it, of the same type and entity, is at least the window away."""
-    rows = with_row_halo(alerts, DEDUP_KEYS, "timestamp", order, 1, min_rows, slice_rows)
+    rows = with_row_halo(alerts, DEDUP_KEYS, "timestamp", order, 1, min_rows, slice_rows, counted)
     w = slice_window(DEDUP_KEYS, "timestamp", order)
     gap = F.unix_micros("timestamp") - F.unix_micros(F.lag("timestamp").over(w))
     return without_halo(rows.withColumn("is_new", F.coalesce(gap >= window_us, F.lit(True))))

@@ -12,8 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-# A key is hot when it has more than MIN_ROWS rows and more than 1 / SHARE of all rows. At most SHARE keys can
-# meet that, which bounds the table that is broadcast (SHARE rows of a key and three numbers).
+# A key is hot when it has more than MIN_ROWS rows; of those the SHARE largest are taken. Any other key then has at
+# most MIN_ROWS rows or 1 / SHARE of all, and the table that is broadcast has at most SHARE rows of a key and three
+# numbers.
 SHARE = 65_536
 MIN_ROWS = 2_000_000
 SLICE_ROWS = 1_000_000
@@ -24,12 +25,12 @@ def hot_keys(df: DataFrame, keys: list[str], ts: str, min_rows: int | None = Non
     """The hot keys with the number of time slices each is cut into; at most SHARE rows."""
     min_rows = MIN_ROWS if min_rows is None else min_rows
     slice_rows = SLICE_ROWS if slice_rows is None else slice_rows
-    total = df.agg(F.count(F.lit(1))).scalar()
     us = F.unix_micros(ts)
     return (
         df.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys])
         .agg(F.count(F.lit(1)).alias("_rows"), F.min(us).alias("_lo"), F.max(us).alias("_hi"))
-        .where((F.col("_rows") > F.lit(min_rows)) & (F.col("_rows") * F.lit(SHARE) > total))
+        .where(F.col("_rows") > min_rows)
+        .orderBy(F.desc("_rows")).limit(SHARE)
         .select(
             *[f"_hot_{k}" for k in keys],
             "_lo",
@@ -39,10 +40,16 @@ def hot_keys(df: DataFrame, keys: list[str], ts: str, min_rows: int | None = Non
     )
 
 
-def sliced(df: DataFrame, keys: list[str], ts: str, min_rows: int | None = None,
-           slice_rows: int | None = None) -> DataFrame:
-    """Adds ``_slice`` (0 for keys of normal size) and ``_hot``."""
-    hot = F.broadcast(hot_keys(df, keys, ts, min_rows, slice_rows))
+def sliced(df: DataFrame, keys: list[str], ts: str, min_rows: int | None = None, slice_rows: int | None = None,
+           counted: DataFrame | None = None) -> DataFrame:
+    """Adds ``_slice`` (0 for keys of normal size) and ``_hot``.
+
+    ``counted``: where to count rows per key when ``df`` is dear to compute, a table with at least its rows (or some
+    of its keys, when those alone decide). Without hot keys the plan drops every branch that is only for them.
+    """
+    source = df if counted is None else counted
+    keys = [k for k in keys if k in source.columns]
+    hot = F.broadcast(hot_keys(source, keys, ts, min_rows, slice_rows))
     on = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
     part = F.floor((F.unix_micros(ts) - F.col("_lo")) / F.col("_span") * F.col("_parts"))
     return (
@@ -64,15 +71,15 @@ def slice_offsets(rows: DataFrame, keys: list[str], reach: int) -> DataFrame:
     )
 
 
-def with_row_halo(df: DataFrame, keys: list[str], ts: str, tie: list[str], reach: int,
-                  min_rows: int | None = None, slice_rows: int | None = None) -> DataFrame:
+def with_row_halo(df: DataFrame, keys: list[str], ts: str, tie: list[str], reach: int, min_rows: int | None = None,
+                  slice_rows: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Slices plus the ``reach`` rows before each slice, marked ``_halo``.
 
     Windows over ``slice_window`` then see the same preceding rows as a window over the whole key, for frames
     of at most ``reach`` rows back. Drop the halo with ``without_halo`` afterwards.
     """
     cols = df.columns
-    rows = sliced(df, keys, ts, min_rows, slice_rows)
+    rows = sliced(df, keys, ts, min_rows, slice_rows, counted)
     hot = rows.where("_hot")
     newest = Window.partitionBy(*keys, "_slice").orderBy(*[F.col(c).desc() for c in [ts, *tie]])
     tail = hot.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= reach)
@@ -185,13 +192,12 @@ def rank_pick(df: DataFrame, group: list[str], value: str, ranks: dict[str, Colu
 def group_median(df: DataFrame, group: list[str], values: list[str], min_rows: int = 200_000) -> DataFrame:
     """Exact medians of several columns per group, one row per group.
 
-    ``median`` keeps a group's distinct values in memory, so only groups of bounded size take it; a group with more
-    than ``min_rows`` rows (and more than 1 / SHARE of all) is ranked value by value instead.
+    ``median`` keeps a group's distinct values in memory, so only groups of bounded size take it; the SHARE largest
+    groups with more than ``min_rows`` rows are ranked value by value instead.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
     large = F.broadcast(
         df.groupBy(*[F.col(g).alias(f"_hot_{g}") for g in group]).agg(F.count(F.lit(1)).alias("_rows"))
-        .where((F.col("_rows") > min_rows) & (F.col("_rows") * F.lit(SHARE) > total)).drop("_rows")
+        .where(F.col("_rows") > min_rows).orderBy(F.desc("_rows")).limit(SHARE).drop("_rows")
     )
     on = [df[g].eqNullSafe(large[f"_hot_{g}"]) for g in group]
     narrow = df.select(*group, *values)

@@ -226,8 +226,8 @@ def trailing_baseline(df: DataFrame, value: str, minutes: int = 15, min_rows: in
         F.struct((us + reach).alias("_us"), (-v).alias("_dv"), F.lit(-1).alias("_dn"), F.lit(None).alias("_row")),
     )
     moved = df.select("stream_id", F.explode(changes).alias("_ch")).select("stream_id", "_ch.*")
-    moved = moved.withColumn("_at", F.timestamp_micros("_us"))
-    rows = sliced(moved, ["stream_id"], "_at", min_rows, slice_rows)
+    moved = moved.withColumn("ts", F.timestamp_micros("_us"))
+    rows = sliced(moved, ["stream_id"], "ts", min_rows, slice_rows, counted=df)
     carried = carried_sums(rows, ["stream_id"], {"_n0": "_dn", "_sum0": "_dv"})
     past = Window.partitionBy("stream_id", "_slice").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
     known = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -500,7 +500,8 @@ def trigger_suppression(spark, sf):
     rows = rows.where(~L.looks_normal(rows)).select(
         "metric_id", F.coalesce("prediction_type", F.lit("none")).alias("alert_type"), F.col("stream_id").alias("entity_id"), F.col("ts").alias("timestamp")
     )
-    return A.dedup_gap(rows, ["metric_id"], 5 * L.MINUTE_US).where("is_new").select("metric_id", "alert_type", "entity_id", "timestamp")
+    streams = W.stream_metrics(spark, sf).select(F.col("stream_id").alias("entity_id"), F.col("ts").alias("timestamp"))
+    return A.dedup_gap(rows, ["metric_id"], 5 * L.MINUTE_US, counted=streams).where("is_new").select("metric_id", "alert_type", "entity_id", "timestamp")
 
 
 @query
