@@ -197,6 +197,10 @@ def tutor_features(events: DataFrame, as_of: Column, days: int = 30) -> DataFram
         _count(done & (r < 3)).alias("negative"),
         _count(done & (r >= 4)).alias("positive"),
         F.sum(F.when(done, F.col("duration_min"))).cast("long").alias("minutes"),
+        _count(done & F.col("was_cancelled")).alias("cancelled"), _count(done & F.col("no_show")).alias("no_shows"),
+        F.count(F.when(done, r)).alias("rated"), F.sum(F.when(done, r)).cast("long").alias("rating_sum"),
+        F.sum(F.when(done, r * r)).cast("long").alias("rating_squares"),
+        F.min(F.when(done, age_days("ts", as_of))).alias("age"),
     )
     per_tutor = by_student.groupBy("tutor_id").agg(
         F.sum("started").alias("sessions_started"), F.sum("completed").alias("sessions_completed"),
@@ -204,7 +208,10 @@ def tutor_features(events: DataFrame, as_of: Column, days: int = 30) -> DataFram
         F.coalesce(F.sum("minutes"), F.lit(0)).alias("booked_minutes"),
         _count(F.col("completed") > 0).alias("unique_students"),
         _count(F.col("completed") > 1).alias("returning_students"),
+        F.sum("cancelled").alias("cancelled"), F.sum("no_shows").alias("no_shows"), F.sum("rated").alias("rated"),
+        F.sum("rating_sum").alias("rating_sum"), F.sum("rating_squares").alias("rating_squares"), F.min("age").alias("age"),
     )
+    spread = F.col("rating_squares") - F.col("rating_sum") * F.col("rating_sum") / F.col("rated")
     subjects = (
         sessions.where(done).groupBy("tutor_id", "subject").agg(F.count(F.lit(1)).alias("c"))
         .groupBy("tutor_id").agg(F.count(F.lit(1)).alias("subjects"), F.max("c").alias("top_subject_sessions"))
@@ -223,6 +230,12 @@ def tutor_features(events: DataFrame, as_of: Column, days: int = 30) -> DataFram
             ratio(F.col("sessions_completed"), F.col("subjects")).alias("sessions_per_subject"),
             ratio(F.col("top_subject_sessions"), F.col("sessions_completed")).alias("specialization"),
             ratio(F.col("booked_minutes") / 60, F.col("available_hours")).alias("utilization_rate"),
+            ratio(F.col("cancelled"), F.col("sessions_completed")).alias("cancellation_rate"),
+            ratio(F.col("no_shows"), F.col("sessions_completed")).alias("no_show_rate"),
+            ratio(F.col("booked_minutes"), F.col("sessions_completed")).alias("avg_session_duration_min"),
+            F.when(F.col("rated") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (F.col("rated") - 1))).alias("rating_volatility"),
+            ratio(F.col("sessions_completed"), F.col("unique_students")).alias("avg_student_sessions"),
+            F.coalesce("age", F.lit(999)).cast("int").alias("days_since_last_session"),
         )
     )
 
@@ -379,6 +392,15 @@ def trend_features(features: DataFrame) -> DataFrame:
     })
 
 
+def activity_trends(catalogue: DataFrame) -> DataFrame:
+    """Engagement and spend trends, on the columns of ``window_catalogue``."""
+    c = F.col
+    return catalogue.withColumns({
+        "engagement_trend": c("login_count_7d") - c("login_count_14d"),
+        "spend_acceleration": c("payment_amount_7d") / 7.0 - c("payment_amount_30d") / 30.0,
+    })
+
+
 def daily_partials(events: DataFrame) -> DataFrame:
     """One row per student and UTC day: what a refresh of the sliding windows sums again."""
     done, call = _of("session_completed"), _of("ib_call_logged")
@@ -409,6 +431,12 @@ def refresh_windows(daily: DataFrame, as_of: Column, windows: tuple[int, ...] =
     return rows.groupBy("student_id").agg(*aggs)
 
 
+def latest_metrics(rows: DataFrame, entity_id=None) -> DataFrame:
+    """The newest metrics row of every entity, or of one."""
+    wanted = rows if entity_id is None else rows.where(F.col("entity_id") == F.lit(entity_id))
+    return keep_last(wanted, ["entity_id", "entity_type"], ["ts", "event_id"])
+
+
 def metrics_with_defaults(keys: DataFrame, metrics: DataFrame, on: list[str]) -> DataFrame:
     """Point lookups in bulk: every asked key, with the defaults of a new entity where nothing is stored."""
     zero = ["sessions_7d", "sessions_14d", "sessions_30d", "ib_calls_7d", "ib_calls_14d"]

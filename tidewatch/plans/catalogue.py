@@ -142,6 +142,20 @@ def session_trends(spark, sf):
     return rounded(f.select("student_id", "session_velocity_change", "rating_trend", "call_acceleration", "session_pattern"))
 
 
+@query
+def activity_trends(spark, sf):
+    t = E.activity_trends(E.window_catalogue(W.activity(spark, sf), NOW()))
+    return rounded(t.select("customer_id", "engagement_trend", "spend_acceleration"))
+
+
+@query
+def latest_metrics(spark, sf):
+    """The newest completed session of every student."""
+    ev = W.mkt_events(spark, sf).where("event_type = 'session_completed'")
+    rows = ev.select(F.col("student_id").alias("entity_id"), F.lit("student").alias("entity_type"), "ts", "event_id", "rating", "duration_min")
+    return E.latest_metrics(rows)
+
+
 @query
 def sliding_refresh(spark, sf):
     return rounded(E.refresh_windows(E.daily_partials(W.mkt_events(spark, sf)), NOW()))

@@ -201,13 +201,14 @@ tst AS (
     count(*) FILTER (event_type = 'session_completed') AS completed,
     count(*) FILTER (event_type = 'session_completed' AND nullif(rating, 0) < 3) AS negative,
     count(*) FILTER (event_type = 'session_completed' AND rating >= 4) AS positive,
-    sum(duration_min) FILTER (event_type = 'session_completed') AS minutes
+    sum(duration_min) FILTER (event_type = 'session_completed') AS minutes, count(*) FILTER (was_cancelled) AS cancelled, count(*) FILTER (no_show) AS no_shows
   FROM tin WHERE event_type IN ('session_started', 'session_completed') GROUP BY ALL),
 tag AS (
   SELECT tutor_id, CAST(sum(started) AS BIGINT) AS sessions_started, CAST(sum(completed) AS BIGINT) AS sessions_completed,
     count(*) FILTER (completed > 0) AS unique_students, count(*) FILTER (completed > 1) AS returning_students,
     CAST(sum(negative) AS BIGINT) AS negative_reviews, CAST(sum(positive) AS BIGINT) AS positive_reviews,
-    CAST(coalesce(sum(minutes), 0) AS BIGINT) AS booked_minutes FROM tst GROUP BY tutor_id),
+    CAST(coalesce(sum(minutes), 0) AS BIGINT) AS booked_minutes, sum(cancelled) AS cancelled, sum(no_shows) AS no_shows FROM tst GROUP BY tutor_id),
+trat AS (SELECT tutor_id, stddev_samp(nullif(rating, 0)) AS volatility, min(age) AS days FROM tin WHERE event_type = 'session_completed' GROUP BY tutor_id),
 tsub AS (SELECT tutor_id, count(*) AS subjects, max(c) AS top FROM (
     SELECT tutor_id, subject, count(*) AS c FROM tin WHERE event_type = 'session_completed' GROUP BY ALL) GROUP BY tutor_id),
 thr AS (SELECT tutor_id, available_slots_this_week AS hours FROM tin WHERE event_type = 'tutor_availability_updated'
@@ -217,8 +218,8 @@ tfeat AS (
     returning_students / nullif(unique_students, 0)::DOUBLE AS retention_rate,
     sessions_completed / nullif(subjects, 0)::DOUBLE AS sessions_per_subject,
     top / nullif(sessions_completed, 0)::DOUBLE AS specialization,
-    booked_minutes / 60.0::DOUBLE / nullif(hours, 0)::DOUBLE AS utilization_rate
-  FROM tag LEFT JOIN tsub USING (tutor_id) LEFT JOIN thr USING (tutor_id)),
+    booked_minutes / 60.0::DOUBLE / nullif(hours, 0)::DOUBLE AS utilization_rate, volatility, days
+  FROM tag LEFT JOIN tsub USING (tutor_id) LEFT JOIN thr USING (tutor_id) LEFT JOIN trat USING (tutor_id)),
 tcnt AS (
   SELECT tutor_id, count(*) FILTER (age < 7) AS t7, count(*) FILTER (age < 14) AS t14, count(*) FILTER (age < 30) AS t30,
     count(*) FILTER (age < 7 AND event_type = 'session_completed') AS c7,
@@ -308,7 +309,10 @@ oracle("tutor_feature_agg", TUTOR, """
 SELECT tutor_id, sessions_started, sessions_completed, unique_students, returning_students, negative_reviews, positive_reviews,
   booked_minutes, subjects, round(completion_rate, 6) AS completion_rate, round(retention_rate, 6) AS retention_rate,
   round(sessions_per_subject, 6) AS sessions_per_subject, round(specialization, 6) AS specialization,
-  round(utilization_rate, 6) AS utilization_rate FROM tfeat""")
+  round(utilization_rate, 6) AS utilization_rate, round(cancelled / nullif(sessions_completed, 0)::DOUBLE, 6) AS cancellation_rate,
+  round(no_shows / nullif(sessions_completed, 0)::DOUBLE, 6) AS no_show_rate, round(booked_minutes / nullif(sessions_completed, 0)::DOUBLE, 6) AS avg_session_duration_min,
+  round(volatility, 6) AS rating_volatility, round(sessions_completed / nullif(unique_students, 0)::DOUBLE, 6) AS avg_student_sessions,
+  CAST(coalesce(days, 999) AS INTEGER) AS days_since_last_session FROM tfeat""")
 
 oracle("running_rating", MKT + """,
 st AS (SELECT tutor_id, row_number() OVER (PARTITION BY tutor_id ORDER BY ts, event_id) AS n,
@@ -388,6 +392,12 @@ w AS (SELECT student_id, count(*) FILTER (done AND age < 7) AS s7, count(*) FILT
   round(c7 / 7.0::DOUBLE - c30 / 30.0::DOUBLE, 6) AS call_acceleration,
   CASE WHEN s7 = 0 AND s30 > 0 THEN 'inactive' WHEN s7 < s14 - s7 THEN 'declining' WHEN s7 > s14 - s7 THEN 'increasing' ELSE 'steady' END AS session_pattern FROM w""")
 
+oracle("activity_trends", ACT, """
+SELECT customer_id, count(*) FILTER (activity = 'login' AND age < 7) - count(*) FILTER (activity = 'login' AND age < 14) AS engagement_trend,
+  round(coalesce(sum(amount) FILTER (paid AND age < 7), 0.0) / 7 - coalesce(sum(amount) FILTER (paid AND age < 30), 0.0) / 30, 6) AS spend_acceleration FROM act GROUP BY customer_id""")
+oracle("latest_metrics", MKT, """SELECT student_id AS entity_id, 'student' AS entity_type, ts, event_id, rating, duration_min FROM mkt WHERE event_type = 'session_completed'
+QUALIFY row_number() OVER (PARTITION BY student_id ORDER BY ts DESC, event_id DESC) = 1""")
+
 oracle("sliding_refresh", MKT, "SELECT student_id, " + _windows("""
   count(*) FILTER (done AND age < {d}) AS session_count_{d}d, count(*) FILTER (NOT done AND age < {d}) AS ib_call_count_{d}d,
   count(*) FILTER (NOT done AND age < {d} AND sentiment < -0.3::DOUBLE) AS negative_calls_{d}d,
