@@ -73,11 +73,11 @@ def _facts(decoded: DataFrame) -> DataFrame:
 def validate_events(decoded: DataFrame) -> DataFrame:
     """Adds ``errors`` (field, message, severity), ``is_valid`` and the typed envelope columns.
 
-    Facts, rules and messages are separate projections on purpose: Spark compiles one method per operator, and one
-    method with all of it would be too large for the JVM to optimise.
+    Facts and rules are kept apart on purpose: fused into one generated method they would be too large for the JVM
+    to compile.
     """
     col = F.col
-    df = _facts(decoded).withColumns({
+    df = _computed_once(_facts(decoded)).withColumns({
         "_typed": _present(col("_type_kind"), col("event_type")),
         "_has_metrics": _present(col("_metrics_kind"), col("_metrics_text")),
         "_metrics_object": F.coalesce(_is_object(col("_metrics_kind")), F.lit(False)),
@@ -116,7 +116,8 @@ def validate_events(decoded: DataFrame) -> DataFrame:
 
 
 def _computed_once(df: DataFrame) -> DataFrame:
-    """Keeps later filters above the parse: pushed below it, each would parse the record again."""
+    """Keeps later filters above the parse (pushed below it, each would parse the record again) and starts a new
+    generated method."""
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_r")).select("_r.*")
 
 
