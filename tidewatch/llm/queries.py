@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, line_dedup
+from tidewatch.llm import bpe, line_dedup, packing
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
+    "op8_packing": packing.query,
     "op10_bpe": bpe.query,
 }
 
