@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, line_dedup, packing
+from tidewatch.llm import bpe, line_dedup, near_dup, packing
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
+    "op3_minhash": near_dup.query,
     "op8_packing": packing.query,
     "op10_bpe": bpe.query,
 }
