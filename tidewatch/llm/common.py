@@ -50,7 +50,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     ``min`` with map-side combining, so a hub with a third of all edges is no hot task. The edge list is
     written after each round.
     """
-    spark = edges.sparkSession
     e = staged(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(rounds):
@@ -72,8 +71,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return spark.createDataFrame([], "node long, component long").unionByName(
-        e.select(F.col("u").cast("long").alias("node"), F.col("v").cast("long").alias("component")))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def batches(frames: Iterator, rows: int) -> Iterator:

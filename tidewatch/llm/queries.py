@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, line_dedup, near_dup, packing
+from tidewatch.llm import bpe, line_dedup, near_dup, packing, url_graph, vec_dedup
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
     "op3_minhash": near_dup.query,
+    "op6_vec_dedup": vec_dedup.query,
+    "op7_url_graph": url_graph.query,
     "op8_packing": packing.query,
     "op10_bpe": bpe.query,
 }
