@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, line_dedup, near_dup, packing, url_graph, vec_dedup
+from tidewatch.llm import bpe, line_dedup, near_dup, packing, topk, url_graph, vec_dedup
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
@@ -10,9 +10,11 @@ QUERIES = {
     "op6_vec_dedup": vec_dedup.query,
     "op7_url_graph": url_graph.query,
     "op8_packing": packing.query,
+    "op9_topk": topk.query,
     "op10_bpe": bpe.query,
 }
 
 ORACLES = {
     "op2_line_dedup": line_dedup.SQL,
+    "op9_topk": topk.SQL,
 }
