@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, line_dedup, near_dup, packing, topk, url_graph, vec_dedup
+from tidewatch.llm import bpe, html_text, line_dedup, near_dup, packing, topk, url_graph, vec_dedup
 
 QUERIES = {
+    "op1_html_text": html_text.query,
     "op2_line_dedup": line_dedup.query,
     "op3_minhash": near_dup.query,
     "op6_vec_dedup": vec_dedup.query,
