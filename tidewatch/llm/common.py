@@ -79,3 +79,37 @@ def batches(frames: Iterator, rows: int) -> Iterator:
     for frame in frames:
         for i in range(0, len(frame), rows):
             yield frame.iloc[i:i + rows]
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, chars: int) -> list:
+    """(doc_id, text, label) of at most ``rows`` labelled documents outside the held-out fifth, the same ones at every
+    run: the first by a hash of their id. Ids labelled twice count with the larger label; texts over ``chars`` are left
+    out of the sample. Fits in the driver, as both bounds are parameters."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(column).cast("int").alias("label"))
+    known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    short = docs.select(F.col("doc_id").cast("long"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
+    found = short.join(F.broadcast(known), F.col("doc_id") == F.col("id"))
+    return sorted((r.doc_id, r.text or "", r.label) for r in found.select("doc_id", "text", "label").limit(2 * rows).toLocalIterator())
+
+
+class Adam:
+    """Gradient steps on a dict of arrays."""
+
+    def __init__(self, weights: dict[str, np.ndarray], rate: float, decay: float = 0.0):
+        self.w, self.rate, self.decay, self.t = weights, rate, decay, 0
+        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.v = {k: np.zeros_like(v) for k, v in weights.items()}
+
+    def step(self, grads: dict[str, np.ndarray]) -> None:
+        self.t += 1
+        for k, g in grads.items():
+            g = g + self.decay * self.w[k]
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.001 * (g * g - self.v[k])
+            m, v = self.m[k] / (1 - 0.9**self.t), self.v[k] / (1 - 0.999**self.t)
+            self.w[k] -= (self.rate * m / (np.sqrt(v) + 1e-8)).astype(self.w[k].dtype)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
