@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, html_text, line_dedup, near_dup, packing, quality, topk, url_graph, vec_dedup
+from tidewatch.llm import bpe, html_text, line_dedup, near_dup, packing, quality, topk, toxicity, url_graph, vec_dedup
 
 QUERIES = {
     "op1_html_text": html_text.query,
     "op2_line_dedup": line_dedup.query,
     "op3_minhash": near_dup.query,
     "op4_quality": quality.query,
+    "op5_toxicity": toxicity.query,
     "op6_vec_dedup": vec_dedup.query,
     "op7_url_graph": url_graph.query,
     "op8_packing": packing.query,
