@@ -249,3 +249,55 @@ def test_alarm_needs_consecutive_periods(spark):
     rows = out.orderBy("period_start").collect()
     assert [r.breach for r in rows] == [True, True, True, False, True, False, True, True, False, False]
     assert [i for i, r in enumerate(rows) if r.in_alarm] == [1, 2, 7]
+
+
+def test_baseline_forgets_outliers(spark):
+    """One 1e18, one Infinity and one NaN per stream: counted while in reach, gone afterwards."""
+    odd = {40: 1e18, 200: float("inf"), 300: float("nan"), 320: float("-inf"), 330: 1e300}
+    rows = [(s * 1000 + i, s, T0 + dt.timedelta(seconds=10 * i), odd.get(i, 5.0)) for s in (1, 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, stream_id int, ts timestamp, latency_p99 double")
+    for limits in ({}, HOT):
+        got = {r.id: (r.history, r.baseline) for r in L.trailing_baseline(df, "latency_p99", 5, **limits).collect()}
+        for key, s, ts, _ in rows:
+            seen = [float(np.float64(v) if abs(v) < 1e24 or v != v else np.copysign(np.inf, v)) for _, t, at, v in rows if t == s and 0 < (ts - at).total_seconds() <= 300]
+            with np.errstate(invalid="ignore"):
+                want = float(np.mean(seen)) if seen else 0.0
+            n, mean = got[key]
+            assert n == len(seen) and (np.isnan(mean) if np.isnan(want) else mean == pytest.approx(want, rel=1e-9))
+
+
+def test_a_burst_is_cut_by_rows(spark):
+    """99 % of a key's rows in 1 % of its time: no slice holds over twice the target."""
+    rnd = random.Random(5)
+    times = [rnd.uniform(500_000, 510_000) if rnd.random() < 0.99 else rnd.uniform(0, 1_000_000) for _ in range(20_000)]
+    df = spark.createDataFrame([(i, 0, T0 + dt.timedelta(seconds=t)) for i, t in enumerate(times)], "id int, key int, ts timestamp")
+    cut = O.sliced(df, ["key"], "ts", min_rows=1000, slice_rows=500)
+    assert cut.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 1000
+    order = cut.orderBy("ts", "id").select("_slice").toPandas()["_slice"]
+    assert order.is_monotonic_increasing
+    w = Window.partitionBy("key").orderBy("ts", "id")
+    plain = {r.id: r.was for r in df.withColumn("was", F.lag("id", 9).over(w)).collect()}
+    halo = O.with_row_halo(df, ["key"], "ts", ["id"], 9, min_rows=1000, slice_rows=500)
+    got = O.without_halo(halo.withColumn("was", F.lag("id", 9).over(O.slice_window(["key"], "ts", ["id"]))))
+    assert {r.id: r.was for r in got.collect()} == plain
+
+
+def test_values_in_a_narrow_range_are_ranked_in_many_parts(spark):
+    start = 1_700_000_000_000_000
+    df = spark.range(50_000).select(F.lit("a").alias("g"), (F.lit(start) + F.col("id") * 2_000_003).alias("v"))
+    outlier = df.unionByName(spark.createDataFrame([("a", 1)], "g string, v long"))
+    for rows in (df, outlier):
+        cut = O._ranges(O._ranges(rows.withColumnRenamed("v", "_v"), ["g"], "_b"), ["g", "_b"], "_bb")
+        assert cut.groupBy("_b", "_bb").count().agg(F.max("count")).first()[0] < 600
+    ranks = O.ranked_values(outlier, ["g"], "v").where("value > 1").agg(F.min(F.col("last_rank") - (F.col("value") - start) / 2_000_003), F.max("n")).first()
+    assert ranks[0] == pytest.approx(2, abs=0.01) and ranks[1] == 50_001
+
+
+def test_latency_stats_with_nan_and_infinity(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [3.0, nan, 1.0, inf, 2.0, -inf, None, 2.0]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 7.0), ("c", nan), ("c", nan)], "g string, v double")
+    got = {r.g: r for r in A.latency_stats(df, ["g"], "v").collect()}
+    a = got["a"]
+    assert (a["count"], a.min, a.p50) == (7, -inf, 2.0) and np.isnan(a.max) and np.isnan(a.p99) and np.isnan(a.avg)
+    assert (got["b"].p50, got["b"].avg) == (7.0, 7.0) and np.isnan(got["c"].p50)

@@ -397,11 +397,9 @@ def latency_stats(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Count, extremes, mean and the sorted[floor(n * p)] percentiles."""
     n = F.col("n")
     ranks = {f"p{p}": F.floor(n * F.lit(p / 100.0)) + 1 for p in (50, 95, 99)}
-    picked = rank_pick(df, group, value, ranks)
-    basics = df.where(F.col(value).isNotNull()).groupBy(*group).agg(
-        F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg")
-    )
-    return basics.join(picked, group).select(*group, F.col("n").alias("count"), "min", "max", "avg", "p50", "p95", "p99")
+    v = F.col("value")
+    picked = rank_pick(df, group, value, ranks, min=F.min(v), max=F.max(v), avg=F.sum(v * F.col("count")) / F.sum("count"))
+    return picked.select(*group, F.col("n").alias("count"), "min", "max", "avg", "p50", "p95", "p99")
 
 
 def latency_stats_one_based(df: DataFrame, group: list[str], value: str, ok: Column) -> DataFrame:

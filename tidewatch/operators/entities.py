@@ -6,6 +6,9 @@ entity costs one row per input task.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -264,7 +267,7 @@ def windowed_features(events: DataFrame, as_of: Column, windows: tuple[int, ...]
 def window_catalogue(activity: DataFrame, as_of: Column, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """The full window catalogue per customer.
 
-    Distinct active days are bits of one long (a window has at most 31 calendar days), so they aggregate like sums.
+    Distinct active days are bits of longs, 63 days to each, so they aggregate like sums for windows of any length.
     """
     day_no = F.datediff(F.to_date(as_of), F.to_date("ts"))
     rows = activity.withColumns({"_age": age_days("ts", as_of), "_day": day_no}).where("_age >= 0")
@@ -275,7 +278,8 @@ def window_catalogue(activity: DataFrame, as_of: Column, windows: tuple[int, ...
         w = age < d
         of = lambda c: _count(w & c)  # noqa: B023,E731
         done = session & (F.col("status") == "completed")
-        day_bit = F.expr("shiftleft(1L, CAST(least(_day, 62) AS INT))")
+        day_bit = F.expr("shiftleft(1L, CAST(_day % 63 AS INT))")
+        days = [F.bit_count(F.bit_or(F.when(w & (F.floor(F.col("_day") / 63) == k), day_bit))) for k in range(d // 63 + 1)]  # noqa: B023
         aggs += [
             ratio(of(done), of(session)).alias(f"session_completion_rate_{d}d"),
             ratio(of(session & (F.col("status") == "cancelled")), of(session)).alias(f"cancellation_rate_{d}d"),
@@ -285,7 +289,7 @@ def window_catalogue(activity: DataFrame, as_of: Column, windows: tuple[int, ...
             of(call & F.col("escalated")).alias(f"escalation_count_{d}d"),
             of(kind == "login").alias(f"login_count_{d}d"),
             of(kind == "message").alias(f"message_count_{d}d"),
-            F.coalesce(F.bit_count(F.bit_or(F.when(w, day_bit))), F.lit(0)).alias(f"days_active_{d}d"),
+            reduce(add, [F.coalesce(x, F.lit(0)) for x in days]).alias(f"days_active_{d}d"),
             ratio(of(pay & F.col("paid")), of(pay)).alias(f"payment_success_rate_{d}d"),
             F.coalesce(F.sum(F.when(w & pay & F.col("paid"), F.col("amount"))), F.lit(0.0)).alias(f"payment_amount_{d}d"),
         ]
@@ -369,8 +373,11 @@ def supply_demand(events: DataFrame, as_of: Column, days: int = 30) -> DataFrame
 
 
 def supply_demand_wide(per_subject: DataFrame, subjects: list[str]) -> DataFrame:
-    """One row with a column per listed subject."""
-    return per_subject.groupBy().pivot("subject", subjects).agg(F.first("supply_demand_ratio"))
+    """One row with a column per listed subject, and ``other_subjects``: the ratios of all others by name."""
+    ratio_of = F.col("supply_demand_ratio")
+    other = F.collect_list(F.when(~F.col("subject").isin(subjects) | F.col("subject").isNull(), F.struct("subject", "supply_demand_ratio")))
+    return per_subject.agg(
+        *[F.max(F.when(F.col("subject") == s, ratio_of)).alias(s) for s in subjects], F.array_sort(other).alias("other_subjects"))
 
 
 def session_pattern(s7: Column, s14: Column, s30: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import json
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,6 +74,11 @@ def active(df: DataFrame, as_of: Column) -> DataFrame:
     return df.where(F.col("ttl").isNull() | (F.col("ttl") > F.unix_timestamp(as_of)))
 
 
+def newest_first(df: DataFrame, ts: str = "timestamp", key: str = "alert_id") -> DataFrame:
+    """All rows, newest first."""
+    return df.orderBy(F.col(ts).desc(), F.col(key).desc())
+
+
 def recent(df: DataFrame, limit: int = 50, ts: str = "timestamp", key: str = "alert_id") -> DataFrame:
     """Newest first; the limit makes it a top-k per task and a small merge, not a sort of the table."""
     return df.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(limit)
@@ -83,12 +89,15 @@ def page_token(ts_text: str, key) -> str:
 
 
 def read_token(token: str | None) -> dict | None:
-    """The last key of the page before; a token that cannot be read is ignored."""
+    """The last key of the page before; a token that cannot be read, or whose time is none, is ignored."""
     try:
         found = json.loads(base64.b64decode(token, validate=True)) if token else None
-        return found if isinstance(found, dict) and {"timestamp", "alert_id"} <= found.keys() else None
-    except ValueError:
-        return None
+        if isinstance(found, dict) and {"timestamp", "alert_id"} <= found.keys():
+            dt.datetime.fromisoformat(found["timestamp"])
+            return found
+    except (ValueError, TypeError):
+        pass
+    return None
 
 
 def page(df: DataFrame, limit: int = 50, token: str | None = None, start: Column | None = None) -> DataFrame:
@@ -154,13 +163,15 @@ def trend(df: DataFrame, name: str, as_of: Column) -> DataFrame:
         F.timestamp_micros("_b").alias("bucket_start"),
         F.coalesce("critical_alerts", F.lit(0)).alias("critical_alerts"),
         F.coalesce("churn_risks", F.lit(0)).alias("churn_risks"),
-    )
+    ).orderBy("bucket_start")
 
 
 def merge_unique(new: DataFrame, existing: DataFrame) -> DataFrame:
     """New rows before existing ones, one per ``alert_id``: a known alert keeps the existing content."""
     ranked = existing.withColumn("_rank", F.lit(0)).unionByName(new.withColumn("_rank", F.lit(1)))
-    one = Window.partitionBy("alert_id").orderBy("_rank")
+    # of several rows of one side the one with the smallest content counts, whatever the order they come in
+    content = F.to_json(F.struct(*sorted(new.columns)))
+    one = Window.partitionBy("alert_id").orderBy("_rank", content)
     listed = F.max("_rank").over(Window.partitionBy("alert_id"))
     return (
         ranked.withColumn("is_new", listed == 1).withColumn("_rn", F.row_number().over(one))

@@ -44,19 +44,43 @@ def sliced(df: DataFrame, keys: list[str], ts: str, min_rows: int | None = None,
            counted: DataFrame | None = None) -> DataFrame:
     """Adds ``_slice`` (0 for keys of normal size) and ``_hot``.
 
+    A hot key is first cut evenly in time. Slices that then hold over twice ``slice_rows``, bursts, are cut again within
+    the times that they really span, 16 times finer than rows spread evenly would need, so a burst that fills down to a
+    sixteenth of them is still cut to ``slice_rows``.
+
     ``counted``: where to count rows per key when ``df`` is dear to compute, a table with at least its rows (or some
     of its keys, when those alone decide). Without hot keys the plan drops every branch that is only for them.
     """
     source = df if counted is None else counted
     keys = [k for k in keys if k in source.columns]
+    target = SLICE_ROWS if slice_rows is None else slice_rows
     hot = F.broadcast(hot_keys(source, keys, ts, min_rows, slice_rows))
-    on = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
-    part = F.floor((F.unix_micros(ts) - F.col("_lo")) / F.col("_span") * F.col("_parts"))
+    us = F.unix_micros(ts)
+    part = F.floor((us - F.col("_lo")) / F.col("_span") * F.col("_parts")).cast("long")
+
+    def with_hot(rows: DataFrame, how: str) -> DataFrame:
+        on = [rows[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
+        return rows.join(hot, on, how).withColumn("_part", part)
+
+    # at most SHARE bursts, as for the hot keys
+    bursts = F.broadcast(
+        with_hot(source, "inner").groupBy(*[F.col(f"_hot_{k}").alias(f"_burst_{k}") for k in keys], F.col("_part").alias("_burst"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min(us).alias("_from"), F.max(us).alias("_till"))
+        .where(F.col("_rows") > 2 * target).orderBy(F.desc("_rows")).limit(SHARE)
+        .select(*[f"_burst_{k}" for k in keys], "_burst", "_from", (F.col("_till") - F.col("_from") + 1).alias("_width"),
+                F.ceil(F.col("_rows") / F.lit(target) * 16).alias("_cuts"))
+    )
+    rows = with_hot(df, "left")
+    within = [rows[k].eqNullSafe(bursts[f"_burst_{k}"]) for k in keys] + [F.col("_part") == F.col("_burst")]
+    fine = F.floor((us - F.col("_from")) / F.col("_width") * F.col("_cuts")).cast("long")
+    # rows that ``counted`` doesn't have may lie before or after a burst's times
+    fine = F.greatest(F.lit(0), F.least(fine, F.col("_cuts") - 1))
+    number = F.col("_part") * F.lit(1 << 24) + F.coalesce(fine, F.lit(0))
     return (
-        df.join(hot, on, "left")
-        .withColumn("_slice", F.when(F.col("_parts").isNotNull(), part).otherwise(F.lit(0)).cast("long"))
+        rows.join(bursts, within, "left")
+        .withColumn("_slice", F.when(F.col("_parts").isNotNull(), number).otherwise(F.lit(0)).cast("long"))
         .withColumn("_hot", F.col("_parts").isNotNull())
-        .drop(*[f"_hot_{k}" for k in keys], "_lo", "_span", "_parts")
+        .drop(*[f"_hot_{k}" for k in keys], *[f"_burst_{k}" for k in keys], "_lo", "_span", "_parts", "_part", "_burst", "_from", "_width", "_cuts")
     )
 
 
@@ -147,46 +171,60 @@ def asof_forward(left: DataFrame, right: DataFrame, by: list[str], ts: str, tole
     )
 
 
-def value_bucket(value: Column) -> Column:
-    """Monotone bucket number, 64 to an octave at any scale, so a bucket spans about 1 % of a value."""
-    size = F.floor(F.log2(F.abs(value)) * 64) + 80_000
-    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * size).cast("long")
+CELLS = 1024  # ranges that a group's values are cut into, twice
+
+
+def _ranges(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds the number of the range ``_v`` lies in: ``CELLS`` equal ones between the smallest and the largest finite
+    value that the keys hold, below them -Infinity, above them Infinity and NaN, as Spark orders them."""
+    x = F.col("_v").cast("double")
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    half = F.when(finite, x / 2)  # the difference of two halves doesn't overflow
+    bounds = rows.groupBy(*keys).agg(F.min(half).alias("_lo"), F.max(half).alias("_hi"))
+    width = F.col("_hi") - F.col("_lo")
+    cell = F.when(width > 0, F.least(F.floor((half - F.col("_lo")) / width * CELLS), F.lit(CELLS - 1))).otherwise(0)
+    number = F.when(F.isnan(x), CELLS + 1).when(~finite, F.when(x > 0, CELLS).otherwise(-1)).otherwise(cell)
+    return rows.join(bounds, keys).withColumn(name, number.cast("long")).drop("_lo", "_hi")
 
 
 def ranked_values(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """One row per (group, value) with the 1-based ranks it covers and the group size ``n``.
+    """One row per (group, value) with the 1-based ranks it covers and the group size ``n``; values keep their type.
 
-    Equal values are counted before the first shuffle, and a group of any size is ranked bucket by bucket.
+    Equal values are counted before the first shuffle. A group's values are cut into ranges, each range into ranges
+    between the values it really holds, so a group whose values crowd in a narrow part is ranked in many tasks too.
     """
+    keys = [*group, "_all"]
     counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", value_bucket(F.col("_v")))
+        df.where(F.col(value).isNotNull()).withColumn("_all", F.lit(1))
+        .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     )
-    up = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    cut = _ranges(_ranges(counts, keys, "_b"), [*keys, "_b"], "_bb")
+    up = Window.partitionBy(*keys).orderBy("_b", "_bb").rowsBetween(Window.unboundedPreceding, 0)
     offsets = (
-        counts.groupBy(*group, "_b").agg(F.sum("_c").alias("_bc"))
+        cut.groupBy(*keys, "_b", "_bb").agg(F.sum("_c").alias("_bc"))
         .withColumn("_off", F.sum("_bc").over(up) - F.col("_bc"))
-        .withColumn("n", F.sum("_bc").over(Window.partitionBy(*group)))
+        .withColumn("n", F.sum("_bc").over(Window.partitionBy(*keys)))
         .drop("_bc")
     )
-    inside = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_b", "_bb").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        counts.join(offsets, [*group, "_b"])
+        cut.join(offsets, [*keys, "_b", "_bb"])
         .withColumn("last_rank", F.col("_off") + F.sum("_c").over(inside))
         .withColumn("first_rank", F.col("last_rank") - F.col("_c") + 1)
         .select(*group, F.col("_v").alias("value"), F.col("_c").alias("count"), "first_rank", "last_rank", "n")
     )
 
 
-def rank_pick(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """Exact order statistics per group: ``ranks`` maps an output name to a 1-based rank in terms of ``n``."""
+def rank_pick(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column], **more: Column) -> DataFrame:
+    """Exact order statistics per group: ``ranks`` maps an output name to a 1-based rank in terms of ``n``.
+
+    ``more``: further aggregates over the rows of ``ranked_values`` (value, count)."""
     ranked = ranked_values(df, group, value)
     picks = [
         F.max(F.when(rank.between(F.col("first_rank"), F.col("last_rank")), F.col("value"))).alias(name)
         for name, rank in ranks.items()
     ]
-    return ranked.groupBy(*group).agg(F.max("n").alias("n"), *picks)
+    return ranked.groupBy(*group).agg(F.max("n").alias("n"), *picks, *[c.alias(name) for name, c in more.items()])
 
 
 def group_median(df: DataFrame, group: list[str], values: list[str], min_rows: int = 200_000) -> DataFrame:

@@ -314,8 +314,9 @@ def with_outcomes(predictions: DataFrame, outcomes: DataFrame, on: list[str]) ->
     return predictions.join(outcomes, on, "left").withColumn("observed", F.col("outcome").isNotNull())
 
 
-def parse_responses(df: DataFrame, text: str = "response") -> DataFrame:
-    """Model answers to typed columns: JSON bare, inside a fence, or inside prose; the unreadable gets defaults."""
+def parse_responses(df: DataFrame, text: str = "response", unreadable_chars: int | None = None) -> DataFrame:
+    """Model answers to typed columns: JSON bare, inside a fence, or inside prose; the unreadable gets defaults and its
+    text as explanation, whole unless ``unreadable_chars`` cuts it."""
     fenced = F.nullif(F.regexp_extract(text, r"(?s)```json\s*(.*?)\s*```", 1), F.lit(""))
     braced = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
     body = F.coalesce(F.try_parse_json(text), F.try_parse_json(fenced), F.try_parse_json(braced))
@@ -327,7 +328,7 @@ def parse_responses(df: DataFrame, text: str = "response") -> DataFrame:
     return df.withColumn("_v", body).withColumns({
         "prediction_type": F.when(unreadable, "unknown").otherwise(at("prediction_type", "string")),
         "risk_score": F.when(unreadable, 50.0).otherwise(risk),
-        "explanation": F.when(unreadable, F.substring(text, 1, 500)).otherwise(F.coalesce(at("explanation", "string"), F.lit(""))),
+        "explanation": F.when(unreadable, F.substring(text, 1, unreadable_chars) if unreadable_chars else F.col(text)).otherwise(F.coalesce(at("explanation", "string"), F.lit(""))),
         "recommendations": F.when(unreadable, F.array(F.lit("Review metric manually"))).otherwise(lists),
         "confidence": F.when(unreadable, 0.5).otherwise(at("confidence", "double")),
         "usable": unreadable | F.coalesce(usable, F.lit(False)),

@@ -210,37 +210,46 @@ def stream_features(df: DataFrame) -> DataFrame:
     return full.dropna(subset=STREAM_FEATURES)
 
 
+HUGE = 1e24  # larger values count as infinite
+
+
 def trailing_baseline(df: DataFrame, value: str, minutes: int = 15, min_rows: int | None = None,
                       slice_rows: int | None = None) -> DataFrame:
     """Mean of the stream's values in the ``minutes`` before each row, without the row itself; 0 without history.
 
     A value enters the running sum just after its time and leaves it when it is too old, so the cost per row does
     not depend on how many rows the interval holds. Slices of a hot stream go on from the sums carried into them.
+    Sums are decimals, so what leaves takes away exactly what it brought; infinite values, NaN and values from ``HUGE`` on
+    are counted instead. While such values are in reach the mean is Infinity, -Infinity or NaN, and no longer.
     """
     reach = minutes * MINUTE_US
     cols = df.columns
     us = F.unix_micros("ts")
     v = F.coalesce(F.col(value), F.lit(0)).cast("double")
-    changes = F.array(
-        F.struct(us.alias("_us"), v.alias("_dv"), F.lit(1).alias("_dn"), F.struct(*cols).alias("_row")),
-        F.struct((us + reach).alias("_us"), (-v).alias("_dv"), F.lit(-1).alias("_dn"), F.lit(None).alias("_row")),
-    )
+    plain = ~F.isnan(v) & (F.abs(v) < HUGE)
+
+    def change(at: Column, sign: int, row: Column) -> Column:
+        count = lambda c: F.when(c, sign).otherwise(0)
+        return F.struct(
+            at.alias("_us"), F.lit(sign).alias("_dn"), (F.when(plain, v).otherwise(0.0).cast("decimal(38,10)") * sign).cast("decimal(38,10)").alias("_dsum"),
+            count(~F.isnan(v) & (v >= HUGE)).alias("_dup"), count(~F.isnan(v) & (v <= -HUGE)).alias("_ddown"), count(F.isnan(v)).alias("_dnan"), row.alias("_row"))
+
+    changes = F.array(change(us, 1, F.struct(*cols)), change(us + reach, -1, F.lit(None)))
     moved = df.select("stream_id", F.explode(changes).alias("_ch")).select("stream_id", "_ch.*")
     moved = moved.withColumn("ts", F.timestamp_micros("_us"))
     rows = sliced(moved, ["stream_id"], "ts", min_rows, slice_rows, counted=df)
-    carried = carried_sums(rows, ["stream_id"], {"_n0": "_dn", "_sum0": "_dv"})
+    parts = ["n", "sum", "up", "down", "nan"]
+    carried = carried_sums(rows, ["stream_id"], {f"_{p}0": f"_d{p}" for p in parts})
     past = Window.partitionBy("stream_id", "_slice").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumns({f"_{p}": F.sum(f"_d{p}").over(past) for p in parts}).where("_row IS NOT NULL")
     known = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return (
-        rows.withColumn("_n", F.sum("_dn").over(past)).withColumn("_sum", F.sum("_dv").over(past))
-        .where("_row IS NOT NULL")
-        .join(carried, ["stream_id", "_slice"], "left")
-        .withColumn("_n", known("_n") + known("_n0")).withColumn("_sum", known("_sum") + known("_sum0"))
-        .select(
-            "_row.*", F.col("_n").alias("history"),
-            F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")).otherwise(0.0).alias("baseline"),
-        )
+    total = inside.join(carried, ["stream_id", "_slice"], "left").withColumns({f"_{p}": known(f"_{p}") + known(f"_{p}0") for p in parts})
+    c = F.col
+    mean = (
+        F.when((c("_nan") > 0) | ((c("_up") > 0) & (c("_down") > 0)), float("nan")).when(c("_up") > 0, float("inf"))
+        .when(c("_down") > 0, float("-inf")).when(c("_n") > 0, c("_sum").cast("double") / c("_n")).otherwise(0.0)
     )
+    return total.select("_row.*", c("_n").alias("history"), mean.alias("baseline"))
 
 
 def above_baseline(value: Column, baseline: Column, factor: float = 1.5) -> Column:

@@ -118,7 +118,8 @@ SUBJECTS = [f"subject-{i}" for i in range(9)]
 
 @query
 def supply_demand_wide(spark, sf):
-    return rounded(E.supply_demand_wide(E.supply_demand(W.mkt_events(spark, sf), NOW()), SUBJECTS))
+    wide = E.supply_demand_wide(E.supply_demand(W.mkt_events(spark, sf), NOW()), SUBJECTS)
+    return rounded(wide.withColumn("other_subjects", F.size("other_subjects")))
 
 
 @query
@@ -275,7 +276,7 @@ def insight_page(spark, sf):
 
 @query
 def insight_fetch_all(spark, sf):
-    return rounded(I.recent(I.since(_served(spark, sf), X.instant(SINCE)), 5000))
+    return rounded(I.newest_first(I.since(_served(spark, sf), X.instant(SINCE))))
 
 
 @query
@@ -526,14 +527,13 @@ def similar_metric_reuse(spark, sf):
 @query
 def telemetry_rules(spark, sf):
     r = L.telemetry_rules(W.telemetry(spark, sf))
-    return r.select("insight_id", "points", F.size("issues").alias("n_issues"), F.array_join("advice", "; ").alias("advice"))
+    return r.select("insight_id", "points", F.array_join("issues", "; ").alias("issues"), F.array_join("advice", "; ").alias("advice"))
 
 
 @query
 def rules_by_batch(spark, sf):
     b = L.rules_by_batch(W.telemetry(spark, sf), F.floor(F.col("insight_id") / 100), ["insight_id"])
-    return b.select("batch_id", "node_id", "risk_score", F.size("recommendations").alias("n_recommendations"),
-                    F.substring("analysis", 1, 40).alias("analysis_start"))
+    return b.select("batch_id", "node_id", "risk_score", "analysis", F.array_join("recommendations", "; ").alias("recommendations"))
 
 
 @query

@@ -363,7 +363,7 @@ sd AS (SELECT subject, available_tutors, pending_requests, avg_pressure,
   FROM m FULL JOIN l USING (subject))"""
 oracle("supply_demand_features", _SUPPLY, "SELECT * FROM sd")
 oracle("supply_demand_wide", _SUPPLY, "SELECT " + ", ".join(
-    f"""max(supply_demand_ratio) FILTER (subject = 'subject-{i}') AS "subject-{i}" """ for i in range(9)) + " FROM sd")
+    f"""max(supply_demand_ratio) FILTER (subject = 'subject-{i}') AS "subject-{i}" """ for i in range(9)) + ", CAST(count(*) FILTER (subject IS NULL OR NOT regexp_full_match(subject, 'subject-[0-8]')) AS INTEGER) AS other_subjects FROM sd")
 
 oracle("recency", ACT, "SELECT customer_id, " + ", ".join(
     f"CAST(coalesce(min(age) FILTER (activity = '{k}'), 999) AS INTEGER) AS days_since_last_{k}" for k in ("session", "login", "payment", "ib_call")
@@ -447,7 +447,7 @@ _PAGE = f"""SELECT * FROM served WHERE {_SINCE} AND ("timestamp", alert_id) < (T
 oracle("insight_recent", INS, f"SELECT * FROM served {_NEWEST} 50")
 oracle("insight_stream_view", INS, f"SELECT * FROM served {_NEWEST} 10")
 oracle("insight_page", INS, _PAGE)
-oracle("insight_fetch_all", INS, f"SELECT * FROM served WHERE {_SINCE} {_NEWEST} 5000")
+oracle("insight_fetch_all", INS, f"SELECT * FROM served WHERE {_SINCE}")
 _KPI = """count(*) AS total, count(*) FILTER (coalesce(risk_score, 0) >= 80) AS critical,
   CAST(coalesce(floor(avg(coalesce(risk_score, 0)) + 0.5), 0) AS BIGINT) AS avg_risk"""
 oracle("insight_kpis", INS, f"SELECT {_KPI} FROM ins WHERE {_SINCE}")
@@ -594,13 +594,20 @@ WINDOW w AS (PARTITION BY stream_id, coalesce(prediction_type, 'none'), floor(ut
 _RULES = TEL + """,
 rl AS (SELECT *, iops > 100000 AS a, latency > 10 AS b, error_rate > 1 AS c, queue_depth > 64 AS d, throughput < 1000 AND iops > 50000 AS e FROM tel),
 pts AS (SELECT *, 20 * a::INT + 25 * b::INT + 30 * c::INT + 15 * d::INT + 10 * e::INT AS points, a::INT + b::INT + c::INT + d::INT + e::INT AS n_issues FROM rl)"""
-oracle("telemetry_rules", _RULES, """SELECT insight_id, points, n_issues, concat_ws('; ', CASE WHEN a THEN 'Scale out storage for node ' || device_id END,
-  CASE WHEN b THEN 'Investigate network congestion on node ' || device_id END, CASE WHEN c THEN 'Check hardware health on node ' || device_id END,
-  CASE WHEN d THEN 'Increase queue depth or reduce load on node ' || device_id END, CASE WHEN e THEN 'Optimize block size for node ' || device_id END) AS advice FROM pts""")
-oracle("rules_by_batch", _RULES, """SELECT insight_id // 100 AS batch_id, arg_min(device_id, insight_id) AS node_id, CAST(least(sum(points), 100) AS INTEGER) AS risk_score,
-  CAST(greatest(sum(n_issues), 1) AS INTEGER) AS n_recommendations,
-  CASE WHEN sum(n_issues) > 0 THEN substr('Rules-based analysis detected ' || sum(n_issues) || ' issue(s): Node ', 1, 40) ELSE substr('All metrics within acceptable thresholds', 1, 40) END AS analysis_start
-FROM pts GROUP BY 1""")
+_ISSUES = """list_filter([CASE WHEN a THEN 'Node ' || device_id || ': High IOPS (' || iops || ')' END, CASE WHEN b THEN 'Node ' || device_id || ': High latency (' || latency || 'ms)' END,
+  CASE WHEN c THEN 'Node ' || device_id || ': Elevated error rate (' || error_rate || '%)' END, CASE WHEN d THEN 'Node ' || device_id || ': Queue saturation (depth: ' || queue_depth || ')' END,
+  CASE WHEN e THEN 'Node ' || device_id || ': Low throughput relative to IOPS' END], lambda x: x IS NOT NULL) AS issues"""
+_ADVICE = """list_filter([CASE WHEN a THEN 'Scale out storage for node ' || device_id END, CASE WHEN b THEN 'Investigate network congestion on node ' || device_id END,
+  CASE WHEN c THEN 'Check hardware health on node ' || device_id END, CASE WHEN d THEN 'Increase queue depth or reduce load on node ' || device_id END,
+  CASE WHEN e THEN 'Optimize block size for node ' || device_id END], lambda x: x IS NOT NULL) AS advice"""
+_RULES += f""",
+txt AS (SELECT *, {_ISSUES}, {_ADVICE} FROM pts)"""
+oracle("telemetry_rules", _RULES, "SELECT insight_id, points, array_to_string(issues, '; ') AS issues, array_to_string(advice, '; ') AS advice FROM txt")
+oracle("rules_by_batch", _RULES, """SELECT batch_id, node_id, risk_score,
+  CASE WHEN len(i) > 0 THEN 'Rules-based analysis detected ' || len(i) || ' issue(s): ' || array_to_string(i, '; ') ELSE 'All metrics within acceptable thresholds' END AS analysis,
+  CASE WHEN len(a) > 0 THEN array_to_string(a, '; ') ELSE 'Continue monitoring' END AS recommendations
+FROM (SELECT insight_id // 100 AS batch_id, arg_min(device_id, insight_id) AS node_id, CAST(least(sum(points), 100) AS INTEGER) AS risk_score,
+  flatten(list(issues ORDER BY insight_id)) AS i, flatten(list(advice ORDER BY insight_id)) AS a FROM txt GROUP BY 1)""")
 oracle("class_advice", TEL, """SELECT insight_id, [0, 33, 67, 100][lv + 1] AS score, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][lv + 1] AS label, CASE lv
   WHEN 3 THEN concat_ws('; ', 'CRITICAL: Immediate investigation required', CASE WHEN error_rate > 3 THEN 'Check for hardware failures or connectivity issues' END,
     CASE WHEN latency > 20 THEN 'Network congestion detected - investigate InfiniBand fabric' END, CASE WHEN iops > 120000 THEN 'Resource saturation - consider scaling or load balancing' END)
