@@ -10,7 +10,7 @@ import pytest
 from tidewatch.functions.expr import instant
 from tidewatch.plans import views as W
 from tidewatch.sources.readers import record_stream
-from tidewatch.sources.writers import read_archive, read_state
+from tidewatch.sources.writers import compact_tutors, read_archive, read_state, read_tutors
 from tidewatch.streaming import ingest, state, windows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -117,15 +117,24 @@ def test_ingest_routes_and_survives_a_rerun_of_a_batch(spark, tmp_path):
 
     def picture():
         s = read_state(spark, base + "/state", ["ts", "event_id"])
-        return (sorted((r.entity_id, r.entity_type, r.session_rating_sum) for r in s.collect()), read_archive(spark, base + "/archive").count(),
+        t = read_tutors(spark, base + "/tutors")
+        return (sorted((r.entity_id, r.entity_type) for r in s.collect()), sorted((r.entity_id, r.sessions_completed_count, r.session_rating_sum) for r in t.collect()), read_archive(spark, base + "/archive").count(),
                 sorted(r.event_id for r in spark.read.parquet(base + "/quarantine").collect()))
 
     before = picture()
-    tutors = {e: v for e, t, v in before[0] if t == "tutor"}
-    assert tutors == {"t0": 0.0, "t1": 1.0, "t2": 5.0} and before[1] == 22 and before[2] == [20, 21]
+    assert before[1] == [("t0", 7, 9.0), ("t1", 7, 16.0), ("t2", 6, 21.0)] and before[2] == 22 and before[3] == [20, 21]
+    assert len(before[0]) == 20 and {t for _, t in before[0]} == {"event"}
     batch = spark.createDataFrame([(d, 11 + i, None) for i, d in enumerate(rows[11:])], "data STRING, event_id LONG, ts TIMESTAMP")
     ingest.write_batch(batch, 1, base, at)
     assert picture() == before
+    compact_tutors(spark, base + "/tutors")
+    profile = spark.createDataFrame([(record("tutor_availability_updated", 99, tutor_id="t1", available_slots_this_week=20), 50, None)], "data STRING, event_id LONG, ts TIMESTAMP")
+    ingest.write_batch(profile, 2, base)
+    ingest.write_batch(spark.createDataFrame([(record("session_completed", 100, tutor_id="t1", tutor_rating=5), 51, None)], "data STRING, event_id LONG, ts TIMESTAMP"), 3, base)
+    ingest.write_batch(profile, 2, base)  # a retry keeps its first time
+    t1 = read_tutors(spark, base + "/tutors").where("entity_id = 't1'").first()
+    assert (t1.sessions_completed_count, t1.session_rating_sum, t1.available_slots_this_week) == (8, 21.0, 20)
+    assert read_archive(spark, base + "/archive").count() == 24
 
 
 def test_daily_counts_match_batch(spark, tmp_path, event_files):

@@ -284,3 +284,28 @@ def event_items(events: DataFrame, as_of: Column) -> DataFrame:
         F.when((c("event_type") == "tutor_availability_updated") & has_tutor, profile),
     )
     return events.select("ts", "event_id", "event_type", F.explode(items).alias("_i")).select("ts", "event_id", "event_type", "_i.*")
+
+
+# columns of a tutor's state: what deltas add to, and what the newest value replaces
+ADDED = ["sessions_completed_count", "session_duration_total_min", "session_rating_sum", "session_rating_count", "cancellation_count", "no_show_count"]
+KEPT = ["primary_subject", "available_slots_this_week", "avg_rating", "total_sessions_completed", "subjects", "instant_book_enabled"]
+
+
+def tutor_parts(items: DataFrame) -> DataFrame:
+    """Tutor rows of ``event_items`` as parts of a state: sums, and kept values with the event they come from.
+
+    Parts of batches add up to the part of all events, in any order and grouping (``merge_tutor_parts``).
+    """
+    stamped = [F.when(F.col(c).isNotNull(), F.struct("ts", "event_id", F.col(c).alias("value"))).alias(c) for c in KEPT]
+    rows = items.where(F.col("entity_type") == "tutor").select("entity_id", "ttl", "ts", *[F.coalesce(c, F.lit(0)).alias(c) for c in ADDED], *stamped)
+    return merge_tutor_parts(rows)
+
+
+def merge_tutor_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("entity_id").agg(
+        F.max("ttl").alias("ttl"), F.max("ts").alias("ts"), *[F.sum(c).alias(c) for c in ADDED], *[F.max(c).alias(c) for c in KEPT])
+
+
+def tutor_state(parts: DataFrame) -> DataFrame:
+    """One row per tutor: deltas added up, every other column the newest value it ever had."""
+    return merge_tutor_parts(parts).select("entity_id", F.lit("tutor").alias("entity_type"), "ttl", "ts", *ADDED, *[F.col(f"{c}.value").alias(c) for c in KEPT])

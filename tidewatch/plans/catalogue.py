@@ -21,7 +21,7 @@ from tidewatch.operators import telemetry as L
 from tidewatch.operators import validate as V
 from tidewatch.plans import views as W
 from tidewatch.session import prepare, scratch_dir
-from tidewatch.sources.writers import read_state
+from tidewatch.sources.writers import read_state, read_tutors
 from tidewatch.streaming import ingest as SI
 from tidewatch.streaming import state as SS
 from tidewatch.streaming import windows as SW
@@ -233,13 +233,18 @@ def ingest_normalised(spark, sf):
 
 @query
 def event_items(spark, sf):
-    """Entity rows of the valid events, the newest row per key."""
-    items = V.event_items(_normalised(spark, sf), NOW())
-    newest = O.keep_last(items, C.KEYS, ["ts", "event_id"])
-    return newest.select(
-        "entity_id", "entity_type", "ts", "event_id", "event_type", "ttl", "session_duration_total_min", "session_rating_sum",
-        "session_rating_count", "cancellation_count", "no_show_count", "primary_subject", "available_slots_this_week",
-    )
+    """Event rows of the valid events, the newest row per key."""
+    items = V.event_items(_normalised(spark, sf), NOW()).where("entity_type <> 'tutor'")
+    return O.keep_last(items, C.KEYS, ["ts", "event_id"]).select("entity_id", "entity_type", "ts", "event_id", "event_type", "ttl")
+
+
+TUTOR_STATE = ["entity_id", "entity_type", "ttl", "ts", *V.ADDED, "primary_subject", "available_slots_this_week"]
+
+
+@query
+def ingest_tutor_state(spark, sf):
+    """Tutors as the write path keeps them: deltas added up, profile columns beside them."""
+    return V.tutor_state(V.tutor_parts(V.event_items(_normalised(spark, sf), NOW()))).select(*TUTOR_STATE)
 
 
 @query
@@ -1121,11 +1126,16 @@ def stream_ingest(spark, sf):
     base = scratch_dir(spark, "ingest")
     records = W.raw_of(W.mkt_of(_stream(spark, sf)))
     SI.start_ingest(records, base, f"{base}/checkpoint", received_at=NOW(), once=True).awaitTermination()
-    state = read_state(spark, f"{base}/state", ["ts", "event_id"])
-    return state.select(
-        "entity_id", "entity_type", "ts", "event_id", "event_type", "ttl", "session_duration_total_min", "session_rating_sum",
-        "session_rating_count", "cancellation_count", "no_show_count", "primary_subject", "available_slots_this_week",
-    )
+    return read_state(spark, f"{base}/state", ["ts", "event_id"]).select("entity_id", "entity_type", "ts", "event_id", "event_type", "ttl")
+
+
+@query
+def stream_tutor_state(spark, sf):
+    """Tutor rows that the micro-batch ingest leaves behind, added up over its batches."""
+    base = scratch_dir(spark, "tutors")
+    records = W.raw_of(W.mkt_of(_stream(spark, sf)))
+    SI.start_ingest(records, base, f"{base}/checkpoint", received_at=NOW(), once=True).awaitTermination()
+    return read_tutors(spark, f"{base}/tutors").select(*TUTOR_STATE)
 
 
 @query

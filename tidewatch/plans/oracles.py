@@ -427,15 +427,16 @@ oracle("short_validation", RAW, """SELECT event_id, n = 0 AS is_valid, CASE WHEN
 oracle("ingest_normalised", RAW, """SELECT event_id, ts, event_type, student_id, tutor_id, subject, rating, duration_min, was_cancelled, no_show,
   available_slots_this_week FROM norm""")
 oracle("event_items", RAW, """
-SELECT * FROM (
-  SELECT sha256(body) AS entity_id, 'event' AS entity_type, ts, event_id, event_type, 1706659200 + 30 * 86400 AS ttl, NULL::DOUBLE AS session_duration_total_min,
-    NULL::DOUBLE AS session_rating_sum, NULL::BIGINT AS session_rating_count, NULL::BIGINT AS cancellation_count, NULL::BIGINT AS no_show_count,
-    NULL AS primary_subject, NULL::BIGINT AS available_slots_this_week FROM norm
-  UNION ALL SELECT tutor_id, 'tutor', ts, event_id, event_type, 1706659200 + 90 * 86400, coalesce(duration_min, 0), coalesce(rating, 0), (coalesce(rating, 0) <> 0)::BIGINT,
-    coalesce(was_cancelled, false)::BIGINT, coalesce(no_show, false)::BIGINT, subject, NULL FROM norm WHERE event_type = 'session_completed' AND coalesce(tutor_id, '') <> ''
-  UNION ALL SELECT tutor_id, 'tutor', ts, event_id, event_type, 1706659200 + 90 * 86400, NULL, NULL, NULL, NULL, NULL, NULL, coalesce(available_slots_this_week, 0)
-    FROM norm WHERE event_type = 'tutor_availability_updated' AND coalesce(tutor_id, '') <> '')
-QUALIFY row_number() OVER (PARTITION BY entity_id, entity_type ORDER BY ts DESC, event_id DESC) = 1""")
+SELECT sha256(body) AS entity_id, 'event' AS entity_type, ts, event_id, event_type, 1706659200 + 30 * 86400 AS ttl FROM norm
+QUALIFY row_number() OVER (PARTITION BY sha256(body) ORDER BY ts DESC, event_id DESC) = 1""")
+oracle("ingest_tutor_state", RAW, """
+SELECT tutor_id AS entity_id, 'tutor' AS entity_type, 1706659200 + 90 * 86400 AS ttl, max(ts) AS ts, count(*) FILTER (done) AS sessions_completed_count,
+  coalesce(sum(duration_min) FILTER (done), 0)::DOUBLE AS session_duration_total_min, coalesce(sum(rating) FILTER (done), 0)::DOUBLE AS session_rating_sum,
+  count(*) FILTER (done AND coalesce(rating, 0) <> 0) AS session_rating_count, count(*) FILTER (done AND was_cancelled) AS cancellation_count,
+  count(*) FILTER (done AND no_show) AS no_show_count, (list(subject ORDER BY ts, event_id) FILTER (done AND subject IS NOT NULL))[-1] AS primary_subject,
+  (list(coalesce(available_slots_this_week, 0) ORDER BY ts, event_id) FILTER (NOT done))[-1] AS available_slots_this_week
+FROM (SELECT *, event_type = 'session_completed' AS done FROM norm WHERE event_type IN ('session_completed', 'tutor_availability_updated') AND coalesce(tutor_id, '') <> '')
+GROUP BY tutor_id""")
 oracle("malformed_rate_5m", RAW, """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS period, count(*) AS total, count(*) FILTER (n_critical + n_error > 0) AS malformed,
   round(count(*) FILTER (n_critical + n_error > 0) / count(*)::DOUBLE * 100, 6) AS malformed_rate FROM val GROUP BY 1""")
 
@@ -894,3 +895,4 @@ oracle("stream_alarm_windows", BASE, """SELECT event_type AS metric, time_bucket
   max(value) AS "Maximum" FROM ev GROUP BY ALL""")
 oracle("stream_daily_counts", MKT, """SELECT student_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'session_completed') AS sessions,
   count(*) FILTER (event_type = 'ib_call_logged') AS calls FROM mkt GROUP BY ALL""")
+ORACLES["stream_tutor_state"] = ORACLES["ingest_tutor_state"]

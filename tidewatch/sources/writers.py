@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.changes import KEYS
 from tidewatch.operators.ordered import keep_last
+from tidewatch.operators.validate import merge_tutor_parts, tutor_parts, tutor_state
 
 HOUR_PARTS = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH"}
 
@@ -68,8 +69,7 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
-    done = lambda s: fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    return [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and done(s)]
+    return [s.getPath().getParent().getName() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "*/_SUCCESS")) or []]
 
 
 def _state_paths(spark: SparkSession, path: str) -> tuple[list[str], int]:
@@ -83,16 +83,42 @@ def _state_paths(spark: SparkSession, path: str) -> tuple[list[str], int]:
     return paths, max([upto, *[int(n.split("=")[1]) for n in logs]])
 
 
-def read_state(spark: SparkSession, path: str, order: list[str], keys: list[str] = KEYS) -> DataFrame:
-    """The current row of every key."""
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the newest version and the batches after it, in one scan; batches may differ in their columns."""
     paths, _ = _state_paths(spark, path)
     if not paths:
         raise FileNotFoundError(f"no state below {path}")
-    frames = [spark.read.parquet(p) for p in paths]
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.unionByName(f, allowMissingColumns=True)
-    return keep_last(rows, keys, ["_batch", *order])
+    return spark.read.option("mergeSchema", "true").parquet(*paths)
+
+
+def read_state(spark: SparkSession, path: str, order: list[str], keys: list[str] = KEYS) -> DataFrame:
+    """The current row of every key."""
+    return keep_last(_log(spark, path), keys, ["_batch", *order])
+
+
+def append_tutors(items: DataFrame, path: str, batch_id: int) -> None:
+    """One row per tutor of the batch, beside those of other batches; a retried batch replaces its own folder."""
+    tutor_parts(items).write.mode("overwrite").parquet(os.path.join(path, "log", f"b={batch_id}"))
+
+
+def read_tutors(spark: SparkSession, path: str) -> DataFrame:
+    """The current row of every tutor: batches add up."""
+    return tutor_state(_log(spark, path))
+
+
+def compact_tutors(spark: SparkSession, path: str) -> int:
+    """Adds the batches up to a new version beside the old one; readers switch when it is complete."""
+    _, upto = _state_paths(spark, path)
+    merge_tutor_parts(_log(spark, path)).write.mode("overwrite").parquet(os.path.join(path, "base", f"v={upto}"))
+    return upto
+
+
+def batch_time(spark: SparkSession, path: str, batch_id: int) -> Column:
+    """The time at which a batch was first worked on, written down so that a retry files it under the same hour."""
+    folder = os.path.join(path, f"b={batch_id}")
+    if f"b={batch_id}" not in _folders(spark, path):
+        spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("us")).write.mode("overwrite").parquet(folder)
+    return F.timestamp_micros(F.lit(spark.read.parquet(folder).first().us))
 
 
 def compact_state(spark: SparkSession, path: str, order: list[str], keys: list[str] = KEYS) -> int:
