@@ -66,6 +66,13 @@ def test_clashing_columns_repeated_rows_and_null_ids(spark):
     assert got == [(False, 3, 3, True), (False, 5, 3, False), (False, 5, 3, False), (False, 7, 3, False), (False, 7, 3, False), (False, 9, 9, True), (True, 0, None, True)]
 
 
+def test_ids_with_several_texts(spark):
+    a, b, c = words(1, 60), words(2, 60), words(3, 60)
+    docs = [(8, a), (8, b), (20, mutated(a, 1, 0.01)), (21, mutated(b, 2, 0.01)), (30, c), (31, ""), (31, c)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(documents(spark, docs)).collect())
+    assert got == [(8, 8, True), (8, 8, True), (20, 8, False), (21, 8, False), (30, 30, True), (31, 30, False), (31, 30, False)]
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(documents(spark, [])).collect() == []
 

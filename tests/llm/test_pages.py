@@ -124,7 +124,7 @@ def test_filter_equals_plain_python(spark):
     assert sorted(map(tuple, got), key=str) == judged(WEB)
     assert {v for *_, v in judged(WEB)} == {"allow", "block"}
     by_id = {r[0]: r[4] for r in judged(WEB)}
-    assert by_id[5] == "block" and by_id[4] == "allow" and by_id[18] == "allow"  # linked to blocked hosts; trusted; unknown
+    assert by_id[5] == "block" and by_id[18] == "allow" and by_id[17] == "allow"  # links to blocked hosts; unknown; ruled
 
 
 def test_links_are_found(spark):

@@ -18,11 +18,9 @@ def valid(rows):
 
 def near(rows):
     """vec_id, n_links, component of rows with distinct ids, by all pairs."""
-    good = [(i, v) for i, v in valid(rows) if v.any()]
+    good = [(i, v / np.linalg.norm(v)) for i, v in valid(rows) if v.any()]
     ids = np.array([i for i, _ in good])
-    x = np.array([v / np.linalg.norm(v) for _, v in good])
-    linked = x @ x.T >= 0.95
-    np.fill_diagonal(linked, False)
+    linked = np.array([[i != j and len(a) == len(b) and a @ b >= 0.95 for j, b in good] for i, a in good])
     low = ids.copy()
     while True:
         new = np.minimum(low, np.where(linked, low[None, :], 1 << 60).min(1))
