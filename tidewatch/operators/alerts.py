@@ -103,7 +103,7 @@ def prediction_alerts(df: DataFrame) -> DataFrame:
         rule((c("session_velocity") < 1.0) & (c("session_frequency_30d") > 2.0), "SESSION_VELOCITY_DROP", "MEDIUM",
              "Send re-engagement email campaign"),
     )
-    return df.withColumn("_a", F.explode(rules)).select("entity_id", "_a.*")
+    return df.withColumn("_a", F.explode(rules)).select(*[k for k in ("entity_id", "entity_type") if k in df.columns], "_a.*")
 
 
 def threshold_alerts(df: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def threshold_alerts(df: DataFrame) -> DataFrame:
         rule(c("churn_risk_30d") > 0.6, "churn_risk_high", "high"),
         rule(c("health_score") < 40, "health_score_critical", "high"),
     )
-    return df.withColumn("_a", F.explode(rules)).select("entity_id", "_a.*")
+    return df.withColumn("_a", F.explode(rules)).select(*[k for k in ("entity_id", "entity_type") if k in df.columns], "_a.*")
 
 
 INFERENCE_TRIGGERS = [

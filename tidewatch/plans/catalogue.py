@@ -636,9 +636,9 @@ def recommendations(spark, sf):
 @query
 def generate_insights(spark, sf):
     scored = S.recommendations(_scored(spark, sf))
-    g = S.generate_insights(scored.where("entity_type = 'student'"), NOW())
+    g = S.generate_insights(scored, NOW())
     return g.select("related_entity", "prediction_type", "risk_score", "explanation", "confidence", "timestamp", "ttl",
-                    F.size("recommendations").alias("n_recommendations"))
+                    F.array_join("recommendations", "; ").alias("recommendations"))
 
 
 @query
@@ -646,7 +646,7 @@ def stored_predictions(spark, sf):
     """Predictions laid over the entity rows: the other columns stay."""
     scored = S.recommendations(_scored(spark, sf))
     entities = scored.select("entity_id", "entity_type", "last_updated", F.lit(None).cast("decimal(6,2)").alias("health_score"))
-    preds = S.stored_predictions(scored.where("churn_risk_14d > 0"), NOW())
+    preds = S.stored_predictions(scored, NOW())
     o = C.overlay(entities, preds)
     return o.select("entity_id", "entity_type", "last_updated", F.col("health_score").cast("double").alias("health_score"),
                     *[F.col(c).cast("double").alias(c) for c in ("churn_risk_14d", "churn_risk_30d", "first_session_success_prob", "session_velocity")],
@@ -664,7 +664,7 @@ def _fallback(spark, sf):
 @query
 def fallback_insight(spark, sf):
     return _fallback(spark, sf).select("metric_id", "prediction_type", "risk_score", F.array_join("recommendations", "; ").alias("recommendations"),
-                                       "confidence", F.length("explanation").alias("text_length"))
+                                       "confidence", "explanation")
 
 
 @query
@@ -731,7 +731,8 @@ def _alerts(spark, sf):
 @query
 def detect_anomalies(spark, sf):
     return _alerts(spark, sf).select(
-        "alert_type", "severity", "entity_id", "entity_type", "message", "timestamp", F.size("details").alias("n_details")
+        "alert_type", "severity", "entity_id", "entity_type", "message", "timestamp",
+        F.array_join(F.transform(F.map_entries("details"), lambda e: F.concat(e.key, F.lit(": "), e.value)), "; ").alias("details")
     )
 
 
@@ -742,20 +743,20 @@ def detect_on_events(spark, sf):
 
 @query
 def prediction_alerts(spark, sf):
-    s = _scored(spark, sf).where("entity_type = 'student'").withColumn("session_frequency_30d", F.col("sessions_30d") / 30.0 * 7)
-    return A.prediction_alerts(s).select("entity_id", "alert_type", "severity", "recommendation")
+    s = _scored(spark, sf).withColumn("session_frequency_30d", F.col("sessions_30d") / 30.0 * 7)
+    return A.prediction_alerts(s).select("entity_id", "entity_type", "alert_type", "severity", "recommendation")
 
 
 @query
 def threshold_alerts(spark, sf):
-    s = _scored(spark, sf).where("entity_type = 'student'").withColumn("ib_call_risk_14d", F.col("churn_risk_14d"))
-    return A.threshold_alerts(s)
+    s = _scored(spark, sf).withColumn("ib_call_risk_14d", F.col("churn_risk_14d"))
+    return A.threshold_alerts(s).select("entity_id", "entity_type", "alert_type", "severity")
 
 
 @query
 def alert_render(spark, sf):
     r = A.render_alerts(_alerts(spark, sf))
-    return r.select("alert_type", "entity_id", "timestamp", "subject", F.regexp_extract("body", "Summary:\n(.*)", 1).alias("summary"))
+    return r.select("alert_type", "entity_id", "timestamp", "subject", "body")
 
 
 def _event_alerts(spark, sf, events=None):

@@ -678,29 +678,29 @@ _ADVICE = """list_filter(CASE WHEN entity_type = 'tutor' THEN [
     CASE WHEN segment = 'thriving' THEN '✅ Thriving customer - consider upsell or referral program' END] END, lambda x: x IS NOT NULL)[1:5]"""
 oracle("recommendations", SCORED, f"SELECT entity_id, entity_type, coalesce(array_to_string({_ADVICE}, ' | '), '') AS recommendations FROM scored")
 oracle("generate_insights", SCORED + f""",
-g AS (SELECT *, greatest(c14, c30) AS churn, printf('%.2f', velocity) AS rate, printf('%.0f', round_even(health_score, 0)) AS hs, CAST(least(len({_ADVICE}), 3) AS INTEGER) AS n_rec FROM scored WHERE entity_type = 'student'),
+g AS (SELECT *, greatest(c14, c30) AS churn, printf('%.2f', velocity) AS rate, printf('%.0f', round_even(health_score, 0)) AS hs, array_to_string(({_ADVICE})[1:3], '; ') AS n_rec FROM scored),
 items AS (
-  SELECT entity_id, 1 AS o, 'churn_risk' AS t, CAST(trunc(churn * 100) AS INTEGER) AS risk, 'Student shows ' || CAST(trunc(churn * 100) AS INTEGER) || '% churn probability. '
+  SELECT entity_id, entity_type, 1 AS o, 'churn_risk' AS t, CAST(trunc(churn * 100) AS INTEGER) AS risk, 'Student shows ' || CAST(trunc(churn * 100) AS INTEGER) || '% churn probability. '
     || CASE WHEN c14 > 0.5::DOUBLE THEN 'High risk of churning within 14 days. ' WHEN c30 > 0.5::DOUBLE THEN 'Elevated risk of churning within 30 days. ' ELSE '' END
     || 'Session velocity: ' || rate || '/week, Health score: ' || hs || '/100.' AS x, 0.85 AS conf, n_rec FROM g WHERE churn > 0.3::DOUBLE
-  UNION ALL SELECT entity_id, 2, 'customer_health', CAST(trunc(100 - health_score) AS INTEGER), 'Overall health score of ' || hs || '/100 indicates ' || segment || ' status. Session frequency: ' || rate || '/week. '
+  UNION ALL SELECT entity_id, entity_type, 2, 'customer_health', CAST(trunc(100 - health_score) AS INTEGER), 'Overall health score of ' || hs || '/100 indicates ' || segment || ' status. Session frequency: ' || rate || '/week. '
     || CASE WHEN avg_rating < 4 THEN 'Low satisfaction ratings detected. ' ELSE '' END, 0.88, n_rec FROM g WHERE health_score < 70
-  UNION ALL SELECT entity_id, 3, 'session_quality', CAST(least(trunc((0.5::DOUBLE - velocity) * 200), 100) AS INTEGER), 'Low session booking rate of ' || rate || ' sessions/week. Last session '
+  UNION ALL SELECT entity_id, entity_type, 3, 'session_quality', CAST(least(trunc((0.5::DOUBLE - velocity) * 200), 100) AS INTEGER), 'Low session booking rate of ' || rate || ' sessions/week. Last session '
     || coalesce(days_since_last_session, 0) || ' days ago. ', 0.82, n_rec FROM g WHERE velocity < 0.5::DOUBLE
-  UNION ALL SELECT entity_id, 4, 'first_session_success', CAST(trunc((1 - success) * 100) AS INTEGER), 'First session success probability: ' || printf('%.0f', round_even(success * 100, 0))
+  UNION ALL SELECT entity_id, entity_type, 4, 'first_session_success', CAST(trunc((1 - success) * 100) AS INTEGER), 'First session success probability: ' || printf('%.0f', round_even(success * 100, 0))
     || '%. Student may need additional onboarding support or tutor matching optimization.', 0.79, n_rec FROM g WHERE success < 0.6::DOUBLE
-  UNION ALL SELECT entity_id, 5, 'tutor_capacity', 100 - CAST(least(trunc(velocity * 20), 100) AS INTEGER), 'Current session velocity: ' || rate || '/week. '
+  UNION ALL SELECT entity_id, entity_type, 5, 'tutor_capacity', 100 - CAST(least(trunc(velocity * 20), 100) AS INTEGER), 'Current session velocity: ' || rate || '/week. '
     || CASE WHEN velocity > 2 THEN 'High engagement - ensure tutor availability matches demand.' WHEN velocity < 0.5::DOUBLE THEN 'Low engagement - may need tutor outreach or scheduling flexibility.'
       ELSE 'Moderate engagement - monitor for changes.' END, 0.75, n_rec FROM g
-  UNION ALL SELECT entity_id, 6, 'marketplace_balance', 100 - CAST(trunc(health_score) AS INTEGER), 'Student health: ' || hs || '/100, Segment: ' || segment || '. Churn risk: '
+  UNION ALL SELECT entity_id, entity_type, 6, 'marketplace_balance', 100 - CAST(trunc(health_score) AS INTEGER), 'Student health: ' || hs || '/100, Segment: ' || segment || '. Churn risk: '
     || printf('%.0f', round_even(churn * 100, 0)) || '%, Session velocity: ' || rate || '/week.', 0.80, n_rec FROM g)""", """
 SELECT entity_id AS related_entity, t AS prediction_type, risk AS risk_score, x AS explanation, conf::DOUBLE AS confidence,
-  TIMESTAMP '2024-01-31 00:00:00' + (row_number() OVER (PARTITION BY entity_id ORDER BY o) - 1) * INTERVAL 100 MILLISECOND AS "timestamp",
-  1706659200 + 30 * 86400 AS ttl, n_rec AS n_recommendations FROM items""")
+  TIMESTAMP '2024-01-31 00:00:00' + (row_number() OVER (PARTITION BY entity_type, entity_id ORDER BY o) - 1) * INTERVAL 100 MILLISECOND AS "timestamp",
+  1706659200 + 30 * 86400 AS ttl, n_rec AS recommendations FROM items""")
 oracle("stored_predictions", SCORED, """
-SELECT entity_id, entity_type, last_updated, CASE WHEN c14 > 0 THEN round_even(health_score, 2) END AS health_score, CASE WHEN c14 > 0 THEN round_even(c14, 4) END AS churn_risk_14d,
-  CASE WHEN c14 > 0 THEN round_even(c30, 4) END AS churn_risk_30d, CASE WHEN c14 > 0 THEN round_even(success, 4) END AS first_session_success_prob,
-  CASE WHEN c14 > 0 THEN round_even(velocity, 4) END AS session_velocity, CASE WHEN c14 > 0 THEN segment END AS segment, CASE WHEN c14 > 0 THEN 'health-v1' END AS model_version FROM scored""")
+SELECT entity_id, entity_type, last_updated, round_even(health_score, 2) AS health_score, round_even(c14, 4) AS churn_risk_14d,
+  round_even(c30, 4) AS churn_risk_30d, round_even(success, 4) AS first_session_success_prob,
+  round_even(velocity, 4) AS session_velocity, segment AS segment, 'health-v1' AS model_version FROM scored""")
 _FB = """,
 fb AS (SELECT metric_id, utilization > 90 AS busy, round(latency_p99 - lat_b, 4) > lat_b * 0.5::DOUBLE AS slow, utilization, round(latency_p99 - lat_b, 4) AS ld FROM delta),
 fbi AS (SELECT metric_id, CASE WHEN busy THEN 'resource_saturation' WHEN slow THEN 'performance_degradation' ELSE 'anomaly_detected' END AS pt, CASE WHEN busy THEN 85 WHEN slow THEN 70 ELSE 50 END AS risk,
@@ -708,7 +708,7 @@ fbi AS (SELECT metric_id, CASE WHEN busy THEN 'resource_saturation' WHEN slow TH
       ELSE 'Anomaly detected, AI analysis unavailable (fallback)' END AS x, busy, slow FROM fb)"""
 oracle("fallback_insight", STR + _FB, """SELECT metric_id, pt AS prediction_type, risk AS risk_score, CASE WHEN busy THEN 'Scale workload; Check for hot spots'
   WHEN slow THEN 'Check network topology; Review switch configs' ELSE 'Manual investigation required' END AS recommendations,
-  CASE WHEN busy OR slow THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS confidence, CAST(length(x) AS INTEGER) AS text_length FROM fbi""")
+  CASE WHEN busy OR slow THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS confidence, x AS explanation FROM fbi""")
 oracle("scorer_compare", LABEL + _FB, """SELECT count(*) AS comparisons, count(*) FILTER (prediction_type = pt) AS matches, round(count(*) FILTER (prediction_type = pt) / count(*)::DOUBLE * 100, 6) AS match_pct,
   round(avg(abs(risk_score - risk)), 6) AS avg_risk_delta, CASE WHEN avg(abs(risk_score - risk)) > 10 THEN 'MORE' ELSE 'SIMILARLY' END AS sensitivity FROM lab JOIN fbi USING (metric_id)""")
 oracle("source_mix", LABEL, """SELECT CASE metric_id % 3 WHEN 0 THEN 'primary-model' WHEN 1 THEN 'second-model' ELSE 'rules-based' END AS source, count(*) AS n,
@@ -729,28 +729,31 @@ _SEV = "CASE WHEN health_score < 50 THEN 'critical' ELSE 'warning' END"
 _FOUND = STUDENT + f""",
 found AS (
   SELECT 'high_ib_call_frequency' AS alert_type, 'warning' AS severity, CAST(entity_id AS VARCHAR) AS entity_id, 'student' AS entity_type,
-    'Student ' || entity_id || ' has ' || ib_calls_14d || ' IB calls in 14 days' AS message, TIMESTAMP '2024-01-31 00:00:00' AS "timestamp", 2 AS n_details FROM stu WHERE ib_calls_14d >= 3
-  UNION ALL SELECT 'low_health_score', {_SEV}, CAST(entity_id AS VARCHAR), 'student', 'Student ' || entity_id || ' has low health score: ' || health_score, TIMESTAMP '2024-01-31 00:00:00', 3
-    FROM stu WHERE health_score < 70
-  UNION ALL SELECT 'supply_demand_imbalance', 'info', subject, 'subject', 'High demand detected for ' || subject || ' (Demand: ' || demand_score || ', Supply: ' || supply_score || ')', ts, 3
-    FROM mkt WHERE balance_status = 'high_demand')"""
-oracle("detect_anomalies", _FOUND, "SELECT * FROM found")
+    'Student ' || entity_id || ' has ' || ib_calls_14d || ' IB calls in 14 days' AS message, TIMESTAMP '2024-01-31 00:00:00' AS "timestamp",
+    ['ib_calls_14d: ' || ib_calls_14d, 'health_score: ' || health_score] AS d FROM stu WHERE ib_calls_14d >= 3
+  UNION ALL SELECT 'low_health_score', {_SEV}, CAST(entity_id AS VARCHAR), 'student', 'Student ' || entity_id || ' has low health score: ' || health_score, TIMESTAMP '2024-01-31 00:00:00',
+    ['health_score: ' || health_score, 'sessions_7d: ' || sessions_7d, 'ib_calls_14d: ' || ib_calls_14d] FROM stu WHERE health_score < 70
+  UNION ALL SELECT 'supply_demand_imbalance', 'info', subject, 'subject', 'High demand detected for ' || subject || ' (Demand: ' || demand_score || ', Supply: ' || supply_score || ')', ts,
+    ['balance_status: ' || balance_status, 'demand_score: ' || demand_score, 'supply_score: ' || supply_score] FROM mkt WHERE balance_status = 'high_demand')"""
+oracle("detect_anomalies", _FOUND, "SELECT * EXCLUDE (d), array_to_string(d, '; ') AS details FROM found")
 oracle("detect_on_events", STUDENT, f"""
 SELECT event_id, 'high_ib_call_frequency' AS alert_type, 'warning' AS severity, CAST(student_id AS VARCHAR) AS entity_id FROM mkt JOIN stu ON student_id = entity_id WHERE ib_calls_14d >= 3
 UNION ALL SELECT event_id, 'low_health_score', CASE WHEN stu.health_score < 50 THEN 'critical' ELSE 'warning' END, CAST(student_id AS VARCHAR) FROM mkt JOIN stu ON student_id = entity_id WHERE stu.health_score < 70
 UNION ALL SELECT event_id, 'supply_demand_imbalance', 'info', subject FROM mkt WHERE balance_status = 'high_demand'""")
-oracle("prediction_alerts", SCORED + """, sp AS (SELECT * FROM scored WHERE entity_type = 'student')""", """
-SELECT entity_id, 'IB_CALL_SPIKE' AS alert_type, 'CRITICAL' AS severity, 'Assign retention specialist within 24 hours' AS recommendation FROM sp WHERE ib_calls_14d >= 2
-UNION ALL SELECT entity_id, 'HIGH_CHURN_RISK', 'HIGH', 'Offer discount or free session credit' FROM sp WHERE c30 > 0.6::DOUBLE
-UNION ALL SELECT entity_id, 'HEALTH_SCORE_CRITICAL', 'HIGH', 'Proactive outreach + personalized recovery plan' FROM sp WHERE health_score < 40
-UNION ALL SELECT entity_id, 'FIRST_SESSION_RISK', 'MEDIUM', 'Match with top-rated tutor (>4.5 stars)' FROM sp WHERE success < 0.5::DOUBLE
-UNION ALL SELECT entity_id, 'SESSION_VELOCITY_DROP', 'MEDIUM', 'Send re-engagement email campaign' FROM sp WHERE velocity < 1 AND sessions_30d / 30.0::DOUBLE * 7 > 2""")
-oracle("threshold_alerts", SCORED + """, sp AS (SELECT * FROM scored WHERE entity_type = 'student')""", """
-SELECT entity_id, 'churn_risk_ib_calls' AS alert_type, 'critical' AS severity FROM sp WHERE c14 > 0.7::DOUBLE
-UNION ALL SELECT entity_id, 'churn_risk_high', 'high' FROM sp WHERE c30 > 0.6::DOUBLE
-UNION ALL SELECT entity_id, 'health_score_critical', 'high' FROM sp WHERE health_score < 40""")
+oracle("prediction_alerts", SCORED + """, sp AS (SELECT * FROM scored)""", """
+SELECT entity_id, entity_type, 'IB_CALL_SPIKE' AS alert_type, 'CRITICAL' AS severity, 'Assign retention specialist within 24 hours' AS recommendation FROM sp WHERE ib_calls_14d >= 2
+UNION ALL SELECT entity_id, entity_type, 'HIGH_CHURN_RISK', 'HIGH', 'Offer discount or free session credit' FROM sp WHERE c30 > 0.6::DOUBLE
+UNION ALL SELECT entity_id, entity_type, 'HEALTH_SCORE_CRITICAL', 'HIGH', 'Proactive outreach + personalized recovery plan' FROM sp WHERE health_score < 40
+UNION ALL SELECT entity_id, entity_type, 'FIRST_SESSION_RISK', 'MEDIUM', 'Match with top-rated tutor (>4.5 stars)' FROM sp WHERE success < 0.5::DOUBLE
+UNION ALL SELECT entity_id, entity_type, 'SESSION_VELOCITY_DROP', 'MEDIUM', 'Send re-engagement email campaign' FROM sp WHERE velocity < 1 AND sessions_30d / 30.0::DOUBLE * 7 > 2""")
+oracle("threshold_alerts", SCORED + """, sp AS (SELECT * FROM scored)""", """
+SELECT entity_id, entity_type, 'churn_risk_ib_calls' AS alert_type, 'critical' AS severity FROM sp WHERE c14 > 0.7::DOUBLE
+UNION ALL SELECT entity_id, entity_type, 'churn_risk_high', 'high' FROM sp WHERE c30 > 0.6::DOUBLE
+UNION ALL SELECT entity_id, entity_type, 'health_score_critical', 'high' FROM sp WHERE health_score < 40""")
 oracle("alert_render", _FOUND, """SELECT alert_type, entity_id, "timestamp", CASE severity WHEN 'critical' THEN '🚨' WHEN 'warning' THEN '⚠️' ELSE 'ℹ️' END || ' ' || upper(severity) || ': ' || alert_type AS subject,
-  message AS summary FROM found""")
+  concat_ws(chr(10), repeat('━', 40), CASE severity WHEN 'critical' THEN '🚨' WHEN 'warning' THEN '⚠️' ELSE 'ℹ️' END || ' Severity: ' || upper(severity), '📋 Alert Type: ' || alert_type,
+    '🆔 Entity: ' || entity_id || ' (' || entity_type || ')', '⏰ Timestamp: ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S'), repeat('━', 40), '📄 Summary:', message,
+    '📊 Details:', array_to_string(list_transform(d, lambda x: '  • ' || x), chr(10)), repeat('━', 40)) AS body FROM found""")
 oracle("alerts_dedup_gap", ALERTS, """SELECT alert_no, coalesce("timestamp" - lag("timestamp") OVER (PARTITION BY alert_type, entity_id ORDER BY "timestamp", alert_no) >= INTERVAL 1 HOUR, true) AS is_new FROM al""")
 oracle("alerts_dedup_cooldown", ALERTS + """,
 num AS (SELECT *, row_number() OVER (PARTITION BY alert_type, entity_id ORDER BY "timestamp", alert_no) AS n FROM al),
