@@ -301,3 +301,18 @@ def test_latency_stats_with_nan_and_infinity(spark):
     a = got["a"]
     assert (a["count"], a.min, a.p50) == (7, -inf, 2.0) and np.isnan(a.max) and np.isnan(a.p99) and np.isnan(a.avg)
     assert (got["b"].p50, got["b"].avg) == (7.0, 7.0) and np.isnan(got["c"].p50)
+
+
+def test_cooldown_of_many_sent_alerts_is_linear(spark):
+    """Every alert is sent: twice the alerts cost about twice the time, and all come back."""
+    import time
+
+    def run(n):
+        df = spark.range(n).select(
+            F.col("id").alias("alert_no"), F.lit("t").alias("alert_type"), F.lit("e").alias("entity_id"), F.timestamp_seconds(F.col("id") * 3600).alias("timestamp"))
+        start = time.perf_counter()
+        assert A.dedup_cooldown(df, "alert_no").count() == n
+        return time.perf_counter() - start
+
+    run(1000)
+    assert run(80_000) < 4 * run(40_000)

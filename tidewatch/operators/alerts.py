@@ -183,12 +183,17 @@ def dedup_cooldown(alerts: DataFrame, order: str, window_us: int = HOUR_US, min_
     on = [alerts[k].eqNullSafe(hot[f"_hot_{k}"]) for k in DEDUP_KEYS]
     rest = alerts.join(F.broadcast(hot), on, "left_anti")
     rows = F.array_sort(F.collect_list(F.struct(us.alias("us"), F.col(order).alias("id"))))
-    empty = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{alerts.schema[order].dataType.simpleString()}>").alias("ids"))
+    ids = f"array<{alerts.schema[order].dataType.simpleString()}>"
+    empty = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(ids).alias("part"), F.array().cast(f"array<{ids}>").alias("full"))
+    # sent ids gather in short arrays: appending copies one of those, not all that was sent before
+    full = lambda acc: F.size(acc.part) >= 256
     fold = F.aggregate(rows, empty, lambda acc, r: F.when(
         acc.last.isNull() | (r.us - acc.last >= window_us),
-        F.struct(r.us.alias("last"), F.concat(acc.ids, F.array(r.id)).alias("ids")),
-    ).otherwise(acc))
-    sent = rest.groupBy(*DEDUP_KEYS).agg(fold.ids.alias("_ids")).select(F.explode("_ids").alias(order))
+        F.struct(
+            r.us.alias("last"), F.when(full(acc), F.array(r.id)).otherwise(F.concat(acc.part, F.array(r.id))).alias("part"),
+            F.when(full(acc), F.concat(acc.full, F.array(acc.part))).otherwise(acc.full).alias("full")),
+    ).otherwise(acc), lambda acc: F.concat(F.flatten(acc.full), acc.part))
+    sent = rest.groupBy(*DEDUP_KEYS).agg(fold.alias("_ids")).select(F.explode("_ids").alias(order))
     small = rest.join(sent, order, "left_semi")
     if hot.isEmpty():
         return small.select(*cols)
