@@ -74,6 +74,22 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def among(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows of ``df`` whose long ``key`` is in ``wanted`` (one column w), without shuffling the others.
+
+    The wanted keys set bits of a map that is broadcast (at most ``bits`` / 64 rows, whatever the input); rows whose bit
+    is unset stay out before any shuffle, and a semi join drops what the map lets through by chance.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    place = at(F.col("w"))
+    words = wanted.groupBy(F.shiftright(place, 6).alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(w), {bits}L) & 63 AS INT))")).alias("__bits"))
+    mine = at(F.col(key))
+    held = df.withColumn("__at", mine).join(F.broadcast(words), F.shiftright(F.col("__at"), 6) == F.col("__word"))
+    held = held.where(F.expr("(__bits & shiftleft(1L, CAST(__at & 63 AS INT))) <> 0")).drop("__at", "__word", "__bits")
+    # an inner join with distinct keys: a semi join would be moved below the map, to all rows
+    return held.join(wanted.select(F.col("w").alias("__w")).distinct(), F.col(key) == F.col("__w")).drop("__w")
+
+
 def batches(frames: Iterator, rows: int) -> Iterator:
     """The same rows in frames of at most ``rows``."""
     for frame in frames:
