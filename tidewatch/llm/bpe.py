@@ -5,8 +5,7 @@ rank is popped first (leftmost among equals); entries whose symbols have changed
 looks the ids up in the vocabulary and joins their strings, as a tokenizer file without a decoder says.
 
 Tasks encode whole texts. No token spans white space, so a text is cut at ASCII white space and each different chunk is
-encoded once per worker; the memo of a worker is emptied when it reaches ``memo`` chunks, which bounds its memory and
-changes no result.
+encoded once as long as the worker remembers it. What a worker remembers is bounded, which changes no result.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 200_000  # chunks that a worker remembers, about 120 MB
+MEMO = 250_000  # entries of a generation of what a worker remembers, about 80 MB
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -36,30 +35,57 @@ def byte_alphabet() -> dict[int, str]:
     return out
 
 
-def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """The symbols left when the queue is empty."""
-    n = len(symbols)
+def merge_word(ids: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """The symbols left when the queue is empty. ``ranks`` has the merge rank of a pair (a << 20 | b), ``made`` the symbol
+    that each rank makes."""
+    n = len(ids)
     if n < 2:
-        return symbols
-    symbols = list(symbols)
+        return ids
+    ids = list(ids)
     left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-    queue = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
+    rank = [ranks.get(ids[i] << 20 | ids[i + 1], -1) for i in range(n - 1)]  # of each symbol and its right neighbour now
+    rank.append(-1)
+    queue = [r * n + i for i, r in enumerate(rank) if r >= 0]  # lowest rank first, then leftmost
     heapify(queue)
     while queue:
-        _, i, a, b = heappop(queue)
-        j = right[i]
-        if j < 0 or symbols[i] != a or symbols[j] != b:
+        r, i = divmod(heappop(queue), n)
+        if rank[i] != r:
             continue  # stale: one of the two has been merged since
-        symbols[i], symbols[j] = a + b, ""
+        j = right[i]
+        ids[i], ids[j], rank[j] = made[r], -1, -1
         k = right[i] = right[j]
         if k >= 0:
             left[k] = i
-            if (r := ranks.get((symbols[i], symbols[k]))) is not None:
-                heappush(queue, (r, i, symbols[i], symbols[k]))
+            rank[i] = r = ranks.get(ids[i] << 20 | ids[k], -1)
+            if r >= 0:
+                heappush(queue, r * n + i)
+        else:
+            rank[i] = -1
         h = left[i]
-        if h >= 0 and (r := ranks.get((symbols[h], symbols[i]))) is not None:
-            heappush(queue, (r, h, symbols[h], symbols[i]))
-    return [s for s in symbols if s]
+        if h >= 0:
+            rank[h] = r = ranks.get(ids[h] << 20 | ids[i], -1)
+            if r >= 0:
+                heappush(queue, r * n + h)
+    return [x for x in ids if x >= 0]
+
+
+class Memo:
+    """The last ``limit`` to twice as many entries: a full generation becomes the old one, whose entries that are used
+    again move on, so frequent entries stay."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def get(self, key):
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
 
 
 class WordBpe:
@@ -73,32 +99,36 @@ class WordBpe:
             raise ValueError(f"{path}: not a BPE file of the supported kind")
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
-        self.ranks = {tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m): i for i, m in reversed(list(enumerate(model["merges"])))}
+        merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
+        prefix = len(model.get("continuing_subword_prefix") or "")
+        self.made = [self.vocab[a + b[prefix:]] for a, b in merges]
+        self.ranks = {self.vocab[a] << 20 | self.vocab[b]: i for i, (a, b) in reversed(list(enumerate(merges)))}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.alphabet = byte_alphabet()
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.split = regex.compile(pattern)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memo: dict[bytes, tuple[str, str, int]] = {}
-        self.words: dict[str, list[int]] = {}
-        self.limit = memo
+        # symbols that the vocabulary lacks are left out
+        self.inner = [self.vocab.get(self.alphabet[b]) for b in range(256)]
+        self.last = [self.vocab.get(self.alphabet[b] + self.end) for b in range(256)]
+        self.memo, self.words = Memo(memo), Memo(memo)  # chunk -> what spelled() needs; word -> ids
 
     def _word(self, word: str) -> list[int]:
         ids = self.words.get(word)
         if ids is None:
-            symbols = [self.alphabet[b] for b in word.encode()]
-            symbols[-1] += self.end
-            vocab = self.vocab
-            ids = [vocab[s] for s in merge_word([s for s in symbols if s in vocab], self.ranks)]
-            if len(self.words) >= self.limit:
-                self.words.clear()
-            self.words[word] = ids
+            data = word.encode()
+            symbols = [x for b in data[:-1] if (x := self.inner[b]) is not None]
+            if (x := self.last[data[-1]]) is not None:
+                symbols.append(x)
+            ids = merge_word(symbols, self.ranks, self.made)
+            self.words.put(word, ids)
         return ids
 
     def _ids(self, text: str) -> list[int]:
         # lower-casing is by character: a final sigma is no exception
-        text = unicodedata.normalize("NFC", text)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
         text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
         return [i for word in self.split.findall(text) for i in self._word(word)]
 
@@ -116,16 +146,13 @@ class WordBpe:
 
     def spelled(self, text: str) -> tuple[str, str, int]:
         """Decimal ids joined by a space, the decoded text, and the number of ids."""
-        memo, limit, chunks = self.memo, self.limit, text.encode().split()
-        out = []
-        for chunk in chunks:
-            got = memo.get(chunk)
-            if got is None:
+        memo, recent, out = self.memo, self.memo.new, []
+        for chunk in text.encode().split():
+            got = recent.get(chunk)
+            if got is None and (got := memo.get(chunk)) is None:
                 ids = self.chunk_ids(chunk.decode())
                 got = (" ".join(map(str, ids)), self.decode(ids), len(ids))
-                if len(memo) >= limit:
-                    memo.clear()
-                memo[chunk] = got
+                memo.put(chunk, got)
             if got[2]:
                 out.append(got)
         if not out:
