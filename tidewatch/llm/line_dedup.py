@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ASCII_SPACE
+from tidewatch.llm.common import ASCII_SPACE, staged
 
 SEGMENT_BITS = 20  # positions of one segment of the filter
 
@@ -131,10 +131,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filt
                     ids += [doc_id] * int(held.sum())
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "digest": pd.Series(out, dtype=object)})
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(suspects, "doc_id long, digest binary")
+    found = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(suspects, "doc_id long, digest binary"), "suspects")
     # a document id that several rows share counts once
     counted = found.distinct().groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    confirmed = counted.select(F.col("digest").alias("d"), "keeper")
+    # written, so that the join below is between plain exchanges: a line that a third of all documents hold is then split
+    confirmed = staged(counted.select(F.col("digest").alias("d"), "keeper"), "confirmed")
     return (
         found.join(confirmed, found.digest == confirmed.d).where("doc_id <> keeper")
         .groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
