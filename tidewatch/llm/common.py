@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,16 +99,32 @@ def batches(frames: Iterator, rows: int) -> Iterator:
             yield frame.iloc[i:i + rows]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, chars: int) -> list:
+def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, chars: int) -> DataFrame:
     """(doc_id, text, label) of at most ``rows`` labelled documents outside the held-out fifth, the same ones at every
     run: the first by a hash of their id. Ids labelled twice count with the larger label; texts over ``chars`` are left
-    out of the sample. Fits in the driver, as both bounds are parameters."""
+    out of the sample. Both bounds are parameters, so the sample fits in one task."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(column).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     short = docs.select(F.col("doc_id").cast("long"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
     found = short.join(F.broadcast(known), F.col("doc_id") == F.col("id"))
-    return sorted((r.doc_id, r.text or "", r.label) for r in found.select("doc_id", "text", "label").limit(2 * rows).toLocalIterator())
+    return found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").limit(2 * rows)
+
+
+def trained(sample: DataFrame, train: Callable[[list[str], list[int]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """``train``(texts, labels) over the bounded ``sample``, in one task; only the weights come to the driver."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted(row for frame in frames for row in frame.itertuples(index=False, name=None))
+        out = io.BytesIO()
+        np.savez(out, **train([t for _, t, _ in rows], [int(y) for *_, y in rows]))
+        yield pd.DataFrame({"weights": [out.getvalue()]})
+
+    found = sample.repartition(1).mapInPandas(run, "weights binary").first()
+    if found is None:  # nothing labelled, so not even one task
+        return train([], [])
+    with np.load(io.BytesIO(found.weights)) as weights:
+        return dict(weights)
 
 
 class Adam:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Adam, held_out, labelled, sigmoid
+from tidewatch.llm.common import Adam, held_out, labelled, sigmoid, trained
 
 PASSAGE = 64
 # kinds of bytes: 0 white space, 1 newline, 2 a-z, 3 A-Z, 4 digits, 5 sentence marks, 6 brackets and quotes, 7 other signs,
@@ -89,7 +89,9 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> dict[
 def train(texts: list[str], labels: list[int], width: int = 24, gates: int = 12, steps: int = 150, seed: int = 4) -> dict[str, np.ndarray]:
     """Weights of the network. With labels of one kind only, a network that scores every text with that share."""
     rng = np.random.default_rng(seed)
-    x, first = passages(texts)
+    parts = [passages(texts[i:i + 200]) for i in range(0, len(texts), 200)] or [passages([])]
+    offset = np.cumsum([0, *(len(p) for p, _ in parts)])
+    x, first = np.concatenate([p for p, _ in parts]), np.concatenate([f + o for (_, f), o in zip(parts, offset, strict=False)])
     y = np.array(labels, np.float32)
     share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
     learned = {
@@ -135,8 +137,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, tr
     Null, empty and blank texts are scored as one empty passage. Only the text counts: equal texts get equal scores. Other
     columns pass through.
     """
-    sample = labelled(docs, labels, "quality", train_rows, train_chars)
-    weights = docs.sparkSession.sparkContext.broadcast(train([t for _, t, _ in sample], [y for *_, y in sample]))
+    weights = docs.sparkSession.sparkContext.broadcast(trained(labelled(docs, labels, "quality", train_rows, train_chars), train))
 
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
