@@ -66,6 +66,23 @@ def test_recall_at_the_border():
     assert np.mean(shared) > 0.97
 
 
+def test_recall_holds_with_many_filters(spark):
+    """As many filters as a million vectors get: 2000 pairs just above the border, far from each other."""
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((2, 2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    got = V.near_vectors(table(spark, enumerate(np.concatenate([x, y]).tolist())), filter_rows=1)
+    assert 0.99 * 4000 <= got.agg(F.sum("n_links")).first()[0] <= 4000
+
+
+@pytest.mark.parametrize(("dim", "filters"), [(2, 125), (8, 3_125), (64, 625_000), (384, 62_500)])
+def test_recall_by_dimension_and_filters(dim, filters):
+    code, least = V.probed(dim, filters, 16, 0.95)
+    assert V.met(code, least, *V.border_pairs(dim, 0.95, 22)) >= 0.99
+
+
 def test_large_groups_are_cut_into_cells(spark, monkeypatch):
     monkeypatch.setattr(V, "CELL", 40)
     rng = np.random.default_rng(3)

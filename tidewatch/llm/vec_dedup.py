@@ -7,13 +7,16 @@ a filter are compared in double precision, in cells of bounded size. A pair that
 smallest one; cells return counts and one link to the cell's smallest member per vector, never pairs.
 
 The number of filters follows the number of vectors, so that a filter holds ``filter_rows`` on average; the cap height
-is the quantile at which a random direction has ``caps`` filters. At cosine 0.95 each filter of a vector is shared with
-probability of about 2/3, so ``caps`` = 16 loses practically no pair.
+is the quantile at which a random direction has ``caps`` filters. The higher the caps, the rarer a filter is shared, so a
+vector below the height in most filters gets its ``least`` best ones; ``least`` is raised for the dimension and the number
+of filters at hand until at least RECALL of the pairs of a probe, drawn at exactly the smallest cosine, share a filter.
+A pair that shares none is not found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import components, staged
 
 CELL = 2_000  # rows of one side of a cell
+RECALL, PROBE = 0.995, 2_000  # share of probe pairs that must meet in a filter, pairs of the probe
 
 
 class CapCode:
@@ -67,6 +71,33 @@ class CapCode:
         return out
 
 
+def border_pairs(dim: int, cosine: float, seed: int, n: int = PROBE) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors and their partners at exactly ``cosine``; in one dimension, where there are none, themselves."""
+    rng = np.random.default_rng([seed, dim])
+    x, y = rng.standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dim == 1:
+        return x, x
+    y -= (y * x).sum(1, keepdims=True) * x
+    return x, cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+def met(code: CapCode, least: int, x: np.ndarray, y: np.ndarray) -> float:
+    """Share of the pairs that have a filter in common."""
+    found = [zip(code.decode(x[at:at + 500], least), code.decode(y[at:at + 500], least), strict=True) for at in range(0, len(x), 500)]
+    return float(np.mean([len(np.intersect1d(a, b)) > 0 for part in found for a, b in part]))
+
+
+@lru_cache(maxsize=8)
+def probed(dim: int, filters: int, caps: float, min_cosine: float) -> tuple[CapCode, int]:
+    """The code, and the number of filters a vector has at least so that the probe reaches RECALL."""
+    code, least = CapCode(dim, filters, caps), 4
+    x, y = border_pairs(dim, min_cosine, 21)
+    while least < code.size**2 and met(code, least, x, y) < RECALL:
+        least = min(code.size**2, least + max(2, least // 2))
+    return code, least
+
+
 def unit_rows(vectors: pd.Series) -> np.ndarray:
     x = np.array([np.asarray(v, np.float64) for v in vectors])
     x = x / np.abs(x).max(1, keepdims=True)  # no overflow or underflow in the norm
@@ -131,15 +162,12 @@ def vector_links(classes: DataFrame, min_cosine: float, caps: float, filter_rows
     filters = max(16, int(classes.count() * caps / filter_rows))  # tasks make the code from these numbers and its seed
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made: dict[int, CapCode] = {}
         for frame in frames:
             for dim, part in frame.groupby(frame["vector"].map(len)):
-                if dim not in made:
-                    made[dim] = CapCode(dim, filters, caps)
-                code = made[dim]
+                code, least = probed(dim, filters, caps, min_cosine)
                 for at in range(0, len(part), 500):
                     rows = part.iloc[at:at + 500]
-                    yield rows.assign(dim=dim, filters=code.decode(unit_rows(rows["vector"]), 4))
+                    yield rows.assign(dim=dim, filters=code.decode(unit_rows(rows["vector"]), least))
 
     found = staged(classes.mapInPandas(decode, "class long, size long, vector array<double>, dim int, filters array<long>"), "caps")
     rows = found.withColumn("filter", F.explode("filters"))
