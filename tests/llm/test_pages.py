@@ -61,6 +61,14 @@ def test_html_query(spark):
         assert (r.text, r.n_chars) == (want, len(want))
 
 
+def test_html_query_returns_the_url(spark):
+    sf = "/root/testdata/sf0.001"
+    got = H.query(spark, sf)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    want = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()
+    assert sorted(map(tuple, got.select("page_id", "url").collect()), key=str) == sorted(map(tuple, want), key=str)
+
+
 def parts(url):
     m = re.match(r".*?://([^/?#]*)([^?#]*)", url or "", re.S)
     return ("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")

@@ -314,6 +314,6 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """page_id, text, n_chars of every page."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
-    return extract(pages).select("page_id", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+    """page_id, url, text, n_chars of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extract(pages).select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
