@@ -135,6 +135,30 @@ def test_filter_equals_plain_python(spark):
     assert by_id[5] == "block" and by_id[18] == "allow" and by_id[17] == "allow"  # links to blocked hosts; unknown; ruled
 
 
+def chain(n):
+    """n hosts, each linking to the next, the last one to a blocked host."""
+    hosts = [f"h{i}.net" for i in range(n)] + ["bad.com"]
+    return [(i, f"https://{h}/", link(hosts[i + 1])) for i, h in enumerate(hosts[:-1])] + [(n, "https://bad.com/de/", None)]
+
+
+def test_distrust_reaches_distant_hosts(spark):
+    rows = chain(36)
+    got = U.filter_urls(spark.createDataFrame(rows, PAGES)).select("page_id", "url_filter.*").collect()
+    assert sorted(map(tuple, got), key=str) == judged(rows) and all(r.verdict == "block" for r in got)
+
+
+def test_other_seeds_do_not_end_the_propagation(spark):
+    rows = spark.createDataFrame(chain(4), PAGES)
+    many = spark.range(2_000_000).select((F.col("id") + 100).alias("page_id"), F.lit("https://big.org/").alias("url"), F.lit(None).cast("string").alias("html"))
+    got = U.filter_urls(rows.unionByName(many)).where("page_id < 100").select("page_id", "url_filter.verdict").collect()
+    assert sorted(map(tuple, got)) == [(i, "block") for i in range(5)]
+
+
+def test_rounds_that_run_out_are_an_error(spark):
+    with pytest.raises(RuntimeError, match="rounds"):
+        U.filter_urls(spark.createDataFrame(chain(8), PAGES), rounds=5)
+
+
 def test_links_are_found(spark):
     page = "<a\nhref = \"HTTPS://One.net:80/x\"><A id=q HREF=//two.net?y><a href='/in'><a href='mailto:x@y'><link href='https://no.net'><a href='ftp://three.net'>"
     got = U.host_edges(spark.createDataFrame([(1, "https://me.net/", page), (2, None, page)], PAGES))

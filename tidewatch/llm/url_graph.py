@@ -54,9 +54,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def host_scores(
-    pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 30
+    pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 10_000
 ) -> DataFrame:
-    """(host, trust, distrust) of every host with a score; stops when no score moves by more than ``tolerance`` of the seeds."""
+    """(host, trust, distrust) of every host with a score; stops when no score moves by more than ``tolerance`` of itself.
+
+    A host that is reached for the first time moves by all of its score. When all scores move by less than a part of
+    themselves, so they do in every later round, as a round only adds up shares of the moves before. An error is raised
+    when ``rounds`` don't suffice.
+    """
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     seen = pages.select(host.alias("host"), ruled(host, path, rules)[1].alias("verdict")).where("host <> '' AND verdict IS NOT NULL")
     seeds = staged(seen.groupBy("host", "verdict").agg(F.count("*").alias("n")).select(
@@ -69,24 +74,25 @@ def host_scores(
         .unionByName(edges.join(into, F.col("dst") == F.col("d")).select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(1).alias("k"), (F.col("n") * damping / F.col("all")).alias("share"))),
         "flow")
     scores = seeds.select("host", "kind", F.col("seed").alias("score"))
-    total = scores.agg(F.sum("score")).first()[0] or 0.0
-    if total and flow.limit(1).count():
+    if seeds.limit(1).count() and flow.limit(1).count():
         for _ in range(rounds):
             moved = flow.join(scores, (F.col("from") == F.col("host")) & (F.col("k") == F.col("kind"))).select(
                 F.col("to").alias("host"), "kind", (F.col("share") * F.col("score")).alias("x"), F.lit(0.0).alias("was"))
             parts = moved.unionByName(seeds.select("host", "kind", F.col("seed").alias("x"), F.lit(0.0).alias("was"))).unionByName(
                 scores.select("host", "kind", F.lit(0.0).alias("x"), F.col("score").alias("was")))
             new = staged(parts.groupBy("host", "kind").agg(F.sum("x").alias("score"), F.sum("was").alias("was")), "scores")
-            change = new.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0]
+            moving = new.where(F.abs(F.col("score") - F.col("was")) > tolerance * F.col("score")).limit(1).count()
             scores = new.select("host", "kind", "score")
-            if change <= tolerance * total:
+            if not moving:
                 break
+        else:
+            raise RuntimeError(f"host scores still move after {rounds} rounds")
     return scores.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == 1, F.col("score")).otherwise(0.0)).alias("distrust"))
 
 
-def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 2.0, damping: float = 0.85, rounds: int = 30) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 2.0, damping: float = 0.85, rounds: int = 10_000) -> DataFrame:
     """``pages`` with ``url_filter`` (host, path, rule, verdict).
 
     A rule fits its host and all subdomains when the path starts with the rule's; the longest decides. Where none fits,
