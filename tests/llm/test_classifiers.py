@@ -1,3 +1,4 @@
+import inspect
 import random
 import zlib
 
@@ -54,6 +55,19 @@ def test_held_out_accuracy(data, weights):
     assert ((X.score_texts(weights[1], texts[400:]) >= 0.5) == np.array(toxic[400:])).mean() >= 0.95
 
 
+def test_training_sees_every_window(data, monkeypatch):
+    """Each later round picks among all windows, and the last fit looks at all documents, with the full sizes by default."""
+    defaults = {k: p.default for k, p in inspect.signature(X.train).parameters.items()}
+    assert (defaults["rounds"], defaults["steps"], defaults["clean"]) == (4, 20, 4000)
+    assert inspect.signature(X.score_toxicity).parameters["train_rows"].default == 6000
+    texts, _, toxic = data
+    seen, real = [], X.window_logits
+    monkeypatch.setattr(X, "window_logits", lambda w, x, grid: seen.append(len(grid)) or real(w, x, grid))
+    X.train(texts[:60], toxic[:60], rounds=3, steps=1, clean=40)
+    n = sum(len(X.windows(X.encode([t])[1])[0]) for t in texts[:60])
+    assert len(seen) == 3 and min(seen) >= n
+
+
 def test_an_insult_deep_in_a_long_text_is_seen(data, weights):
     rng = random.Random(3)
     long = text(rng, 5000).split()

@@ -174,7 +174,7 @@ def log_odds(held: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.log(share) * (bad + good) / (bad + good + 5.0)
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 3, steps: int = 18, clean: int = 3500, seed: int = 5) -> Weights:
+def train(texts: list[str], labels: list[int], rounds: int = 4, steps: int = 20, clean: int = 4000, seed: int = 5) -> Weights:
     """Weights of the network. With labels of one kind only, one that scores every text with that share.
 
     Each of ``rounds`` picks windows: the worst of every toxic text, and ``clean`` windows of clean texts, half of them the
@@ -215,9 +215,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, steps: int = 18,
     net = [k for k in w if k not in ("words", "grams", "scale", "shift")]
     adam = Adam({k: w[k] for k in net}, rate=0.02, decay=1e-5)
     for r in range(rounds):
-        if r:  # all windows of toxic texts, and a share of the others that changes from round to round
-            seen = np.concatenate([bad_windows, rest[r % 3::3], np.arange(len(owner), len(grid))])
-            worst[seen] = window_logits(w, inputs(w, bucket, gram, first), grid[seen])
+        if r:
+            worst = window_logits(w, inputs(w, bucket, gram, first), grid)
         bad = bad_windows[pd.Series(worst[bad_windows]).groupby(owner[bad_windows]).idxmax().to_numpy()]
         hard = rest[np.argsort(-worst[rest], kind="stable")[:clean // 2]]
         even = rest[np.linspace(0, len(rest) - 1, min(len(rest), clean // 2)).astype(int)] if len(rest) else rest
@@ -239,13 +238,10 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, steps: int = 18,
             adam.step({k: grads[k] for k in net})
             # embeddings beyond their log-odds are learned too, with plain steps
             np.add.at(w["words"][:, 1:], mine[0], -2.0 * d_x[:, 1:DIM])
-    # the logistic fit of the documents' worst windows: all toxic documents, and every third of the others, which count thrice
-    third = (y == 1) | (np.arange(len(y)) % 3 == 0)
-    seen = np.flatnonzero(third[owner])
-    z = pd.Series(window_logits(w, inputs(w, bucket, gram, first), grid[seen])).groupby(owner[seen]).max().to_numpy()
-    goal, weight, scale, shift = y[third], np.where(y[third] == 1, 1, 3), 1.0, 0.0
-    for _ in range(2000):
-        e = weight * (sigmoid(scale * z + shift) - goal) / weight.sum()
+    worst = window_logits(w, inputs(w, bucket, gram, first), grid[:len(owner)])
+    z, scale, shift = pd.Series(worst).groupby(owner).max().to_numpy(), 1.0, 0.0
+    for _ in range(2000):  # the logistic fit of the documents' worst windows
+        e = (sigmoid(scale * z + shift) - y) / len(y)
         scale, shift = scale - 1.0 * ((e * z).sum() + 1e-3 * scale), shift - 1.0 * e.sum()
     w["scale"], w["shift"] = np.float32([scale]), np.float32([shift])
     return w
@@ -266,7 +262,7 @@ def score_texts(w: Weights, texts: list[str | None]) -> np.ndarray:
     return sigmoid(w["scale"].astype(np.float64) * np.maximum.reduceat(logit.astype(np.float64), first) + w["shift"])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 5000, train_chars: int = 100_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, train_chars: int = 100_000) -> DataFrame:
     """``docs`` with ``toxicity_score``: 0 to 1, higher where label 1 is likelier.
 
     The network learns from at most ``train_rows`` rows of ``labels`` (doc_id, toxic) that are not held out and whose text
