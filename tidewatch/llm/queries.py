@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, html_text, line_dedup, near_dup, packing, quality, topk, toxicity, url_graph, vec_dedup
+from tidewatch.llm import bpe, decontaminate, html_text, line_dedup, near_dup, packing, quality, topk, toxicity, url_graph, vec_dedup
 
 QUERIES = {
     "op1_html_text": html_text.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_topk": topk.query,
     "op10_bpe": bpe.query,
+    "op11_decontaminate": decontaminate.query,
 }
 
 ORACLES = {
     "op2_line_dedup": line_dedup.SQL,
     "op9_topk": topk.SQL,
+    "op11_decontaminate": decontaminate.SQL,
 }
