@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, decontaminate, html_text, line_dedup, merkle, near_dup, packing, quality, topk, toxicity, url_graph, vec_dedup
+from tidewatch.llm import bpe, decontaminate, html_text, line_dedup, merkle, near_dup, packing, quality, topk, toxicity, url_graph, vec_codes, vec_dedup
 
 QUERIES = {
     "op1_html_text": html_text.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_topk": topk.query,
     "op10_bpe": bpe.query,
     "op11_decontaminate": decontaminate.query,
+    "op12_vec_codes": vec_codes.query,
     "op13_merkle": merkle.query,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op2_line_dedup": line_dedup.SQL,
     "op9_topk": topk.SQL,
     "op11_decontaminate": decontaminate.SQL,
+    "op12_vec_codes": vec_codes.SQL,
     "op13_merkle": merkle.SQL,
 }
