@@ -55,6 +55,35 @@ def test_near_copies_leave_one(spark):
     assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == ["3", "None"]
 
 
+NAMES = ("gone", "line_dedup", "toxicity_score", "quality_score", "document", "__id", "__cut_")
+
+
+def awkward(spark):
+    """Null, empty, repeated rows, and columns named as the stages name theirs."""
+    base = [(1, None, "en", "s", None), (2, "", "en", "s", 0), (3, "plain words here", None, None, 16), (3, "plain words here", None, None, 16), (None, "no id", "en", "s", 5)]
+    docs = spark.createDataFrame(base, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.select("*", *[F.lit(7).alias(n) for n in NAMES])
+
+
+def test_stages_with_awkward_rows_and_names(spark):
+    docs = awkward(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r[n] == 7 for r in got for n in NAMES) and len(got) == (5 if name in ("line_dedup", "near_dedup") else len(got))
+    assert {r.doc_id for r in corpus_pipeline.packing(spark, docs, SF).collect()} == {1, 2, 3, None}
+
+
+def test_stages_with_empty_tables(spark, tmp_path):
+    docs = awkward(spark)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.toxicity(spark, docs, str(tmp_path)).count() == 0  # 0.5 for every text
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == 5
+
+
 def test_entry_works_without_the_package():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') for q in e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()

@@ -55,15 +55,9 @@ def test_near_vectors_equal_brute_force(spark):
 
 def test_recall_at_the_border():
     """Pairs at exactly 0.95 share a filter far more often than nine times in ten."""
-    rng = np.random.default_rng(2)
-    code = V.CapCode(64, 3200, 16)
-    x = rng.standard_normal((500, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = rng.standard_normal((500, 64))
-    y -= (y * x).sum(1, keepdims=True) * x
-    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    shared = [len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(x, 4), code.decode(y, 4), strict=True)]
-    assert np.mean(shared) > 0.97
+    code, least = V.probed(64, 3200, 16, 0.95)
+    x, y = V.border_pairs(64, 0.95, seed=2, n=2000)  # other pairs than the probe's own
+    assert V.met(code, least, x, y) > 0.99
 
 
 def test_recall_holds_with_many_filters(spark):

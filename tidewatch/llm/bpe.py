@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import unclaimed
+
 MEMO = 250_000  # entries of a generation of what a worker remembers, about 80 MB
 
 
@@ -166,11 +168,11 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``tokens`` (ids array<int>, decoded string) of the whole ``text``.
+def encode_documents(docs: DataFrame, path: str, column: str = "tokens") -> DataFrame:
+    """``docs`` with ``column`` (ids array<int>, decoded string) of the whole ``text``.
 
-    Null and empty text: no ids and an empty string. Text of white space only: the same. Other columns pass through;
-    every row is encoded on its own, so repeated rows and ids make no difference.
+    Null and empty text: no ids and an empty string. Text of white space only: the same. Other columns pass through,
+    and a column named ``column`` is an error; every row is encoded on its own, so repeated rows and ids make no difference.
     """
 
     @F.pandas_udf("struct<ids: array<int>, decoded: string>")
@@ -180,11 +182,11 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             ids = [bpe.encode(t) for t in part]
             yield pd.DataFrame({"ids": ids, "decoded": [bpe.decode(x) for x in ids]})
 
-    return docs.withColumn("tokens", run("text"))
+    return docs.withColumn(unclaimed(docs, column), run("text"))
 
 
-def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``digests`` (n_tokens, ids_sha256, decoded_sha256): the outcome of encoding and decoding without
+def token_digests(docs: DataFrame, path: str, column: str = "digests") -> DataFrame:
+    """``docs`` with ``column`` (n_tokens, ids_sha256, decoded_sha256): the outcome of encoding and decoding without
     its bulk. Same cases as ``encode_documents``."""
 
     @F.pandas_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
@@ -197,7 +199,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
                 out.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(words.encode()).hexdigest()))
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.withColumn("digests", run("text"))
+    return docs.withColumn(unclaimed(docs, column), run("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -28,6 +28,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def unclaimed(df: DataFrame, name: str) -> str:
+    """``name``, an error if the table has such a column: a result is never put over a column that passes through."""
+    if spare_name(df, name) != name:
+        raise ValueError(f"the table has a column {name}; give the result another name")
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept away from label learning: crc32 of the id as text is divisible by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -101,14 +116,15 @@ def batches(frames: Iterator, rows: int) -> Iterator:
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, chars: int) -> DataFrame:
     """(doc_id, text, label) of at most ``rows`` labelled documents outside the held-out fifth, the same ones at every
-    run: the first by a hash of their id. Ids labelled twice count with the larger label; texts over ``chars`` are left
-    out of the sample. Both bounds are parameters, so the sample fits in one task."""
+    run: the first by a hash of their id. Ids labelled twice count with the larger label, and of several texts of an id the
+    first in order counts; texts over ``chars`` are left out of the sample. Both bounds are parameters, so the sample fits in
+    one task."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(column).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     short = docs.select(F.col("doc_id").cast("long"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
     found = short.join(F.broadcast(known), F.col("doc_id") == F.col("id"))
-    return found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").limit(2 * rows)
+    return found.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", "label")
 
 
 def trained(sample: DataFrame, train: Callable[[list[str], list[int]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ASCII_SPACE, staged
+from tidewatch.llm.common import ASCII_SPACE, staged, unclaimed
 
 SEGMENT_BITS = 20  # positions of one segment of the filter
 
@@ -142,8 +142,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filt
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_bits: int = 1 << 27) -> DataFrame:
-    """``docs`` with the repeated lines removed from ``text``, and ``line_dedup`` (n_lines, n_dropped).
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_bits: int = 1 << 27, column: str = "line_dedup") -> DataFrame:
+    """``docs`` with the repeated lines removed from ``text``, and ``column`` (n_lines, n_dropped).
 
     A line's key is the line without outer ASCII white space, A-Z lower-cased. Keys of at least ``min_chars`` code
     points that at least ``min_docs`` document ids hold lose all their lines, except in the largest id holding them
@@ -151,8 +151,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_
 
     Null and empty text: one empty line (text stays null if it was null). Rows that share a doc_id count as one
     document and are cut alike; rows without doc_id count for nothing and keep all lines. A document all of whose
-    lines go gets an empty text. Other columns pass through under their names.
+    lines go gets an empty text. Other columns pass through under their names; a column named
+    ``column`` is an error.
     """
+    unclaimed(docs, column)
     drops = repeated_lines(docs, min_chars, min_docs, filter_bits).select(F.col("doc_id").alias("__id"), F.col("digests").alias("__drop"))
 
     @F.pandas_udf("struct<text: string, n_lines: long, n_dropped: long>")
@@ -170,7 +172,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_
 
     joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("__id"), "left").withColumn("__cut", cut("text", "__drop"))
     rest = [F.col("__cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*rest, F.struct("__cut.n_lines", "__cut.n_dropped").alias("line_dedup"))
+    return joined.select(*rest, F.struct("__cut.n_lines", "__cut.n_dropped").alias(column))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

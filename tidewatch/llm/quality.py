@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Adam, held_out, labelled, sigmoid, trained
+from tidewatch.llm.common import Adam, held_out, labelled, sigmoid, trained, unclaimed
 
 PASSAGE = 64
 # kinds of bytes: 0 white space, 1 newline, 2 a-z, 3 A-Z, 4 digits, 5 sentence marks, 6 brackets and quotes, 7 other signs,
@@ -129,14 +129,16 @@ def score_texts(w: dict[str, np.ndarray], texts: list[str | None]) -> np.ndarray
     return sigmoid(forward(w, x, first)["logit"].astype(np.float64))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, train_chars: int = 100_000) -> DataFrame:
-    """``docs`` with ``quality_score``: 0 to 1, higher where label 1 is likelier.
+def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, train_chars: int = 100_000,
+                  column: str = "quality_score") -> DataFrame:
+    """``docs`` with ``column``: 0 to 1, higher where label 1 is likelier.
 
     The network learns from at most ``train_rows`` rows of ``labels`` (doc_id, quality) that are not held out and whose text
     has at most ``train_chars`` characters; without labels of both kinds every text gets their share (0.5 without any).
     Null, empty and blank texts are scored as one empty passage. Only the text counts: equal texts get equal scores. Other
-    columns pass through.
+    columns pass through; a column named ``column`` is an error.
     """
+    unclaimed(docs, column)
     weights = docs.sparkSession.sparkContext.broadcast(trained(labelled(docs, labels, "quality", train_rows, train_chars), train))
 
     @F.pandas_udf("double")
@@ -145,7 +147,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, tr
             texts = part.tolist()
             yield pd.Series(np.concatenate([score_texts(weights.value, texts[i:i + 200]) for i in range(0, len(texts), 200)] or [np.empty(0)]))
 
-    return docs.withColumn("quality_score", run("text"))
+    return docs.withColumn(column, run("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

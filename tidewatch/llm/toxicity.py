@@ -13,18 +13,19 @@ window into a probability.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Adam, held_out, labelled, mix64, sigmoid, trained
+from tidewatch.llm.common import Adam, held_out, labelled, mix64, sigmoid, trained, unclaimed
 
 WINDOW, STRIDE = 24, 12
 WORDS, GRAMS = 1 << 15, 1 << 14  # hash buckets
 DIM, HIDDEN = 4, 8
+PART = 200_000  # words whose buckets are counted at a time
 EDGE = b" .,;:!?\"'()[]{}<>*#$%&|~^_=+-/\\`"
 Weights = dict[str, np.ndarray]
 
@@ -54,7 +55,7 @@ def encode_in_parts(texts: list[str], rows: int = 250) -> tuple[np.ndarray, np.n
         number = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))
         codes.append(number[code])
         counts.append(n)
-    return np.concatenate(codes).astype(np.int64), np.concatenate(counts), list(index)
+    return np.concatenate(codes), np.concatenate(counts), list(index)
 
 
 def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,11 +91,13 @@ def windows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start + (np.cumsum(n) - n)[doc], doc
 
 
-def window_words(code: np.ndarray, n: np.ndarray, at: np.ndarray, doc: np.ndarray, none: int) -> np.ndarray:
-    """(windows, WINDOW) numbers of words; ``none`` beyond the end of a text."""
-    grid = at.astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
-    inside = grid < np.cumsum(n)[doc][:, None]
-    return np.where(inside, code[np.minimum(grid, max(0, len(code) - 1))] if len(code) else none, none).astype(np.int32)
+def window_words(code: np.ndarray, stop: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+    """(windows, WINDOW) numbers of words for windows that begin at ``at``; ``stop`` is the end of each one's text and
+    ``none`` stands beyond it."""
+    if not len(code):
+        return np.full((len(at), WINDOW), none, np.int32)
+    grid = at[:, None] + np.arange(WINDOW)
+    return np.where(grid < stop[:, None], code[np.minimum(grid, len(code) - 1)], none).astype(np.int32)
 
 
 def run_layer(x: np.ndarray, grid: np.ndarray, w: Weights, side: str) -> list[tuple]:
@@ -191,40 +194,48 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, steps: int = 20,
         return w
     code, n, words = encode_in_parts(texts)
     bucket, gram, first = word_inputs(words)
-    doc = np.repeat(np.arange(len(texts)), n)
-    w["words"][:, 0] = log_odds(held_by(bucket[code], doc, y, WORDS), y)
-    span, held = np.diff(np.append(first, len(gram))), np.zeros((2, GRAMS))
-    for part in np.array_split(np.arange(len(code)), max(1, len(code) // 200_000)):
-        # a part may begin within a document: cut at documents
-        lo, hi = np.searchsorted(doc, [doc[part[0]] + (part[0] > 0), doc[part[-1]] + 1]) if len(part) else (0, 0)
-        pair = np.unique(doc[lo:hi] * len(words) + code[lo:hi])
-        word = pair % len(words)
+    span, stop = np.diff(np.append(first, len(gram))), np.cumsum(n)
+    held, held_grams = np.zeros((2, WORDS)), np.zeros((2, GRAMS))
+    for docs in np.split(np.arange(len(n)), np.searchsorted(stop, np.arange(PART, int(stop[-1]), PART))):
+        mine = code[stop[docs[0]] - n[docs[0]]:stop[docs[-1]]] if len(docs) else code[:0]
+        pair = np.unique(np.repeat(docs, n[docs]) * max(1, len(words)) + mine)
+        doc, word = pair // max(1, len(words)), pair % max(1, len(words))
+        held += held_by(bucket[word], doc, y, WORDS)
         spot = np.repeat(first[word] - (np.cumsum(span[word]) - span[word]), span[word]) + np.arange(span[word].sum())
-        held += held_by(gram[spot], np.repeat(pair // len(words), span[word]), y, GRAMS)
-    w["grams"][:, 0] = log_odds(held, y)
+        held_grams += held_by(gram[spot], np.repeat(doc, span[word]), y, GRAMS)
+    w["words"][:, 0], w["grams"][:, 0] = log_odds(held, y), log_odds(held_grams, y)
     at, owner = windows(n)
-    grid = window_words(code, n, at, owner, len(words))
     # windows that say next to nothing are clean: no words at all, or one word of a clean text throughout
-    spoken = code[y[doc] == 0]
-    dull = np.repeat(spoken[rng.integers(0, len(spoken), clean // 10)] if len(spoken) else np.empty(0, np.int64), WINDOW).reshape(-1, WINDOW)
-    grid = np.concatenate([grid, np.full((clean // 40, WINDOW), len(words)), dull])
-    toxic = np.concatenate([y[owner] == 1, np.zeros(len(grid) - len(owner), bool)])
+    spoken = code[np.repeat(y == 0, n)]
+    dull = np.repeat(spoken[rng.integers(0, len(spoken), clean // 10)] if len(spoken) else np.empty(0, np.int32), WINDOW).reshape(-1, WINDOW)
+    extra = np.concatenate([np.full((clean // 40, WINDOW), len(words), np.int32), dull])
+    total = len(at) + len(extra)
+
+    def grid_of(index: np.ndarray) -> np.ndarray:
+        """The words of windows by number: those of the texts, then the dull ones. Only what is asked for is held."""
+        text = index < len(at)
+        k = index[text]
+        return np.concatenate([window_words(code, stop[owner[k]], at[k], len(words)), extra[index[~text] - len(at)]])
+
+    toxic = np.concatenate([y[owner] == 1, np.zeros(len(extra), bool)])
     bad_windows, rest = np.flatnonzero(toxic), np.flatnonzero(~toxic)
     x = inputs(w, bucket, gram, first)
-    worst = np.append(x[:, 0] + x[:, DIM], -1e9)[grid].max(1)  # before the network knows anything
+    start = np.append(x[:, 0] + x[:, DIM], -1e9)  # before the network knows anything
+    worst = np.concatenate([start[grid_of(k)].max(1) for k in chunks(total)])
     net = [k for k in w if k not in ("words", "grams", "scale", "shift")]
     adam = Adam({k: w[k] for k in net}, rate=0.02, decay=1e-5)
     for r in range(rounds):
         if r:
-            worst = window_logits(w, inputs(w, bucket, gram, first), grid)
+            worst = window_logits(w, inputs(w, bucket, gram, first), grid_of, total)
         bad = bad_windows[pd.Series(worst[bad_windows]).groupby(owner[bad_windows]).idxmax().to_numpy()]
         hard = rest[np.argsort(-worst[rest], kind="stable")[:clean // 2]]
         even = rest[np.linspace(0, len(rest) - 1, min(len(rest), clean // 2)).astype(int)] if len(rest) else rest
-        extra = np.arange(len(owner), len(grid))
-        pick = np.concatenate([bad, hard, even, extra])
+        pick = np.concatenate([bad, hard, even, np.arange(len(at), total)])
         goal = np.concatenate([np.ones(len(bad)), np.zeros(len(pick) - len(bad))]).astype(np.float32)
         weight = np.where(goal == 1, 0.5 / max(1, len(bad)), 0.5 / max(1, len(pick) - len(bad))).astype(np.float32)
-        used, small = np.unique(grid[pick], return_inverse=True)
+        # picked windows in order, the dull ones last as grid_of returns them
+        pick = pick[np.argsort(pick >= len(at), kind="stable")]
+        used, small = np.unique(grid_of(pick), return_inverse=True)
         small = small.reshape(-1, WINDOW)
         known = used < len(words)
         mine = word_inputs([words[i] for i in used[known]])  # of the windows' different words only
@@ -238,7 +249,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, steps: int = 20,
             adam.step({k: grads[k] for k in net})
             # embeddings beyond their log-odds are learned too, with plain steps
             np.add.at(w["words"][:, 1:], mine[0], -2.0 * d_x[:, 1:DIM])
-    worst = window_logits(w, inputs(w, bucket, gram, first), grid[:len(owner)])
+    worst = window_logits(w, inputs(w, bucket, gram, first), grid_of, len(at))
     z, scale, shift = pd.Series(worst).groupby(owner).max().to_numpy(), 1.0, 0.0
     for _ in range(2000):  # the logistic fit of the documents' worst windows
         e = (sigmoid(scale * z + shift) - y) / len(y)
@@ -247,8 +258,13 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, steps: int = 20,
     return w
 
 
-def window_logits(w: Weights, x: np.ndarray, grid: np.ndarray, rows: int = 4096) -> np.ndarray:
-    return np.concatenate([forward(w, x, grid[i:i + rows])["logit"] for i in range(0, len(grid), rows)] or [np.empty(0, np.float32)])
+def chunks(total: int, rows: int = 4096) -> list[np.ndarray]:
+    return [np.arange(i, min(total, i + rows)) for i in range(0, total, rows)]
+
+
+def window_logits(w: Weights, x: np.ndarray, grid_of: Callable[[np.ndarray], np.ndarray], total: int) -> np.ndarray:
+    """Logits of ``total`` windows, whose words ``grid_of`` gives a chunk at a time."""
+    return np.concatenate([forward(w, x, grid_of(k))["logit"] for k in chunks(total)] or [np.empty(0, np.float32)])
 
 
 def score_texts(w: Weights, texts: list[str | None]) -> np.ndarray:
@@ -257,19 +273,22 @@ def score_texts(w: Weights, texts: list[str | None]) -> np.ndarray:
         return np.empty(0)
     code, n, words = encode(texts)
     at, owner = windows(n)
-    logit = window_logits(w, inputs(w, *word_inputs(words)), window_words(code, n, at, owner, len(words)))
+    stop = np.cumsum(n)
+    logit = window_logits(w, inputs(w, *word_inputs(words)), lambda k: window_words(code, stop[owner[k]], at[k], len(words)), len(at))
     first = np.searchsorted(owner, np.arange(len(texts)))
     return sigmoid(w["scale"].astype(np.float64) * np.maximum.reduceat(logit.astype(np.float64), first) + w["shift"])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, train_chars: int = 100_000) -> DataFrame:
-    """``docs`` with ``toxicity_score``: 0 to 1, higher where label 1 is likelier.
+def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, train_chars: int = 100_000,
+                   column: str = "toxicity_score") -> DataFrame:
+    """``docs`` with ``column``: 0 to 1, higher where label 1 is likelier.
 
     The network learns from at most ``train_rows`` rows of ``labels`` (doc_id, toxic) that are not held out and whose text
     has at most ``train_chars`` characters; without labels of both kinds every text gets their share (0.5 without any).
     Null, empty and blank texts are scored as a window without words. Only the text counts: equal texts get equal scores.
-    Other columns pass through.
+    Other columns pass through; a column named ``column`` is an error.
     """
+    unclaimed(docs, column)
     weights = docs.sparkSession.sparkContext.broadcast(trained(labelled(docs, labels, "toxic", train_rows, train_chars), train))
 
     @F.pandas_udf("double")
@@ -278,7 +297,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, t
             texts = part.tolist()
             yield pd.Series(np.concatenate([score_texts(weights.value, texts[i:i + 200]) for i in range(0, len(texts), 200)] or [np.empty(0)]))
 
-    return docs.withColumn("toxicity_score", run("text"))
+    return docs.withColumn(column, run("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
