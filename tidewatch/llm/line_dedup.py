@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ASCII_SPACE, staged, unclaimed
+from tidewatch.llm.common import ASCII_SPACE, spare_name, staged, unclaimed
 
 SEGMENT_BITS = 20  # positions of one segment of the filter
 
@@ -155,7 +155,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_
     ``column`` is an error.
     """
     unclaimed(docs, column)
-    drops = repeated_lines(docs, min_chars, min_docs, filter_bits).select(F.col("doc_id").alias("__id"), F.col("digests").alias("__drop"))
+    key, drop, found = spare_name(docs, "__id"), spare_name(docs, "__drop"), spare_name(docs, "__cut")
+    drops = repeated_lines(docs, min_chars, min_docs, filter_bits).select(F.col("doc_id").alias(key), F.col("digests").alias(drop))
 
     @F.pandas_udf("struct<text: string, n_lines: long, n_dropped: long>")
     def cut(texts: pd.Series, drop: pd.Series) -> pd.DataFrame:
@@ -170,9 +171,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_
             out.append((text, len(lines), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("__id"), "left").withColumn("__cut", cut("text", "__drop"))
-    rest = [F.col("__cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*rest, F.struct("__cut.n_lines", "__cut.n_dropped").alias(column))
+    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col(key), "left").withColumn(found, cut("text", drop))
+    rest = [F.col(f"{found}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*rest, F.struct(f"{found}.n_lines", f"{found}.n_dropped").alias(column))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

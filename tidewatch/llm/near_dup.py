@@ -48,7 +48,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     h = pd.util.hash_array(flat, categorize=False) if len(flat) else np.empty(0, np.uint64)
     rolled = np.zeros(max(0, len(h) - words + 1), np.uint64)
     for j in range(words):
-        rolled += mix64(h[j:len(h) - words + 1 + j] + ODD[j]) * ODD[j]
+        rolled += mix64(h[j:j + len(rolled)] + ODD[j]) * ODD[j]
     rolled = mix64(rolled).view(np.int64)
     out, at = [], 0
     for ws, n in zip(split, lengths, strict=True):
