@@ -11,6 +11,7 @@ from tidewatch.functions.expr import instant
 from tidewatch.plans import views as W
 from tidewatch.sources.readers import record_stream
 from tidewatch.sources.writers import compact_tutors, read_archive, read_state, read_tutors
+from tests.test_running import plain_states, same
 from tidewatch.streaming import ingest, state, windows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -48,18 +49,16 @@ def run(stream, spark, tmp_path, name):
 
 def test_fold_over_batches_equals_the_fold_over_all(spark, tmp_path, event_files):
     stream, _ = event_files
-    got = run(state.fold_entities(W.mkt_of(stream)), spark, tmp_path, "fold").toPandas()
-    all_events = state.entity_events(W.mkt_events(spark, "/root/testdata/sf0.001")).toPandas().sort_values(["ts", "event_id"])
-    current, want = {}, {}
-    for e in all_events.itertuples():
-        key = (e.entity_id, e.entity_type)
-        current[key] = state.step(current.get(key, state.NEW_ENTITY), e.entity_type, e)
-        want[(*key, e.event_id)] = (current[key], state.raised(current[key], e.entity_type))
-    assert len(got) == len(want)
-    for r in got.itertuples():
-        s, alerts = want[(r.entity_id, r.entity_type, r.event_id)]
-        assert (r.sessions_7d, r.sessions_14d, r.sessions_30d, r.ib_calls_7d, r.ib_calls_14d) == s[:5]
-        assert (r.avg_rating, r.health_score) == pytest.approx(s[5:]) and list(r.alerts) == alerts
+    base = str(tmp_path / "fold")
+    windows.run_once(state.fold_entities(W.mkt_of(stream), base, base + "-cp"))
+    want = plain_states(W.mkt_events(spark, "/root/testdata/sf0.001").orderBy("ts", "event_id").collect())
+    got = state.read_folded(spark, base).collect()
+    same(got, want)
+    for r in got:
+        alerts = ["high_ib_call_frequency:warning"] if r.ib_calls_14d >= 3 else []
+        if r.health_score < 70:
+            alerts.append("low_health_score:" + ("critical" if r.health_score < 50 else "warning"))
+        assert list(r.alerts) == (alerts if r.entity_type == "student" else [])
 
 
 def test_cooldown_over_batches(spark, tmp_path):

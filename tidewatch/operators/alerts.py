@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.expr import keep, ratio
+from tidewatch.operators.entities import SNAPSHOTS, entity_steps
 from tidewatch.operators.ordered import (
     SLICE_ROWS,
     carried_sums,
@@ -20,6 +21,7 @@ from tidewatch.operators.ordered import (
     with_row_halo,
     without_halo,
 )
+from tidewatch.operators.running import state_after
 from tidewatch.session import scratch_dir
 
 HOUR_US = 3_600_000_000
@@ -74,17 +76,19 @@ def detect_market(events: DataFrame, statuses: tuple[str, ...] = ("high_demand",
     return events.withColumn("_a", F.explode(keep(market_alert(statuses)))).select("_a.*", F.col("ts").alias("timestamp"))
 
 
-def detect_on_events(events: DataFrame, state: DataFrame, at: str = "ts") -> DataFrame:
-    """Every event of an entity re-checks that entity's current state (student first, else tutor)."""
-    keyed = events.withColumns({
-        "entity_id": F.coalesce(F.col("student_id").cast("string"), F.col("tutor_id").cast("string")),
-        "entity_type": F.when(F.col("student_id").isNotNull(), "student").otherwise("tutor"),
-    })
-    joined = keyed.join(state.withColumn("entity_id", F.col("entity_id").cast("string")).select(
-        "entity_id", "entity_type", "ib_calls_14d", F.col("health_score").alias("_health"), "sessions_7d"
-    ), ["entity_id", "entity_type"], "left").withColumn("health_score", F.col("_health"))
-    alerts = keep(*state_alerts(), market_alert())
-    return joined.withColumn("_a", F.explode(alerts)).select("event_id", "_a.*", F.col(at).alias("timestamp"))
+def detect_after_events(events: DataFrame, min_rows: int | None = None, slice_rows: int | None = None) -> DataFrame:
+    """Every event re-checks its student's state as it is after that event; market events are checked by themselves.
+
+    Calls and sessions count on, health updates overwrite; an event of another type finds the state unchanged. Events
+    without a student raise market alerts only: no other entity type has a rule on its state."""
+    mine = events.where(F.col("student_id").isNotNull()).select(
+        F.lit("student").alias("entity_type"), F.col("student_id").cast("string").alias("entity_id"), "event_id", "ts", "event_type",
+        F.col("health_score").cast("double").alias("_health"), *SNAPSHOTS)
+    steps = entity_steps(F.col("_health"))
+    after = state_after(mine, ["entity_id"], "ts", ["event_id"], {m: steps[m] for m in ("sessions_7d", "ib_calls_14d", "health_score")}, min_rows=min_rows, slice_rows=slice_rows)
+    of_state = after.withColumn("_a", F.explode(keep(*state_alerts()))).select("event_id", "_a.*", F.col("ts").alias("timestamp"))
+    of_market = events.withColumn("_a", F.explode(keep(market_alert()))).select("event_id", "_a.*", F.col("ts").alias("timestamp"))
+    return of_state.unionByName(of_market)
 
 
 def prediction_alerts(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.expr import age_days, any_of, ratio, truthy_or
 from tidewatch.operators.ordered import keep_last, sliced
+from tidewatch.operators.running import Affine, Step, state_after
 
 WINDOWS = (7, 14, 30)
 SESSION = ("session_started", "session_completed")
@@ -145,6 +146,59 @@ def health_overlay(events: DataFrame, min_rows: int | None = None, slice_rows: i
     )
 
 
+# what a health update may overwrite, as the payload names it
+SNAPSHOTS = ("sessions_last_7_days", "sessions_last_30_days", "ib_calls_last_14_days")
+STATE = ("sessions_7d", "sessions_14d", "sessions_30d", "ib_calls_7d", "ib_calls_14d", "avg_rating", "health_score")
+EARLIEST = -62_000_000_000_000_000  # microseconds: before any event
+CARRIED = "_state"  # the type of the row that brings an entity's earlier state
+
+
+def entity_steps(health: Column) -> dict[str, Step]:
+    """What an event does to its entity's counters and health; rows have entity_type, event_type and SNAPSHOTS."""
+    student = F.col("entity_type") == "student"
+    session = F.when(_of(*SESSION), 1).otherwise(0).cast("long")
+    call = F.when(student & _of("ib_call_logged"), 1).otherwise(0).cast("long")
+    snapshot = student & _of("customer_health_update") & health.isNotNull()
+    of = lambda name: F.when(snapshot, F.col(name).cast("long"))
+    kept = F.lit(None).cast("long")
+    return {
+        "sessions_7d": Step(session, of(SNAPSHOTS[0])), "sessions_14d": Step(session, kept), "sessions_30d": Step(session, of(SNAPSHOTS[1])),
+        "ib_calls_7d": Step(call, kept), "ib_calls_14d": Step(call, of(SNAPSHOTS[2])), "health_score": Step(F.lit(0.0), F.when(snapshot, health), 100.0),
+    }
+
+
+def entity_events(events: DataFrame) -> DataFrame:
+    """Each event once per entity whose state it changes."""
+    session = _of(*SESSION)
+    owners = F.array(
+        F.struct(F.col("student_id").cast("string").alias("entity_id"), F.lit("student").alias("entity_type")),
+        F.struct(F.when(session, F.col("tutor_id")).cast("string").alias("entity_id"), F.lit("tutor").alias("entity_type")),
+    )
+    wanted = events.where(session | _of("ib_call_logged", "customer_health_update"))
+    numbers = [F.col(c).cast("double").alias(c) for c in ("rating", "health_score", *SNAPSHOTS)]
+    return wanted.withColumn("_o", F.explode(owners)).where("_o.entity_id IS NOT NULL").select(
+        "_o.entity_id", "_o.entity_type", "event_id", "ts", "event_type", *numbers
+    )
+
+
+def states_after(rows: DataFrame, before: DataFrame | None = None, min_rows: int | None = None, slice_rows: int | None = None) -> DataFrame:
+    """The state of its entity after each of ``rows`` (see ``entity_events``), counters, running rating and health.
+
+    ``before``: entity_id, entity_type and STATE of entities that have a state already; it enters as a first row that
+    overwrites everything, so a hot entity's rows are spread like those of any other key."""
+    keys = ["entity_id", "entity_type"]
+    known = rows.withColumns({f"_was_{m}": F.lit(None).cast("double" if m in ("avg_rating", "health_score") else "long") for m in STATE})
+    if before is not None:
+        known = known.unionByName(before.select(
+            *keys, F.timestamp_micros(F.lit(EARLIEST)).alias("ts"), F.lit(CARRIED).alias("event_type"), *[F.col(m).alias(f"_was_{m}") for m in STATE]), allowMissingColumns=True)
+    known = known.withColumnRenamed("health_score", "_health")
+    steps = {m: Step(s.add, F.coalesce(f"_was_{m}", s.put), s.start) for m, s in entity_steps(F.col("_health")).items()}
+    rated = F.when((F.col("entity_type") == "tutor") & _of("session_completed"), F.col("rating"))
+    rating = {"avg_rating": Affine(F.col("sessions_30d"), rated, F.col("_was_avg_rating"))}
+    after = state_after(known, keys, "ts", ["event_id"], steps, rating, min_rows, slice_rows, counted=rows)
+    return after.where(F.col("event_type") != CARRIED).select(*keys, "event_id", "ts", *STATE)
+
+
 def latest_supply_demand(events: DataFrame) -> DataFrame:
     """The newest supply and demand row per subject, with its balance by ratio."""
     latest = keep_last(events.where(_of("supply_demand_update") & F.col("subject").isNotNull()), ["subject"], ["ts", "event_id"])

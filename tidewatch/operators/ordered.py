@@ -56,7 +56,8 @@ def sliced(df: DataFrame, keys: list[str], ts: str, min_rows: int | None = None,
     target = SLICE_ROWS if slice_rows is None else slice_rows
     hot = F.broadcast(hot_keys(source, keys, ts, min_rows, slice_rows))
     us = F.unix_micros(ts)
-    part = F.floor((us - F.col("_lo")) / F.col("_span") * F.col("_parts")).cast("long")
+    # rows far before those that were counted share the lowest number
+    part = F.greatest(F.floor((us - F.col("_lo")) / F.col("_span") * F.col("_parts")).cast("long"), F.lit(-(1 << 30)).cast("long"))
 
     def with_hot(rows: DataFrame, how: str) -> DataFrame:
         on = [rows[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]

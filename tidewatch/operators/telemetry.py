@@ -210,46 +210,39 @@ def stream_features(df: DataFrame) -> DataFrame:
     return full.dropna(subset=STREAM_FEATURES)
 
 
-HUGE = 1e24  # larger values count as infinite
-
-
 def trailing_baseline(df: DataFrame, value: str, minutes: int = 15, min_rows: int | None = None,
                       slice_rows: int | None = None) -> DataFrame:
-    """Mean of the stream's values in the ``minutes`` before each row, without the row itself; 0 without history.
-
-    A value enters the running sum just after its time and leaves it when it is too old, so the cost per row does
-    not depend on how many rows the interval holds. Slices of a hot stream go on from the sums carried into them.
-    Sums are decimals, so what leaves takes away exactly what it brought; infinite values, NaN and values from ``HUGE`` on
-    are counted instead. While such values are in reach the mean is Infinity, -Infinity or NaN, and no longer.
+    """Mean of the stream's values in the ``minutes`` before each row, without the row itself; 0 without history. A missing
+    value counts as 0.
+
+    Time is cut into blocks as long as the reach, so a row's interval is the end of the block before and the start of its
+    own. Each block holds a copy of the block before it, moved on by the reach: a row's interval is then what has come of
+    its own block, and what is still to come of the moved copy. Both are running sums that only ever add, so tiny, huge and
+    infinite values and NaN give what one plain window gives, at a cost per row that doesn't depend on the interval. A block
+    with very many rows is sliced, and sums are carried into its slices from either side.
     """
     reach = minutes * MINUTE_US
     cols = df.columns
     us = F.unix_micros("ts")
-    v = F.coalesce(F.col(value), F.lit(0)).cast("double")
-    plain = ~F.isnan(v) & (F.abs(v) < HUGE)
-
-    def change(at: Column, sign: int, row: Column) -> Column:
-        count = lambda c: F.when(c, sign).otherwise(0)
-        return F.struct(
-            at.alias("_us"), F.lit(sign).alias("_dn"), (F.when(plain, v).otherwise(0.0).cast("decimal(38,10)") * sign).cast("decimal(38,10)").alias("_dsum"),
-            count(~F.isnan(v) & (v >= HUGE)).alias("_dup"), count(~F.isnan(v) & (v <= -HUGE)).alias("_ddown"), count(F.isnan(v)).alias("_dnan"), row.alias("_row"))
-
-    changes = F.array(change(us, 1, F.struct(*cols)), change(us + reach, -1, F.lit(None)))
-    moved = df.select("stream_id", F.explode(changes).alias("_ch")).select("stream_id", "_ch.*")
-    moved = moved.withColumn("ts", F.timestamp_micros("_us"))
-    rows = sliced(moved, ["stream_id"], "ts", min_rows, slice_rows, counted=df)
-    parts = ["n", "sum", "up", "down", "nan"]
-    carried = carried_sums(rows, ["stream_id"], {f"_{p}0": f"_d{p}" for p in parts})
-    past = Window.partitionBy("stream_id", "_slice").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumns({f"_{p}": F.sum(f"_d{p}").over(past) for p in parts}).where("_row IS NOT NULL")
-    known = lambda c: F.coalesce(F.col(c), F.lit(0))
-    total = inside.join(carried, ["stream_id", "_slice"], "left").withColumns({f"_{p}": known(f"_{p}") + known(f"_{p}0") for p in parts})
-    c = F.col
-    mean = (
-        F.when((c("_nan") > 0) | ((c("_up") > 0) & (c("_down") > 0)), float("nan")).when(c("_up") > 0, float("inf"))
-        .when(c("_down") > 0, float("-inf")).when(c("_n") > 0, c("_sum").cast("double") / c("_n")).otherwise(0.0)
-    )
-    return total.select("_row.*", c("_n").alias("history"), mean.alias("baseline"))
+    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    own = F.struct(us.alias("_us"), F.floor(us / reach).alias("_block"), F.lit(True).alias("_own"), F.struct(*cols).alias("_row"))
+    moved = F.struct((us + reach).alias("_us"), (F.floor(us / reach) + 1).alias("_block"), F.lit(False).alias("_own"), F.lit(None).alias("_row"))
+    both = df.select("stream_id", v.alias("_v"), F.explode(F.array(own, moved)).alias("_c")).select("stream_id", "_v", "_c.*")
+    keys = ["stream_id", "_block"]
+    both = both.withColumns({"ts": F.timestamp_micros("_us"), "_past": F.when(F.col("_own"), F.col("_v")), "_kept": F.when(~F.col("_own"), F.col("_v"))})
+    rows = sliced(both, keys, "ts", min_rows, slice_rows)
+    # sums carried into a slice: of the own rows from earlier slices, of the moved rows from later ones
+    whole = rows.where("_hot").groupBy(*keys, "_slice").agg(*[f(c).alias(f"_{n}{c}") for c in ("_past", "_kept") for n, f in (("s", F.sum), ("n", F.count))])
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = whole.select(*keys, "_slice", *[F.sum(f"_{n}{c}").over(w).alias(f"_{n}{c}_in") for c, w in (("_past", earlier), ("_kept", later)) for n in "sn"])
+    before = Window.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
+    still = Window.partitionBy(*keys, "_slice").orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumns({f"_{n}{c}": f(c).over(w) for c, w in (("_past", before), ("_kept", still)) for n, f in (("s", F.sum), ("n", F.count))}).where("_row IS NOT NULL")
+    total = inside.join(carried, [*keys, "_slice"], "left")
+    add = lambda n: sum((F.coalesce(f"_{n}{c}{x}", F.lit(0)) for c in ("_past", "_kept") for x in ("", "_in")), F.lit(0))
+    n = add("n").cast("long")
+    return total.select("_row.*", n.alias("history"), F.when(n > 0, add("s") / n).otherwise(0.0).alias("baseline"))
 
 
 def above_baseline(value: Column, baseline: Column, factor: float = 1.5) -> Column:

@@ -465,6 +465,17 @@ def trailing_baseline_15m(spark, sf):
     return rounded(b.select("metric_id", "history", "baseline", "is_anomaly"), 8)
 
 
+@query
+def trailing_baseline_extremes(spark, sf):
+    """The trailing mean over values from 2e-11 to 2e24, with infinite ones and NaN among them."""
+    k = F.col("metric_id") % 101
+    wild = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).when(k < 20, 2e24).when(k < 60, 2e-11).otherwise(F.col("latency_p99"))
+    b = L.trailing_baseline(W.stream_metrics(spark, sf).withColumn("wild", wild), "wild", minutes=24 * 60)
+    text = F.when(F.isnan("baseline"), "nan").when(F.abs("baseline") == float("inf"), F.when(F.col("baseline") > 0, "inf").otherwise("-inf")).otherwise(
+        F.format_string("%.6e", "baseline"))
+    return b.select("metric_id", "history", text.alias("baseline"))
+
+
 @query
 def trailing_baseline_3d(spark, sf):
     b = L.trailing_baseline(W.stream_metrics(spark, sf), "latency_p99", minutes=3 * 24 * 60)
@@ -736,9 +747,14 @@ def detect_anomalies(spark, sf):
     )
 
 
+def _with_details(alerts: DataFrame) -> DataFrame:
+    return alerts.withColumn("details", F.array_join(F.transform(F.map_entries("details"), lambda e: F.concat(e.key, F.lit(": "), e.value)), "; "))
+
+
 @query
-def detect_on_events(spark, sf):
-    return A.detect_on_events(W.mkt_events(spark, sf), _students(spark, sf)).select("event_id", "alert_type", "severity", "entity_id")
+def alerts_after_events(spark, sf):
+    """What every event raises, given its student's state after it, with whole messages and details."""
+    return _with_details(A.detect_after_events(W.mkt_events(spark, sf)))
 
 
 @query
@@ -1102,7 +1118,9 @@ def _upserted(spark, stream: DataFrame, name: str, keys: list[str]) -> DataFrame
 @query
 def stream_entity_fold(spark, sf):
     """The stateful fold: final state of every entity, and how often each alert fired on the way."""
-    folded = _appended(spark, SS.fold_entities(W.mkt_of(_stream(spark, sf))), "entity-fold")
+    base = scratch_dir(spark, "entity-fold")
+    SW.run_once(SS.fold_entities(W.mkt_of(_stream(spark, sf)), base, f"{base}/checkpoint"))
+    folded = SS.read_folded(spark, base)
     fired = lambda kind: F.coalesce(F.size(F.filter("alerts", lambda a: a.startswith(kind))), F.lit(0))
     counts = folded.groupBy("entity_id", "entity_type").agg(
         F.count(F.lit(1)).alias("events"), F.sum(fired("high_ib")).alias("call_alerts"), F.sum(fired("low_health")).alias("health_alerts"),

@@ -563,6 +563,12 @@ tb AS (SELECT *, count(*) OVER w AS n, avg(latency_p99) OVER w AS m FROM str
 
 oracle("trailing_baseline_15m", _trailing("15 MINUTE"), """SELECT metric_id, n AS history, round(coalesce(m, 0.0), 8) AS baseline,
   latency_p99 > coalesce(m, 0.0) * 1.5::DOUBLE AS is_anomaly FROM tb""")
+oracle("trailing_baseline_extremes", STR + """,
+wl AS (SELECT *, CASE WHEN metric_id % 101 = 0 THEN 'nan'::DOUBLE WHEN metric_id % 101 = 1 THEN 'inf'::DOUBLE WHEN metric_id % 101 = 2 THEN '-inf'::DOUBLE
+    WHEN metric_id % 101 < 20 THEN 2e24::DOUBLE WHEN metric_id % 101 < 60 THEN 2e-11::DOUBLE ELSE latency_p99 END AS wild FROM str),
+tb AS (SELECT metric_id, count(*) OVER w AS n, avg(wild) OVER w AS m FROM wl
+  WINDOW w AS (PARTITION BY stream_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING))""", """
+SELECT metric_id, n AS history, CASE WHEN isnan(m) THEN 'nan' WHEN isinf(m) THEN CASE WHEN m > 0 THEN 'inf' ELSE '-inf' END ELSE printf('%.6e', coalesce(m, 0.0)) END AS baseline FROM tb""")
 oracle("trailing_baseline_3d", _trailing("3 DAY"), "SELECT metric_id, n AS history, round(coalesce(m, 0.0), 8) AS baseline FROM tb")
 
 
@@ -736,10 +742,17 @@ found AS (
   UNION ALL SELECT 'supply_demand_imbalance', 'info', subject, 'subject', 'High demand detected for ' || subject || ' (Demand: ' || demand_score || ', Supply: ' || supply_score || ')', ts,
     ['balance_status: ' || balance_status, 'demand_score: ' || demand_score, 'supply_score: ' || supply_score] FROM mkt WHERE balance_status = 'high_demand')"""
 oracle("detect_anomalies", _FOUND, "SELECT * EXCLUDE (d), array_to_string(d, '; ') AS details FROM found")
-oracle("detect_on_events", STUDENT, f"""
-SELECT event_id, 'high_ib_call_frequency' AS alert_type, 'warning' AS severity, CAST(student_id AS VARCHAR) AS entity_id FROM mkt JOIN stu ON student_id = entity_id WHERE ib_calls_14d >= 3
-UNION ALL SELECT event_id, 'low_health_score', CASE WHEN stu.health_score < 50 THEN 'critical' ELSE 'warning' END, CAST(student_id AS VARCHAR) FROM mkt JOIN stu ON student_id = entity_id WHERE stu.health_score < 70
-UNION ALL SELECT event_id, 'supply_demand_imbalance', 'info', subject FROM mkt WHERE balance_status = 'high_demand'""")
+oracle("alerts_after_events", MKT + """,
+cu AS (SELECT *, count(*) FILTER (event_type IN ('session_started', 'session_completed')) OVER w AS cs, count(*) FILTER (event_type = 'ib_call_logged') OVER w AS cc,
+    last_value(health_score IGNORE NULLS) OVER w AS h FROM mkt WINDOW w AS (PARTITION BY student_id ORDER BY ts, event_id)),
+sn AS (SELECT *, cs + coalesce(last_value(sessions_last_7_days - cs IGNORE NULLS) OVER w, 0) AS s7, cc + coalesce(last_value(ib_calls_last_14_days - cc IGNORE NULLS) OVER w, 0) AS c14,
+    coalesce(h, 100.0::DOUBLE) AS hs FROM cu WINDOW w AS (PARTITION BY student_id ORDER BY ts, event_id))""", """
+SELECT event_id, 'high_ib_call_frequency' AS alert_type, 'warning' AS severity, CAST(student_id AS VARCHAR) AS entity_id, 'student' AS entity_type,
+  'ib_calls_14d: ' || c14 || '; health_score: ' || hs AS details, 'Student ' || student_id || ' has ' || c14 || ' IB calls in 14 days' AS message, ts AS "timestamp" FROM sn WHERE c14 >= 3
+UNION ALL SELECT event_id, 'low_health_score', CASE WHEN hs < 50 THEN 'critical' ELSE 'warning' END, CAST(student_id AS VARCHAR), 'student',
+  'health_score: ' || hs || '; sessions_7d: ' || s7 || '; ib_calls_14d: ' || c14, 'Student ' || student_id || ' has low health score: ' || hs, ts FROM sn WHERE hs < 70
+UNION ALL SELECT event_id, 'supply_demand_imbalance', 'info', subject, 'subject', 'balance_status: ' || balance_status || '; demand_score: ' || demand_score || '; supply_score: ' || supply_score,
+  'High demand detected for ' || subject || ' (Demand: ' || demand_score || ', Supply: ' || supply_score || ')', ts FROM mkt WHERE balance_status = 'high_demand'""")
 oracle("prediction_alerts", SCORED + """, sp AS (SELECT * FROM scored)""", """
 SELECT entity_id, entity_type, 'IB_CALL_SPIKE' AS alert_type, 'CRITICAL' AS severity, 'Assign retention specialist within 24 hours' AS recommendation FROM sp WHERE ib_calls_14d >= 2
 UNION ALL SELECT entity_id, entity_type, 'HIGH_CHURN_RISK', 'HIGH', 'Offer discount or free session credit' FROM sp WHERE c30 > 0.6::DOUBLE

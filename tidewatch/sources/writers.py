@@ -83,7 +83,7 @@ def _state_paths(spark: SparkSession, path: str) -> tuple[list[str], int]:
     return paths, max([upto, *[int(n.split("=")[1]) for n in logs]])
 
 
-def _log(spark: SparkSession, path: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str) -> DataFrame:
     """All rows of the newest version and the batches after it, in one scan; batches may differ in their columns."""
     paths, _ = _state_paths(spark, path)
     if not paths:
@@ -93,7 +93,7 @@ def _log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_state(spark: SparkSession, path: str, order: list[str], keys: list[str] = KEYS) -> DataFrame:
     """The current row of every key."""
-    return keep_last(_log(spark, path), keys, ["_batch", *order])
+    return keep_last(read_log(spark, path), keys, ["_batch", *order])
 
 
 def append_tutors(items: DataFrame, path: str, batch_id: int) -> None:
@@ -103,13 +103,13 @@ def append_tutors(items: DataFrame, path: str, batch_id: int) -> None:
 
 def read_tutors(spark: SparkSession, path: str) -> DataFrame:
     """The current row of every tutor: batches add up."""
-    return tutor_state(_log(spark, path))
+    return tutor_state(read_log(spark, path))
 
 
 def compact_tutors(spark: SparkSession, path: str) -> int:
     """Adds the batches up to a new version beside the old one; readers switch when it is complete."""
     _, upto = _state_paths(spark, path)
-    merge_tutor_parts(_log(spark, path)).write.mode("overwrite").parquet(os.path.join(path, "base", f"v={upto}"))
+    merge_tutor_parts(read_log(spark, path)).write.mode("overwrite").parquet(os.path.join(path, "base", f"v={upto}"))
     return upto
 
 

@@ -1,91 +1,65 @@
-"""The per-entity fold on a stream: counters, running rating and snapshot overlay, with alerts after each event."""
+"""State on streams: the per-entity fold with alerts after each event, pruned windows, cooldown."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-EVENT_COLUMNS = [
-    "event_id", "ts", "event_type", "rating", "health_score", "sessions_last_7_days", "sessions_last_30_days",
-    "ib_calls_last_14_days",
-]
-
-STATE = (
-    "sessions_7d BIGINT, sessions_14d BIGINT, sessions_30d BIGINT, ib_calls_7d BIGINT, ib_calls_14d BIGINT, "
-    "avg_rating DOUBLE, health_score DOUBLE"
-)
-NEW_ENTITY = (0, 0, 0, 0, 0, 0.0, 100.0)
-OUTPUT = f"entity_id STRING, entity_type STRING, event_id BIGINT, ts TIMESTAMP, alerts ARRAY<STRING>, {STATE}"
+from tidewatch.operators.entities import STATE, entity_events, states_after
+from tidewatch.operators.ordered import keep_last
+from tidewatch.sources.writers import append_state, read_log
 
+ENTITY = ["entity_id", "entity_type"]
 
-def entity_events(events: DataFrame) -> DataFrame:
-    """Each event once per entity it belongs to."""
-    session = F.col("event_type").isin("session_started", "session_completed")
-    owners = F.array(
-        F.struct(F.col("student_id").cast("string").alias("entity_id"), F.lit("student").alias("entity_type")),
-        F.struct(F.when(session, F.col("tutor_id")).cast("string").alias("entity_id"), F.lit("tutor").alias("entity_type")),
-    )
-    wanted = events.where(session | F.col("event_type").isin("ib_call_logged", "customer_health_update"))
-    numbers = [F.col(c).cast("double").alias(c) for c in EVENT_COLUMNS[3:]]
-    return wanted.withColumn("_o", F.explode(owners)).where("_o.entity_id IS NOT NULL").select(
-        "_o.entity_id", "_o.entity_type", *EVENT_COLUMNS[:3], *numbers
-    )
 
+def raised(calls: Column, health: Column) -> Column:
+    """The alerts that a student's state raises, as type and severity."""
+    found = F.array(
+        F.when(calls >= 3, F.lit("high_ib_call_frequency:warning")),
+        F.when(health < 70, F.concat(F.lit("low_health_score:"), F.when(health < 50, "critical").otherwise("warning"))))
+    return F.when(F.col("entity_type") == "student", F.filter(found, lambda a: a.isNotNull())).otherwise(F.array().cast("array<string>"))
 
-def _known(x) -> bool:
-    return x is not None and not pd.isna(x)
 
+def states_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The state of every entity as the batches before ``batch_id`` left it; None before there is any."""
+    try:
+        log = read_log(spark, path)
+    except FileNotFoundError:
+        return None
+    return keep_last(log.where(F.col("_batch") < batch_id), ENTITY, ["_batch"]).drop("_batch")
 
-def step(state: tuple, entity_type: str, e) -> tuple:
-    """The state after one event."""
-    s7, s14, s30, c7, c14, avg, health = state
-    if e.event_type in ("session_started", "session_completed"):
-        s7, s14, s30 = s7 + 1, s14 + 1, s30 + 1
-        if entity_type == "tutor" and e.event_type == "session_completed" and _known(e.rating):
-            avg = (avg * (s30 - 1) + float(e.rating)) / s30
-    elif entity_type == "student" and e.event_type == "ib_call_logged":
-        c7, c14 = c7 + 1, c14 + 1
-    elif entity_type == "student" and _known(e.health_score):
-        health = float(e.health_score)
-        s7 = int(e.sessions_last_7_days) if _known(e.sessions_last_7_days) else s7
-        s30 = int(e.sessions_last_30_days) if _known(e.sessions_last_30_days) else s30
-        c14 = int(e.ib_calls_last_14_days) if _known(e.ib_calls_last_14_days) else c14
-    return s7, s14, s30, c7, c14, avg, health
 
+def fold_batch(batch: DataFrame, batch_id: int, path: str, min_rows: int | None = None, slice_rows: int | None = None) -> None:
+    """Folds one micro-batch into the entities' states: state and alerts after every event below ``path``/events, the
+    states it leaves below ``path``/state. A retried batch starts from the same earlier states and replaces its folders."""
+    spark = batch.sparkSession
+    rows = entity_events(batch).persist()
+    try:
+        before = states_before(spark, os.path.join(path, "state"), batch_id)
+        if before is not None:
+            before = before.join(rows.select(*ENTITY).distinct(), ENTITY, "left_semi")
+        after = states_after(rows, before, min_rows, slice_rows)
+        folder = os.path.join(path, "events", f"batch={batch_id}")
+        after.withColumn("alerts", raised(F.col("ib_calls_14d"), F.col("health_score"))).write.mode("overwrite").parquet(folder)
+    finally:
+        rows.unpersist()
+    newest = spark.read.parquet(folder).groupBy(*ENTITY).agg(F.max_by(F.struct(*STATE), F.struct("ts", "event_id")).alias("s"))
+    append_state(newest.select(*ENTITY, "s.*", F.lit(batch_id).cast("long").alias("_batch")), os.path.join(path, "state"), batch_id, ["_batch"], ENTITY)
 
-def raised(state: tuple, entity_type: str) -> list[str]:
-    if entity_type != "student":
-        return []
-    calls, health = state[4], state[6]
-    found = ["high_ib_call_frequency:warning"] if calls >= 3 else []
-    if health < 70:
-        found.append("low_health_score:" + ("critical" if health < 50 else "warning"))
-    return found
 
+def fold_entities(events: DataFrame, path: str, checkpoint: str, min_rows: int | None = None, slice_rows: int | None = None):
+    """A writer that folds a stream of events batch by batch; an entity with most of a batch's events is many tasks."""
+    return events.writeStream.foreachBatch(lambda df, i: fold_batch(df, i, path, min_rows, slice_rows)).option("checkpointLocation", checkpoint)
 
-class EntityFold(StatefulProcessor):
-    """Folds the events of one entity in time order; the trigger's admission limit bounds what a batch holds."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("metrics", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        entity_id, entity_type = key
-        state = self.state.get() if self.state.exists() else NEW_ENTITY
-        out = []
-        for e in pd.concat(rows).sort_values(["ts", "event_id"]).itertuples(index=False):
-            state = step(tuple(state), entity_type, e)
-            out.append((entity_id, entity_type, e.event_id, e.ts, raised(state, entity_type), *state))
-        self.state.update(tuple(state))
-        yield pd.DataFrame(out, columns=["entity_id", "entity_type", "event_id", "ts", "alerts", "sessions_7d", "sessions_14d",
-                                         "sessions_30d", "ib_calls_7d", "ib_calls_14d", "avg_rating", "health_score"])
 
-    def close(self) -> None:
-        pass
+def read_folded(spark: SparkSession, path: str) -> DataFrame:
+    """State and alerts after every event that the stream has folded."""
+    return spark.read.parquet(os.path.join(path, "events")).drop("batch")
 
 
 class RecentEvents(StatefulProcessor):
@@ -149,14 +123,6 @@ RECENT_OUTPUT = (
 )
 
 
-def fold_entities(events: DataFrame) -> DataFrame:
-    """State and alerts after every event of every entity, on a stream."""
-    return (
-        entity_events(events).groupBy("entity_id", "entity_type")
-        .transformWithStateInPandas(EntityFold(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
-    )
-
-
 def recent_windows(events: DataFrame) -> DataFrame:
     """Window counts per student from pruned daily state, on a stream."""
     return (
