@@ -25,7 +25,7 @@ from tidewatch.llm.common import Adam, held_out, labelled, mix64, sigmoid, train
 WINDOW, STRIDE = 24, 12
 WORDS, GRAMS = 1 << 15, 1 << 14  # hash buckets
 DIM, HIDDEN = 4, 8
-PART = 200_000  # words whose buckets are counted at a time
+PART = 50_000  # words that are counted, or whose inputs are made, at a time
 EDGE = b" .,;:!?\"'()[]{}<>*#$%&|~^_=+-/\\`"
 Weights = dict[str, np.ndarray]
 
@@ -77,8 +77,12 @@ def inputs(w: Weights, bucket: np.ndarray, gram: np.ndarray, first: np.ndarray)
     """The input of each different word: word part and character part."""
     if not len(bucket):
         return np.empty((0, 2 * DIM), np.float32)
-    chars = np.add.reduceat(w["grams"][gram], first) / np.diff(np.append(first, len(gram)))[:, None]
-    return np.concatenate([w["words"][bucket], chars.astype(np.float32)], 1)
+    out, ends = np.empty((len(bucket), 2 * DIM), np.float32), np.append(first, len(gram))
+    out[:, :DIM] = w["words"][bucket]
+    for i in range(0, len(bucket), PART):
+        at = ends[i:i + PART + 1]
+        out[i:i + PART, DIM:] = np.add.reduceat(w["grams"][gram[at[0]:at[-1]]], at[:-1] - at[0]) / np.diff(at)[:, None]
+    return out
 
 
 def windows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +200,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, steps: int = 20,
     bucket, gram, first = word_inputs(words)
     span, stop = np.diff(np.append(first, len(gram))), np.cumsum(n)
     held, held_grams = np.zeros((2, WORDS)), np.zeros((2, GRAMS))
-    for docs in np.split(np.arange(len(n)), np.searchsorted(stop, np.arange(PART, int(stop[-1]), PART))):
+    for docs in np.split(np.arange(len(n)), np.searchsorted(stop, np.arange(4 * PART, int(stop[-1]), 4 * PART))):
         mine = code[stop[docs[0]] - n[docs[0]]:stop[docs[-1]]] if len(docs) else code[:0]
         pair = np.unique(np.repeat(docs, n[docs]) * max(1, len(words)) + mine)
         doc, word = pair // max(1, len(words)), pair % max(1, len(words))
@@ -263,8 +267,17 @@ def chunks(total: int, rows: int = 4096) -> list[np.ndarray]:
 
 
 def window_logits(w: Weights, x: np.ndarray, grid_of: Callable[[np.ndarray], np.ndarray], total: int) -> np.ndarray:
-    """Logits of ``total`` windows, whose words ``grid_of`` gives a chunk at a time."""
-    return np.concatenate([forward(w, x, grid_of(k))["logit"] for k in chunks(total)] or [np.empty(0, np.float32)])
+    """Logits of ``total`` windows, whose words ``grid_of`` gives a chunk at a time. The layers' inputs are made for a chunk's
+    own words only."""
+    out = [np.empty(0, np.float32)]
+    for k in chunks(total):
+        grid = grid_of(k)
+        held = np.zeros(len(x) + 1, bool)
+        held[grid] = True
+        held[len(x)] = False
+        number = np.append(np.cumsum(held[:-1]) - 1, held.sum())  # the missing word stays the one after the last
+        out.append(forward(w, x[held[:-1]], number[grid])["logit"])
+    return np.concatenate(out)
 
 
 def score_texts(w: Weights, texts: list[str | None]) -> np.ndarray:
