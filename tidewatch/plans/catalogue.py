@@ -1130,13 +1130,25 @@ def stream_entity_fold(spark, sf):
     return rounded(counts.select("entity_id", "entity_type", "events", "call_alerts", "health_alerts", "s.*"))
 
 
-@query
-def stream_recent_windows(spark, sf):
-    """Window counts per student from daily state that is pruned after 30 days."""
+def _recent(spark, sf, cause: str | None) -> DataFrame:
+    """The newest row of each student; ``cause``: of those that events or timers made only."""
     base = scratch_dir(spark, "recent")
     stream = SS.recent_windows(W.mkt_of(_stream(spark, sf)))
-    SW.run_once(SW.keep_newest(stream, f"{base}/out", f"{base}/checkpoint", ["entity_id"]))
-    return read_state(spark, f"{base}/out", ["day"], ["entity_id"]).drop("_batch")
+    stream = stream.where(F.col("cause") == cause) if cause else stream
+    SW.run_once(SW.keep_newest(stream, f"{base}/out", f"{base}/checkpoint", ["entity_id"], ["day", "cause"]))
+    return read_state(spark, f"{base}/out", ["day", "cause"], ["entity_id"]).drop("_batch")
+
+
+@query
+def stream_recent_windows(spark, sf):
+    """Window counts per student as of the student's own last event, from daily state that is pruned after 30 days."""
+    return _recent(spark, sf, "event").drop("cause")
+
+
+@query
+def stream_idle_windows(spark, sf):
+    """Window counts per student as of the stream's time: timers take out what has left a window since the last event."""
+    return _recent(spark, sf, None).drop("cause", "day")
 
 
 @query

@@ -903,6 +903,12 @@ dy AS (SELECT *, CAST(epoch_us(ts) // 86400000000 AS INTEGER) AS dn, max(CAST(ep
        "SELECT CAST(student_id AS VARCHAR) AS entity_id, max(newest) AS day, " + ", ".join(
            f"count(*) FILTER (event_type = '{t}' AND dn > newest - {n}) AS {c}_{n}d" for c, t in (("sessions", "session_completed"), ("calls", "ib_call_logged")) for n in (7, 14, 30)
        ) + " FROM dy GROUP BY student_id")
+oracle("stream_idle_windows", MKT + """,
+dy AS (SELECT *, CAST(epoch_us(ts) // 86400000000 AS INTEGER) AS dn, greatest(max(CAST(epoch_us(ts) // 86400000000 AS INTEGER)) OVER (PARTITION BY student_id),
+    CAST((max(epoch_us(ts)) OVER () // 1000 - 3600000) // 86400000 AS INTEGER)) AS newest FROM mkt)""",
+       "SELECT CAST(student_id AS VARCHAR) AS entity_id, " + ", ".join(
+           f"count(*) FILTER (event_type = '{t}' AND dn > newest - {n}) AS {c}_{n}d" for c, t in (("sessions", "session_completed"), ("calls", "ib_call_logged")) for n in (7, 14, 30)
+       ) + " FROM dy GROUP BY student_id")
 ORACLES["stream_ingest"] = ORACLES["event_items"]
 ORACLES["stream_quarantine"] = ORACLES["quarantine_by_severity"]
 ORACLES["stream_malformed_rate"] = ORACLES["malformed_rate_5m"]

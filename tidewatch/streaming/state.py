@@ -62,12 +62,21 @@ def read_folded(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(os.path.join(path, "events")).drop("batch")
 
 
+DAY_MS = 86_400_000
+RECENT_COLUMNS = ["entity_id", "day", "cause", *[f"{c}_{n}d" for c in ("sessions", "calls") for n in (7, 14, 30)]]
+RECENT_OUTPUT = "entity_id STRING, day INT, cause STRING, " + ", ".join(f"{c} BIGINT" for c in RECENT_COLUMNS[3:])
+
+
 class RecentEvents(StatefulProcessor):
-    """Keeps a customer's events of the last 30 days and emits the window counts after each batch."""
+    """Daily counts of a customer's last 30 days, and the window counts they make.
 
-    days = 30
+    A timer is set for the next day on which a count of days leaves a window. So the windows of a customer who has fallen
+    silent go down as the stream's time goes on, and after 30 days nothing is kept of them."""
+
+    windows = (7, 14, 30)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.daily = handle.getMapState("daily", "day INT", "sessions BIGINT, calls BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -75,18 +84,26 @@ class RecentEvents(StatefulProcessor):
         for chunk in rows:
             day = (chunk["ts"].astype("int64") // 86_400_000_000_000).astype(int)
             done, call = chunk["event_type"] == "session_completed", chunk["event_type"] == "ib_call_logged"
-            for d, part in pd.DataFrame({"day": day, "s": done, "c": call}).groupby("day"):
+            for d, part in pd.DataFrame({"day": day, "s": done, "c": call}).groupby("day").sum().iterrows():
                 old = self.daily.getValue((int(d),)) if self.daily.containsKey((int(d),)) else (0, 0)
-                self.daily.updateValue((int(d),), (int(old[0] + part["s"].sum()), int(old[1] + part["c"].sum())))
+                self.daily.updateValue((int(d),), (int(old[0] + part["s"]), int(old[1] + part["c"])))
                 newest = int(d) if newest is None else max(newest, int(d))
+        yield self._counts(key, newest, "event")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._counts(key, timerValues.getCurrentWatermarkInMs() // DAY_MS, "timer")
+
+    def _counts(self, key, day: int, cause: str) -> pd.DataFrame:
         kept = {k[0]: v for k, v in self.daily.iterator()}
-        newest = max([*kept, newest]) if newest is not None else max(kept)
-        for d in [d for d in kept if d <= newest - self.days]:
+        newest = max([day, *kept])
+        for d in [d for d in kept if d <= newest - max(self.windows)]:
             self.daily.removeKey((d,))
             del kept[d]
+        leaves = [d + n for d in kept for n in self.windows if d + n > newest]
+        if leaves:
+            self.handle.registerTimer(min(leaves) * DAY_MS)
         inside = lambda n, i: sum(v[i] for d, v in kept.items() if d > newest - n)
-        yield pd.DataFrame([(str(key[0]), newest, *[inside(n, i) for i in (0, 1) for n in (7, 14, 30)])],
-                           columns=["entity_id", "day", "sessions_7d", "sessions_14d", "sessions_30d", "calls_7d", "calls_14d", "calls_30d"])
+        return pd.DataFrame([(str(key[0]), newest, cause, *[inside(n, i) for i in (0, 1) for n in self.windows])], columns=RECENT_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -117,17 +134,12 @@ class Cooldown(StatefulProcessor):
         pass
 
 
-RECENT_OUTPUT = (
-    "entity_id STRING, day INT, sessions_7d BIGINT, sessions_14d BIGINT, sessions_30d BIGINT, calls_7d BIGINT, "
-    "calls_14d BIGINT, calls_30d BIGINT"
-)
-
-
-def recent_windows(events: DataFrame) -> DataFrame:
-    """Window counts per student from pruned daily state, on a stream."""
+def recent_windows(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Window counts per student from daily state, on a stream: after each batch with events of the student (``cause`` event)
+    and on days when counts leave a window (``cause`` timer). State is gone 30 days after a student's last event."""
     return (
-        events.select(F.col("student_id").cast("string").alias("entity_id"), "ts", "event_type").groupBy("entity_id")
-        .transformWithStateInPandas(RecentEvents(), outputStructType=RECENT_OUTPUT, outputMode="Update", timeMode="None")
+        events.select(F.col("student_id").cast("string").alias("entity_id"), "ts", "event_type").withWatermark("ts", delay).groupBy("entity_id")
+        .transformWithStateInPandas(RecentEvents(), outputStructType=RECENT_OUTPUT, outputMode="Update", timeMode="EventTime")
     )
 
 

@@ -12,11 +12,12 @@ from tidewatch.sources.writers import append_state
 LATE = "1 hour"
 
 
-def keep_newest(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):
-    """Writes an updating aggregate as a log of batches; ``writers.read_state`` gives the newest row per key."""
+def keep_newest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str] | None = None):
+    """Writes an updating aggregate as a log of batches; ``writers.read_state`` gives the newest row per key. ``order``: which
+    of a key's rows in one batch is the newest, where there can be several."""
     return (
         stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda df, i: append_state(df, path, i, keys, keys))
+        .foreachBatch(lambda df, i: append_state(df, path, i, order or keys, keys))
     )
 
 
