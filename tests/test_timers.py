@@ -38,3 +38,30 @@ def test_an_idle_students_state_is_gone_after_30_days(spark, tmp_path):
     assert newest == {"1": (0, 0, 0), "2": (2, 2, 3)}
     kept = {r.key.entity_id for r in held(spark, base + "-cp", "daily").collect()}
     assert kept == {"2"}
+
+
+def test_alarms_on_a_stream_judge_silence(spark, tmp_path):
+    """Equal to the batch over all points; an alarm without a single point is calm, and breaches end with silence."""
+    import random
+
+    from tidewatch.functions.expr import instant
+    from tidewatch.operators import alerts as A
+    from tidewatch.streaming import alarms
+
+    rnd = random.Random(2)
+    rules = [("sum", "m", "Sum", 120, ">", 12.0, 2), ("mean", "m", "Average", 60, "<", 4.0, 2), ("top", "m", "Maximum", 300, ">=", 9.0, 1), ("silent", "none", "Sum", 60, "<=", 0.0, 1), ("other", "x", "Maximum", 60, ">", 1.0, 3)]
+    rows = [(rnd.choice("mmx"), T0 + dt.timedelta(seconds=s), float(rnd.randrange(11))) for s in sorted(rnd.choices([*range(0, 1500), *range(2400, 5000)], k=400))]
+    rows += [("mark", T0 + dt.timedelta(seconds=5000 + 600 * k), 1.0) for k in range(3)]
+    schema = "metric string, timestamp timestamp, value double"
+    parts = [rows[:150], rows[150:300], rows[300:402], rows[402:]]
+    stream = alarms.alarm_states(stream_of(spark, parts, schema, tmp_path / "in"), rules, int(T0.replace(tzinfo=dt.UTC).timestamp() * 1e6), "2 minutes")
+    out = str(tmp_path / "out")
+    windows.run_once(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp"))
+    got = {(r.alarm, r.period_start): (r.value, r.breach, r.in_alarm) for r in spark.read.parquet(out).collect()}
+    want = {(r.alarm, r.period_start): (r.value, r.breach, r.in_alarm) for r in A.evaluate_alarms(
+        spark.createDataFrame(rows, schema), rules, instant("2024-01-01 00:00:00"), instant("2024-01-01 02:00:00")).collect()}
+    passed = T0 + dt.timedelta(seconds=5000 + 1200 - 120)
+    width = {r[0]: dt.timedelta(seconds=r[3]) for r in rules}
+    want = {k: v for k, v in want.items() if k[1] + width[k[0]] <= passed}
+    assert got == want and any(v[2] for v in got.values())
+    assert all(not v[1] for (a, _), v in got.items() if a == "silent")

@@ -363,6 +363,24 @@ ALARMS = [
 ]
 
 
+def population_points(states: DataFrame, flags: dict[str, Column], means: dict[str, Column], per: str = "5 minutes") -> DataFrame:
+    """Points (metric, timestamp, value) of a population whose members change one at a time.
+
+    ``states``: entity_id, ts, event_id and the state after each event. ``flags`` count the members they hold for, ``means``
+    average over all members seen so far. A member's last state of a period counts, less its state before, so each period
+    adds its changes; the running sums go over one row a period. Periods without events have no point."""
+    parts = {f"_f_{m}": F.when(c, 1.0).otherwise(0.0) for m, c in flags.items()} | {f"_m_{m}": c.cast("double") for m, c in means.items()} | {"_all": F.lit(1.0)}
+    last = states.groupBy("entity_id", F.window("ts", per).start.alias("period")).agg(F.max_by(F.struct(*[c.alias(n) for n, c in parts.items()]), F.struct("ts", "event_id")).alias("s"))
+    # a member has at most one row a period
+    before = Window.partitionBy("entity_id").orderBy("period")
+    change = last.withColumn("_b", F.lag("s").over(before)).select("period", *[(F.col(f"s.{n}") - F.coalesce(F.col(f"_b.{n}"), F.lit(0.0))).alias(n) for n in parts])
+    up = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    level = change.groupBy("period").agg(*[F.sum(n).alias(n) for n in parts]).select("period", *[F.sum(n).over(up).alias(n) for n in parts])
+    values = [(m, F.col(f"_f_{m}")) for m in flags] + [(m, F.col(f"_m_{m}") / F.col("_all")) for m in means]
+    points = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), c.alias("value")) for m, c in values]))
+    return level.select("period", points.alias("p")).select("p.metric", F.col("period").alias("timestamp"), "p.value")
+
+
 def alarm_rules(spark: SparkSession, rules: list[tuple] | None = None) -> DataFrame:
     return spark.createDataFrame(rules or ALARMS, ALARM_FIELDS)
 

@@ -22,6 +22,7 @@ from tidewatch.operators import validate as V
 from tidewatch.plans import views as W
 from tidewatch.session import prepare, scratch_dir
 from tidewatch.sources.writers import read_state, read_tutors
+from tidewatch.streaming import alarms as SA
 from tidewatch.streaming import ingest as SI
 from tidewatch.streaming import state as SS
 from tidewatch.streaming import windows as SW
@@ -832,6 +833,28 @@ def alarm_eval(spark, sf):
     return rounded(A.evaluate_alarms(points, ALARM_RULES, X.instant("2024-01-01 00:00:00"), NOW()), 9)
 
 
+@query
+def alarms_on_metrics(spark, sf):
+    """The 15 rules on the metrics that events can make: malformed rate, customers at high churn risk, average health and
+    customers at risk. The other eleven metrics are those of hosted services; without points their alarms are calm."""
+    events = W.mkt_events(spark, sf)
+    states = E.states_after(E.entity_events(events)).where("entity_type = 'student'")
+    calls, health = F.col("ib_calls_14d"), F.col("health_score")
+    churn14, churn30 = F.least(F.lit(1.0), calls / 10.0), F.least(F.lit(1.0), calls / 8.0)
+    people = A.population_points(
+        states, {"HighChurnRiskCount": churn14 > 0.7, "AtRiskCustomers": S.segment(F.col("entity_type"), churn14, churn30, health) == "at_risk"}, {"AverageHealthScore": health})
+    malformed = A.malformed_rate(_validated(spark, sf), "ts").select(F.lit("malformed_rate").alias("metric"), F.col("period").alias("timestamp"), F.col("malformed_rate").alias("value"))
+    return rounded(A.evaluate_alarms(malformed.unionByName(people), A.ALARMS, X.instant("2024-01-01 00:00:00"), NOW()))
+
+
+@query
+def stream_alarm_states(spark, sf):
+    """The alarms of ``alarm_eval`` by a state machine on the stream of points, up to the stream's watermark."""
+    points = _stream(spark, sf).select(F.col("event_type").alias("metric"), F.col("ts").alias("timestamp"), "value")
+    start = spark.sql("SELECT unix_micros(timestamp '2024-01-01 00:00:00')").first()[0]
+    return rounded(_appended(spark, SA.alarm_states(points, ALARM_RULES, start), "alarm-states"), 9)
+
+
 def _requests(spark, sf):
     ev = W.table(spark, sf, "events")
     status = F.when(F.col("event_id") % 40 == 0, 500).when(F.col("event_id") % 25 == 0, 404).otherwise(200)

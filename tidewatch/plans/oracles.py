@@ -792,6 +792,39 @@ bb AS (SELECT *, coalesce(CASE op WHEN '>' THEN v > threshold WHEN '>=' THEN v >
 SELECT alarm, p AS period_start, round(v, 9) AS value, breach, CASE periods
   WHEN 1 THEN breach WHEN 2 THEN sum(breach::INT) OVER (PARTITION BY alarm ORDER BY p ROWS 1 PRECEDING) = 2
   ELSE sum(breach::INT) OVER (PARTITION BY alarm ORDER BY p ROWS 2 PRECEDING) = 3 END AS in_alarm FROM bb""")
+_ALARM_EVAL = ORACLES["alarm_eval"]
+ORACLES["stream_alarm_states"] = f"""WITH evaluated AS ({_ALARM_EVAL})
+SELECT evaluated.* FROM evaluated JOIN (VALUES ('errors-high', 3600), ('errors-max', 300), ('views-low', 900), ('clicks-high', 3600)) AS w(alarm, secs) USING (alarm)
+WHERE period_start + secs * INTERVAL 1 SECOND <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""".replace("SELECT evaluated.*", "SELECT alarm, period_start, value, breach, in_alarm")
+oracle("alarms_on_metrics", RAW + """,
+cu AS (SELECT *, count(*) FILTER (event_type = 'ib_call_logged') OVER w AS cc, last_value(health_score IGNORE NULLS) OVER w AS h FROM mkt
+  WHERE event_type IN ('session_started', 'session_completed', 'ib_call_logged', 'customer_health_update') WINDOW w AS (PARTITION BY student_id ORDER BY ts, event_id)),
+sn AS (SELECT student_id, ts, event_id, cc + coalesce(last_value(ib_calls_last_14_days - cc IGNORE NULLS) OVER w, 0) AS c14, coalesce(h, 100.0::DOUBLE) AS hs
+  FROM cu WINDOW w AS (PARTITION BY student_id ORDER BY ts, event_id)),
+la AS (SELECT student_id, time_bucket(INTERVAL 5 MINUTE, ts) AS p, arg_max(struct_pack(c := c14, h := hs), (ts, event_id)) AS s FROM sn GROUP BY ALL),
+fl AS (SELECT student_id, p, CASE WHEN least(1.0, s.c / 10.0::DOUBLE) > 0.7::DOUBLE THEN 1 ELSE 0 END AS churn, s.h AS h,
+  CASE WHEN least(1.0, s.c / 10.0::DOUBLE) > 0.7::DOUBLE OR s.h < 40 THEN 0 WHEN least(1.0, s.c / 10.0::DOUBLE) > 0.4::DOUBLE OR least(1.0, s.c / 8.0::DOUBLE) > 0.6::DOUBLE OR s.h < 60 THEN 1 ELSE 0 END AS risk FROM la),
+ch AS (SELECT p, churn - lag(churn, 1, 0) OVER w AS churn, h - lag(h, 1, 0.0) OVER w AS h, risk - lag(risk, 1, 0) OVER w AS risk, CASE WHEN lag(p) OVER w IS NULL THEN 1 ELSE 0 END AS n
+  FROM fl WINDOW w AS (PARTITION BY student_id ORDER BY p)),
+lv AS (SELECT p, sum(sum(churn)) OVER o AS churn, sum(sum(h)) OVER o / sum(sum(n)) OVER o AS h, sum(sum(risk)) OVER o AS risk FROM ch GROUP BY p WINDOW o AS (ORDER BY p)),
+pt AS (SELECT 'HighChurnRiskCount' AS metric, p, churn::DOUBLE AS x FROM lv UNION ALL SELECT 'AverageHealthScore', p, h FROM lv UNION ALL SELECT 'AtRiskCustomers', p, risk FROM lv
+  UNION ALL SELECT 'malformed_rate', time_bucket(INTERVAL 5 MINUTE, ts), count(*) FILTER (n_critical + n_error > 0) / count(*)::DOUBLE * 100 FROM val GROUP BY 2),
+rules(alarm, metric, statistic, secs, op, threshold, periods) AS (VALUES
+  -- fixed values
+  ('ingest-errors', 'ingest_errors', 'Sum', 300, '>', 50.0, 2), ('ingest-throttles', 'ingest_throttles', 'Sum', 300, '>', 10.0, 1), ('ai-errors', 'ai_errors', 'Sum', 300, '>', 5.0, 2),
+  ('high-churn-rate', 'HighChurnRiskCount', 'Maximum', 300, '>=', 10.0, 2), ('low-health-average', 'AverageHealthScore', 'Average', 900, '<', 60.0, 2),
+  ('at-risk-customers', 'AtRiskCustomers', 'Maximum', 900, '>=', 50.0, 1), ('store-read-capacity', 'read_capacity', 'Sum', 300, '>', 10000.0, 3),
+  ('store-write-capacity', 'write_capacity', 'Sum', 300, '>', 5000.0, 3), ('api-4xx', 'api_4xx', 'Sum', 300, '>', 100.0, 2), ('api-5xx', 'api_5xx', 'Sum', 300, '>', 10.0, 2),
+  ('ingest-duration', 'ingest_duration_ms', 'Average', 300, '>', 5000.0, 3), ('iterator-age', 'iterator_age_ms', 'Maximum', 60, '>', 60000.0, 2),
+  ('write-throughput', 'write_throughput_exceeded', 'Sum', 300, '>', 10.0, 1), ('stream-processor-errors', 'stream_processor_errors', 'Sum', 300, '>', 10.0, 2),
+  ('malformed-rate', 'malformed_rate', 'Average', 300, '>', 5.0, 2)),
+spine AS (SELECT *, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31' - secs * INTERVAL 1 SECOND, secs * INTERVAL 1 SECOND)) AS p FROM rules),
+stat AS (SELECT alarm, TIMESTAMP '1970-01-01' + (epoch_us(pt.p) // (secs::BIGINT * 1000000)) * secs * INTERVAL 1 SECOND AS p, sum(x) AS s, avg(x) AS a, max(x) AS m FROM pt JOIN rules USING (metric) GROUP BY ALL),
+br AS (SELECT spine.*, CASE statistic WHEN 'Sum' THEN s WHEN 'Average' THEN a ELSE m END AS v FROM spine LEFT JOIN stat ON spine.alarm = stat.alarm AND spine.p = stat.p),
+bb AS (SELECT *, coalesce(CASE op WHEN '>' THEN v > threshold WHEN '>=' THEN v >= threshold ELSE v < threshold END, false) AS breach FROM br)""", """
+SELECT alarm, p AS period_start, round(v, 6) AS value, breach, CASE periods
+  WHEN 1 THEN breach WHEN 2 THEN sum(breach::INT) OVER (PARTITION BY alarm ORDER BY p ROWS 1 PRECEDING) = 2
+  ELSE sum(breach::INT) OVER (PARTITION BY alarm ORDER BY p ROWS 2 PRECEDING) = 3 END AS in_alarm FROM bb""")
 
 
 def _ranks(source: str, group: str, value: str, offset: int, where: str = "true") -> str:
