@@ -20,7 +20,9 @@ from tidewatch.operators import scoring as S
 from tidewatch.operators import telemetry as L
 from tidewatch.operators import validate as V
 from tidewatch.plans import views as W
+from tidewatch.plans.refresh import refresh_table
 from tidewatch.session import prepare, scratch_dir
+from tidewatch.sources.versions import VersionedTable
 from tidewatch.sources.writers import read_state, read_tutors
 from tidewatch.streaming import alarms as SA
 from tidewatch.streaming import ingest as SI
@@ -665,6 +667,24 @@ def stored_predictions(spark, sf):
                     "segment", "model_version")
 
 
+@query
+def refresh_twice(spark, sf):
+    """Two scheduled refreshes over a versioned table; the second smooths with what the first has stored."""
+    base = scratch_dir(spark, "refresh")
+    stored = ["churn_risk_14d", "churn_risk_30d", "session_velocity", "segment", "recommendations", "model_version", "prediction_timestamp", "first_session_success_prob"]
+
+    def smoothed(entities: DataFrame) -> DataFrame:
+        before = F.col("churn_risk_14d").cast("double") if "churn_risk_14d" in entities.columns else F.lit(0.0)
+        fresh = W.entity_predictions(entities.withColumn("_before", before).drop(*stored))
+        return fresh.withColumn("churn_risk_14d", (F.col("_before") + F.col("churn_risk_14d")) / 2).drop("_before")
+
+    table = VersionedTable(spark, f"{base}/entities")
+    table.write(_students(spark, sf), "load")
+    for run, at in (("first", "2024-01-30 00:00:00"), ("second", "2024-01-31 00:00:00")):
+        refresh_table(table, smoothed, base, run, X.instant(at))
+    return table.read().select("entity_id", "sessions_30d", F.col("churn_risk_14d").cast("double").alias("churn_risk_14d"), F.col("churn_risk_30d").cast("double").alias("churn_risk_30d"), "segment", "prediction_timestamp")
+
+
 def _fallback(spark, sf):
     m = W.stream_metrics(spark, sf)
     m = L.with_baselines(m, L.stream_baselines(m)).withColumns({

@@ -661,6 +661,11 @@ SELECT CAST(tutor_id AS VARCHAR) AS entity_id, 'tutor' AS entity_type, t7::DOUBL
 oracle("rules_risk", STUDENT, """SELECT entity_id, CAST(least(floor((100 - health_score) * 0.5::DOUBLE + least(ib_calls_14d * 5, 30) + greatest(5 - sessions_7d, 0) * 4 + 0.5::DOUBLE), 100) AS INTEGER) AS risk_score,
   CASE WHEN health_score < 50 THEN 'critical' WHEN health_score < 70 THEN 'warning' ELSE 'normal' END AS severity FROM stu""")
 oracle("segments", SCORED, """SELECT entity_id, entity_type, round(c14, 6) AS churn_risk_14d, round(c30, 6) AS churn_risk_30d, round(health_score, 6) AS health_score, segment FROM scored""")
+oracle("refresh_twice", STUDENT + """,
+tw AS (SELECT *, 0.75::DOUBLE * least(1.0, ib_calls_14d / 10.0::DOUBLE) AS c14, least(1.0, ib_calls_14d / 8.0::DOUBLE) AS c30 FROM stu)""", """
+SELECT entity_id, sessions_30d, round_even(c14, 4)::DOUBLE AS churn_risk_14d, round_even(c30, 4)::DOUBLE AS churn_risk_30d, CASE WHEN c14 > 0.7::DOUBLE OR health_score < 40 THEN 'churned'
+  WHEN c14 > 0.4::DOUBLE OR c30 > 0.6::DOUBLE OR health_score < 60 THEN 'at_risk' WHEN c14 < 0.2::DOUBLE AND health_score > 80 THEN 'thriving' ELSE 'healthy' END AS segment,
+  TIMESTAMP '2024-01-31' AS prediction_timestamp FROM tw""")
 oracle("segment_counts", SCORED, "SELECT entity_type, " + ", ".join(f"count(*) FILTER (segment = '{s}') AS {s}" for s in ("thriving", "healthy", "at_risk", "churned", "star", "churning")) + " FROM scored GROUP BY entity_type")
 _PK = """SELECT count(*) AS total_processed, count(*) FILTER (c14 > 0.7::DOUBLE) AS high_churn_count, round(avg(c14), 6) AS avg_churn_risk_14d, round(avg(health_score), 6) AS avg_health_score,
   count(*) FILTER (segment = 'thriving') AS thriving, count(*) FILTER (segment = 'at_risk') AS at_risk, count(*) FILTER (segment = 'churned') AS churned FROM scored"""
