@@ -26,6 +26,7 @@ from tidewatch.sources.versions import VersionedTable
 from tidewatch.sources.writers import read_state, read_tutors
 from tidewatch.streaming import alarms as SA
 from tidewatch.streaming import ingest as SI
+from tidewatch.streaming import late as SLT
 from tidewatch.streaming import state as SS
 from tidewatch.streaming import windows as SW
 
@@ -1239,6 +1240,40 @@ def stream_daily_counts(spark, sf):
     return _upserted(spark, SW.daily_counts(W.mkt_of(_stream(spark, sf))), "daily", ["student_id", "day"])
 
 
+ARRIVALS = 10  # micro-batches the events arrive in
+
+
+def _arrivals(spark, sf) -> DataFrame:
+    """The events as a stream of ARRIVALS batches of three days by arrival; every 29th event arrives 36 hours late."""
+    base = scratch_dir(spark, "arrivals")
+    events = W.table(spark, sf, "events")
+    late = F.when(F.col("event_id") % 29 == 0, 36 * 3600).otherwise(0)
+    day = F.floor((F.unix_timestamp("ts") + late - F.unix_timestamp(X.instant("2024-01-01 00:00:00"))) / (3 * 86400))
+    for k in range(ARRIVALS):  # one folder after the other, so their files are read in this order
+        events.where(F.least(F.greatest(day, F.lit(0)), F.lit(ARRIVALS - 1)) == k).coalesce(1).write.parquet(f"{base}/{k}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(base)
+
+
+def _split(spark, sf) -> str:
+    base = scratch_dir(spark, "late")
+    SW.run_once(SLT.split_late(_arrivals(spark, sf), base, f"{base}/checkpoint", counts={"errors": F.col("event_type") == "error"}))
+    return base
+
+
+@query
+def stream_late_rows(spark, sf):
+    """Rows that came after their window had ended: kept in the archive, with the watermark they were behind."""
+    return SLT.read_late(spark, _split(spark, sf)).select("event_id", "ts", "event_type", "period", "watermark", "batch")
+
+
+@query
+def stream_windows_on_time(spark, sf):
+    """Hourly counts without late rows, beside what the archive holds of each hour."""
+    base = _split(spark, sf)
+    archived = SLT.read_archived(spark, base).groupBy("period").agg(F.count(F.lit(1)).alias("archived"), F.count_if("late").alias("late"))
+    return archived.join(SLT.read_windows(spark, base), "period", "left").fillna(0, ["total", "errors"])
+
+
 @query
 def stream_alerts_cooldown(spark, sf):
     return _appended(spark, SS.cooldown_alerts(_event_alerts(spark, sf, _stream(spark, sf))), "cooldown")

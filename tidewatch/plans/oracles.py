@@ -955,4 +955,12 @@ oracle("stream_alarm_windows", BASE, """SELECT event_type AS metric, time_bucket
   max(value) AS "Maximum" FROM ev GROUP BY ALL""")
 oracle("stream_daily_counts", MKT, """SELECT student_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'session_completed') AS sessions,
   count(*) FILTER (event_type = 'ib_call_logged') AS calls FROM mkt GROUP BY ALL""")
+ARRIVED = BASE + """,
+ar AS (SELECT *, least(greatest(CAST(floor((epoch(ts) // 1 + CASE WHEN event_id % 29 = 0 THEN 129600 ELSE 0 END - epoch(TIMESTAMP '2024-01-01')) / 259200) AS INTEGER), 0), 9) AS batch,
+  time_bucket(INTERVAL 1 HOUR, ts) AS period FROM ev),
+wm AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR AS watermark FROM ar GROUP BY batch),
+ma AS (SELECT ar.*, watermark, coalesce(period + INTERVAL 1 HOUR <= watermark, false) AS late FROM ar JOIN wm USING (batch))"""
+oracle("stream_late_rows", ARRIVED, "SELECT event_id, ts, event_type, period, watermark, batch FROM ma WHERE late")
+oracle("stream_windows_on_time", ARRIVED, """SELECT period, count(*) AS archived, count(*) FILTER (late) AS late, count(*) FILTER (NOT late) AS total,
+  count(*) FILTER (NOT late AND event_type = 'error') AS errors FROM ma GROUP BY 1""")
 ORACLES["stream_tutor_state"] = ORACLES["ingest_tutor_state"]
