@@ -18,6 +18,7 @@ from tidewatch.operators import ml as M
 from tidewatch.operators import ordered as O
 from tidewatch.operators import scoring as S
 from tidewatch.operators import telemetry as L
+from tidewatch.operators import sessions as SN
 from tidewatch.operators import validate as V
 from tidewatch.plans import views as W
 from tidewatch.plans.refresh import refresh_table
@@ -1274,6 +1275,21 @@ def stream_windows_on_time(spark, sf):
     return archived.join(SLT.read_windows(spark, base), "period", "left").fillna(0, ["total", "errors"])
 
 
+@query
+def activity_sessions(spark, sf):
+    """Sessions of every user: events that follow each other within 12 hours."""
+    ev = W.table(spark, sf, "events")
+    bought = {"purchases": F.when(F.col("event_type") == "purchase", 1).otherwise(0), "spent": F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)}
+    return rounded(SN.sessions(ev, ["user_id"], "ts", ["event_id"], 12 * 3_600_000_000, bought))
+
+
+@query
+def stream_sessions(spark, sf):
+    """The same on the stream of events: the sessions that had ended by its watermark."""
+    bought = {"purchases": F.when(F.col("event_type") == "purchase", 1).otherwise(0), "spent": F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)}
+    return rounded(_appended(spark, SW.session_windows(_stream(spark, sf), ["user_id"], "ts", "12 hours", bought), "sessions"))
+
+
 @query
 def stream_alerts_cooldown(spark, sf):
     return _appended(spark, SS.cooldown_alerts(_event_alerts(spark, sf, _stream(spark, sf))), "cooldown")

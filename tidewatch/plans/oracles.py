@@ -963,4 +963,11 @@ ma AS (SELECT ar.*, watermark, coalesce(period + INTERVAL 1 HOUR <= watermark, f
 oracle("stream_late_rows", ARRIVED, "SELECT event_id, ts, event_type, period, watermark, batch FROM ma WHERE late")
 oracle("stream_windows_on_time", ARRIVED, """SELECT period, count(*) AS archived, count(*) FILTER (late) AS late, count(*) FILTER (NOT late) AS total,
   count(*) FILTER (NOT late AND event_type = 'error') AS errors FROM ma GROUP BY 1""")
+_SESSIONS = BASE + """,
+ga AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 12 HOUR, true)::INT AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+nu AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS number FROM ga),
+se AS (SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS events, count(*) FILTER (event_type = 'purchase') AS purchases,
+  round(coalesce(sum(value) FILTER (event_type = 'purchase'), 0.0), 6) AS spent FROM nu GROUP BY user_id, number)"""
+oracle("activity_sessions", _SESSIONS, "SELECT * FROM se")
+oracle("stream_sessions", _SESSIONS, "SELECT * FROM se WHERE last + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev)")
 ORACLES["stream_tutor_state"] = ORACLES["ingest_tutor_state"]

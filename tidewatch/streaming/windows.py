@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expr import ratio
@@ -62,3 +62,10 @@ def daily_counts(events: DataFrame, ts: str = "ts") -> DataFrame:
 def version_feed(spark, old_path: str, new_path: str, keys: list[str]) -> DataFrame:
     """The change feed between two written versions."""
     return change_feed(spark.read.parquet(old_path), spark.read.parquet(new_path), keys)
+
+
+def session_windows(events: DataFrame, keys: list[str], ts: str, gap: str, sums: dict[str, Column] | None = None, delay: str = LATE) -> DataFrame:
+    """Sessions on a stream, each once the watermark has passed its end: as ``operators.sessions`` finds them in a batch."""
+    parts = events.withWatermark(ts, delay).groupBy(*keys, F.session_window(ts, gap)).agg(
+        F.min(ts).alias("start"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("events"), *[F.sum(c).alias(n) for n, c in (sums or {}).items()])
+    return parts.drop("session_window")
