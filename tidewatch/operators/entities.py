@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expr import age_days, any_of, ratio, truthy_or
-from tidewatch.operators.ordered import keep_last, sliced
+from tidewatch.operators.ordered import asof_backward, keep_last, slice_window, sliced, with_row_halo, without_halo
 from tidewatch.operators.running import Affine, Step, state_after
 
 WINDOWS = (7, 14, 30)
@@ -292,7 +292,7 @@ def tutor_features(events: DataFrame, as_of: Column, days: int = 30) -> DataFram
             ratio(F.col("booked_minutes"), F.col("sessions_completed")).alias("avg_session_duration_min"),
             F.when(F.col("rated") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (F.col("rated") - 1))).alias("rating_volatility"),
             ratio(F.col("sessions_completed"), F.col("unique_students")).alias("avg_student_sessions"),
-            F.coalesce("age", F.lit(999)).cast("int").alias("days_since_last_session"),
+            F.coalesce("age", F.lit(999)).cast("int").alias("days_since_last_session"), "available_hours",
         )
     )
 
@@ -375,6 +375,69 @@ def lifetime(activity: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def tutor_earnings(events: DataFrame, rates: DataFrame, as_of: Column, days: int = 30, min_rows: int | None = None, slice_rows: int | None = None) -> DataFrame:
+    """What tutors earned in the window: a session pays the hourly rate in force when it was completed. Cancelled and missed
+    sessions pay nothing; so do sessions before a tutor's first rate, which are counted as ``unrated_sessions``.
+
+    ``rates``: tutor_id, ts (from when), event_id, hourly_rate. The trend compares the later half of the window with the
+    earlier one: growing or declining by more than a tenth, else stable."""
+    missed = F.coalesce("was_cancelled", F.lit(False)) | F.coalesce("no_show", F.lit(False))
+    age = age_days("ts", as_of)
+    paid = events.where(_of("session_completed") & F.col("tutor_id").isNotNull() & _within(age, days) & ~missed).select("tutor_id", "ts", F.col("duration_min").alias("_minutes"))
+    held = asof_backward(paid, rates, ["tutor_id"], "ts", ["hourly_rate"], ["event_id"], min_rows=min_rows, slice_rows=slice_rows)
+    earned = F.coalesce(F.col("hourly_rate") * F.col("_minutes") / 60, F.lit(0.0))
+    late = age_days("ts", as_of) < days / 2
+    sums = held.groupBy("tutor_id").agg(
+        F.sum(earned).alias("total_earnings"), F.count(F.lit(1)).alias("paid_sessions"), _count(F.col("hourly_rate").isNull()).alias("unrated_sessions"),
+        F.sum(F.when(late, earned).otherwise(0.0)).alias("_late"), F.sum(F.when(late, 0.0).otherwise(earned)).alias("_early"))
+    trend = F.when(F.col("_late") > F.col("_early") * 1.1, "growing").when(F.col("_late") < F.col("_early") * 0.9, "declining").otherwise("stable")
+    return sums.select("tutor_id", "total_earnings", "paid_sessions", "unrated_sessions", ratio(F.col("total_earnings"), F.col("paid_sessions")).alias("avg_earnings_per_session"), trend.alias("earnings_trend"))
+
+
+def tutor_ratings(events: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """How a tutor's ratings move and spread: later half of the window less the earlier one, the mean over subjects of their
+    mean ratings, and the subjects' diversity (one less the sum of squared shares)."""
+    done = events.where(_of("session_completed") & F.col("tutor_id").isNotNull() & _within(age_days("ts", as_of), days))
+    r, late = F.nullif(F.col("rating"), F.lit(0)), age_days("ts", as_of) < days / 2
+    by_subject = done.groupBy("tutor_id", "subject").agg(
+        F.count(F.lit(1)).alias("c"), F.avg(r).alias("mean"), *[f(F.when(c, r)).alias(n) for n, f, c in (("s1", F.sum, late), ("n1", F.count, late), ("s0", F.sum, ~late), ("n0", F.count, ~late))])
+    sums = by_subject.groupBy("tutor_id").agg(
+        F.avg("mean").alias("avg_rating_by_subject"), (1 - F.sum(F.col("c") * F.col("c")) / (F.sum("c") * F.sum("c"))).alias("subject_diversity_score"),
+        *[F.sum(c).alias(c) for c in ("s1", "n1", "s0", "n0")])
+    return sums.select("tutor_id", "avg_rating_by_subject", "subject_diversity_score", (ratio(F.col("s1"), F.col("n1")) - ratio(F.col("s0"), F.col("n0"))).alias("rating_trend"))
+
+
+def student_habits(events: DataFrame, as_of: Column, days: int = 30, min_rows: int | None = None, slice_rows: int | None = None) -> DataFrame:
+    """When, how long, how well and with whom students had their sessions of the window, and how often the tutor changed from
+    one session to the next."""
+    done = events.where(_of("session_completed") & F.col("student_id").isNotNull() & _within(age_days("ts", as_of), days))
+    halo = with_row_halo(done, ["student_id"], "ts", ["event_id"], 1, min_rows, slice_rows)
+    was = F.lag("tutor_id").over(slice_window(["student_id"], "ts", ["event_id"]))
+    moved = without_halo(halo.withColumn("_changed", F.coalesce(~F.col("tutor_id").eqNullSafe(was) & was.isNotNull(), F.lit(False))))
+    age, r = age_days("ts", as_of), F.nullif(F.col("rating"), F.lit(0))
+    sums = {
+        "weekend": F.weekday("ts") >= 5, "evening": F.hour("ts") >= 18, "cancelled": F.coalesce("was_cancelled", F.lit(False)), "missed": F.coalesce("no_show", F.lit(False)),
+        "last7": age < 7, "cancelled7": F.coalesce("was_cancelled", F.lit(False)) & (age < 7), "changed": F.col("_changed"),
+    }
+    late = age < days / 2
+    by_tutor = moved.groupBy("student_id", "tutor_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("duration_min").alias("minutes"), *[_count(c).alias(n) for n, c in sums.items()],
+        F.count(r).alias("rated"), F.sum(r).cast("long").alias("r1"), F.sum(r * r).cast("long").alias("r2"),
+        F.count(F.when(late, r)).alias("late_n"), F.sum(F.when(late, r)).cast("long").alias("late_r"))
+    held = [c for c in by_tutor.columns if c not in ("student_id", "tutor_id")]
+    per = by_tutor.groupBy("student_id").agg(*[F.sum(c).alias(c) for c in held], F.max("n").alias("top"), F.count("tutor_id").alias("tutors"))
+    c = F.col
+    spread = c("r2") - c("r1") * c("r1") / c("rated")
+    return per.select(
+        c("student_id").alias("entity_id"), ratio(c("weekend"), c("n")).alias("sessions_weekend_ratio"), ratio(c("evening"), c("n")).alias("sessions_evening_ratio"),
+        ratio(c("minutes"), c("n")).alias("avg_session_duration_min"), (c("minutes") / 60).alias("total_session_hours_30d"),
+        (ratio(c("late_r"), c("late_n")) - ratio(c("r1") - F.coalesce(c("late_r"), F.lit(0)), c("rated") - c("late_n"))).alias("rating_trend"),
+        F.when(c("rated") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (c("rated") - 1))).alias("rating_volatility"),
+        ratio(c("cancelled7"), c("last7")).alias("cancellation_rate_7d"), ratio(c("cancelled"), c("n")).alias("cancellation_rate_30d"), ratio(c("missed"), c("n")).alias("no_show_rate_30d"),
+        c("tutors").alias("unique_tutors_30d"), ratio(c("top"), c("n")).alias("preferred_tutor_ratio"), c("changed").alias("tutor_changed_count_30d"),
+    )
+
+
 def tutor_consistency(events: DataFrame, as_of: Column, last: int = 20, days: int = 30) -> DataFrame:
     """Share of the most used tutor in a student's last sessions, that tutor's rating, tutors seen in the window.
 

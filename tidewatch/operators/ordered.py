@@ -172,6 +172,37 @@ def asof_forward(left: DataFrame, right: DataFrame, by: list[str], ts: str, tole
     )
 
 
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], ts: str, right_cols: list[str], right_tie: list[str],
+                  until: str | None = None, min_rows: int | None = None, slice_rows: int | None = None) -> DataFrame:
+    """Each left row with the last right row of the same key at or before it: the one in force, with its time as
+    ``matched_<ts>``. ``until``: a column of ``right`` at which a row ends; a left row at or after it has no match, also
+    when an older right row would still hold.
+
+    Oldest first, the last right row seen so far is the match. A slice of a hot key needs a single row from outside: the
+    last right row of the slices before it."""
+    l_cols = left.columns
+    lhs = left.select(*by, ts, F.lit(1).alias("_side"), F.struct(*l_cols).alias("_row"))
+    held = [F.col(c) for c in right_cols] + ([F.col(until).alias("_until")] if until else [])
+    rhs = right.dropna(subset=by).select(
+        *by, ts, F.lit(0).alias("_side"), F.struct(F.col(ts).alias("_at"), *held).alias("_match"), F.struct(*right_tie).alias("_tie"))
+    rows = sliced(lhs.unionByName(rhs, allowMissingColumns=True), by, ts, min_rows, slice_rows)
+    one = F.when(F.col("_side") == 0, F.struct(ts, "_match", "_tie"))
+    order = F.when(F.col("_side") == 0, F.struct(ts, "_tie"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    behind = (
+        rows.where("_hot").groupBy(*by, "_slice").agg(F.max_by(one, order).alias("_f"))
+        .withColumn("_f", F.last("_f", ignorenulls=True).over(earlier)).where("_f IS NOT NULL")
+        .select(*by, f"_f.{ts}", F.lit(0).alias("_side"), "_f._match", "_f._tie", "_slice")
+    )
+    oldest = Window.partitionBy(*by, "_slice").orderBy(ts, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = (
+        rows.drop("_hot").unionByName(behind, allowMissingColumns=True)
+        .withColumn("_hit", F.last("_match", ignorenulls=True).over(oldest)).where("_side = 1")
+    )
+    holds = F.coalesce(F.col(ts) < F.col("_hit._until"), F.lit(True)) if until else F.lit(True)
+    return found.select("_row.*", *[F.when(holds, F.col(f"_hit.{c}")).alias(n) for c, n in [("_at", f"matched_{ts}"), *[(c, c) for c in right_cols]]])
+
+
 CELLS = 1024  # ranges that a group's values are cut into, twice
 
 

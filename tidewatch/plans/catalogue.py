@@ -90,7 +90,9 @@ def tutor_session_agg(spark, sf):
 
 @query
 def tutor_feature_agg(spark, sf):
-    return rounded(E.tutor_features(W.mkt_events(spark, sf), NOW()))
+    ev = W.mkt_events(spark, sf)
+    earned = E.tutor_earnings(ev, W.tutor_rates(spark, sf), NOW())
+    return rounded(E.tutor_features(ev, NOW()).join(earned, "tutor_id", "left").fillna(0, ["total_earnings", "paid_sessions", "unrated_sessions"]))
 
 
 @query
@@ -597,8 +599,29 @@ def student_features46(spark, sf):
 
 
 @query
-def tutor_features46(spark, sf):
-    return rounded(feature_table(_tutor_metrics(spark, sf), "tutor"))
+def student_vector46(spark, sf):
+    """The student vector with every metric that events can tell; the other columns keep their defaults."""
+    ev = W.mkt_events(spark, sf)
+    habits = E.student_habits(ev, NOW())
+    steady = E.tutor_consistency(ev, NOW()).select(F.col("student_id").alias("entity_id"), "tutor_consistency_score", F.col("primary_tutor_rating").alias("tutor_rating_avg"))
+    m = E.student_metrics(ev, NOW()).join(habits, "entity_id", "left").join(steady, "entity_id", "left")
+    return rounded(feature_table(m.withColumn("preferred_tutor_sessions_ratio", F.col("preferred_tutor_ratio")), "student"))
+
+
+@query
+def tutor_vector46(spark, sf):
+    """The tutor vector with every metric that events can tell. 14 columns have no source and keep their defaults: next week's
+    hours, response and booking times, subject match, certificates, experience, advanced topics, grades, premium and
+    discount shares, disputes, refunds, pricing, and the ratio of instant bookings."""
+    ev = W.mkt_events(spark, sf)
+    f = E.tutor_features(ev, NOW()).join(E.tutor_ratings(ev, NOW()), "tutor_id", "left").join(E.tutor_earnings(ev, W.tutor_rates(spark, sf), NOW()), "tutor_id", "left")
+    trend = F.when(F.col("earnings_trend") == "growing", 1.0).when(F.col("earnings_trend") == "declining", -1.0).otherwise(0.0)
+    more = f.select(
+        F.col("tutor_id").cast("string").alias("entity_id"), "avg_session_duration_min", "no_show_rate", "cancellation_rate", "days_since_last_session", "rating_trend", "rating_volatility",
+        F.col("avg_student_sessions").alias("avg_student_lifetime_sessions"), F.col("available_hours").alias("available_hours_this_week"), F.col("subjects").alias("primary_subject_count"),
+        "subject_diversity_score", "avg_rating_by_subject", F.col("specialization").alias("specialization_score"), F.col("total_earnings").alias("total_earnings_30d"),
+        "avg_earnings_per_session", trend.alias("earnings_trend"), X.ratio(F.col("total_earnings"), F.col("available_hours")).alias("revenue_per_available_hour"))
+    return rounded(feature_table(_tutor_metrics(spark, sf).join(more, "entity_id", "left"), "tutor"))
 
 
 def _scored(spark, sf):

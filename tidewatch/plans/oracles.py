@@ -218,7 +218,7 @@ tfeat AS (
     returning_students / nullif(unique_students, 0)::DOUBLE AS retention_rate,
     sessions_completed / nullif(subjects, 0)::DOUBLE AS sessions_per_subject,
     top / nullif(sessions_completed, 0)::DOUBLE AS specialization,
-    booked_minutes / 60.0::DOUBLE / nullif(hours, 0)::DOUBLE AS utilization_rate, volatility, days
+    booked_minutes / 60.0::DOUBLE / nullif(hours, 0)::DOUBLE AS utilization_rate, volatility, days, hours
   FROM tag LEFT JOIN tsub USING (tutor_id) LEFT JOIN thr USING (tutor_id) LEFT JOIN trat USING (tutor_id)),
 tcnt AS (
   SELECT tutor_id, count(*) FILTER (age < 7) AS t7, count(*) FILTER (age < 14) AS t14, count(*) FILTER (age < 30) AS t30,
@@ -305,14 +305,24 @@ SELECT tutor_id, count(*) AS sessions_completed_count, CAST(sum(duration_min) AS
   max(ts) AS last_session_timestamp, (list(nullif(rating, 0) ORDER BY ts, event_id))[-1] AS last_session_rating
 FROM mkt WHERE event_type = 'session_completed' GROUP BY tutor_id""")
 
-oracle("tutor_feature_agg", TUTOR, """
+EARNED = TUTOR + """,
+rates AS (SELECT tutor_id, ts, arg_max(20 + k % 40, event_id)::DOUBLE AS rate FROM mkt WHERE event_type = 'tutor_availability_updated' GROUP BY tutor_id, ts),
+paid AS (SELECT s.tutor_id, age, rate, coalesce(rate * duration_min / 60, 0.0) AS e
+  FROM (SELECT * FROM mkt WHERE event_type = 'session_completed' AND age >= 0 AND age < 30 AND NOT was_cancelled AND NOT no_show) AS s
+  ASOF LEFT JOIN rates AS r ON s.tutor_id = r.tutor_id AND s.ts >= r.ts),
+halves AS (SELECT tutor_id, sum(e) AS total, count(*) AS paid, count(*) FILTER (rate IS NULL) AS unrated, coalesce(sum(e) FILTER (age < 15), 0.0) AS late, coalesce(sum(e) FILTER (age >= 15), 0.0) AS early
+  FROM paid GROUP BY tutor_id),
+earn AS (SELECT tutor_id, total, paid, unrated, CASE WHEN late > early * 1.1::DOUBLE THEN 'growing' WHEN late < early * 0.9::DOUBLE THEN 'declining' ELSE 'stable' END AS trend FROM halves)"""
+
+oracle("tutor_feature_agg", EARNED, """
 SELECT tutor_id, sessions_started, sessions_completed, unique_students, returning_students, negative_reviews, positive_reviews,
   booked_minutes, subjects, round(completion_rate, 6) AS completion_rate, round(retention_rate, 6) AS retention_rate,
   round(sessions_per_subject, 6) AS sessions_per_subject, round(specialization, 6) AS specialization,
   round(utilization_rate, 6) AS utilization_rate, round(cancelled / nullif(sessions_completed, 0)::DOUBLE, 6) AS cancellation_rate,
   round(no_shows / nullif(sessions_completed, 0)::DOUBLE, 6) AS no_show_rate, round(booked_minutes / nullif(sessions_completed, 0)::DOUBLE, 6) AS avg_session_duration_min,
   round(volatility, 6) AS rating_volatility, round(sessions_completed / nullif(unique_students, 0)::DOUBLE, 6) AS avg_student_sessions,
-  CAST(coalesce(days, 999) AS INTEGER) AS days_since_last_session FROM tfeat""")
+  CAST(coalesce(days, 999) AS INTEGER) AS days_since_last_session, hours AS available_hours, round(coalesce(total, 0.0), 6) AS total_earnings, coalesce(paid, 0) AS paid_sessions,
+  coalesce(unrated, 0) AS unrated_sessions, round(total / paid, 6) AS avg_earnings_per_session, trend AS earnings_trend FROM tfeat LEFT JOIN earn USING (tutor_id)""")
 
 oracle("running_rating", MKT + """,
 st AS (SELECT tutor_id, row_number() OVER (PARTITION BY tutor_id ORDER BY ts, event_id) AS n,
@@ -637,9 +647,9 @@ _CONST_TUTOR = """60 avg_session_duration_min, 0 no_show_rate, 0 cancellation_ra
 0.1 discount_sessions_ratio, 0 payment_disputes_count_30d, 0 refund_rate_30d, 0.75 pricing_competitiveness_score, 25 revenue_per_available_hour"""
 
 
-def _constants(text: str) -> str:
+def _constants(text: str, without: list[str] | tuple = ()) -> str:
     pairs = [p.split() for p in text.replace("\n", " ").split(",")]
-    return ", ".join(f"{value}::DOUBLE AS {name}" for value, name in pairs)
+    return ", ".join(f"{value}::DOUBLE AS {name}" for value, name in pairs if name not in without)
 
 
 oracle("student_features46", STUDENT + """,
@@ -651,13 +661,50 @@ SELECT entity_id, 'student' AS entity_type, sessions_7d::DOUBLE AS sessions_7d,
   round(CASE WHEN sessions_30d > 0 THEN 30.0::DOUBLE / sessions_30d ELSE 30.0 END, 6) AS avg_gap_between_sessions, t1 AS session_trend_7d_14d, t2 AS session_trend_14d_30d,
   t1 - t2 AS session_acceleration, round(avg_rating, 6) AS avg_rating, ib_calls_7d::DOUBLE AS ib_calls_7d, ib_calls_14d::DOUBLE AS ib_calls_14d,
   round(ib_calls_14d / 14.0::DOUBLE, 6) AS ib_call_rate, {_constants(_CONST_STUDENT)} FROM tr""")
-oracle("tutor_features46", TUTOR, f"""
+_MORE_STUDENT = ("sessions_weekend_ratio sessions_evening_ratio rating_trend rating_volatility avg_session_duration_min total_session_hours_30d cancellation_rate_7d cancellation_rate_30d "
+                 "no_show_rate_30d tutor_consistency_score unique_tutors_30d preferred_tutor_ratio tutor_rating_avg tutor_changed_count_30d preferred_tutor_sessions_ratio").split()
+oracle("student_vector46", STUDENT + """,
+hb AS (SELECT *, lag(tutor_id) OVER (PARTITION BY student_id ORDER BY ts, event_id) AS was, count(*) OVER (PARTITION BY student_id, tutor_id) AS mine
+  FROM mkt WHERE event_type = 'session_completed' AND age >= 0 AND age < 30),
+hp AS (SELECT student_id AS entity_id, avg((isodow(ts) >= 6)::INT) AS weekend, avg((hour(ts) >= 18)::INT) AS evening, avg(duration_min) AS minutes, sum(duration_min) / 60.0::DOUBLE AS hours,
+  avg(nullif(rating, 0)) FILTER (age < 15) - avg(nullif(rating, 0)) FILTER (age >= 15) AS moved, stddev_samp(nullif(rating, 0)) AS volatility,
+  count(*) FILTER (was_cancelled AND age < 7) / nullif(count(*) FILTER (age < 7), 0)::DOUBLE AS cancelled7, avg(was_cancelled::INT) AS cancelled, avg(no_show::INT) AS missed,
+  count(DISTINCT tutor_id) AS tutors, max(mine) / count(*)::DOUBLE AS preferred, count(*) FILTER (was <> tutor_id) AS changed FROM hb GROUP BY student_id),
+rec AS (SELECT * FROM mkt WHERE event_type = 'session_completed' QUALIFY row_number() OVER (PARTITION BY student_id ORDER BY ts DESC, event_id DESC) <= 20),
+bt AS (SELECT student_id, tutor_id, count(*) AS c, avg(nullif(rating, 0)) AS r FROM rec GROUP BY ALL),
+pt AS (SELECT student_id AS entity_id, c / (sum(c) OVER (PARTITION BY student_id))::DOUBLE AS steady, r AS primary_rating FROM bt QUALIFY row_number() OVER (PARTITION BY student_id ORDER BY c DESC, tutor_id) = 1),
+tr AS (SELECT *, CASE WHEN sessions_14d > sessions_7d THEN sessions_7d - (sessions_14d - sessions_7d) ELSE 0 END::DOUBLE AS t1,
+    CASE WHEN sessions_30d > sessions_14d THEN sessions_14d - (sessions_30d - sessions_14d) ELSE 0 END::DOUBLE AS t2 FROM stu LEFT JOIN hp USING (entity_id) LEFT JOIN pt USING (entity_id))""", f"""
+SELECT entity_id, 'student' AS entity_type, sessions_7d::DOUBLE AS sessions_7d, sessions_14d::DOUBLE AS sessions_14d, sessions_30d::DOUBLE AS sessions_30d,
+  round(sessions_7d / 7.0::DOUBLE, 6) AS session_freq_7d, round(sessions_14d / 14.0::DOUBLE, 6) AS session_freq_14d, round(sessions_30d / 30.0::DOUBLE, 6) AS session_freq_30d,
+  coalesce(days_since_last_session, 30)::DOUBLE AS days_since_last_session,
+  round(CASE WHEN sessions_30d > 0 THEN 30.0::DOUBLE / sessions_30d ELSE 30.0 END, 6) AS avg_gap_between_sessions, t1 AS session_trend_7d_14d, t2 AS session_trend_14d_30d,
+  t1 - t2 AS session_acceleration, round(avg_rating, 6) AS avg_rating, ib_calls_7d::DOUBLE AS ib_calls_7d, ib_calls_14d::DOUBLE AS ib_calls_14d,
+  round(ib_calls_14d / 14.0::DOUBLE, 6) AS ib_call_rate, round(coalesce(weekend, 0.3), 6) AS sessions_weekend_ratio, round(coalesce(evening, 0.5), 6) AS sessions_evening_ratio,
+  round(coalesce(moved, 0), 6) AS rating_trend, round(coalesce(volatility, 0), 6) AS rating_volatility, round(coalesce(minutes, 60), 6) AS avg_session_duration_min, round(coalesce(hours, 0), 6) AS total_session_hours_30d,
+  round(coalesce(cancelled7, 0), 6) AS cancellation_rate_7d, round(coalesce(cancelled, 0), 6) AS cancellation_rate_30d, round(coalesce(missed, 0), 6) AS no_show_rate_30d,
+  round(coalesce(steady, 0.5), 6) AS tutor_consistency_score, coalesce(tutors, 1)::DOUBLE AS unique_tutors_30d, round(coalesce(preferred, 0.7), 6) AS preferred_tutor_ratio,
+  round(coalesce(primary_rating, 4), 6) AS tutor_rating_avg, coalesce(changed, 0)::DOUBLE AS tutor_changed_count_30d, round(coalesce(preferred, 0.8), 6) AS preferred_tutor_sessions_ratio,
+  {_constants(_CONST_STUDENT, _MORE_STUDENT)} FROM tr""")
+_MORE_TUTOR = ("avg_session_duration_min no_show_rate cancellation_rate days_since_last_session rating_trend rating_volatility avg_student_lifetime_sessions available_hours_this_week "
+               "primary_subject_count subject_diversity_score avg_rating_by_subject specialization_score total_earnings_30d avg_earnings_per_session earnings_trend revenue_per_available_hour").split()
+oracle("tutor_vector46", EARNED + """,
+tsb AS (SELECT tutor_id, subject, count(*) AS c, avg(nullif(rating, 0)) AS mean FROM tin WHERE event_type = 'session_completed' GROUP BY ALL),
+trt AS (SELECT tutor_id, avg(mean) AS by_subject, 1 - sum(c * c) / (sum(c) * sum(c))::DOUBLE AS diversity FROM tsb GROUP BY tutor_id),
+ttr AS (SELECT tutor_id, avg(nullif(rating, 0)) FILTER (age < 15) - avg(nullif(rating, 0)) FILTER (age >= 15) AS moved FROM tin WHERE event_type = 'session_completed' GROUP BY tutor_id),
+tv AS (SELECT * FROM tut LEFT JOIN trt USING (tutor_id) LEFT JOIN ttr USING (tutor_id) LEFT JOIN earn USING (tutor_id))""", f"""
 SELECT CAST(tutor_id AS VARCHAR) AS entity_id, 'tutor' AS entity_type, t7::DOUBLE AS sessions_taught_7d, t14::DOUBLE AS sessions_taught_14d, t30::DOUBLE AS sessions_taught_30d,
   c7::DOUBLE AS sessions_completed_7d, cc14::DOUBLE AS sessions_completed_14d, cc30::DOUBLE AS sessions_completed_30d,
   round(coalesce(completion_rate, 0.95), 6) AS session_completion_rate, round(t7 / 7.0::DOUBLE, 6) AS session_frequency_7d, round(t14 / 14.0::DOUBLE, 6) AS session_frequency_14d,
   round(coalesce(mean_rating, 4.5), 6) AS avg_rating, coalesce(positive_reviews, 0)::DOUBLE AS positive_reviews_count_30d, coalesce(negative_reviews, 0)::DOUBLE AS negative_reviews_count_30d,
   round(coalesce(retention_rate, 0.7), 6) AS student_retention_rate, coalesce(unique_students, 10)::DOUBLE AS unique_students_30d,
-  round(coalesce(utilization_rate, 0.6), 6) AS utilization_rate, round(coalesce(sessions_per_subject, 10), 6) AS sessions_per_subject_30d, {_constants(_CONST_TUTOR)} FROM tut""")
+  round(coalesce(utilization_rate, 0.6), 6) AS utilization_rate, round(coalesce(sessions_per_subject, 10), 6) AS sessions_per_subject_30d, round(coalesce(booked_minutes / nullif(sessions_completed, 0)::DOUBLE, 60), 6) AS avg_session_duration_min, round(coalesce(no_shows / nullif(sessions_completed, 0)::DOUBLE, 0), 6) AS no_show_rate,
+  round(coalesce(cancelled / nullif(sessions_completed, 0)::DOUBLE, 0), 6) AS cancellation_rate, CASE WHEN sessions_started IS NULL THEN 7 ELSE coalesce(days, 999) END::DOUBLE AS days_since_last_session,
+  round(coalesce(moved, 0), 6) AS rating_trend, round(coalesce(volatility, 0), 6) AS rating_volatility, round(coalesce(sessions_completed / nullif(unique_students, 0)::DOUBLE, 5), 6) AS avg_student_lifetime_sessions,
+  coalesce(hours, 20)::DOUBLE AS available_hours_this_week, coalesce(subjects, 1)::DOUBLE AS primary_subject_count, round(coalesce(diversity, 0.5), 6) AS subject_diversity_score,
+  round(coalesce(by_subject, 4.5), 6) AS avg_rating_by_subject, round(coalesce(specialization, 0.7), 6) AS specialization_score, round(coalesce(total, 1000), 6) AS total_earnings_30d,
+  round(coalesce(total / paid, 50), 6) AS avg_earnings_per_session, CASE trend WHEN 'growing' THEN 1 WHEN 'declining' THEN -1 ELSE 0 END::DOUBLE AS earnings_trend,
+  round(coalesce(total / nullif(hours, 0), 25), 6) AS revenue_per_available_hour, {_constants(_CONST_TUTOR, _MORE_TUTOR)} FROM tv""")
 oracle("rules_risk", STUDENT, """SELECT entity_id, CAST(least(floor((100 - health_score) * 0.5::DOUBLE + least(ib_calls_14d * 5, 30) + greatest(5 - sessions_7d, 0) * 4 + 0.5::DOUBLE), 100) AS INTEGER) AS risk_score,
   CASE WHEN health_score < 50 THEN 'critical' WHEN health_score < 70 THEN 'warning' ELSE 'normal' END AS severity FROM stu""")
 oracle("segments", SCORED, """SELECT entity_id, entity_type, round(c14, 6) AS churn_risk_14d, round(c30, 6) AS churn_risk_30d, round(health_score, 6) AS health_score, segment FROM scored""")

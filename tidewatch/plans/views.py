@@ -86,6 +86,12 @@ def mkt_of(events: DataFrame) -> DataFrame:
     )
 
 
+def tutor_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly rates, each from the time of the availability update that brought it."""
+    e = mkt_events(spark, sf_dir).where(F.col("event_type") == "tutor_availability_updated")
+    return e.select("tutor_id", "ts", "event_id", (F.lit(20) + F.col("k") % 40).cast("double").alias("hourly_rate"))
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer activity with logins, messages, payments, calls and scheduled sessions."""
     e = table(spark, sf_dir, "events").withColumn("k", _k())
