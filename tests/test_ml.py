@@ -1,6 +1,10 @@
+import datetime as dt
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.functions.expr import instant
 from tidewatch.operators import ml as M
 from tidewatch.operators import telemetry as L
 
@@ -75,7 +79,41 @@ def test_drift(spark):
     assert M.drift(a, a, ["x"]).first().psi == pytest.approx(0.0)
     moved = M.drift(a, a.select((F.col("x") + 40).alias("x")), ["x"]).first()
     assert moved.psi > 0.5 and moved.mean_actual - moved.mean_expected == pytest.approx(40)
-    assert M.accuracy_drop(0.92, 0.89) and not M.accuracy_drop(0.92, 0.91)
+    reports = spark.createDataFrame([("v1", 0.92), ("v2", 0.91), ("v3", 0.88), ("v4", 0.95)], "model string, accuracy double")
+    assert {r.model: r.alert for r in M.accuracy_drops(reports).collect()} == {"v1": False, "v2": False, "v3": True, "v4": False}
+
+
+def test_bin_edges_are_exact(spark):
+    rnd = random.Random(4)
+    xs = [rnd.choice([1.0, 2.0, rnd.gauss(0, 5)]) for _ in range(501)]
+    df = spark.createDataFrame([(x, -x if i % 3 else None) for i, x in enumerate(xs)], "a double, b double")
+    got = {r.feature: r.edges for r in M.bin_edges(df, ["a", "b"]).collect()}
+    for name, values in (("a", sorted(xs)), ("b", sorted(-x for i, x in enumerate(xs) if i % 3))):
+        assert got[name] == [values[-(-len(values) * i // 10) - 1] for i in range(1, 10)]
+
+
+def test_examples_look_ahead_only_for_labels(spark):
+    """Features end at the as-of time, labels begin there: a change of one side's events leaves the other side alone."""
+    rnd = random.Random(6)
+    t0 = dt.datetime(2024, 1, 1)
+    kinds = ["session_completed", "ib_call_logged", "customer_health_update"]
+    rows = [(i, t0 + dt.timedelta(minutes=rnd.randrange(30 * 1440)), rnd.choice(kinds), rnd.randrange(4), rnd.randrange(6), rnd.randrange(20, 60), float(rnd.randrange(100))) for i in range(600)]
+    schema = "event_id long, ts timestamp, event_type string, student_id long, rating int, duration_min int, health_score double"
+    as_of = instant("2024-01-15 00:00:00")
+    of = lambda r: {x.student_id: x.asDict() for x in M.horizon_examples(spark.createDataFrame(r, schema), [as_of]).collect()}
+    cut = dt.datetime(2024, 1, 15)
+    whole, past, other = of(rows), of([r for r in rows if r[1] < cut]), of([r for r in rows if r[1] >= cut or r[0] % 2])
+    assert len(whole) == 4
+    for s, r in whole.items():
+        mine = sorted((x for x in rows if x[3] == s), key=lambda x: (x[1], x[0]))
+        after = [x for x in mine if cut <= x[1] < cut + dt.timedelta(days=7)]
+        done = [x for x in after if x[2] == "session_completed"]
+        assert r["y_session_velocity"] == len(done) and r["y_health_score"] == [x[6] for x in after if x[2] == kinds[2]][-1]
+        first = done[0][4] or None
+        assert r["y_first_session_success"] == (None if first is None else float(first >= 4))
+        assert r["sessions_before"] == sum(x[2] == kinds[0] and cut - dt.timedelta(days=14) <= x[1] < cut for x in mine)
+        assert all(r[f] == past[s][f] for f in M.EXAMPLE_FEATURES)
+        assert all(r[f"y_{t}"] == other[s][f"y_{t}"] for t in ("first_session_success", "session_velocity", "health_score", "churn_risk_30d"))
 
 
 def test_report_is_written(spark, tmp_path):

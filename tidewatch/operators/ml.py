@@ -15,11 +15,11 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expr import ratio
-from tidewatch.operators.ordered import exact_rank
+from tidewatch.operators.ordered import exact_rank, rank_pick
 from tidewatch.operators.scoring import with_prediction_defaults
 
 SPLITS = (0.70, 0.15, 0.15)
@@ -252,38 +252,110 @@ def dataset_profile(df: DataFrame, group: str, ranges: list[str], means: list[st
     return df.groupBy(group).agg(*aggs).withColumn("pct", ratio(F.col("n"), total) * 100)
 
 
+def stacked(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, x) of every value that is not null."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features]))
+    return df.select(cells.alias("_c")).select("_c.feature", "_c.x").where("x IS NOT NULL")
+
+
+def bin_edges(df: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
+    """The exact quantiles that cut each feature into ``bins``: (feature, edges), edge i being the value of rank ceil(n i / bins)."""
+    ranks = {f"_e{i}": F.ceil(F.col("n") * i / bins) for i in range(1, bins)}
+    return rank_pick(stacked(df, features), ["feature"], "x", ranks).select("feature", F.array(*ranks).alias("edges"))
+
+
 def drift(expected: DataFrame, actual: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
     """Mean, deviation and population stability index per feature between two tables.
 
-    Bin edges are quantiles of the expected table: one row of ``bins`` numbers per feature.
-    """
-    steps = [i / bins for i in range(1, bins)]
-    edges = expected.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in features])
+    Bins are cut at exact quantiles of the expected table (a value on an edge lies below it); a bin that one side leaves empty
+    counts as a millionth. One row of edges for each feature meets the values, which are counted before they are shuffled."""
+    edges = F.broadcast(bin_edges(expected, features, bins).select(F.col("feature").alias("_f"), "edges"))  # a row a feature
 
     def counted(df: DataFrame, side: str) -> DataFrame:
-        row = edges.select(F.struct(*features)).scalar()
-        below = lambda name: lambda edge: edge < F.col(name)
-        with_edges = df.withColumn("_e", row)
-        cells = F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"),
-                     F.size(F.filter(F.col(f"_e.{c}"), below(c))).alias("bin"))
-            for c in features
-        ])).alias("_c")
-        return with_edges.select(cells).where("_c.x IS NOT NULL").groupBy("_c.feature", "_c.bin").agg(
-            F.count(F.lit(1)).alias(f"n_{side}"), F.sum("_c.x").alias(f"s_{side}"), F.sum(F.col("_c.x") * F.col("_c.x")).alias(f"q_{side}")
-        )
-
-    both = counted(expected, "e").join(counted(actual, "a"), ["feature", "bin"], "full_outer").fillna(0)
+        cells = stacked(df, features).join(edges, F.col("feature") == F.col("_f"))
+        x = F.col("x")
+        return cells.groupBy("feature", F.size(F.filter("edges", lambda e: e < x)).alias("bin")).agg(
+            F.count(F.lit(1)).alias(f"n_{side}"), F.sum(x).alias(f"s_{side}"), F.sum(x * x).alias(f"q_{side}"))
+
+    every = edges.select(F.col("_f").alias("feature"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    both = every.join(counted(expected, "e"), ["feature", "bin"], "left").join(counted(actual, "a"), ["feature", "bin"], "left").fillna(0)
     totals = both.groupBy("feature").agg(*[F.sum(f"{k}_{s}").alias(f"{k}{s}") for k in "nsq" for s in "ea"])
     p = F.greatest(F.col("n_e") / F.col("ne"), F.lit(1e-6))
-    q = F.greatest(F.col("n_a") / F.col("na"), F.lit(1e-6))
+    q = F.greatest(F.try_divide(F.col("n_a"), F.col("na")), F.lit(1e-6))
     psi = both.join(totals, "feature").groupBy("feature").agg(F.sum((q - p) * F.ln(q / p)).alias("psi"))
-    dev = lambda s: F.sqrt(F.greatest(F.col(f"q{s}") / F.col(f"n{s}") - F.pow(F.col(f"s{s}") / F.col(f"n{s}"), 2), F.lit(0.0)))
+    mean = lambda s: ratio(F.col(f"s{s}"), F.col(f"n{s}"))
+    dev = lambda s: F.sqrt(F.greatest(ratio(F.col(f"q{s}"), F.col(f"n{s}")) - mean(s) * mean(s), F.lit(0.0)))
     return totals.join(psi, "feature").select(
-        "feature", (F.col("se") / F.col("ne")).alias("mean_expected"), (F.col("sa") / F.col("na")).alias("mean_actual"),
-        dev("e").alias("std_expected"), dev("a").alias("std_actual"), "psi",
-    )
-
-
-def accuracy_drop(before: float, after: float, limit: float = 0.02) -> bool:
-    return before - after > limit
+        "feature", mean("e").alias("mean_expected"), mean("a").alias("mean_actual"), dev("e").alias("std_expected"), dev("a").alias("std_actual"), "psi")
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """All saved reports below a folder, one row for each model version."""
+    return spark.read.json(os.path.join(path, "*-metrics"))
+
+
+def accuracy_drops(reports: DataFrame, limit: float = 0.02) -> DataFrame:
+    """Each model version beside the one before it (by name): how much accuracy it lost, and whether that is an alert."""
+    before = F.lag("accuracy").over(Window.orderBy("model"))  # a row a version
+    lost = F.col("accuracy_before") - F.col("accuracy")
+    return reports.select("model", "accuracy", before.alias("accuracy_before")).withColumns({"lost": lost, "alert": F.coalesce(lost > limit, F.lit(False))})
+
+
+# what happened after the as-of time, by the target it is the label of
+OUTCOMES = ["first_session_success", "session_velocity", "churn_risk_14d", "churn_risk_30d", "health_score"]
+
+
+def horizon_examples(events: DataFrame, as_ofs: list[Column], lookback: int = 14, horizon: int = 7) -> DataFrame:
+    """One row for each student and as-of time: what had been seen in the ``lookback`` days before, and as labels what came in
+    the ``horizon`` days from then on.
+
+    Labels: whether the first session afterwards was rated 4 or better (none without a rating), sessions a week, whether
+    sessions fell to less than half their former pace, whether the student called at least as often as there are days in
+    the horizon, and the last health score seen (none without one). Every event meets the as-of times it matters to; one
+    shuffle by student and time makes all columns."""
+    day = 86_400_000_000
+    us = F.unix_micros("ts")
+    near = F.filter(F.array(*as_ofs), lambda a: (us >= F.unix_micros(a) - lookback * day) & (us < F.unix_micros(a) + horizon * day))
+    rows = events.where(F.col("student_id").isNotNull()).withColumn("as_of", F.explode(near))
+    past = F.col("ts") < F.col("as_of")
+    of = lambda kind: F.col("event_type") == kind
+    age = F.floor((F.unix_micros("as_of") - us) / day)
+    done, call, health = of("session_completed"), of("ib_call_logged"), of("customer_health_update") & F.col("health_score").isNotNull()
+    at = F.struct("ts", "event_id")
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    rated = F.nullif(F.col("rating"), F.lit(0))
+    out = rows.groupBy("student_id", "as_of").agg(
+        n(done & past & (age < 7)).alias("sessions_7d"), n(done & past).alias("sessions_before"), n(call & past & (age < 7)).alias("calls_7d"), n(call & past).alias("calls_before"),
+        F.avg(F.when(done & past, rated)).alias("avg_rating"), F.max(F.when(health & past, F.struct(at, F.col("health_score").alias("v")))).alias("_h0"),
+        F.min(F.when(done & past, age)).alias("days_since_last_session"), F.avg(F.when(done & past, F.col("duration_min"))).alias("avg_duration"),
+        n(done & ~past).alias("_sessions"), n(call & ~past).alias("_calls"), F.min(F.when(done & ~past, F.struct(at, rated.alias("v")))).alias("_first"),
+        F.max(F.when(health & ~past, F.struct(at, F.col("health_score").alias("v")))).alias("_h1"), F.count_if(past).alias("_seen"))
+    pace = F.col("_sessions") / horizon
+    return out.where("_seen > 0").select(
+        "student_id", "as_of", "sessions_7d", "sessions_before", "calls_7d", "calls_before", F.coalesce("avg_rating", F.lit(0.0)).alias("avg_rating"),
+        F.coalesce(F.col("_h0.v"), F.lit(100.0)).alias("health_before"), F.coalesce("days_since_last_session", F.lit(lookback)).alias("days_since_last_session"),
+        F.coalesce("avg_duration", F.lit(0.0)).alias("avg_duration"),
+        (F.col("_first.v") >= 4).cast("double").alias("y_first_session_success"), (pace * 7).alias("y_session_velocity"),
+        (pace < F.col("sessions_before") / lookback / 2).cast("double").alias("y_churn_risk_14d"), (F.col("_calls") >= horizon).cast("double").alias("y_churn_risk_30d"),
+        F.col("_h1.v").alias("y_health_score"))
+
+
+EXAMPLE_FEATURES = ["sessions_7d", "sessions_before", "calls_7d", "calls_before", "avg_rating", "health_before", "days_since_last_session", "avg_duration"]
+
+
+def holdout_report(train: DataFrame, test: DataFrame, features: list[str] = EXAMPLE_FEATURES) -> DataFrame:
+    """The five models, fitted on ``train`` and judged on ``test``: rows with a label, mean squared error of the predictions
+    and of the training mean, and for probabilities the area under the curve."""
+    models = train_five_targets(train, features, {t: f"y_{t}" for t in OUTCOMES})
+    scored = score_five_targets(test.select("student_id", "as_of", F.lit("student").alias("entity_type"), *features, *[f"y_{t}" for t in OUTCOMES]), features, models).persist()
+    means = train.agg(*[F.avg(f"y_{t}").alias(t) for t in OUTCOMES]).first()
+    rows = None
+    for t in OUTCOMES:
+        known = scored.where(F.col(f"y_{t}").isNotNull())
+        y, p = F.col(f"y_{t}"), F.col(t)
+        mean = F.lit(means[t]).cast("double")
+        auc = F.lit(area_under_roc(known, f"y_{t}", t)) if t in PROBABILITIES and known.select(y).distinct().count() > 1 else F.lit(None).cast("double")
+        one = known.agg(F.lit(t).alias("target"), F.count(F.lit(1)).alias("rows"), F.avg(y).alias("mean_outcome"), F.avg((p - y) * (p - y)).alias("mse"),
+                        F.avg((mean - y) * (mean - y)).alias("mse_of_mean")).withColumn("auc", auc)
+        rows = one if rows is None else rows.unionByName(one)
+    return rows

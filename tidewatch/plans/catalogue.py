@@ -1085,7 +1085,7 @@ def dataset_profile(spark, sf):
 def feature_drift(spark, sf):
     t = W.telemetry(spark, sf)
     cut = X.instant("2024-01-16 00:00:00")
-    return rounded(M.drift(t.where(F.col("ts") < cut), t.where(F.col("ts") >= cut), ["value", "latency", "error_rate"]), 4).select(
+    return rounded(M.drift(t.where(F.col("ts") < cut), t.where(F.col("ts") >= cut), ["value", "latency", "error_rate"])).select(
         "feature", "mean_expected", "mean_actual", "std_expected", "std_actual", "psi"
     )
 
@@ -1144,22 +1144,47 @@ def feature_importance(spark, sf):
     return rounded(M.feature_importance(model, MODEL_FEATURES, spark), 6)
 
 
+TRAIN_AT = ["2024-01-08 00:00:00", "2024-01-11 00:00:00", "2024-01-14 00:00:00"]  # their labels end on 21 January
+TEST_AT = "2024-01-22 00:00:00"
+
+
+@query
+def horizon_examples(spark, sf):
+    """Features before, and labels of the seven days after, each of four as-of times."""
+    return rounded(M.horizon_examples(W.mkt_events(spark, sf), [X.instant(t) for t in [*TRAIN_AT, TEST_AT]]))
+
+
+@query
+def five_target_holdout(spark, sf):
+    """The five models, fitted on what followed earlier as-of times and judged on what followed a later one."""
+    ev = W.mkt_events(spark, sf)
+    train = M.horizon_examples(ev, [X.instant(t) for t in TRAIN_AT])
+    return rounded(M.holdout_report(train, M.horizon_examples(ev, [X.instant(TEST_AT)])), 4)
+
+
 @query
 def five_target_scoring(spark, sf):
-    """Five models on one student vector, scored on every student, with segments."""
-    m = W.entity_predictions(_students(spark, sf)).withColumnsRenamed({
-        "churn_risk_14d": "y_churn14", "churn_risk_30d": "y_churn30", "session_velocity": "y_velocity", "first_session_success": "y_success"
-    }).withColumn("y_health", F.col("health_score"))
-    vector = feature_table(m, "student")
-    names = ["sessions_7d", "sessions_14d", "sessions_30d", "avg_rating", "ib_calls_7d", "ib_calls_14d", "days_since_last_session"]
-    data = vector.select("entity_id", "entity_type", *names).join(m.select("entity_id", "y_churn14", "y_churn30", "y_velocity", "y_success", "y_health"), "entity_id")
-    models = M.train_five_targets(data, names, {
-        "first_session_success": "y_success", "session_velocity": "y_velocity", "churn_risk_14d": "y_churn14", "churn_risk_30d": "y_churn30", "health_score": "y_health",
-    })
-    scored = S.with_segment(M.score_five_targets(data, names, models))
+    """Every student scored now by five models that were fitted on what followed earlier as-of times, with segments."""
+    ev = W.mkt_events(spark, sf)
+    train = M.horizon_examples(ev, [X.instant(t) for t in [*TRAIN_AT, TEST_AT]])
+    models = M.train_five_targets(train, M.EXAMPLE_FEATURES, {t: f"y_{t}" for t in M.OUTCOMES})
+    now = M.horizon_examples(ev, [NOW()]).select(F.col("student_id").alias("entity_id"), F.lit("student").alias("entity_type"), *M.EXAMPLE_FEATURES)
+    scored = S.with_segment(M.score_five_targets(now, M.EXAMPLE_FEATURES, models))
     return rounded(scored.select("entity_id", *S.PREDICTION_DEFAULTS, "segment"), 4)
 
 
+@query
+def model_accuracy_drops(spark, sf):
+    """Stored reports of four model versions, whose thresholds age, and the alerts on losses of more than 2 %."""
+    base = scratch_dir(spark, "reports")
+    t = W.telemetry(spark, sf).where(F.col("risk_level").isNotNull())
+    v = F.col("value")
+    for k, shift in enumerate((0, 1, 12, 5)):
+        guess = F.when(v >= 150 + shift, "critical").when(v >= 80 + shift, "high").when(v >= 30 + shift, "medium").otherwise("low")
+        M.save_report(M.summary_report(M.class_report(M.confusion(t.withColumn("guess", guess), "risk_level", "guess"))), base, f"risk-v{k + 1}")
+    return rounded(M.accuracy_drops(M.read_reports(spark, base)))
+
+
 # --- streams --------------------------------------------------------------------------------------------------
 
 

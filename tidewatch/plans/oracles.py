@@ -1018,3 +1018,34 @@ se AS (SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS events, co
 oracle("activity_sessions", _SESSIONS, "SELECT * FROM se")
 oracle("stream_sessions", _SESSIONS, "SELECT * FROM se WHERE last + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev)")
 ORACLES["stream_tutor_state"] = ORACLES["ingest_tutor_state"]
+
+oracle("feature_drift", TEL + ",\nst AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS x, ts < TIMESTAMP '2024-01-16' AS early FROM tel WHERE {f} IS NOT NULL" for f in ("value", "latency", "error_rate")) + """),
+rk AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) AS r, count(*) OVER (PARTITION BY feature) AS n FROM st WHERE early),
+ed AS (SELECT feature, list(x ORDER BY i) AS edges FROM rk JOIN range(1, 10) AS t(i) ON r = (n * i + 9) // 10 GROUP BY feature),
+bn AS (SELECT feature, early, len(list_filter(edges, lambda e: e < x)) AS bin, x FROM st JOIN ed USING (feature)),
+sm AS (SELECT feature, avg(x) FILTER (early) AS me, avg(x) FILTER (NOT early) AS ma, stddev_pop(x) FILTER (early) AS de, stddev_pop(x) FILTER (NOT early) AS da,
+  count(*) FILTER (early) AS ne, count(*) FILTER (NOT early) AS na FROM bn GROUP BY feature),
+pq AS (SELECT feature, bin, greatest(count(*) FILTER (early) / max(ne)::DOUBLE, 1e-6) AS p, greatest(count(*) FILTER (NOT early) / max(na)::DOUBLE, 1e-6) AS q
+  FROM (SELECT feature, b AS bin FROM ed, range(0, 10) AS t(b)) AS every LEFT JOIN bn USING (feature, bin) JOIN sm USING (feature) GROUP BY ALL)""", """
+SELECT feature, round(me, 6) AS mean_expected, round(ma, 6) AS mean_actual, round(de, 6) AS std_expected, round(da, 6) AS std_actual,
+  (SELECT round(sum((q - p) * ln(q / p)), 6) FROM pq WHERE pq.feature = sm.feature) AS psi FROM sm""")
+oracle("horizon_examples", MKT + """,
+ao(as_of) AS (VALUES (TIMESTAMP '2024-01-08'), (TIMESTAMP '2024-01-11'), (TIMESTAMP '2024-01-14'), (TIMESTAMP '2024-01-22')),
+nr AS (SELECT mkt.* EXCLUDE (age), as_of, ts < as_of AS past, (epoch_us(as_of) - epoch_us(ts)) // 86400000000 AS age,
+    event_type = 'session_completed' AS done, event_type = 'ib_call_logged' AS call, event_type = 'customer_health_update' AND health_score IS NOT NULL AS snap, nullif(rating, 0) AS r
+  FROM mkt JOIN ao ON ts >= as_of - INTERVAL 14 DAY AND ts < as_of + INTERVAL 7 DAY),
+hx AS (SELECT student_id, as_of, count(*) FILTER (done AND past AND age < 7) AS sessions_7d, count(*) FILTER (done AND past) AS sessions_before,
+    count(*) FILTER (call AND past AND age < 7) AS calls_7d, count(*) FILTER (call AND past) AS calls_before, coalesce(avg(r) FILTER (done AND past), 0.0) AS avg_rating,
+    coalesce(arg_max(health_score, (ts, event_id)) FILTER (snap AND past), 100.0) AS health_before, coalesce(min(age) FILTER (done AND past), 14) AS days_since_last_session,
+    coalesce(avg(duration_min) FILTER (done AND past), 0.0) AS avg_duration, arg_min(struct_pack(v := r), (ts, event_id)) FILTER (done AND NOT past) AS f,
+    count(*) FILTER (done AND NOT past) AS s1, count(*) FILTER (call AND NOT past) AS c1, arg_max(health_score, (ts, event_id)) FILTER (snap AND NOT past) AS h1, count(*) FILTER (past) AS seen
+  FROM nr GROUP BY ALL)""", """
+SELECT student_id, as_of, sessions_7d, sessions_before, calls_7d, calls_before, round(avg_rating, 6) AS avg_rating, round(health_before, 6) AS health_before, days_since_last_session,
+  round(avg_duration, 6) AS avg_duration, (f.v >= 4)::INT::DOUBLE AS y_first_session_success, round(s1 / 7.0::DOUBLE * 7, 6) AS y_session_velocity,
+  (s1 / 7.0::DOUBLE < sessions_before / 14.0::DOUBLE / 2)::INT::DOUBLE AS y_churn_risk_14d, (c1 >= 7)::INT::DOUBLE AS y_churn_risk_30d, round(h1, 6) AS y_health_score FROM hx WHERE seen > 0""")
+oracle("model_accuracy_drops", TEL + """,
+vs(model, shift) AS (VALUES ('risk-v1', 0), ('risk-v2', 1), ('risk-v3', 12), ('risk-v4', 5)),
+ac AS (SELECT model, avg((risk_level = CASE WHEN value >= 150 + shift THEN 'critical' WHEN value >= 80 + shift THEN 'high' WHEN value >= 30 + shift THEN 'medium' ELSE 'low' END)::INT) AS accuracy
+  FROM tel, vs WHERE risk_level IS NOT NULL GROUP BY model),
+lg AS (SELECT model, accuracy, lag(accuracy) OVER (ORDER BY model) AS accuracy_before FROM ac)""", """
+SELECT model, round(accuracy, 6) AS accuracy, round(accuracy_before, 6) AS accuracy_before, round(accuracy_before - accuracy, 6) AS lost, coalesce(accuracy_before - accuracy > 0.02::DOUBLE, false) AS alert FROM lg""")
