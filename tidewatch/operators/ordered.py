@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewatch.session import staged
+
 # A key is hot when it has more than MIN_ROWS rows; of those the SHARE largest are taken. Any other key then has at
 # most MIN_ROWS rows or 1 / SHARE of all, and the table that is broadcast has at most SHARE rows of a key and three
 # numbers.
@@ -203,44 +205,34 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], ts: str, rig
     return found.select("_row.*", *[F.when(holds, F.col(f"_hit.{c}")).alias(n) for c, n in [("_at", f"matched_{ts}"), *[(c, c) for c in right_cols]]])
 
 
-CELLS = 1024  # ranges that a group's values are cut into, twice
-
-
-def _ranges(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Adds the number of the range ``_v`` lies in: ``CELLS`` equal ones between the smallest and the largest finite
-    value that the keys hold, below them -Infinity, above them Infinity and NaN, as Spark orders them."""
-    x = F.col("_v").cast("double")
-    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
-    half = F.when(finite, x / 2)  # the difference of two halves doesn't overflow
-    bounds = rows.groupBy(*keys).agg(F.min(half).alias("_lo"), F.max(half).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(width > 0, F.least(F.floor((half - F.col("_lo")) / width * CELLS), F.lit(CELLS - 1))).otherwise(0)
-    number = F.when(F.isnan(x), CELLS + 1).when(~finite, F.when(x > 0, CELLS).otherwise(-1)).otherwise(cell)
-    return rows.join(bounds, keys).withColumn(name, number.cast("long")).drop("_lo", "_hi")
+def dealt_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """One row per (group, value ``_v``) with its rows ``_c``, dealt out by ranges, written with the number ``_part`` of its range."""
+    counts = (
+        df.where(F.col(value).isNotNull()).dropna(subset=group)
+        .groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    )
+    return staged(counts.repartitionByRange(*group, "_v").withColumn("_part", F.spark_partition_id()), "ranks")
 
 
 def ranked_values(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """One row per (group, value) with the 1-based ranks it covers and the group size ``n``; values keep their type.
+    """One row per (group, value) with the 1-based ranks it covers and the group size ``n``; values keep their type. Rows
+    without a value or with a null in ``group`` are left out.
 
-    Equal values are counted before the first shuffle. A group's values are cut into ranges, each range into ranges
-    between the values it really holds, so a group whose values crowd in a narrow part is ranked in many tasks too.
-    """
+    Equal values are counted before the first shuffle. The counts are dealt out by ranges of (group, value), cut at sampled
+    values, so a group whose values crowd in a narrow part is ranked in many tasks too. They are written once with the number
+    of their range; the sum of the ranges before it makes a range's ranks."""
     keys = [*group, "_all"]
-    counts = (
-        df.where(F.col(value).isNotNull()).withColumn("_all", F.lit(1))
-        .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    )
-    cut = _ranges(_ranges(counts, keys, "_b"), [*keys, "_b"], "_bb")
-    up = Window.partitionBy(*keys).orderBy("_b", "_bb").rowsBetween(Window.unboundedPreceding, 0)
+    cut = dealt_counts(df, group, value).withColumn("_all", F.lit(1))
+    up = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
     offsets = (
-        cut.groupBy(*keys, "_b", "_bb").agg(F.sum("_c").alias("_bc"))
+        cut.groupBy(*keys, "_part").agg(F.sum("_c").alias("_bc"))
         .withColumn("_off", F.sum("_bc").over(up) - F.col("_bc"))
         .withColumn("n", F.sum("_bc").over(Window.partitionBy(*keys)))
         .drop("_bc")
     )
-    inside = Window.partitionBy(*keys, "_b", "_bb").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        cut.join(offsets, [*keys, "_b", "_bb"])
+        cut.join(offsets, [*keys, "_part"])
         .withColumn("last_rank", F.col("_off") + F.sum("_c").over(inside))
         .withColumn("first_rank", F.col("last_rank") - F.col("_c") + 1)
         .select(*group, F.col("_v").alias("value"), F.col("_c").alias("count"), "first_rank", "last_rank", "n")
@@ -259,29 +251,15 @@ def rank_pick(df: DataFrame, group: list[str], value: str, ranks: dict[str, Colu
     return ranked.groupBy(*group).agg(F.max("n").alias("n"), *picks, *[c.alias(name) for name, c in more.items()])
 
 
-def group_median(df: DataFrame, group: list[str], values: list[str], min_rows: int = 200_000) -> DataFrame:
-    """Exact medians of several columns per group, one row per group.
-
-    ``median`` keeps a group's distinct values in memory, so only groups of bounded size take it; the SHARE largest
-    groups with more than ``min_rows`` rows are ranked value by value instead.
-    """
-    large = F.broadcast(
-        df.groupBy(*[F.col(g).alias(f"_hot_{g}") for g in group]).agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > min_rows).orderBy(F.desc("_rows")).limit(SHARE).drop("_rows")
-    )
-    on = [df[g].eqNullSafe(large[f"_hot_{g}"]) for g in group]
-    narrow = df.select(*group, *values)
-    small = narrow.join(large, on, "left_anti").groupBy(*group).agg(*[F.median(v).alias(v) for v in values])
-    return small.unionByName(_ranked_median(narrow.join(large, on, "left_semi"), group, values))
-
-
-def _ranked_median(df: DataFrame, group: list[str], values: list[str]) -> DataFrame:
-    """Medians by rank; the columns are stacked so that they share the same two shuffles."""
+def group_median(df: DataFrame, group: list[str], values: list[str]) -> DataFrame:
+    """Exact medians of several columns per group, one row per group, by rank: no task holds a group's values. The columns are
+    stacked, so that they share the same shuffles. A group without any value has a row of nulls."""
     named = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values]))
     stacked = df.select(*group, named.alias("_s")).select(*group, "_s.name", "_s.v")
     n = F.col("n")
     picked = rank_pick(stacked, [*group, "name"], "v", {"_lo": F.floor((n + 1) / 2), "_hi": F.floor(n / 2) + 1})
-    picked = picked.withColumn("_m", (F.col("_lo") + F.col("_hi")) / 2)
+    picked = picked.withColumn("_m", (F.col("_lo") + F.col("_hi")) / 2).select(*group, "name", "_m")
+    picked = picked.unionByName(df.select(*group).distinct(), allowMissingColumns=True)
     return picked.groupBy(*group).agg(*[F.max(F.when(F.col("name") == v, F.col("_m"))).alias(v) for v in values])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -54,3 +54,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(os.path.join(base, "rdd"))
     token = spark.sql("SELECT uuid()").first()[0]
     return os.path.join(base, f"{name}-{token}")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below ``spark.checkpoint.dir`` and read back, where several later steps start from it: a lost
+    executor costs no recomputation of what came before, and what depends on how rows were dealt out stays as it was."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,14 +121,13 @@ class Cooldown(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         alerts = pd.concat(rows).sort_values(["us", "alert_no"])
-        last = self.last.get()[0] if self.last.exists() else None
-        sent = []
-        for i, us in enumerate(alerts["us"]):
-            if last is None or us - last >= self.window_us:
-                last = int(us)
-                sent.append(i)
+        us, sent = alerts["us"].to_numpy(), []
+        at = int(np.searchsorted(us, self.last.get()[0] + self.window_us)) if self.last.exists() else 0
+        while at < len(us):  # a step for each alert sent, at most one a window
+            sent.append(at)
+            at = int(np.searchsorted(us, us[at] + self.window_us))
         if sent:
-            self.last.update((last,))
+            self.last.update((int(us[sent[-1]]),))
         yield alerts.iloc[sent].assign(alert_type=key[0], entity_id=key[1])[["alert_no", "alert_type", "entity_id", "timestamp"]]
 
     def close(self) -> None:
