@@ -273,3 +273,15 @@ def test_metrics_with_defaults(spark):
     keys = spark.createDataFrame([("a",), ("z",)], "entity_id STRING")
     m = spark.createDataFrame([("a", 3, 55.0)], "entity_id STRING, sessions_7d LONG, health_score DOUBLE")
     assert {tuple(r) for r in E.metrics_with_defaults(keys, m, ["entity_id"]).collect()} == {("a", 3, 55.0), ("z", 0, 100.0)}
+
+
+def test_fixed_decimals_by_the_exact_value(spark):
+    """As printf writes them, and with ties up as decimal arithmetic rounds half up."""
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rnd = random.Random(1)
+    xs = [rnd.choice([1, -1]) * rnd.choice([rnd.random(), round(rnd.random() * 100, 3), rnd.randrange(1, 1000) / 8, rnd.random() * 1e9, 1e-7]) for _ in range(3000)] + [1.005, 8.585, 84.08500000000001, 0.125, 2.5]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for r in df.select("x", X.fixed(F.col("x"), 2).alias("a"), X.fixed(F.col("x"), 0).alias("b"), X.fixed(F.col("x"), 2, "up").alias("c")).collect():
+        assert (r.a, r.b, r.c) == (f"{r.x:.2f}", f"{r.x:.0f}", str(Decimal(r.x).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)))

@@ -38,9 +38,26 @@ def keep(*items: Column) -> Column:
     return F.concat(*[F.when(i.isNotNull(), F.array(i)).otherwise(F.array()) for i in items])
 
 
-def fixed(c: Column, places: int) -> Column:
-    """Text with a fixed number of decimals, ties to even."""
-    return F.format_string(f"%.{places}f", F.bround(c, places))
+def fixed(c: Column, places: int, ties: str = "even") -> Column:
+    """Text with a fixed number of decimals, rounded by the exact value of the double: 8.585 is a little more than it reads,
+    so it becomes 8.59, and 1.005 becomes 1.00. Real ties (0.125) go to the even digit, or with ``ties`` up away from 0.
+
+    The product with the power of ten is taken with its rounding error: the double is split in two halves whose products are
+    exact. Values too large to have such decimals are written as they are."""
+    scale = float(10**places)
+    x = F.abs(c.cast("double"))
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product)
+    rest = product - whole
+    tie = (rest == 0.5) & (error == 0)
+    up = (rest > 0.5) | ((rest == 0.5) & (error > 0)) | (tie & ((whole % 2 == 1) if ties == "even" else F.lit(True)))
+    n = (whole + up.cast("long")).cast("long")
+    power = F.lit(10**places)
+    digits = n.cast("string") if places == 0 else F.concat(F.floor(n / power).cast("string"), F.lit("."), F.lpad((n % power).cast("string"), places, "0"))
+    sign = F.when(c < 0, "-").otherwise("")
+    return F.when(x < 2.0**50 / scale, F.concat(sign, digits)).otherwise(F.format_string(f"%.{places}f", c.cast("double")))
 
 
 def whole_percent(c: Column) -> Column:

@@ -221,9 +221,9 @@ def generate_insights(df: DataFrame, run_at: Column, model: str = "health-v1", t
     )
     advice = F.slice("recommendations", 1, 3) if "recommendations" in df.columns else F.array().cast("array<string>")
     return df.withColumn("_advice", advice).select(
-        c("entity_id").cast("string").alias("related_entity"), "_advice", F.posexplode(items).alias("idx", "_i")
+        c("entity_id").cast("string").alias("related_entity"), F.col("entity_type").alias("_type"), "_advice", F.posexplode(items).alias("idx", "_i")
     ).select(
-        stable_id("insight_", c("related_entity"), c("_i.prediction_type"), F.unix_millis(run_at)).alias("entity_id"),
+        stable_id("insight_", c("_type"), c("related_entity"), c("_i.prediction_type"), F.unix_millis(run_at)).alias("entity_id"),
         F.lit("insight").alias("entity_type"),
         F.timestamp_micros(F.unix_micros(run_at) + c("idx") * 100_000).alias("timestamp"),
         "related_entity", "_i.prediction_type", "_i.risk_score", "_i.explanation",

@@ -121,7 +121,7 @@ SERVING_ORDER = [
 
 def feature_csv(df: DataFrame) -> DataFrame:
     """One comma separated text per sample."""
-    cells = [fixed(F.col(c).cast("double"), 2) if two else F.col(c).cast("string") for c, two in SERVING_ORDER]
+    cells = [fixed(F.col(c).cast("double"), 2, "up") if two else F.col(c).cast("string") for c, two in SERVING_ORDER]
     return df.withColumn("features_csv", F.concat_ws(",", *cells))
 
 

@@ -1341,3 +1341,6 @@ def stream_sessions(spark, sf):
 @query
 def stream_alerts_cooldown(spark, sf):
     return _appended(spark, SS.cooldown_alerts(_event_alerts(spark, sf, _stream(spark, sf))), "cooldown")
+
+
+from tidewatch.plans import roundtrips  # noqa: E402, F401  registers its queries, which use the views above

@@ -1049,3 +1049,54 @@ ac AS (SELECT model, avg((risk_level = CASE WHEN value >= 150 + shift THEN 'crit
   FROM tel, vs WHERE risk_level IS NOT NULL GROUP BY model),
 lg AS (SELECT model, accuracy, lag(accuracy) OVER (ORDER BY model) AS accuracy_before FROM ac)""", """
 SELECT model, round(accuracy, 6) AS accuracy, round(accuracy_before, 6) AS accuracy_before, round(accuracy_before - accuracy, 6) AS lost, coalesce(accuracy_before - accuracy > 0.02::DOUBLE, false) AS alert FROM lg""")
+
+# --- written and read back; whole texts -----------------------------------------------------------------------
+
+_HOUR = "strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, strftime(ts, '%H') AS hour"
+oracle("archive_roundtrip", RAW, f"SELECT body AS value, {_HOUR} FROM raw")
+oracle("columnar_archive", BASE, f"SELECT {_HOUR}, count(*) AS n, round(sum(value), 6) AS total FROM ev GROUP BY ALL")
+_CUSTOMERS = BASE + """,
+cu AS (SELECT c_custkey, c_name, c_acctbal::DOUBLE AS c_acctbal, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'said "yes", twice' WHEN 2 THEN 'two' || chr(10) || 'lines' WHEN 3 THEN ' spaced ' ELSE 'plain' END AS note,
+  CAST(c_custkey % 7 AS INTEGER) AS customer_id, 's' AS segment FROM customer)"""
+oracle("csv_roundtrip", _CUSTOMERS, "SELECT * EXCLUDE (customer_id, segment) FROM cu")
+oracle("jsonl_roundtrip", _CUSTOMERS, "SELECT * FROM cu")
+oracle("json_export", BASE, """SELECT true AS within_limit, count(*) AS rows, round(sum(value), 6) AS total, 'events' AS table_name, 'events/' AS prefix, 'json' AS format, count(*) AS row_count,
+  TIMESTAMP '2024-01-31' AS export_date FROM ev""")
+oracle("splits_roundtrip", TEL + f""",
+rk AS (SELECT insight_id, value, row_number() OVER (PARTITION BY risk_level ORDER BY {_hash('insight_id')}, insight_id) AS r, count(*) OVER (PARTITION BY risk_level) AS n FROM tel WHERE risk_level IS NOT NULL)""",
+       f"SELECT {_CUT} AS split, format, count(*) AS n, round(sum(value), 6) AS total FROM rk, (VALUES ('csv'), ('json')) AS f(format) GROUP BY ALL")
+oracle("metadata_roundtrip", TEL + """,
+st AS (SELECT avg(iops) AS m0, stddev_pop(iops) AS s0, avg(latency) AS m1, stddev_pop(latency) AS s1, avg(error_rate) AS m2, stddev_pop(error_rate) AS s2,
+  count(*) FILTER (insight_id % 10 < 7) AS train, count(*) FILTER (insight_id % 10 >= 7) AS test FROM tel)""", """
+SELECT 3 AS feature_count, 'iops,latency' AS performance, 'error_rate' AS errors, train, test, i AS "at", round([m0, m1, m2][i + 1], 6) AS mean, round([s0, s1, s2][i + 1], 6) AS scale
+FROM st, (VALUES (0), (1), (2)) AS a(i)""")
+_INSIGHTS = ORACLES["generate_insights"]
+ORACLES["insight_sink"] = _INSIGHTS[:_INSIGHTS.rindex("SELECT entity_id AS related_entity")] + """
+SELECT 'insight_' || substr(sha256(concat_ws('|', entity_type, entity_id, t, '1706659200000')), 1, 16) AS entity_id, 'insight' AS entity_type,
+  TIMESTAMP '2024-01-31 00:00:00' + (row_number() OVER (PARTITION BY entity_type, entity_id ORDER BY o) - 1) * INTERVAL 100 MILLISECOND AS "timestamp",
+  CAST(entity_id AS VARCHAR) AS related_entity, t AS prediction_type, risk AS risk_score, 'r1' AS run FROM items"""
+oracle("severity_outputs", ALERTS, "SELECT alert_no, alert_type, entity_id, severity FROM al WHERE severity IN ('critical', 'warning')")
+ORACLES["entity_partitions"] = f"SELECT * FROM ({ORACLES['entity_counters']}) WHERE entity_type = 'tutor'"
+oracle("time_range_scan", BASE, "SELECT event_id, ts, event_type FROM ev WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'")
+oracle("bundle_roundtrip", TEL, """SELECT insight_id, device_id, date_trunc('millisecond', ts) AS ts, round(value, 6) AS value, round(iops, 6) AS iops, round(latency, 6) AS latency, round(error_rate, 6) AS error_rate,
+  coalesce(risk_level, 'unknown') AS risk_level, round(coalesce(performance_score, -1.0), 6) AS performance_score FROM tel""")
+oracle("insight_by_entity", INS, "SELECT * FROM served WHERE entity_id = 7")
+oracle("source_confidence", BASE, """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'SageMaker-xgb' WHEN 1 THEN 'bedrock/claude' WHEN 2 THEN 'rules' END AS source,
+  CASE event_id % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.88 ELSE 0.75 END::DOUBLE AS confidence FROM ev""")
+oracle("utc_texts", BASE, "SELECT event_id, CASE WHEN event_id % 5 < 2 THEN date_trunc('millisecond', ts) WHEN event_id % 5 = 3 THEN date_trunc('second', ts) END AS at FROM ev")
+# two decimals by the exact value; multiples of an eighth that are ties go up
+_TWO = lambda x: f"printf('%.2f', CASE WHEN ({x}) * 8 % 2 = 1 THEN ({x}) + 0.001::DOUBLE ELSE {x} END)"
+_BIG = lambda x: f"CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR)"
+oracle("feature_csv_text", TEL, f"""SELECT insight_id, concat_ws(',', {_BIG('iops * 0.6::DOUBLE')}, {_BIG('iops * 0.4::DOUBLE')}, iops, {_BIG('iops * 0.15::DOUBLE')}, {_TWO('latency')}, {_TWO('latency * 2.5::DOUBLE')}, {_TWO('latency * 5')},
+  CASE WHEN latency > 10 THEN 3 ELSE 0 END, throughput, {_BIG('throughput * 0.1::DOUBLE')}, {_TWO('error_rate')}, CASE WHEN error_rate > 1 THEN '0.50' ELSE '-0.20' END, hour(ts), isodow(ts) - 1, 3600, '0.70', '0.30',
+  queue_depth, 128, 32, {_TWO('CASE WHEN latency > 0 THEN iops / latency ELSE 0.0 END')}, {_TWO('error_rate * 2 + CASE WHEN latency > 10 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END')},
+  printf('%.2f', CASE WHEN iops > 80000 THEN 7.0 ELSE 3.0 END + CASE WHEN latency > 15 THEN 2.0 ELSE 0.0 END), {_TWO('least(iops / 150000, 1.0)')}, CASE WHEN iops > 100000 THEN 2 WHEN latency > 10 THEN 1 ELSE 0 END) AS features_csv FROM tel""")
+oracle("validation_messages", RAW, """
+SELECT event_id, CASE WHEN bad_json THEN 'raw_data:critical:Parse error: not a JSON event' ELSE concat_ws('; ', CASE WHEN no_type THEN 'event_type:critical:Missing required field: event_type' END,
+  CASE WHEN odd_type THEN 'event_type:error:Invalid event_type: ' || et || '. Must be one of: session_started, session_completed, ib_call_logged, tutor_availability_updated, customer_health_update, supply_demand_update' END,
+  CASE WHEN no_payload THEN 'payload:critical:Missing or invalid payload field' END, CASE WHEN odd_metrics THEN 'metrics:error:Metrics must be an object' END,
+  CASE WHEN bad_iops THEN 'metrics.iops:error:IOPS must be a non-negative number' END, CASE WHEN bad_latency THEN 'metrics.latency:error:Latency must be a non-negative number' END,
+  CASE WHEN bad_rate THEN 'metrics.errorRate:error:Error rate must be between 0 and 100' END, CASE WHEN bad_time THEN 'timestamp:warning:Invalid timestamp format' END) END AS errors FROM checks""")
+oracle("short_validation_reasons", RAW, """
+SELECT event_id, concat_ws('; ', CASE WHEN bad_json OR no_type OR odd_type THEN 'Invalid event_type: ' || coalesce(et, 'undefined') END, CASE WHEN coalesce(tm, '') = '' THEN 'Missing timestamp' END,
+  CASE WHEN pk IS NULL THEN 'Missing payload' END, CASE WHEN iv < 0 THEN 'Negative IOPS value' END) AS reasons FROM checks""")

@@ -16,11 +16,11 @@ def files_under(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     )
 
 
-def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All ``*.jsonl`` files below a folder, at any depth; an error when there is none."""
-    if files_under(spark, path, "*.jsonl").isEmpty():
-        raise FileNotFoundError(f"no .jsonl file below {path}")
-    return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(path)
+def jsonl(spark: SparkSession, path: str, schema: str, pattern: str = "*.jsonl") -> DataFrame:
+    """All files of JSON lines below a folder, at any depth, by their name; an error when there is none."""
+    if files_under(spark, path, pattern).isEmpty():
+        raise FileNotFoundError(f"no {pattern} file below {path}")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path)
 
 
 def telemetry_bundle(spark: SparkSession, path: str) -> DataFrame:
@@ -53,8 +53,8 @@ def latest_file(spark: SparkSession, path: str, pattern: str = "*") -> str:
 
 
 def latest_by_role(spark: SparkSession, path: str) -> dict[str, str]:
-    """The newest CSV file per role; train, validation and test must all exist."""
-    role = F.regexp_extract(F.element_at(F.split("path", "/"), -1), "(train|validation|test)", 1)
+    """The newest CSV file per role, named by itself or by its folder ``<role>.csv``; train, validation and test must exist."""
+    role = F.regexp_extract("path", r"(train|validation|test)[^/]*\.csv(/[^/]*)?$", 1)
     rows = (
         files_under(spark, path, "*.csv").withColumn("role", role).where("role <> ''")
         .groupBy("role").agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).collect()

@@ -21,8 +21,8 @@ def with_hour(df: DataFrame, at: Column) -> DataFrame:
 
 def archive_raw(records: DataFrame, path: str, at: Column, batch_id: int | None = None) -> None:
     """Raw text of valid and malformed records alike, as gzip NDJSON by hour of processing."""
-    out = with_hour(records.select(F.col("raw").alias("value")), at)
     parts = list(HOUR_PARTS)
+    out = with_hour(records, at).select(F.col("raw").alias("value"), *parts)
     if batch_id is not None:
         out, parts = out.withColumn("batch", F.lit(batch_id)), [*parts, "batch"]
     writer = out.write.partitionBy(*parts).option("compression", "gzip")
@@ -132,13 +132,14 @@ def write_entities(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("entity_type").parquet(path)
 
 
-def export_json(df: DataFrame, path: str, rows_per_file: int = 100) -> None:
+def export_json(df: DataFrame, path: str, rows_per_file: int) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).json(path)
 
 
 def export_csv(df: DataFrame, path: str, drop: tuple[str, ...] = ()) -> None:
     """Header, text quoted with doubled quotes; the header comes from the schema."""
-    df.drop(*drop).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # kept, as they are part of the text
+    df.drop(*drop).write.mode("overwrite").options(**spaces).option("header", True).option("escape", '"').csv(path)
 
 
 def export_manifest(spark: SparkSession, path: str, table: str, prefix: str, fmt: str, rows: DataFrame, at: Column) -> None:
