@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,8 @@ TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"  # a comment, to the end if it isn't closed
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
+    # a quote opens a value only after "=", and only if it is closed somewhere; others are stray and end in the tag
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)"
     r"|</[^>]*(?:>|\Z)",
     re.S,
 )
@@ -35,7 +37,7 @@ BLOCK = set("""address article aside blockquote body br caption center dd detail
 footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select
 summary table tbody td tfoot th thead title tr ul""".split())
 RAW = set("script style title textarea xmp noembed noframes iframe".split())  # their content is no markup
-SILENT = RAW | set("noscript template svg math object canvas audio video select button datalist head map".split())
+SILENT = RAW | set("noscript template svg annotation annotation-xml object canvas audio video select button datalist head map".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCK - {"br", "option", "title", "head"}
@@ -56,6 +58,8 @@ NAMED = {
     "header": "header masthead",
 }
 WORD = {w: kind for kind, words in NAMED.items() for w in words.split()}
+# names that also occur on parts of an article's own text; within an article they say nothing
+VAGUE = set("legal social search searchbox tabs skip toc popular trending responses reactions discussion".split())
 NOT_NAMED = {"has", "with", "no", "without", "hide", "is", "not"}  # "has-sidebar" is no sidebar
 FLAGS = ("nav", "footer", "aside", "form", "notice", "advert", "comment", "header", "article", "heading", "any_article")
 FEATURES = (*(f"{what}_{where}" for where in ("own", "before", "after") for what in ("words", "links")), *FLAGS)
@@ -77,8 +81,8 @@ class Block:
     linked: int = 0
 
 
-def _marks(name: str, attrs: str) -> tuple[set[str], bool]:
-    """The regions that an element opens, and whether its content isn't shown."""
+def _marks(name: str, attrs: str, within: bool) -> tuple[set[str], bool]:
+    """The regions that an element opens, and whether its content isn't shown; ``within``: it lies in an article."""
     marks, hidden = set(), False
     if name in REGION:
         marks.add(REGION[name])
@@ -92,7 +96,7 @@ def _marks(name: str, attrs: str) -> tuple[set[str], bool]:
                     words = re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", label).lower()
                     words = re.split(r"[-_:]+", words)
                     if words[0] not in NOT_NAMED:
-                        found = {WORD[w] for w in words if w in WORD}
+                        found = {WORD[w] for w in words if w in WORD and not (within and w in VAGUE)}
                         marks |= found & {"comment", "advert", "aside"} if name == "article" else found
             elif key == "role":
                 marks |= {ROLE[w] for w in value.lower().split() if w in ROLE}
@@ -108,7 +112,9 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[Element] = []
-    links = 0
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each name is open, so that no tag searches it
+    scopes: list[int] = []
+    headings: list[int] = []
     now: Block | None = None
 
     def text(s: str) -> None:
@@ -120,17 +126,24 @@ def blocks(page: str | None) -> list[Block]:
         if now is None:
             if s.isspace():
                 return
-            now = Block(stack[-1].marks if stack else frozenset(), any(e.name in HEADING for e in stack))
+            now = Block(stack[-1].marks if stack else frozenset(), bool(headings))
             out.append(now)
         now.parts.append(s)
         n = len(s.split())
         now.words += n
-        now.linked += n if links else 0
+        now.linked += n if places["a"] else 0
 
     def pop_to(i: int) -> None:
-        nonlocal links
-        links -= sum(e.name == "a" for e in stack[i:])
-        del stack[i:]
+        while len(stack) > i:
+            name = stack.pop().name
+            places[name].pop()
+            for at in (scopes, headings):
+                if at and at[-1] == len(stack):
+                    at.pop()
+
+    def innermost(*names: str) -> int:
+        """The place of the innermost open element of these names, -1 if none is open."""
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
     at, end = 0, len(page)
     while at < end:
@@ -151,41 +164,39 @@ def blocks(page: str | None) -> list[Block]:
         if name in BLOCK:
             now = None
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    pop_to(i)
-                    break
-                if stack[i].name in SCOPE and name not in SCOPE and name not in REGION:
-                    break  # an end tag doesn't reach beyond its container
+            i = innermost(name)
+            # an end tag doesn't reach beyond its container
+            if i >= 0 and (name in SCOPE or name in REGION or not scopes or i >= scopes[-1]):
+                pop_to(i)
             continue
+        scope = scopes[-1] if scopes else -1
         if name in ENDS_P or name in SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == "p" and name in ENDS_P or stack[i].name in SIBLINGS.get(name, ()):
-                    pop_to(i)
-                    break
-                if stack[i].name in SCOPE:
-                    if name in ("tr", "td", "th") and stack[i].name in ("td", "th"):
-                        pop_to(i)
-                    break
+            i = innermost(*(("p",) if name in ENDS_P else ()), *SIBLINGS.get(name, ()))
+            if i >= max(scope, 0):
+                pop_to(i)
+            elif scope >= 0 and name in ("tr", "td", "th") and stack[scope].name in ("td", "th"):
+                pop_to(scope)
         if name == "a":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == "a":
-                    pop_to(i)
-                    break
-                if stack[i].name in SCOPE:
-                    break
-        if name == "body":  # a body without an end of the head
-            pop_to(next((i for i, e in enumerate(stack) if e.name == "head"), len(stack)))
+            i = innermost("a")
+            if i >= max(scopes[-1] if scopes else 0, 0):
+                pop_to(i)
+        if name == "body" and places["head"]:  # a body without an end of the head
+            pop_to(places["head"][0])
         if name in VOID:
             continue
-        marks, hidden = _marks(name, m["attrs"] or "")
         above = stack[-1] if stack else None
+        marks, hidden = _marks(name, m["attrs"] or "", bool(above and "article" in above.marks))
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        stack.append(Element(name, (above.marks if above else frozenset()) | marks, bool(above and above.silent) or hidden or name in SILENT))
-        links += name == "a"
+        places[name].append(len(stack))
+        if name in SCOPE:
+            scopes.append(len(stack))
+        if name in HEADING:
+            headings.append(len(stack))
+        held = above.marks if above else frozenset()
+        stack.append(Element(name, held | marks if marks else held, bool(above and above.silent) or hidden or name in SILENT))
     return [b for b in out if b.words]
 
 
