@@ -173,3 +173,36 @@ def test_url_query_has_no_python_and_keeps_all(spark):
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
     assert U.filter_urls(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_broken_pages_are_read_in_linear_time(spark):
+    """Many open and unmatched tags, deep blocks, links that never end."""
+    import time
+
+    from tidewatch.llm import html_text as H
+    from tidewatch.llm import url_graph as U
+
+    tree = H.train()
+    pages = ["<article><p>" + "<b>" * 20_000 + "x" + "</i>" * 20_000, "<article>" + "<b>" * 20_000 + "<p>x y</p>" * 3000, "<article><i><div>" + "<b>" * 20_000 + "</i>" * 20_000 + "x",
+             '<a title="' * 20_000]
+    start = time.perf_counter()
+    texts = [H.main_text(p, tree) for p in pages]
+    assert time.perf_counter() - start < 4 and texts[0] == "x" and texts[1].split() == ["x", "y"] * 3000
+    links = spark.createDataFrame([(1, "http://a.org/", "//" + "<a " * 20_000 + '<a href="http://b.org/">')], "page_id long, url string, html string")
+    start = time.perf_counter()
+    assert [(r.src, r.dst) for r in U.host_edges(links).collect()] == [("a.org", "b.org")]
+    assert time.perf_counter() - start < 10
+
+
+def test_stray_quotes_formulas_and_vague_names():
+    from tidewatch.llm import html_text as H
+
+    tree = H.train()
+    wrap = lambda s: H.main_text(f"<article><h1>Title</h1>{s}<p>end</p></article>", tree)
+    assert wrap('<p class="a" b">Hello</p>') == "Title Hello end"
+    assert wrap('<p title="x>Hello</p>') == "Title Hello end"
+    assert wrap("<p title='it is \"fine\"' x='>'>Hello</p>") == "Title Hello end"
+    assert wrap("<p>Let <math><mi>x</mi><annotation>tex</annotation></math> be</p>") == "Title Let x be end"
+    for name in ("legal", "social-history", "search-results", "tabs"):
+        assert wrap(f'<section class="{name}"><p>{"law " * 30}</p></section>') == "Title " + "law " * 30 + "end"
+    assert wrap('<div class="ad">Buy now</div>') == "Title end"

@@ -23,7 +23,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"
+# a tag ends where the next begins, so broken pages are read once
+LINK = r"(?is)<a\s[^<>]*?href\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"
 
 
 def url_host(url: Column) -> Column:
