@@ -62,7 +62,7 @@ def test_training_sees_every_window(data, monkeypatch):
     assert inspect.signature(X.score_toxicity).parameters["train_rows"].default == 6000
     texts, _, toxic = data
     seen, real = [], X.window_logits
-    monkeypatch.setattr(X, "window_logits", lambda w, x, grid: seen.append(len(grid)) or real(w, x, grid))
+    monkeypatch.setattr(X, "window_logits", lambda w, x, grid_of, total: seen.append(total) or real(w, x, grid_of, total))
     X.train(texts[:60], toxic[:60], rounds=3, steps=1, clean=40)
     n = sum(len(X.windows(X.encode([t])[1])[0]) for t in texts[:60])
     assert len(seen) == 3 and min(seen) >= n
