@@ -206,3 +206,32 @@ def test_stray_quotes_formulas_and_vague_names():
     for name in ("legal", "social-history", "search-results", "tabs"):
         assert wrap(f'<section class="{name}"><p>{"law " * 30}</p></section>') == "Title " + "law " * 30 + "end"
     assert wrap('<div class="ad">Buy now</div>') == "Title end"
+
+
+def plain(page):
+    """The page with its region elements made plain and its names taken away."""
+    import re
+
+    page = re.sub(r"<(/?)(nav|article|footer|aside|header|main|section|form|menu)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def test_counts_and_densities_decide_on_pages_without_names(spark):
+    from tidewatch.llm import html_text as H
+
+    tree = H.train()
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").where("html is not null").collect()]
+    same = sum(H.main_text(plain(p), tree) == H.main_text(p, tree) for p in pages)
+    assert same >= 0.9 * len(pages) and len(pages) >= 400
+    used, nodes = set(), [tree.low]
+    while nodes:
+        node = nodes.pop()
+        if node.feature >= 0:
+            used.add(H.FEATURES[node.feature])
+            nodes += [node.low, node.high]
+    assert {"words_own", "words_before", "words_after", "links_own", "links_before", "links_after"} <= used
+    right = total = 0
+    for page, labels in H.plain_pages():
+        got = tree.predict(H.features(H.blocks(page)))
+        right, total = right + sum(g == (c == "1") for g, c in zip(got, labels, strict=True)), total + len(labels)
+    assert right / total > 0.97

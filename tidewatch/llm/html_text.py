@@ -1,9 +1,10 @@
 """Main text of HTML pages: flat text blocks, classified by a decision tree trained on a small labelled table.
 
 A page becomes a flat list of text blocks (text between block-level tags). A block's features are its word count and
-link density, those of its neighbours, and marks of the regions it lies in: navigation, footer, aside, form, header,
-names of classes and ids, article, heading. The tree is grown on the blocks of ``LABELLED``, a table of small pages with
-a label per block, and has no other rules. Content blocks are joined in page order.
+link density, those of its neighbours, whether it and they are headings, and marks of the regions it lies in: navigation,
+footer, aside, form, header, names of classes and ids, article. The tree is grown on the blocks of two tables of small
+pages with a label per block: ``PLAIN``, pages without any names, where counts and densities decide alone, and ``LABELLED``,
+pages whose elements say what they are. It has no other rules. Content blocks are joined in page order.
 
 Pages are independent: a task parses whole pages one after the other, and the tree (a few dozen numbers) travels with it.
 """
@@ -62,7 +63,8 @@ WORD = {w: kind for kind, words in NAMED.items() for w in words.split()}
 VAGUE = set("legal social search searchbox tabs skip toc popular trending responses reactions discussion".split())
 NOT_NAMED = {"has", "with", "no", "without", "hide", "is", "not"}  # "has-sidebar" is no sidebar
 FLAGS = ("nav", "footer", "aside", "form", "notice", "advert", "comment", "header", "article", "heading", "any_article")
-FEATURES = (*(f"{what}_{where}" for where in ("own", "before", "after") for what in ("words", "links")), *FLAGS)
+FEATURES = (*(f"{what}_{where}" for where in ("own", "before", "after") for what in ("words", "links")), *FLAGS, "heading_before", "heading_after", "any_name")
+COUNTS = [i for i, f in enumerate(FEATURES) if f.startswith(("words", "links", "heading"))]
 
 
 @dataclass
@@ -208,9 +210,10 @@ def features(page: list[Block]) -> np.ndarray:
     x = np.zeros((n, len(FEATURES)))
     for c, shift in enumerate((1, 0, 2)):
         x[:, 2 * c], x[:, 2 * c + 1] = words[shift:n + shift], density[shift:n + shift]
-    any_article = any("article" in b.marks for b in page)
+    any_article, any_name = any("article" in b.marks for b in page), any(b.marks for b in page)
+    headings = [False, *(b.heading for b in page), False]
     for i, b in enumerate(page):
-        x[i, 6:] = [*(f in b.marks for f in FLAGS[:9]), b.heading, any_article]
+        x[i, 6:] = [*(f in b.marks for f in FLAGS[:9]), b.heading, any_article, headings[i], headings[i + 2], any_name]
     return x
 
 
@@ -239,16 +242,46 @@ LABELLED: tuple[tuple[str, str], ...] = (
     ("<nav>[U]</nav><form>[U]</form><header>[U]</header><aside>[U]</aside><div class=popup>[U]</div><div class=promo>[U]</div><h1>Hay</h1><p>[S]</p><p>[T]</p><div class=ad>[U]</div><div class=comments>[U]</div><aside>[U]</aside><footer>[U]</footer><nav>[U]</nav><form>[U]</form><div class=notice>[U]</div>", "0000001110000000"),
     ("<div class=header><h1>[U]</h1></div><h2>Boats</h2><p>[S]</p><div class=share>[A]Share</a></div><p>[T]</p><div class=comments><p>[U]</p></div><div class=ad>[U]</div>", "0110100"),
 )
+# pages without any names, where word counts, link densities and headings of a block and its neighbours are all there is.
+# [V] is a short text that is no part of the article: above the first heading, or at the end of the page.
+PLAIN: tuple[tuple[str, str], ...] = (
+    ("<div><ul><li>[A]Home</a><li>[A]News</a><li>[A]Who we are</a></ul></div><div>[V]</div><div><h1>[H]</h1><p>[S]</p><p>[W]</p><p>[T]</p><p>[W]</p><p>[S]</p></div><div>[V]</div>", "00001111110"),
+    ("<div>[A]Home</a></div><div>[A]Shop</a></div><div>[V]</div><div><h1>[H]</h1><p>[W]</p><p>[S]</p><p>[W]</p><h2>[H]</h2><p>[T]</p><p>[W]</p></div><div>[V]</div>", "00011111110"),
+    ("<p>[A]Home</a><p>[A]Help</a><div><h1>[H]</h1><p>[W]</p><p>[T]</p><p>[W]</p></div><div>[V] [A]Terms</a></div>", "0011110"),
+    ("<ul><li>[A]One</a><li>[A]Two</a></ul><div>[V]</div><div><h1>[H]</h1><p>[W]</p><p>[W]</p><p>[S]</p></div><div>[V]</div>", "00011110"),
+    ("<div>[A]Up</a></div><div><h1>[H]</h1><ul><li>[W]</li><li>[W]</li></ul><p>[S]</p></div><div>[V]</div><div>[A]Terms</a></div>", "0111100"),
+    ("<div>[V]</div><div><h1>[H]</h1><p>[S]</p><p>[W]</p></div><div>[V]</div>", "01110"),
+    ("<div>[A]Up</a></div><div>[V]</div><div><h1>[H]</h1><p>[W]</p></div><div>[V]</div>", "00110"),
+    ("<div>[A]Up</a></div><div>[V]</div><div><h1>[H]</h1><p>[S]</p></div><div>[V]</div>", "00110"),
+    ("<h1>[H]</h1><p>[W]</p>", "11"), ("<p>[W]</p>", "1"), ("<p>[S]</p>", "1"), ("<h1>[H]</h1><p>[S]</p><p>[T]</p>", "111"), ("<p>[S]</p><p>[T]</p><p>[S]</p>", "111"),
+    ("<div>[A]Home</a></div><div>[A]News and more</a></div><div>[S]</div><div>[W]</div><div>[T]</div><div>[A]About us</a></div><div>[A]Terms of use</a> and so on</div>", "0011100"),
+    ("<div>[A]Home</a></div><div>[V]</div><div><h1>[H]</h1><p>[S] [A]boats</a> [W]</p><p>[T] [A]see there</a>, [A]and there</a> [S]</p><p>[W]</p><p>[W] [A]so</a> [S]</p></div><div>[A]About us</a> | [A]Terms</a></div>", "00111110"),
+    ("<p>[A]Home</a> and [A]help</a> [A]here</a></p><p>[S] [A]one</a></p><p>[A]two</a> [T]</p><p>[W] [S]</p><p>[A]Read on</a> here</p>", "01110"),
+    ("<div>[A]Home</a></div><div>[V]</div><h1>[H]</h1><p>[W]</p><p>[S]</p><h2>[H]</h2><p>[W]</p><p>[W]</p><h2>[H]</h2><h3>[H]</h3><p>[T]</p><p>[W]</p><h2>[H]</h2><p>[W]</p><p>[S]</p><div>[V]</div>", "0011111111111110"),
+    ("<div>[A]A</a> | [A]B</a> | [A]C</a></div><p>[S]</p><p>[T]</p><div>[A]Read this next: [V]</a></div><div>[A]Up</a></div>", "01100"),
+)
 LENGTHS = ((1, 40, 9), (30, 2, 90), (120, 15, 1), (6, 1, 30), (60, 90, 4), (14, 200, 14), (2, 6, 250), (45, 25, 60))
 
 
+def _filled(page: str, **words: str) -> str:
+    texts = {"A": '<a href="/x">', **words}
+    return re.sub(r"\[([A-Z])\]", lambda m: texts[m[1]].strip() if m[1] != "A" else texts["A"], page)
+
+
 def labelled_pages() -> Iterator[tuple[str, str]]:
     for page, labels in LABELLED:
         named = "<article" in page or "<main" in page
         for s, t, u in LENGTHS:
             s, t = (s, t) if named else (s + 12, t + 12)
-            text = {"[A]": '<a href="/x">', "[S]": "word " * s, "[T]": "more " * t, "[U]": "other " * u}
-            yield re.sub(r"\[[ASTU]\]", lambda m, text=text: text[m[0]].strip() if m[0] != "[A]" else text[m[0]], page), labels
+            yield _filled(page, S="word " * s, T="more " * t, U="other " * u), labels
+
+
+def plain_pages() -> Iterator[tuple[str, str]]:
+    """Pages of PLAIN with long texts [S] and [T], article texts [W] and others [V] of any few words, and headings [H]."""
+    for page, labels in PLAIN:
+        for k in range(60):
+            s, t, w, v, h = 26 + k * 7 % 90, 26 + k * k % 300, 1 + k * 5 % 24 * (k % 3 > 0), 3 + k * 3 % 17, 1 + k % 19
+            yield _filled(page, S="word " * s, T="more " * t, W="so " * w, V="short " * v, H="head " * h), labels
 
 
 @dataclass
@@ -269,13 +302,12 @@ class Tree:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> Tree:
-    """The split with the lowest Gini impurity, again and again until a node is pure. Marks win over counts in ties, so
-    a block in a named region needs no count."""
+def grow(x: np.ndarray, y: np.ndarray, order: list[int], depth: int = 12) -> Tree:
+    """The split with the lowest Gini impurity, again and again until a node is pure. Earlier features of ``order`` win ties."""
     if depth == 0 or y.all() or not y.any():
         return Tree(label=bool(y.mean() >= 0.5))
     best = (np.inf, -1, 0.0)
-    for f in (*range(6, x.shape[1]), *range(6)):
+    for f in order:
         values = np.unique(x[:, f])
         for t in (values[1:] + values[:-1]) / 2:
             high = x[:, f] > t
@@ -285,18 +317,26 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> Tree:
     if best[1] < 0:
         return Tree(label=bool(y.mean() >= 0.5))
     high = x[:, best[1]] > best[2]
-    return Tree(best[1], best[2], False, grow(x[~high], y[~high], depth - 1), grow(x[high], y[high], depth - 1))
+    return Tree(best[1], best[2], False, grow(x[~high], y[~high], order, depth - 1), grow(x[high], y[high], order, depth - 1))
 
 
-def train() -> Tree:
+def _table(pages: Iterator[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
     x, y = [], []
-    for page, labels in labelled_pages():
+    for page, labels in pages:
         found = blocks(page)
         if len(found) != len(labels):
             raise ValueError(f"{len(found)} blocks, {len(labels)} labels: {page}")
         x.append(features(found))
         y += [c == "1" for c in labels]
-    return grow(np.concatenate(x), np.array(y))
+    return np.concatenate(x), np.array(y)
+
+
+def train() -> Tree:
+    """The tree's root asks whether a page names any region. With names, marks win over counts in ties, so a block in a named
+    region needs no count; without, word counts, link densities and headings decide alone."""
+    marks = [i for i in range(6, FEATURES.index("heading_before"))]
+    named, plain = _table(labelled_pages()), _table(plain_pages())
+    return Tree(FEATURES.index("any_name"), 0.5, False, grow(*plain, COUNTS, 9), grow(*named, [*marks, *range(6)]))
 
 
 def main_text(page: str | None, tree: Tree) -> str:
