@@ -41,8 +41,24 @@ class CapCode:
         probe = rng.standard_normal((200, dim))
         probe /= np.linalg.norm(probe, axis=1, keepdims=True)
         a, b = self._halves(probe)
-        values = (a[:, :, None] + b[:, None, :]).reshape(len(probe), -1) if self.size <= 400 else a[:, rng.integers(0, self.size, 100_000)] + b[:, rng.integers(0, self.size, 100_000)]
-        self.height = float(np.quantile(values, max(0.0, 1 - caps / self.size**2)))
+        if self.size <= 400:
+            left, right = np.divmod(np.arange(self.size**2), self.size)
+        else:
+            left, right = rng.integers(0, self.size, 100_000), rng.integers(0, self.size, 100_000)
+        self.height = self._quantile(a, b, left, right, max(0.0, 1 - caps / self.size**2))
+
+    @staticmethod
+    def _quantile(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, share: float) -> float:
+        """The quantile of all sums of the pairs (left, right); only the largest sums are held, a few rows' at a time."""
+        total = len(a) * len(left)
+        at = share * (total - 1)
+        top = np.empty(0)
+        for i in range(0, len(a), 8):
+            top = np.concatenate([top, (a[i:i + 8, left] + b[i:i + 8, right]).ravel()])
+            keep = min(len(top), total - int(at))
+            top = np.partition(top, len(top) - keep)[len(top) - keep:]
+        low, high = np.sort(top)[[0, min(1, len(top) - 1)]]
+        return float(low + (high - low) * (at - int(at)))
 
     def _directions(self, rng, dim):
         x = rng.standard_normal((self.size, max(dim, 1)))
