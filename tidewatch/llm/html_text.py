@@ -63,7 +63,7 @@ WORD = {w: kind for kind, words in NAMED.items() for w in words.split()}
 VAGUE = set("legal social search searchbox tabs skip toc popular trending responses reactions discussion".split())
 NOT_NAMED = {"has", "with", "no", "without", "hide", "is", "not"}  # "has-sidebar" is no sidebar
 FLAGS = ("nav", "footer", "aside", "form", "notice", "advert", "comment", "header", "article", "heading", "any_article")
-FEATURES = (*(f"{what}_{where}" for where in ("own", "before", "after") for what in ("words", "links")), *FLAGS, "heading_before", "heading_after", "any_name")
+FEATURES = (*(f"{what}_{where}" for where in ("own", "before", "after") for what in ("words", "links")), *FLAGS, "heading_before", "heading_after", "heading_any", "any_name")
 COUNTS = [i for i, f in enumerate(FEATURES) if f.startswith(("words", "links", "heading"))]
 
 
@@ -213,7 +213,7 @@ def features(page: list[Block]) -> np.ndarray:
     any_article, any_name = any("article" in b.marks for b in page), any(b.marks for b in page)
     headings = [False, *(b.heading for b in page), False]
     for i, b in enumerate(page):
-        x[i, 6:] = [*(f in b.marks for f in FLAGS[:9]), b.heading, any_article, headings[i], headings[i + 2], any_name]
+        x[i, 6:] = [*(f in b.marks for f in FLAGS[:9]), b.heading, any_article, headings[i], headings[i + 2], any(headings), any_name]
     return x
 
 
@@ -253,6 +253,7 @@ PLAIN: tuple[tuple[str, str], ...] = (
     ("<div>[V]</div><div><h1>[H]</h1><p>[S]</p><p>[W]</p></div><div>[V]</div>", "01110"),
     ("<div>[A]Up</a></div><div>[V]</div><div><h1>[H]</h1><p>[W]</p></div><div>[V]</div>", "00110"),
     ("<div>[A]Up</a></div><div>[V]</div><div><h1>[H]</h1><p>[S]</p></div><div>[V]</div>", "00110"),
+    ("<p>[W]</p><p>[W]</p>", "11"), ("<p>[W]</p><p>[S]</p><p>[W]</p>", "111"), ("<div>[W]<br>[W]<br>[W]</div>", "111"), ("<p>[S]</p><p>[W]</p>", "11"), ("<h1>[H]</h1><p>[W]</p><p>[W]</p>", "111"),
     ("<h1>[H]</h1><p>[W]</p>", "11"), ("<p>[W]</p>", "1"), ("<p>[S]</p>", "1"), ("<h1>[H]</h1><p>[S]</p><p>[T]</p>", "111"), ("<p>[S]</p><p>[T]</p><p>[S]</p>", "111"),
     ("<div>[A]Home</a></div><div>[A]News and more</a></div><div>[S]</div><div>[W]</div><div>[T]</div><div>[A]About us</a></div><div>[A]Terms of use</a> and so on</div>", "0011100"),
     ("<div>[A]Home</a></div><div>[V]</div><div><h1>[H]</h1><p>[S] [A]boats</a> [W]</p><p>[T] [A]see there</a>, [A]and there</a> [S]</p><p>[W]</p><p>[W] [A]so</a> [S]</p></div><div>[A]About us</a> | [A]Terms</a></div>", "00111110"),
