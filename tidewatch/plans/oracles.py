@@ -1100,3 +1100,5 @@ SELECT event_id, CASE WHEN bad_json THEN 'raw_data:critical:Parse error: not a J
 oracle("short_validation_reasons", RAW, """
 SELECT event_id, concat_ws('; ', CASE WHEN bad_json OR no_type OR odd_type THEN 'Invalid event_type: ' || coalesce(et, 'undefined') END, CASE WHEN coalesce(tm, '') = '' THEN 'Missing timestamp' END,
   CASE WHEN pk IS NULL THEN 'Missing payload' END, CASE WHEN iv < 0 THEN 'Negative IOPS value' END) AS reasons FROM checks""")
+ORACLES["version_feed"] = ORACLES["change_feed"]
+oracle("stream_dedup_first", ALERTS, "SELECT DISTINCT alert_type, entity_id FROM al")

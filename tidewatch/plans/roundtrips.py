@@ -199,3 +199,20 @@ def validation_messages(spark, sf):
 @query
 def short_validation_reasons(spark, sf):
     return V.validate_short(V.decode_records(W.raw_records(spark, sf))).select("event_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query
+def version_feed(spark, sf):
+    """The change feed between two written versions of a table."""
+    base = scratch_dir(spark, "versions")
+    for name, snapshot in zip(("old", "new"), Q._snapshots(spark, sf), strict=True):
+        O.write_parquet(snapshot, f"{base}/{name}")
+    feed = SW.version_feed(spark, f"{base}/old", f"{base}/new", ["entity_id", "entity_type"])
+    return feed.select("entity_id", "entity_type", "change_type", F.col("old_image.demand_score").alias("old_demand"), F.col("new_image.demand_score").alias("new_demand"))
+
+
+@query
+def stream_dedup_first(spark, sf):
+    """Alerts of a stream that come in one batch, one for each type and entity."""
+    alerts = Q._event_alerts(spark, sf, Q._stream(spark, sf))
+    return Q._appended(spark, SW.dedup_alerts(alerts), "dedup").select("alert_type", "entity_id")
