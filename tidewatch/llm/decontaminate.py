@@ -68,14 +68,27 @@ def split_words(low: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
+def _pieces(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Words from one number up to another that begin within BLOCK bytes of each other."""
+    at = 0
+    while at < len(starts):
+        to = int(np.searchsorted(starts, starts[at] + BLOCK))
+        yield at, to
+        at = to
+
+
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of every word: its bytes as a polynomial, read from running sums, then scrambled."""
-    base = (0x9E3779B97F4A7C15 + (2 * seed << 20)) | 1
-    sums = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(low * _powers(base, len(low)), out=sums[1:])
-    back = _powers(pow(base, -1, 1 << 64), len(low) + 1)
-    # the length keeps words apart whose bytes alone give equal sums
-    return mix64((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    base, out = (0x9E3779B97F4A7C15 + (2 * seed << 20)) | 1, np.empty(len(starts), np.uint64)
+    for at, to in _pieces(starts):
+        first = starts[at]
+        piece, a, b = low[first:ends[to - 1]], starts[at:to] - first, ends[at:to] - first
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(piece * _powers(base, len(piece)), out=sums[1:])
+        back = _powers(pow(base, -1, 1 << 64), len(piece) + 1)
+        # the length keeps words apart whose bytes alone give equal sums
+        out[at:to] = mix64((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -92,8 +105,10 @@ def joined_words(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     stop = np.cumsum(size + 1) - 1
     start = stop - size
     text = np.full(int(stop[-1]) + 1 if len(stop) else 0, 0x20, np.uint8)
-    place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    text[place] = low[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    for at, to in _pieces(starts):
+        n = size[at:to]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        text[np.repeat(start[at:to], n) + inside] = low[np.repeat(starts[at:to], n) + inside]
     return text.tobytes(), start, stop
 
 
@@ -156,7 +171,8 @@ def build_set(items: list[tuple[str, str]], width: int) -> NgramSet:
             keep = new | np.concatenate([[True], own[1:] != own[:-1]])
             bits = np.zeros(1 << BITS, bool)
             bits[h >> np.uint64(64 - BITS)] = True
-            windows[w] = Windows(h[new], bits, start[at[new]], stop[at[new] + w - 1], np.append(np.flatnonzero(new[keep]), keep.sum()), own[keep])
+            rest = (start[at[new]], stop[at[new] + w - 1], np.append(np.flatnonzero(new[keep]), keep.sum()), own[keep])
+            windows[w] = Windows(h[new], bits, *(x.astype(np.int32) for x in rest))  # a part has less than 2 GB of text
         if clear:
             return NgramSet(seed, width, int((ends - starts).max(initial=0)), text, ids, windows)
     raise RuntimeError("no seed keeps the windows apart")
@@ -312,7 +328,7 @@ def _scan(texts: Column, held) -> Column:
     return scan(texts)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, part_bytes: int = 1 << 25) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, part_bytes: int = 1 << 24) -> DataFrame:
     """(document, leaks) for every row of ``docs``: ``document`` is the row as it came, so no name of it can clash, and
     ``leaks`` has n_words, n_hit (words inside an occurring window), items (ids with occurring windows, sorted as strings)
     and spans (hit words from ``first`` up to ``last``, characters from ``start`` up to ``stop``, both from 0).
