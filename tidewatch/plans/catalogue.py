@@ -1085,7 +1085,7 @@ def dataset_profile(spark, sf):
 def feature_drift(spark, sf):
     t = W.telemetry(spark, sf)
     cut = X.instant("2024-01-16 00:00:00")
-    return rounded(M.drift(t.where(F.col("ts") < cut), t.where(F.col("ts") >= cut), ["value", "latency", "error_rate"])).select(
+    return rounded(M.drift(t.where(F.col("ts") < cut), t.where(F.col("ts") >= cut), ["value", "latency", "error_rate"]), 9).select(
         "feature", "mean_expected", "mean_actual", "std_expected", "std_actual", "psi"
     )
 

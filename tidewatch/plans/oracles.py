@@ -1027,8 +1027,8 @@ sm AS (SELECT feature, avg(x) FILTER (early) AS me, avg(x) FILTER (NOT early) AS
   count(*) FILTER (early) AS ne, count(*) FILTER (NOT early) AS na FROM bn GROUP BY feature),
 pq AS (SELECT feature, bin, greatest(count(*) FILTER (early) / max(ne)::DOUBLE, 1e-6) AS p, greatest(count(*) FILTER (NOT early) / max(na)::DOUBLE, 1e-6) AS q
   FROM (SELECT feature, b AS bin FROM ed, range(0, 10) AS t(b)) AS every LEFT JOIN bn USING (feature, bin) JOIN sm USING (feature) GROUP BY ALL)""", """
-SELECT feature, round(me, 6) AS mean_expected, round(ma, 6) AS mean_actual, round(de, 6) AS std_expected, round(da, 6) AS std_actual,
-  (SELECT round(sum((q - p) * ln(q / p)), 6) FROM pq WHERE pq.feature = sm.feature) AS psi FROM sm""")
+SELECT feature, round(me, 9) AS mean_expected, round(ma, 9) AS mean_actual, round(de, 9) AS std_expected, round(da, 9) AS std_actual,
+  (SELECT round(sum((q - p) * ln(q / p)), 9) FROM pq WHERE pq.feature = sm.feature) AS psi FROM sm""")
 oracle("horizon_examples", MKT + """,
 ao(as_of) AS (VALUES (TIMESTAMP '2024-01-08'), (TIMESTAMP '2024-01-11'), (TIMESTAMP '2024-01-14'), (TIMESTAMP '2024-01-22')),
 nr AS (SELECT mkt.* EXCLUDE (age), as_of, ts < as_of AS past, (epoch_us(as_of) - epoch_us(ts)) // 86400000000 AS age,
