@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.expr import clamp, fixed, keep
 from tidewatch.operators.ordered import (
-    carried_sums,
     group_median,
+    hot_keys,
     keep_first,
     slice_window,
     sliced,
@@ -230,7 +230,10 @@ def trailing_baseline(df: DataFrame, value: str, minutes: int = 15, min_rows: in
     both = df.select("stream_id", v.alias("_v"), F.explode(F.array(own, moved)).alias("_c")).select("stream_id", "_v", "_c.*")
     keys = ["stream_id", "_block"]
     both = both.withColumns({"ts": F.timestamp_micros("_us"), "_past": F.when(F.col("_own"), F.col("_v")), "_kept": F.when(~F.col("_own"), F.col("_v"))})
-    rows = sliced(both, keys, "ts", min_rows, slice_rows)
+    # a block has at most its stream's rows, so blocks are counted for streams with many rows only
+    large = hot_keys(df, ["stream_id"], "ts", min_rows, slice_rows)
+    counted = both.join(F.broadcast(large), both["stream_id"].eqNullSafe(large["_hot_stream_id"]), "left_semi")
+    rows = sliced(both, keys, "ts", min_rows, slice_rows, counted)
     # sums carried into a slice: of the own rows from earlier slices, of the moved rows from later ones
     whole = rows.where("_hot").groupBy(*keys, "_slice").agg(*[f(c).alias(f"_{n}{c}") for c in ("_past", "_kept") for n, f in (("s", F.sum), ("n", F.count))])
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
