@@ -169,6 +169,19 @@ def test_a_hot_entity_is_several_slices(spark):
     assert cut.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 2 * HOT["slice_rows"]
 
 
+def test_compacted_states_go_on_the_same(spark, tmp_path):
+    """States are compacted every second batch; a batch that runs again after that starts from the same states."""
+    df = spark.createDataFrame(sorted(events(), key=lambda r: (r[1], r[0])), EVENTS)
+    parts = [df.orderBy("ts", "event_id").offset(80 * i).limit(80) for i in range(5)]
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    for i, part in enumerate(parts):
+        state.fold_batch(part, i, a)
+        state.fold_batch(part, i, b, compact_every=2)
+        state.fold_batch(part, i, b, compact_every=2)
+    assert sorted(state.read_folded(spark, b).collect()) == sorted(state.read_folded(spark, a).collect())
+    assert {p.name for p in (tmp_path / "b" / "state" / "base").iterdir()} == {"v=1", "v=3"}
+
+
 def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     df = spark.createDataFrame(events(), EVENTS)
     base = str(tmp_path / "fold")

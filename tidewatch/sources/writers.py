@@ -128,6 +128,15 @@ def compact_state(spark: SparkSession, path: str, order: list[str], keys: list[s
     return upto
 
 
+def compact_before(spark: SparkSession, path: str, batch_id: int, keys: list[str] = KEYS) -> None:
+    """Writes the rows that the batches before ``batch_id`` left as a new version, once; a retry of that batch finds it done
+    and still starts from the same rows."""
+    if batch_id == 0 or f"v={batch_id - 1}" in _folders(spark, os.path.join(path, "base")):
+        return
+    rows = keep_last(read_log(spark, path).where(F.col("_batch") < batch_id), keys, ["_batch"])
+    rows.write.mode("overwrite").parquet(os.path.join(path, "base", f"v={batch_id - 1}"))
+
+
 def write_entities(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("entity_type").parquet(path)
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.operators.entities import STATE, entity_events, states_after
 from tidewatch.operators.ordered import keep_last
-from tidewatch.sources.writers import append_state, read_log
+from tidewatch.sources.writers import append_state, compact_before, read_log
 
 ENTITY = ["entity_id", "entity_type"]
 
@@ -35,10 +35,13 @@ def states_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame |
     return keep_last(log.where(F.col("_batch") < batch_id), ENTITY, ["_batch"]).drop("_batch")
 
 
-def fold_batch(batch: DataFrame, batch_id: int, path: str, min_rows: int | None = None, slice_rows: int | None = None) -> None:
+def fold_batch(batch: DataFrame, batch_id: int, path: str, min_rows: int | None = None, slice_rows: int | None = None, compact_every: int = 100) -> None:
     """Folds one micro-batch into the entities' states: state and alerts after every event below ``path``/events, the
-    states it leaves below ``path``/state. A retried batch starts from the same earlier states and replaces its folders."""
+    states it leaves below ``path``/state. A retried batch starts from the same earlier states and replaces its folders.
+    States are compacted every so many batches, so a batch reads one row an entity and the batches since."""
     spark = batch.sparkSession
+    if batch_id % compact_every == 0:
+        compact_before(spark, os.path.join(path, "state"), batch_id, ENTITY)
     rows = entity_events(batch).persist()
     try:
         before = states_before(spark, os.path.join(path, "state"), batch_id)
