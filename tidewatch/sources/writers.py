@@ -62,7 +62,7 @@ def append_state(rows: DataFrame, path: str, batch_id: int, order: list[str], ke
     newest.write.mode("overwrite").parquet(os.path.join(path, "log", f"b={batch_id}"))
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
+def finished_folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the finished folders below a path."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
@@ -74,9 +74,9 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
 
 def _state_paths(spark: SparkSession, path: str) -> tuple[list[str], int]:
     """The newest compacted version and the batches after it."""
-    bases = [int(n.split("=")[1]) for n in _folders(spark, os.path.join(path, "base"))]
+    bases = [int(n.split("=")[1]) for n in finished_folders(spark, os.path.join(path, "base"))]
     upto = max(bases, default=-1)
-    logs = [n for n in _folders(spark, os.path.join(path, "log")) if int(n.split("=")[1]) > upto]
+    logs = [n for n in finished_folders(spark, os.path.join(path, "log")) if int(n.split("=")[1]) > upto]
     paths = [os.path.join(path, "log", n) for n in logs]
     if bases:
         paths.insert(0, os.path.join(path, "base", f"v={upto}"))
@@ -116,7 +116,7 @@ def compact_tutors(spark: SparkSession, path: str) -> int:
 def batch_time(spark: SparkSession, path: str, batch_id: int) -> Column:
     """The time at which a batch was first worked on, written down so that a retry files it under the same hour."""
     folder = os.path.join(path, f"b={batch_id}")
-    if f"b={batch_id}" not in _folders(spark, path):
+    if f"b={batch_id}" not in finished_folders(spark, path):
         spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("us")).write.mode("overwrite").parquet(folder)
     return F.timestamp_micros(F.lit(spark.read.parquet(folder).first().us))
 
@@ -131,7 +131,7 @@ def compact_state(spark: SparkSession, path: str, order: list[str], keys: list[s
 def compact_before(spark: SparkSession, path: str, batch_id: int, keys: list[str] = KEYS) -> None:
     """Writes the rows that the batches before ``batch_id`` left as a new version, once; a retry of that batch finds it done
     and still starts from the same rows."""
-    if batch_id == 0 or f"v={batch_id - 1}" in _folders(spark, os.path.join(path, "base")):
+    if batch_id == 0 or f"v={batch_id - 1}" in finished_folders(spark, os.path.join(path, "base")):
         return
     rows = keep_last(read_log(spark, path).where(F.col("_batch") < batch_id), keys, ["_batch"])
     rows.write.mode("overwrite").parquet(os.path.join(path, "base", f"v={batch_id - 1}"))

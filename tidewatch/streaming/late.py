@@ -13,15 +13,22 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sources.writers import finished_folders
+
 
 def watermark_us(spark: SparkSession, path: str, batch_id: int, delay_us: int) -> int | None:
-    """The watermark a batch works under, in microseconds; None in the first one."""
-    if batch_id == 0:
-        return None
-    seen = spark.read.parquet(os.path.join(path, "times")).where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+    """The watermark a batch works under, in microseconds; None in the first one. Each batch leaves the newest time up to and
+    with it, so only the last one before is read."""
+    seen = _newest_before(spark, path, batch_id)
     return None if seen is None else seen - delay_us
 
 
+def _newest_before(spark: SparkSession, path: str, batch_id: int) -> int | None:
+    done = [int(n.split("=")[1]) for n in finished_folders(spark, os.path.join(path, "times"))]
+    last = max((b for b in done if b < batch_id), default=None)
+    return None if last is None else spark.read.parquet(os.path.join(path, "times", f"batch={last}")).first().newest
+
+
 def _start_us(ts: str, width_us: int) -> Column:
     us = F.unix_micros(ts)
     return us - F.pmod(us, F.lit(width_us))
@@ -40,7 +47,8 @@ def split_batch(batch: DataFrame, batch_id: int, path: str, ts: str, width_us: i
     kept = spark.read.schema(marked.schema).parquet(folder)  # what was written is what counts
     on_time = kept.where(~F.col("late") & F.col("period").isNotNull())
     on_time.groupBy("period").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(n) for n, c in counts.items()]).write.mode("overwrite").parquet(os.path.join(path, "windows", f"batch={batch_id}"))
-    kept.agg(F.max(F.unix_micros(ts)).alias("newest")).write.mode("overwrite").parquet(os.path.join(path, "times", f"batch={batch_id}"))
+    before = F.lit(_newest_before(spark, path, batch_id)).cast("long")
+    kept.agg(F.greatest(F.max(F.unix_micros(ts)), before).alias("newest")).write.mode("overwrite").parquet(os.path.join(path, "times", f"batch={batch_id}"))
 
 
 def split_late(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", width_us: int = 3_600_000_000, delay_us: int = 3_600_000_000, counts: dict[str, Column] | None = None):
