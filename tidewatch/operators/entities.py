@@ -274,7 +274,7 @@ def tutor_features(events: DataFrame, as_of: Column, days: int = 30) -> DataFram
         .groupBy("tutor_id").agg(F.count(F.lit(1)).alias("subjects"), F.max("c").alias("top_subject_sessions"))
     )
     hours = keep_last(inside.where(_of("tutor_availability_updated")), ["tutor_id"], ["ts", "event_id"]).select(
-        "tutor_id", F.col("available_slots_this_week").alias("available_hours")
+        "tutor_id", F.col("available_slots_this_week").alias("available_hours"), "instant_book_enabled"
     )
     return (
         per_tutor.join(subjects, "tutor_id", "left").join(hours, "tutor_id", "left")
@@ -292,7 +292,7 @@ def tutor_features(events: DataFrame, as_of: Column, days: int = 30) -> DataFram
             ratio(F.col("booked_minutes"), F.col("sessions_completed")).alias("avg_session_duration_min"),
             F.when(F.col("rated") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (F.col("rated") - 1))).alias("rating_volatility"),
             ratio(F.col("sessions_completed"), F.col("unique_students")).alias("avg_student_sessions"),
-            F.coalesce("age", F.lit(999)).cast("int").alias("days_since_last_session"), "available_hours",
+            F.coalesce("age", F.lit(999)).cast("int").alias("days_since_last_session"), "available_hours", "instant_book_enabled",
         )
     )
 

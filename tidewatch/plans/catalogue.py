@@ -610,15 +610,15 @@ def student_vector46(spark, sf):
 
 @query
 def tutor_vector46(spark, sf):
-    """The tutor vector with every metric that events can tell. 14 columns have no source and keep their defaults: next week's
+    """The tutor vector with every metric that events can tell. 13 columns have no source and keep their defaults: next week's
     hours, response and booking times, subject match, certificates, experience, advanced topics, grades, premium and
-    discount shares, disputes, refunds, pricing, and the ratio of instant bookings."""
+    discount shares, disputes, refunds and pricing."""
     ev = W.mkt_events(spark, sf)
     f = E.tutor_features(ev, NOW()).join(E.tutor_ratings(ev, NOW()), "tutor_id", "left").join(E.tutor_earnings(ev, W.tutor_rates(spark, sf), NOW()), "tutor_id", "left")
     trend = F.when(F.col("earnings_trend") == "growing", 1.0).when(F.col("earnings_trend") == "declining", -1.0).otherwise(0.0)
     more = f.select(
         F.col("tutor_id").cast("string").alias("entity_id"), "avg_session_duration_min", "no_show_rate", "cancellation_rate", "days_since_last_session", "rating_trend", "rating_volatility",
-        F.col("avg_student_sessions").alias("avg_student_lifetime_sessions"), F.col("available_hours").alias("available_hours_this_week"), F.col("subjects").alias("primary_subject_count"),
+        F.col("avg_student_sessions").alias("avg_student_lifetime_sessions"), F.col("available_hours").alias("available_hours_this_week"), F.col("instant_book_enabled").cast("int").alias("instant_book_enabled"), F.col("subjects").alias("primary_subject_count"),
         "subject_diversity_score", "avg_rating_by_subject", F.col("specialization").alias("specialization_score"), F.col("total_earnings").alias("total_earnings_30d"),
         "avg_earnings_per_session", trend.alias("earnings_trend"), X.ratio(F.col("total_earnings"), F.col("available_hours")).alias("revenue_per_available_hour"))
     return rounded(feature_table(_tutor_metrics(spark, sf).join(more, "entity_id", "left"), "tutor"))

@@ -211,14 +211,14 @@ tag AS (
 trat AS (SELECT tutor_id, stddev_samp(nullif(rating, 0)) AS volatility, min(age) AS days FROM tin WHERE event_type = 'session_completed' GROUP BY tutor_id),
 tsub AS (SELECT tutor_id, count(*) AS subjects, max(c) AS top FROM (
     SELECT tutor_id, subject, count(*) AS c FROM tin WHERE event_type = 'session_completed' GROUP BY ALL) GROUP BY tutor_id),
-thr AS (SELECT tutor_id, available_slots_this_week AS hours FROM tin WHERE event_type = 'tutor_availability_updated'
+thr AS (SELECT tutor_id, available_slots_this_week AS hours, k % 4 = 0 AS instant FROM tin WHERE event_type = 'tutor_availability_updated'
     QUALIFY row_number() OVER (PARTITION BY tutor_id ORDER BY ts DESC, event_id DESC) = 1),
 tfeat AS (
   SELECT tag.*, coalesce(subjects, 0) AS subjects, sessions_completed / nullif(sessions_started, 0)::DOUBLE AS completion_rate,
     returning_students / nullif(unique_students, 0)::DOUBLE AS retention_rate,
     sessions_completed / nullif(subjects, 0)::DOUBLE AS sessions_per_subject,
     top / nullif(sessions_completed, 0)::DOUBLE AS specialization,
-    booked_minutes / 60.0::DOUBLE / nullif(hours, 0)::DOUBLE AS utilization_rate, volatility, days, hours
+    booked_minutes / 60.0::DOUBLE / nullif(hours, 0)::DOUBLE AS utilization_rate, volatility, days, hours, instant
   FROM tag LEFT JOIN tsub USING (tutor_id) LEFT JOIN thr USING (tutor_id) LEFT JOIN trat USING (tutor_id)),
 tcnt AS (
   SELECT tutor_id, count(*) FILTER (age < 7) AS t7, count(*) FILTER (age < 14) AS t14, count(*) FILTER (age < 30) AS t30,
@@ -321,7 +321,7 @@ SELECT tutor_id, sessions_started, sessions_completed, unique_students, returnin
   round(utilization_rate, 6) AS utilization_rate, round(cancelled / nullif(sessions_completed, 0)::DOUBLE, 6) AS cancellation_rate,
   round(no_shows / nullif(sessions_completed, 0)::DOUBLE, 6) AS no_show_rate, round(booked_minutes / nullif(sessions_completed, 0)::DOUBLE, 6) AS avg_session_duration_min,
   round(volatility, 6) AS rating_volatility, round(sessions_completed / nullif(unique_students, 0)::DOUBLE, 6) AS avg_student_sessions,
-  CAST(coalesce(days, 999) AS INTEGER) AS days_since_last_session, hours AS available_hours, round(coalesce(total, 0.0), 6) AS total_earnings, coalesce(paid, 0) AS paid_sessions,
+  CAST(coalesce(days, 999) AS INTEGER) AS days_since_last_session, hours AS available_hours, instant AS instant_book_enabled, round(coalesce(total, 0.0), 6) AS total_earnings, coalesce(paid, 0) AS paid_sessions,
   coalesce(unrated, 0) AS unrated_sessions, round(total / paid, 6) AS avg_earnings_per_session, trend AS earnings_trend FROM tfeat LEFT JOIN earn USING (tutor_id)""")
 
 oracle("running_rating", MKT + """,
@@ -686,7 +686,7 @@ SELECT entity_id, 'student' AS entity_type, sessions_7d::DOUBLE AS sessions_7d,
   round(coalesce(steady, 0.5), 6) AS tutor_consistency_score, coalesce(tutors, 1)::DOUBLE AS unique_tutors_30d, round(coalesce(preferred, 0.7), 6) AS preferred_tutor_ratio,
   round(coalesce(primary_rating, 4), 6) AS tutor_rating_avg, coalesce(changed, 0)::DOUBLE AS tutor_changed_count_30d, round(coalesce(preferred, 0.8), 6) AS preferred_tutor_sessions_ratio,
   {_constants(_CONST_STUDENT, _MORE_STUDENT)} FROM tr""")
-_MORE_TUTOR = ("avg_session_duration_min no_show_rate cancellation_rate days_since_last_session rating_trend rating_volatility avg_student_lifetime_sessions available_hours_this_week "
+_MORE_TUTOR = ("avg_session_duration_min no_show_rate cancellation_rate days_since_last_session rating_trend rating_volatility avg_student_lifetime_sessions available_hours_this_week instant_book_enabled "
                "primary_subject_count subject_diversity_score avg_rating_by_subject specialization_score total_earnings_30d avg_earnings_per_session earnings_trend revenue_per_available_hour").split()
 oracle("tutor_vector46", EARNED + """,
 tsb AS (SELECT tutor_id, subject, count(*) AS c, avg(nullif(rating, 0)) AS mean FROM tin WHERE event_type = 'session_completed' GROUP BY ALL),
@@ -701,7 +701,7 @@ SELECT CAST(tutor_id AS VARCHAR) AS entity_id, 'tutor' AS entity_type, t7::DOUBL
   round(coalesce(utilization_rate, 0.6), 6) AS utilization_rate, round(coalesce(sessions_per_subject, 10), 6) AS sessions_per_subject_30d, round(coalesce(booked_minutes / nullif(sessions_completed, 0)::DOUBLE, 60), 6) AS avg_session_duration_min, round(coalesce(no_shows / nullif(sessions_completed, 0)::DOUBLE, 0), 6) AS no_show_rate,
   round(coalesce(cancelled / nullif(sessions_completed, 0)::DOUBLE, 0), 6) AS cancellation_rate, CASE WHEN sessions_started IS NULL THEN 7 ELSE coalesce(days, 999) END::DOUBLE AS days_since_last_session,
   round(coalesce(moved, 0), 6) AS rating_trend, round(coalesce(volatility, 0), 6) AS rating_volatility, round(coalesce(sessions_completed / nullif(unique_students, 0)::DOUBLE, 5), 6) AS avg_student_lifetime_sessions,
-  coalesce(hours, 20)::DOUBLE AS available_hours_this_week, coalesce(subjects, 1)::DOUBLE AS primary_subject_count, round(coalesce(diversity, 0.5), 6) AS subject_diversity_score,
+  coalesce(hours, 20)::DOUBLE AS available_hours_this_week, coalesce(instant::INT, 1)::DOUBLE AS instant_book_enabled, coalesce(subjects, 1)::DOUBLE AS primary_subject_count, round(coalesce(diversity, 0.5), 6) AS subject_diversity_score,
   round(coalesce(by_subject, 4.5), 6) AS avg_rating_by_subject, round(coalesce(specialization, 0.7), 6) AS specialization_score, round(coalesce(total, 1000), 6) AS total_earnings_30d,
   round(coalesce(total / paid, 50), 6) AS avg_earnings_per_session, CASE trend WHEN 'growing' THEN 1 WHEN 'declining' THEN -1 ELSE 0 END::DOUBLE AS earnings_trend,
   round(coalesce(total / nullif(hours, 0), 25), 6) AS revenue_per_available_hour, {_constants(_CONST_TUTOR, _MORE_TUTOR)} FROM tv""")
