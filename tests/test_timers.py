@@ -2,6 +2,10 @@
 
 import datetime as dt
 import os
+import random
+import types
+
+import pandas as pd
 
 from tidewatch.sources.writers import read_state
 from tidewatch.streaming import state, windows
@@ -65,3 +69,92 @@ def test_alarms_on_a_stream_judge_silence(spark, tmp_path):
     want = {k: v for k, v in want.items() if k[1] + width[k[0]] <= passed}
     assert got == want and any(v[2] for v in got.values())
     assert all(not v[1] for (a, _), v in got.items() if a == "silent")
+
+
+class Held:
+    """A handle and its state in memory, for one student; counts the calls that would go to the state store."""
+
+    def __init__(self):
+        self.calls, self.timers, self.value = 0, [], {}
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def __getattr__(self, name):
+        if name not in ("get", "update", "clear", "registerTimer", "containsKey", "getValue", "updateValue", "removeKey", "iterator"):
+            raise AttributeError(name)
+
+        def call(*args):
+            self.calls += 1
+            return getattr(self, "_" + name)(*args)
+
+        return call
+
+    def _get(self):
+        return self.value.get(())
+
+    def _update(self, value):
+        self.value[()] = value
+
+    def _clear(self):
+        self.value.clear()
+
+    def _registerTimer(self, at):
+        self.timers.append(at)
+
+    def _containsKey(self, key):
+        return key in self.value
+
+    def _getValue(self, key):
+        return self.value[key]
+
+    def _updateValue(self, key, value):
+        self.value[key] = value
+
+    def _removeKey(self, key):
+        del self.value[key]
+
+    def _iterator(self):
+        return iter(list(self.value.items()))
+
+
+def turn(processor, *chunks):
+    """A student's events (kind, day) of one batch, in the chunks that a large batch comes in."""
+    frames = [pd.DataFrame({"ts": [T0 + dt.timedelta(days=d, hours=7) for _, d in c], "event_type": [k for k, _ in c]}) for c in chunks]
+    (row,) = processor.handleInputRows(("9",), iter(frames), None)
+    return row
+
+
+def test_a_students_turn_costs_as_many_state_calls_with_30_days_as_with_one():
+    spent = []
+    for days in (1, 30):
+        held, processor = Held(), state.RecentEvents()
+        processor.init(held)
+        for _ in range(2):
+            turn(processor, [("session_completed", d) for d in range(days)])
+        spent.append(held.calls)
+        held.calls = 0
+        list(processor.handleExpiredTimer(("9",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: held.timers[-1]), None))
+        spent.append(held.calls)
+    assert spent[0] == spent[2] <= 6 and spent[1] <= 3 and spent[3] <= 3
+
+
+def test_recent_counts_over_batches_and_chunks_equal_plain_counts():
+    rnd = random.Random(4)
+    base = (T0 - dt.datetime(1970, 1, 1)).days
+    held, processor = Held(), state.RecentEvents()
+    processor.init(held)
+    kept = {}
+    for batch in range(12):
+        chunks = [[(rnd.choice(["session_completed", "ib_call_logged", "session_started", None]), batch * rnd.choice([4, 9]) + rnd.randrange(12)) for _ in range(rnd.randrange(1, 9))] for _ in range(rnd.randrange(1, 4))]
+        row = turn(processor, *chunks)
+        for kind, d in (e for c in chunks for e in c):
+            kept.setdefault(d, []).append(kind)
+        newest = max(kept)
+        kept = {d: v for d, v in kept.items() if d > newest - 30}
+        want = [sum(v.count(k) for d, v in kept.items() if d > newest - n) for k in ("session_completed", "ib_call_logged") for n in (7, 14, 30)]
+        assert row["entity_id"].tolist() == ["9"] and row["numbers"].tolist() == [[newest + base, 0, *want]]
+        assert held.timers[-1] == min(d + n for d in kept for n in (7, 14, 30) if d + n > newest) * state.DAY_MS + base * state.DAY_MS
+        assert {d - base: (s, c) for d, s, c in zip(*held.value[()], strict=True)} == {d: (v.count("session_completed"), v.count("ib_call_logged")) for d, v in kept.items()}

@@ -67,47 +67,54 @@ def read_folded(spark: SparkSession, path: str) -> DataFrame:
 
 
 DAY_MS = 86_400_000
-RECENT_COLUMNS = ["entity_id", "day", "cause", *[f"{c}_{n}d" for c in ("sessions", "calls") for n in (7, 14, 30)]]
-RECENT_OUTPUT = "entity_id STRING, day INT, cause STRING, " + ", ".join(f"{c} BIGINT" for c in RECENT_COLUMNS[3:])
+RECENT_COUNTS = [f"{c}_{n}d" for c in ("sessions", "calls") for n in (7, 14, 30)]
+RECENT_OUTPUT = "entity_id STRING, numbers ARRAY<BIGINT>"  # day, 1 for a timer's row, the counts: each column costs every row its conversion
 
 
 class RecentEvents(StatefulProcessor):
     """Daily counts of a customer's last 30 days, and the window counts they make.
 
     A timer is set for the next day on which a count of days leaves a window. So the windows of a customer who has fallen
-    silent go down as the stream's time goes on, and after 30 days nothing is kept of them."""
+    silent go down as the stream's time goes on, and after 30 days nothing is kept of them. The days are one value, so a
+    customer's turn is one read and one write of state however many days they have."""
 
     windows = (7, 14, 30)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.daily = handle.getMapState("daily", "day INT", "sessions BIGINT, calls BIGINT")
+        self.daily = handle.getValueState("daily", "day ARRAY<INT>, sessions ARRAY<BIGINT>, calls ARRAY<BIGINT>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
+        daily, newest = self._read(), None
         for chunk in rows:
-            day = (chunk["ts"].astype("int64") // 86_400_000_000_000).astype(int)
-            done, call = chunk["event_type"] == "session_completed", chunk["event_type"] == "ib_call_logged"
-            for d, part in pd.DataFrame({"day": day, "s": done, "c": call}).groupby("day").sum().iterrows():
-                old = self.daily.getValue((int(d),)) if self.daily.containsKey((int(d),)) else (0, 0)
-                self.daily.updateValue((int(d),), (int(old[0] + part["s"]), int(old[1] + part["c"])))
-                newest = int(d) if newest is None else max(newest, int(d))
-        yield self._counts(key, newest, "event")
+            days = chunk["ts"].to_numpy().astype("datetime64[ns]").astype("int64") // (DAY_MS * 1_000_000)
+            kind = chunk["event_type"].to_numpy()
+            found, at = np.unique(days, return_inverse=True)
+            done, call = (np.bincount(at[kind == t], minlength=len(found)) for t in ("session_completed", "ib_call_logged"))
+            for d, s, c in zip(found.tolist(), done.tolist(), call.tolist(), strict=True):
+                old = daily.get(d, (0, 0))
+                daily[d] = old[0] + s, old[1] + c
+            newest = int(found[-1]) if newest is None else max(newest, int(found[-1]))
+        yield self._counts(key, daily, newest, 0)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._counts(key, timerValues.getCurrentWatermarkInMs() // DAY_MS, "timer")
-
-    def _counts(self, key, day: int, cause: str) -> pd.DataFrame:
-        kept = {k[0]: v for k, v in self.daily.iterator()}
-        newest = max([day, *kept])
-        for d in [d for d in kept if d <= newest - max(self.windows)]:
-            self.daily.removeKey((d,))
-            del kept[d]
-        leaves = [d + n for d in kept for n in self.windows if d + n > newest]
-        if leaves:
-            self.handle.registerTimer(min(leaves) * DAY_MS)
-        inside = lambda n, i: sum(v[i] for d, v in kept.items() if d > newest - n)
-        return pd.DataFrame([(str(key[0]), newest, cause, *[inside(n, i) for i in (0, 1) for n in self.windows])], columns=RECENT_COLUMNS)
+        yield self._counts(key, self._read(), timerValues.getCurrentWatermarkInMs() // DAY_MS, 1)
+
+    def _read(self) -> dict[int, tuple[int, int]]:
+        """Sessions and calls of each day kept."""
+        held = self.daily.get()
+        return {d: (s, c) for d, s, c in zip(*held, strict=True)} if held else {}
+
+    def _counts(self, key, daily: dict[int, tuple[int, int]], day: int, timer: int) -> pd.DataFrame:
+        newest = max([day, *daily])
+        kept = {d: v for d, v in daily.items() if d > newest - max(self.windows)}
+        if kept:
+            self.daily.update((list(kept), [s for s, _ in kept.values()], [c for _, c in kept.values()]))
+            self.handle.registerTimer(min(d + n for d in kept for n in self.windows if d + n > newest) * DAY_MS)
+        else:
+            self.daily.clear()
+        counts = [sum(v[i] for d, v in kept.items() if d > newest - n) for i in (0, 1) for n in self.windows]
+        return pd.DataFrame({"entity_id": [str(key[0])], "numbers": [[newest, timer, *counts]]})
 
     def close(self) -> None:
         pass
@@ -140,10 +147,13 @@ class Cooldown(StatefulProcessor):
 def recent_windows(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Window counts per student from daily state, on a stream: after each batch with events of the student (``cause`` event)
     and on days when counts leave a window (``cause`` timer). State is gone 30 days after a student's last event."""
-    return (
+    rows = (
         events.select(F.col("student_id").cast("string").alias("entity_id"), "ts", "event_type").withWatermark("ts", delay).groupBy("entity_id")
         .transformWithStateInPandas(RecentEvents(), outputStructType=RECENT_OUTPUT, outputMode="Update", timeMode="EventTime")
     )
+    n = F.col("numbers")
+    cause = F.when(n[1] == 1, "timer").otherwise("event")
+    return rows.select("entity_id", n[0].cast("int").alias("day"), cause.alias("cause"), *[n[i].alias(c) for i, c in enumerate(RECENT_COUNTS, 2)])
 
 
 def cooldown_alerts(alerts: DataFrame, window_us: int = 3_600_000_000) -> DataFrame:
